@@ -1,4 +1,469 @@
 """Queries by name, and their SQL twins."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import chunk, clean, context, evaluate, hybrid, lexical, prompt, stats
+from ..sources import io
+from ..streaming import runlog
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL twin."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# What several twins share.
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_TOKENS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{{1},}}'))"
+_WORD_TOKENS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= {1})"
+_WORDS = r"list_filter(string_split_regex({0}, '\s+'), lambda x: x <> '')"
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+
+
+def tok(c: str, least: int = 2) -> str:
+    return _TOKENS.format(c, least)
+
+
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _any(c: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{p.replace(chr(39), chr(39) * 2)}')" for p in phrases) + ")"
+
+
+def _count(c: str, phrases) -> str:
+    return "(" + " + ".join(f"CAST(contains({c}, '{p.replace(chr(39), chr(39) * 2)}') AS INT)" for p in phrases) + ")"
+
+
+# --- cleaning ---------------------------------------------------------------------------------------------------------
+
+
+def _holed_customers(spark, sf_dir):
+    """Customers with holes: every fifth row empty, some segments as sentinels; few enough columns that rows repeat."""
+    c = read(spark, sf_dir, "customer")
+    hole = F.col("c_custkey") % 5 == 0
+    seg = F.when(F.col("c_custkey") % 7 == 0, "nan").when(F.col("c_custkey") % 11 == 0, F.concat(F.lit(" \t"), "c_mktsegment", F.lit("\x01 "))).when(F.col("c_custkey") % 13 == 0, "None").otherwise(F.col("c_mktsegment"))
+    return c.select(F.when(~hole, F.col("c_nationkey")).alias("nation"), F.when(~hole, seg).alias("segment"))
+
+
+_HOLED = r"""holed AS (SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS nation, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'nan'
+  WHEN c_custkey % 11 = 0 THEN ' ' || chr(9) || c_mktsegment || chr(1) || ' ' WHEN c_custkey % 13 = 0 THEN 'None' ELSE c_mktsegment END AS segment FROM customer)"""
+_UNSENTINEL = r"CASE WHEN {0} IN ('nan', 'None', '') THEN NULL ELSE {0} END".format(r"regexp_replace(regexp_replace(segment, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]', '', 'g'), '^\s+|\s+$', '', 'g')")
+
+
+@query(f"WITH {_HOLED} SELECT DISTINCT nation, segment FROM holed WHERE NOT (nation IS NULL AND segment IS NULL)")
+def clean_drop_empty_dedup(spark, sf_dir):
+    return clean.drop_duplicate_rows(clean.drop_empty_rows(_holed_customers(spark, sf_dir)))
+
+
+@query(f"WITH {_HOLED} SELECT nation, {_UNSENTINEL} AS segment FROM holed")
+def clean_sentinel_null(spark, sf_dir):
+    return clean.normalise_strings(_holed_customers(spark, sf_dir))
+
+
+@query(f"WITH {_HOLED}, s AS (SELECT nation, {_UNSENTINEL} AS segment FROM holed) SELECT * FROM (SELECT 'nation' AS column_name, count(*) FILTER (nation IS NULL) AS n_missing FROM s UNION ALL SELECT 'segment', count(*) FILTER (segment IS NULL) FROM s) WHERE n_missing > 0")
+def clean_missing_report(spark, sf_dir):
+    return clean.missing_report(clean.normalise_strings(_holed_customers(spark, sf_dir)))
+
+
+@query("SELECT 'supplier' AS source, array_to_string(list_filter(['S Suppkey: ' || s_suppkey, 'S Name: ' || s_name, 'S Nationkey: ' || CASE WHEN s_nationkey % 4 <> 0 THEN s_nationkey END, 'S Acctbal: ' || CAST(s_acctbal AS DECIMAL(15, 2))], lambda x: x IS NOT NULL), '. ') || '.' AS text FROM supplier")
+def row_to_sentence(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    s = s.withColumns({"s_nationkey": F.when(F.col("s_nationkey") % 4 != 0, F.col("s_nationkey")), "s_acctbal": F.col("s_acctbal").cast("decimal(15,2)")})
+    return clean.rows_to_records(s, "supplier").select("source", "text")
+
+
+_MARGIN = r"list_filter(string_split({0}, chr(10)), lambda x, i: NOT regexp_full_match(regexp_replace(x, '^\s+|\s+$', '', 'g'), '\d{{1,4}}') AND NOT (length(regexp_replace(x, '^\s+|\s+$', '', 'g')) < 5 AND (i <= 3 OR i > len(string_split({0}, chr(10))) - 3)))"
+_PAGE = r"regexp_replace(regexp_replace(regexp_replace(array_to_string(" + _MARGIN.format("t0") + r", chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+_PAGE0 = r"regexp_replace(regexp_replace({0}, '-\n([a-z])', '\1', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_PAGE} AS text FROM (SELECT doc_id, {_PAGE0.format('text')} AS t0 FROM documents)")
+def page_clean_lines(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", clean.clean_page(F.col("text")).alias("text"))
+
+
+@query(f"WITH p AS (SELECT page_id, {_PAGE} AS text FROM (SELECT page_id, {_PAGE0.format('t')} AS t0 FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages) WHERE {_STRIP.format('t')} <> '')) SELECT page_id, text FROM p WHERE length(text) > 80")
+def page_near_empty_filter(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", io.tag_stripped(F.col("html")).alias("text"))
+    return clean.clean_pages(pages)
+
+
+@query("SELECT count(*) FILTER (length(text) > 600) AS n_kept, count(*) FILTER (coalesce(length(text) <= 600, true)) AS n_skipped FROM documents")
+def page_kept_skipped(spark, sf_dir):
+    return clean.kept_and_skipped(read(spark, sf_dir, "documents"), least=600)
+
+
+# --- chunking ---------------------------------------------------------------------------------------------------------
+
+
+def _documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+
+
+_FINISH = "source || '__{s}__' || lpad(CAST(chunk_index AS VARCHAR), 5, '0') AS chunk_id, source, '{s}' AS strategy, CAST(chunk_index AS INT) AS chunk_index, text, CAST(length(text) AS INT) AS char_count, CAST(len(" + _WORDS.format("text") + ") AS INT) AS word_count"
+_FIXED = r"fixed AS (SELECT * FROM (SELECT doc_id, source, chunk_index, regexp_replace(substring(text, CAST(448 * chunk_index + 1 AS BIGINT), 512), '^\s+|\s+$', '', 'g') AS text FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil((length(text) - 512) / 448.0)) AS BIGINT) + 1)) AS chunk_index FROM documents)) WHERE text <> '')"
+_SENT = rf"sent AS (SELECT doc_id, source, chunk_index, array_to_string(s[4 * chunk_index + 1 : 4 * chunk_index + 5], ' ') AS text FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil((len(s) - 5) / 4.0)) AS BIGINT) + 1)) AS chunk_index FROM (SELECT doc_id, source, {_SENTENCES.format('text')} AS s FROM documents) WHERE len(s) > 0))"
+
+
+@query(f"WITH {_FIXED} SELECT doc_id, {_FINISH.format(s='fixed_size')} FROM fixed")
+def chunk_fixed(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    cut = chunk.fixed_size(d, **chunk.FIXED)
+    return _with_doc(cut, "fixed_size")
+
+
+def _with_doc(cut: DataFrame, strategy: str) -> DataFrame:
+    """Finished chunks that keep their document: ids count inside each document."""
+    t = tx.strip(F.col("text"))
+    cut = cut.withColumn("text", t).filter(F.length("text") > 0)
+    return cut.select("doc_id", F.format_string("%s__%s__%05d", "source", F.lit(strategy), "chunk_index").alias("chunk_id"), "source", F.lit(strategy).alias("strategy"), F.col("chunk_index").cast("int").alias("chunk_index"), "text", F.length("text").alias("char_count"), F.size(tx.words(F.col("text"))).alias("word_count"))
+
+
+@query(f"""WITH corpus AS (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents WHERE text <> '' GROUP BY source),
+w AS (SELECT source, chunk_index, regexp_replace(substring(text, CAST(448 * chunk_index + 1 AS BIGINT), 512), '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil((length(text) - 512) / 448.0)) AS BIGINT) + 1)) AS chunk_index FROM corpus))
+SELECT {_FINISH.format(s='fixed_size')} FROM w WHERE text <> ''""")
+def chunk_fixed_corpus(spark, sf_dir):
+    return chunk.finish(chunk.fixed_size_corpus(_documents(spark, sf_dir), **chunk.FIXED), "source", "fixed_size")
+
+
+@query(f"WITH {_SENT} SELECT doc_id, {_FINISH.format(s='sentence_based')} FROM sent WHERE text <> ''")
+def chunk_sentence(spark, sf_dir):
+    return _with_doc(chunk.sentence_based(_documents(spark, sf_dir), **chunk.SENTENCE), "sentence_based")
+
+
+@query()
+def chunk_paragraph(spark, sf_dir):
+    """Folds over sentences have no SQL twin here; tests hold them against a plain loop."""
+    return chunk.finish(chunk.paragraph_based_corpus(_documents(spark, sf_dir), **chunk.PARAGRAPH), "source", "paragraph_based")
+
+
+def _two_strategies(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    return _with_doc(chunk.fixed_size(d, **chunk.FIXED), "fixed_size").unionByName(_with_doc(chunk.sentence_based(d, **chunk.SENTENCE), "sentence_based"))
+
+
+_TWO = f"{_FIXED}, {_SENT}, chunks AS (SELECT doc_id, {_FINISH.format(s='fixed_size')} FROM fixed UNION ALL SELECT doc_id, {_FINISH.format(s='sentence_based')} FROM sent WHERE text <> '')"
+
+
+@query(f"WITH {_TWO} SELECT * FROM chunks WHERE (source = 'src0' AND strategy = 'fixed_size') OR (source = 'src1' AND strategy = 'sentence_based')")
+def chunk_select_union(spark, sf_dir):
+    return chunk.select_chunks(_two_strategies(spark, sf_dir), [("src0", "fixed_size"), ("src1", "sentence_based")])
+
+
+@query(f"WITH {_TWO} SELECT source, strategy, count(*) AS n_chunks, avg(char_count) AS chars_mean, coalesce(stddev_samp(char_count), 0) AS chars_std, min(char_count) AS chars_min, max(char_count) AS chars_max, avg(word_count) AS words_mean, coalesce(stddev_samp(word_count), 0) AS words_std FROM chunks GROUP BY source, strategy")
+def chunk_size_stats(spark, sf_dir):
+    return stats.size_stats(_two_strategies(spark, sf_dir), ["source", "strategy"])
+
+
+@query(f"WITH {_TWO} SELECT source, strategy, CAST(min(char_count) AS DOUBLE) AS q0, quantile_cont(char_count, 0.25) AS q25, quantile_cont(char_count, 0.5) AS q50, quantile_cont(char_count, 0.75) AS q75, CAST(max(char_count) AS DOUBLE) AS q100 FROM chunks GROUP BY source, strategy")
+def chunk_size_quartiles(spark, sf_dir):
+    return stats.size_quartiles(_two_strategies(spark, sf_dir), ["source", "strategy"])
+
+
+@query(f"""WITH t AS (SELECT source, {tok('text')} AS t FROM documents), p AS (SELECT source, CAST(sum(len(t)) AS BIGINT) AS total_tokens, avg(len(list_distinct(t))) AS avg_unique FROM t GROUP BY source),
+u AS (SELECT source, count(DISTINCT w) AS unique_tokens FROM (SELECT source, unnest(t) AS w FROM t) GROUP BY source)
+SELECT source, total_tokens, unique_tokens, round(unique_tokens / total_tokens, 6) AS type_token_ratio, round(avg_unique, 6) AS avg_unique FROM p JOIN u USING (source)""")
+def vocab_stats(spark, sf_dir):
+    return stats.vocabulary_stats(_documents(spark, sf_dir), ["source"]).withColumns({c: F.round(c, 6) for c in ("type_token_ratio", "avg_unique")})
+
+
+_CUT = r"CASE WHEN length(text) <= {n} THEN text ELSE coalesce(nullif(regexp_replace(substring(text, 1, {n}), '(?s)^(.*) [^ ]*$', '\1'), ''), substring(text, 1, {n})) || '{s}' END"
+
+
+@query(f"SELECT doc_id, {_CUT.format(n=2000, s='')} AS for_encoder, {_CUT.format(n=500, s=tx.TRUNCATED)} AS for_context FROM documents")
+def truncate_words(spark, sf_dir):
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", tx.cut_at_blank(t, 2000).alias("for_encoder"), tx.cut_at_blank(t, 500, tx.TRUNCATED).alias("for_context"))
+
+
+# --- keyword proxy ----------------------------------------------------------------------------------------------------
+
+_JACCARD = f"""q AS (SELECT item_id, len(s) AS nq, unnest(s) AS w FROM (SELECT item_id, list_distinct({tok('text')}) AS s FROM benchmark)),
+c AS (SELECT doc_id, len(s) AS nc, unnest(s) AS w FROM (SELECT doc_id, list_distinct({tok('text')}) AS s FROM documents)),
+m AS (SELECT item_id, doc_id, count(*) AS shared, count(*) / (any_value(nq) + any_value(nc) - count(*)) AS sim FROM q JOIN c USING (w) GROUP BY item_id, doc_id),
+best AS (SELECT item_id, doc_id, shared, sim FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) = 1)"""
+
+
+@query(f"WITH {_JACCARD} SELECT item_id, doc_id, shared, round(sim, 6) AS sim FROM best")
+def jaccard_topk(spark, sf_dir):
+    best = stats.jaccard_best(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+    return best.withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH {_JACCARD} SELECT count(*) AS n_queries, avg(CASE WHEN shared >= 2 THEN 1.0 ELSE 0.0 END) AS hit_rate, round(avg(CASE WHEN asked THEN coalesce(sim, 0) END), 6) AS avg_top1_sim FROM (SELECT item_id, len({tok('text')}) > 0 AS asked FROM benchmark) LEFT JOIN best USING (item_id)")
+def jaccard_hit_rate(spark, sf_dir):
+    out = stats.jaccard_hit_rate(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+    return out.withColumn("avg_top1_sim", F.round("avg_top1_sim", 6))
+
+
+# --- ranking ----------------------------------------------------------------------------------------------------------
+
+
+def _queries(spark, sf_dir):
+    """The benchmark items as queries, each with the vector of the same number."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return b.join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+
+
+def _corpus(spark, sf_dir):
+    """Documents that have a vector."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "source", "text").join(e, "pos")
+
+
+_LEX = f"""qs AS (SELECT item_id AS query_id, text AS query, embedding AS vector FROM benchmark JOIN embeddings ON item_id = vec_id),
+docs AS (SELECT doc_id AS pos, source, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
+toks AS (SELECT pos, {tok('text')} AS t FROM docs), dl AS (SELECT pos, len(t) AS dl FROM toks), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT pos, term, count(*) AS tf FROM (SELECT pos, unnest(t) AS term FROM toks) GROUP BY ALL),
+terms AS (SELECT term, count(*) AS df, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf, st GROUP BY term),
+qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({tok('query')}) AS term FROM qs) GROUP BY ALL),
+bm AS (SELECT query_id, pos, round(sum(idf * qf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 10) AS score FROM qt JOIN terms USING (term) JOIN tf USING (term) JOIN dl USING (pos), st GROUP BY ALL),
+lex AS (SELECT q.query_id, d.pos, coalesce(score, 0) AS score FROM qs q CROSS JOIN docs d LEFT JOIN bm ON bm.query_id = q.query_id AND bm.pos = d.pos)"""
+_VEC = """vec AS (SELECT query_id, pos, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(vector AS DOUBLE[])) AS score FROM docs, qs)"""
+_HYB = """nv AS (SELECT query_id, pos, score AS vector_score, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-10 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS v FROM vec WINDOW w AS (PARTITION BY query_id)),
+nb AS (SELECT query_id, pos, score AS bm25_score, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-10 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS b FROM lex WINDOW w AS (PARTITION BY query_id)),
+hyb AS (SELECT query_id, pos, vector_score, bm25_score, v, b, 0.7 * v + (1 - 0.7) * b AS hybrid_score FROM nv JOIN nb USING (query_id, pos))"""
+_ALL = f"{_LEX}, {_VEC}, {_HYB}"
+
+
+def _rank(table: str, k: int, score: str = "score", by: str = "query_id") -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {score} DESC, pos) AS rank FROM {table} QUALIFY rank <= {k}"
+
+
+@query(f"WITH {_LEX} SELECT term, df, round(idf, 6) AS idf FROM terms")
+def bm25_terms(spark, sf_dir):
+    return lexical.build_index(_corpus(spark, sf_dir)).terms.withColumn("idf", F.round("idf", 6))
+
+
+@query(f"WITH {_LEX} SELECT query_id, pos, round(score, 6) AS score FROM lex")
+def bm25_scores(spark, sf_dir):
+    return lexical.bm25_scores(lexical.build_index(_corpus(spark, sf_dir)), _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_LEX}, r AS ({_rank('lex', 5)}) SELECT query_id, CAST(rank AS INT) AS rank, pos, round(score, 6) AS score FROM r")
+def bm25_topk(spark, sf_dir):
+    out = lexical.bm25_topk(lexical.build_index(_corpus(spark, sf_dir)), _queries(spark, sf_dir))
+    return out.select("query_id", "rank", "pos", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, list_transform(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))), lambda x: round(x, 6)) AS unit FROM embeddings")
+def l2_normalise(spark, sf_dir):
+    unit = F.transform(tx.l2_normalise(F.col("embedding")), lambda x: F.round(x, 6))
+    return read(spark, sf_dir, "embeddings").select("vec_id", unit.alias("unit"))
+
+
+@query(f"WITH {_LEX}, {_VEC}, r AS ({_rank('vec', 5)}) SELECT query_id, CAST(rank AS INT) AS rank, pos, round(score, 6) AS score FROM r")
+def vector_topk(spark, sf_dir):
+    top = lexical.top_k(hybrid.vector_scores(_corpus(spark, sf_dir), _queries(spark, sf_dir)), 5)
+    return top.select("query_id", "rank", "pos", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_ALL} SELECT query_id, pos, round(b, 6) AS b FROM nb")
+def minmax_norm(spark, sf_dir):
+    scores = lexical.bm25_scores(lexical.build_index(_corpus(spark, sf_dir)), _queries(spark, sf_dir))
+    return hybrid.min_max(scores, "score", "b").select("query_id", "pos", F.round("b", 6).alias("b"))
+
+
+def _both(spark, sf_dir):
+    corpus, asked = _corpus(spark, sf_dir), _queries(spark, sf_dir)
+    return hybrid.vector_scores(corpus, asked), lexical.bm25_scores(lexical.build_index(corpus), asked)
+
+
+_ROUNDED = "round(vector_score, 6) AS vector_score, round(bm25_score, 6) AS bm25_score, round(hybrid_score, 6) AS hybrid_score"
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("vector_score", "bm25_score", "hybrid_score")})
+
+
+@query(f"WITH {_ALL}, r AS ({_rank('hyb', 5, 'hybrid_score')}) SELECT query_id, CAST(rank AS INT) AS rank, pos, {_ROUNDED} FROM r")
+def hybrid_topk(spark, sf_dir):
+    return _rounded(hybrid.hybrid_topk(*_both(spark, sf_dir))).select("query_id", "rank", "pos", "vector_score", "bm25_score", "hybrid_score")
+
+
+@query(f"WITH {_ALL}, g AS (SELECT query_id, pos, i / 10.0::DOUBLE AS alpha, (i / 10.0::DOUBLE) * v + (1 - i / 10.0::DOUBLE) * b AS hybrid_score FROM hyb, range(11) t(i)), r AS ({_rank('g', 5, 'hybrid_score', 'query_id, alpha')}) SELECT query_id, alpha, CAST(rank AS INT) AS rank, pos, round(hybrid_score, 6) AS hybrid_score FROM r")
+def alpha_sweep(spark, sf_dir):
+    return hybrid.alpha_sweep(*_both(spark, sf_dir)).select("query_id", "alpha", "rank", "pos", F.round("hybrid_score", 6).alias("hybrid_score"))
+
+
+@query(f"WITH {_ALL}, h AS (SELECT query_id, pos, hybrid_score AS score FROM hyb), " + ", ".join(f"r{i} AS ({_rank(t, 3)})" for i, t in enumerate(("lex", "vec", "h"))) + " SELECT method, query_id, CAST(rank AS INT) AS rank, pos, round(score, 6) AS score FROM (SELECT 'bm25' AS method, query_id, rank, pos, score FROM r0 UNION ALL SELECT 'vector', query_id, rank, pos, score FROM r1 UNION ALL SELECT 'hybrid', query_id, rank, pos, score FROM r2)")
+def method_compare(spark, sf_dir):
+    vec, lex = _both(spark, sf_dir)
+    hyb = hybrid.hybrid_scores(vec, lex).withColumnRenamed("hybrid_score", "score")
+    return hybrid.compare_methods({"bm25": lex, "vector": vec, "hybrid": hyb}).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_ALL}, r AS ({_rank('hyb', 3, 'hybrid_score')}), e AS (SELECT r.query_id, contains(lower(d.source), lower(x.source)) AND coalesce(nullif(hybrid_score, 0), nullif(vector_score, 0), nullif(bm25_score, 0), 0) >= 0.15 AS relevant FROM r JOIN docs d USING (pos) JOIN (SELECT doc_id AS query_id, source FROM documents) x ON x.query_id = r.query_id) SELECT query_id, avg(CAST(relevant AS DOUBLE)) AS hit_rate FROM e GROUP BY query_id")
+def relevance_hit_rate(spark, sf_dir):
+    """A result is relevant if it comes from the source of the document that has the query's number."""
+    corpus = _corpus(spark, sf_dir)
+    top = hybrid.hybrid_topk(*_both(spark, sf_dir), k=3).join(corpus.select("pos", "source"), "pos")
+    expected = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("expected"))
+    judged = top.join(expected, "query_id").withColumn("relevant", hybrid.is_relevant(F.col("source"), F.col("expected"), F.col("vector_score"), F.col("bm25_score"), F.col("hybrid_score")))
+    return evaluate.hit_rate(judged, ["query_id"])
+
+
+# --- queries ----------------------------------------------------------------------------------------------------------
+
+_CONTENT = f"list_filter({tok('text')}, lambda x: NOT list_contains({_list(tx.STOP_WORDS)}, x))"
+_SHORT = f"list_filter({tok('text')}, lambda x: NOT list_contains({_list(tx.SHORT_STOP_WORDS)}, x))"
+
+
+@query(f"SELECT item_id, coalesce(nullif(array_to_string({_CONTENT}, ' '), ''), lower(text)) AS clean, coalesce(nullif(array_to_string({_SHORT}, ' '), ''), lower(text)) AS clean_short, CAST(len({tok('text')}) - len({_CONTENT}) AS INT) AS n_removed FROM benchmark")
+def query_preprocess(spark, sf_dir):
+    t = F.col("text")
+    removed = F.size(tx.tokens(t)) - F.size(tx.content_tokens(t))
+    return read(spark, sf_dir, "benchmark").select("item_id", tx.preprocess(t).alias("clean"), tx.preprocess(t, tx.SHORT_STOP_WORDS).alias("clean_short"), removed.alias("n_removed"))
+
+
+#: Trigger words of the test texts, as two domains.
+_DOMAINS = {"src1": ["the", "that", "with", "for"], "src2": ["der", "und", "les", "que", "los"]}
+
+
+def _shared(d: str, c: str) -> str:
+    return f"len(list_intersect(list_distinct({tok(c, 3)}), {_list(_DOMAINS[d])}))"
+
+
+_INTENT = "CASE WHEN {a} > {b} THEN 'src1' WHEN {b} > {a} THEN 'src2' END"
+
+
+@query(f"SELECT item_id, {_INTENT.format(a=_shared('src1', 'text'), b=_shared('src2', 'text'))} AS intent FROM benchmark")
+def intent_classify(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", hybrid.intent(F.col("text"), _DOMAINS).alias("intent"))
+
+
+@query(f"""WITH {_ALL}, r AS ({_rank('hyb', 10, 'hybrid_score')}), x AS (SELECT r.query_id, r.pos, r.rank, d.source, hybrid_score, {_INTENT.format(a=_shared('src1', 'query'), b=_shared('src2', 'query'))} AS intent FROM r JOIN docs d USING (pos) JOIN qs ON qs.query_id = r.query_id),
+y AS (SELECT query_id, pos, rank AS base_rank, CASE WHEN intent IS NULL THEN NULL ELSE contains(lower(source), intent) END AS innovation_boost, CASE WHEN intent IS NULL THEN hybrid_score WHEN contains(lower(source), intent) THEN least(1.0, hybrid_score * 1.6) ELSE 0.0 END AS hybrid_score FROM x)
+SELECT query_id, pos, CAST(base_rank AS INT) AS base_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, base_rank) AS INT) AS rank, innovation_boost, round(hybrid_score, 6) AS hybrid_score FROM y QUALIFY rank <= 5""")
+def router_rerank(spark, sf_dir):
+    asked = _queries(spark, sf_dir).select("query_id", hybrid.intent(F.col("query"), _DOMAINS).alias("intent"))
+    top = hybrid.hybrid_topk(*_both(spark, sf_dir), k=10).join(_corpus(spark, sf_dir).select("pos", "source"), "pos").join(asked, "query_id")
+    return hybrid.route(top, 5).select("query_id", "pos", "base_rank", "rank", "innovation_boost", F.round("hybrid_score", 6).alias("hybrid_score"))
+
+
+# --- context and prompts ----------------------------------------------------------------------------------------------
+
+
+def _results(spark, sf_dir, k: int = 5):
+    return hybrid.hybrid_topk(*_both(spark, sf_dir), k=k).join(_corpus(spark, sf_dir).select("pos", "source", "text"), "pos")
+
+
+#: Headers show a score with three digits, for which engines round differently; the twins compare what is chosen.
+_RES = f"{_ALL}, r AS ({_rank('hyb', 5, 'hybrid_score')}), res AS (SELECT r.query_id, r.rank, d.source, d.text, coalesce(nullif(hybrid_score, 0), nullif(vector_score, 0), 0) AS score FROM r JOIN docs d USING (pos))"
+_HEAD = "length('[Document ' || i || ' | source: ' || source || ' | relevance: 0.000]') + 1 + length(text)"
+
+
+@query(f"WITH {_RES}, n AS (SELECT query_id, rank AS i, source, text, score FROM res) SELECT query_id, 'truncation' AS strategy, CAST(count(*) AS INT) AS chunks_used, CAST(sum({_HEAD}) + 2 * (count(*) - 1) AS INT) AS chars_before, sum({_HEAD}) + 2 * (count(*) - 1) > 3000 AS truncated, list(round(score, 6) ORDER BY i) AS scores FROM n GROUP BY query_id")
+def context_truncation(spark, sf_dir):
+    return _context(context.truncation(_results(spark, sf_dir)))
+
+
+def _context(df, *more):
+    return df.select("query_id", "strategy", "chunks_used", "chars_before", "truncated", F.transform("scores", lambda x: F.round(x, 6)).alias("scores"), *more)
+
+
+@query(f"WITH {_RES}, p AS (SELECT *, count(*) FILTER (score >= 0.8) OVER (PARTITION BY query_id) AS n_good FROM res), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS i FROM p WHERE (n_good > 0 AND score >= 0.8) OR (n_good = 0 AND rank = 1)) SELECT query_id, 'ranking' AS strategy, CAST(count(*) AS INT) AS chunks_used, CAST(sum({_HEAD}) + 2 * (count(*) - 1) AS INT) AS chars_before, sum({_HEAD}) + 2 * (count(*) - 1) > 3000 AS truncated, list(round(score, 6) ORDER BY i) AS scores, CAST(5 - count(*) AS INT) AS chunks_filtered_out FROM n GROUP BY query_id")
+def context_ranking(spark, sf_dir):
+    return _context(context.ranking(_results(spark, sf_dir), min_score=0.8), "chunks_filtered_out")
+
+
+@query()
+def context_mmr(spark, sf_dir):
+    """The fold over chosen chunks has no SQL twin; tests hold it against a plain loop."""
+    return context.mmr(_results(spark, sf_dir)).drop("context")
+
+
+@query("SELECT item_id, t.template, CAST(t.n AS INT) AS n_messages, length(t.fixed) + length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) * 2 AS n_chars FROM benchmark, (VALUES "
+       + ", ".join(f"('{t.name}', {2 if t.system else 1}, '{(t.system or '').replace(chr(39), chr(39) * 2)}{t.user.replace('{context}', '').replace('{query}', '').replace(chr(39), chr(39) * 2)}')" for t in prompt.TEMPLATES.values()) + ") t(template, n, fixed)")
+def prompt_messages(spark, sf_dir):
+    """Prompts whose context is the query itself; compared by their sizes."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("context"), F.col("text").alias("query"))
+    size = F.aggregate("messages", F.lit(0), lambda a, m: a + F.length(m["content"]))
+    return prompt.build_prompts(b).select("item_id", "template", F.size("messages").alias("n_messages"), size.cast("long").alias("n_chars"))
+
+
+# --- responses --------------------------------------------------------------------------------------------------------
+
+
+def _responses(spark, sf_dir):
+    """Assistant turns; the turn before is the context, and the ground truth of even conversations."""
+    from pyspark.sql import Window as W
+
+    prev = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    c = read(spark, sf_dir, "conversations").withColumn("before", prev).filter("role = 'assistant'")
+    return c.select("conv_id", "turn", F.col("text").alias("response"), F.col("before").alias("context"), F.when(F.col("conv_id") % 2 == 0, F.col("before")).alias("ground_truth"), (F.col("conv_id") % 3 == 0).alias("false_premise"))
+
+
+_RESP = "resp AS (SELECT * FROM (SELECT conv_id, turn, role, text AS response, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS context, conv_id % 3 = 0 AS false_premise FROM conversations) WHERE role = 'assistant'), rs AS (SELECT *, lower(response) AS low, lower(coalesce(context, '')) AS ctx, CASE WHEN conv_id % 2 = 0 THEN context END AS gt FROM resp)"
+
+
+@query(f"WITH {_RESP} SELECT conv_id, turn, CAST(len({_WORD_TOKENS.format('response', 1)}) AS INT) AS word_count, CAST(len(list_filter(string_split_regex(response, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '')) AS INT) AS sentence_count, {_any('low', evaluate.METRIC_REFUSALS)} AS has_refusal, {_any('low', evaluate.CITES['election'])} AS cites_election, {_any('low', evaluate.CITES['budget'])} AS cites_budget, regexp_matches(response, '\\d[\\d,\\.]+') AS has_numbers, {_count('low', evaluate.SPECULATION)} AS speculation_count FROM rs")
+def response_metrics(spark, sf_dir):
+    return evaluate.measure_response(_responses(spark, sf_dir)).drop("response", "context", "ground_truth", "false_premise")
+
+
+_EVAL = f"""{_RESP}, ev AS (SELECT *, {_any('low', evaluate.REFUSALS)} AS did_refuse, {_any('low', evaluate.CORRECTIONS)} AS corrected, len({_WORDS.format('response')}) AS wc, {_WORD_TOKENS.format('gt', 4)} AS keys FROM rs),
+ev2 AS (SELECT *, CASE WHEN false_premise THEN CASE WHEN corrected THEN 2 WHEN did_refuse THEN 1 ELSE 0 END WHEN gt IS NULL THEN CASE WHEN did_refuse THEN 2 WHEN wc > 20 THEN 1 ELSE 0 END
+ ELSE CASE WHEN len(list_filter(keys, lambda k: contains(low, k))) >= len(keys) * 0.6 THEN 2 WHEN len(list_filter(keys, lambda k: contains(low, k))) > 0 THEN 1 ELSE 0 END END AS accuracy_score,
+ {' + '.join(f"CAST(regexp_matches(low, '{p}') AS INT)" for p in evaluate.SIGNALS)} AS hallucination_signals,
+ list_filter(regexp_extract_all(response, '\\b\\d[\\d,\\.]+\\b'), lambda n: NOT contains(regexp_replace(ctx, '[,\\.]', '', 'g'), regexp_replace(n, '[,\\.]', '', 'g')))[1:5] AS missing FROM ev)"""
+
+
+@query(f"WITH {_EVAL} SELECT conv_id, turn, accuracy_score, CASE accuracy_score WHEN 0 THEN 'WRONG / ACCEPTS_FALSE_PREMISE' WHEN 1 THEN 'PARTIAL' ELSE 'CORRECT' END AS accuracy_label, hallucination_signals, array_to_string(missing, ' ') AS numbers_not_in_context, did_refuse, CASE WHEN false_premise THEN corrected END AS did_correct_premise, CAST(wc AS INT) AS word_count FROM ev2")
+def evaluate_response(spark, sf_dir):
+    out = evaluate.evaluate_response(_responses(spark, sf_dir)).drop("response", "context", "ground_truth", "false_premise")
+    return out.withColumn("numbers_not_in_context", F.array_join("numbers_not_in_context", " "))
+
+
+@query(f"""WITH {_RESP}, s AS (SELECT conv_id, turn, list_distinct({_WORD_TOKENS.format('response', 3)}) AS s FROM rs),
+p AS (SELECT a.conv_id, CASE WHEN len(list_distinct(a.s || b.s)) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)) END AS j FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn < b.turn),
+g AS (SELECT conv_id, avg(j) AS a, min(j) AS m FROM p GROUP BY conv_id), n AS (SELECT conv_id, count(*) AS n_runs FROM s GROUP BY conv_id)
+SELECT conv_id, n_runs, round(coalesce(a, 1), 6) AS avg_jaccard, round(coalesce(m, 1), 6) AS min_jaccard, coalesce(a, 1) >= 0.6 AS consistent FROM n LEFT JOIN g USING (conv_id)""")
+def consistency_jaccard(spark, sf_dir):
+    return evaluate.consistency(_responses(spark, sf_dir), ["conv_id"], "turn").withColumns({c: F.round(c, 6) for c in ("avg_jaccard", "min_jaccard")})
+
+
+@query(f"WITH {_EVAL} SELECT turn, avg(accuracy_score) AS avg_accuracy, avg(hallucination_signals) AS avg_hallucination, count(*) FILTER (did_refuse) || '/' || count(*) AS refusals, CASE WHEN count(*) FILTER (false_premise) > 0 THEN count(*) FILTER (false_premise AND corrected) || '/' || count(*) FILTER (false_premise) ELSE 'N/A' END AS premise_corrections FROM ev2 GROUP BY turn")
+def eval_summary(spark, sf_dir):
+    return evaluate.summary(evaluate.evaluate_response(_responses(spark, sf_dir)), ["turn"])
+
+
+@query(f"WITH {_EVAL}, m AS (SELECT avg(accuracy_score) FILTER (turn % 4 = 1) AS a1, avg(accuracy_score) FILTER (turn % 4 <> 1) AS a2, avg(hallucination_signals) FILTER (turn % 4 = 1) AS h1, avg(hallucination_signals) FILTER (turn % 4 <> 1) AS h2 FROM ev2) SELECT a1 AS accuracy_first, a2 AS accuracy_second, h1 AS hallucination_first, h2 AS hallucination_second, CASE WHEN a1 >= a2 THEN 'RAG' ELSE 'LLM' END AS accuracy_winner, CASE WHEN h1 <= h2 THEN 'RAG' ELSE 'LLM' END AS hallucination_winner FROM m")
+def eval_winners(spark, sf_dir):
+    """Every second response of a conversation stands for one system, the others for the other."""
+    ev = evaluate.evaluate_response(_responses(spark, sf_dir)).withColumn("system", F.when(F.col("turn") % 4 == 1, "RAG").otherwise("LLM"))
+    return evaluate.winners(ev)
+
+
+@query("SELECT event_type, count(*) AS n, avg(value) AS avg_value, min(value) AS min_value, max(value) AS max_value, median(value) AS median_value FROM events GROUP BY event_type")
+def run_log_latency(spark, sf_dir):
+    return runlog.latency_summary(read(spark, sf_dir, "events"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, avg(value) AS avg_value, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY ALL")
+def latency_windows(spark, sf_dir):
+    return runlog.latency_windows(read(spark, sf_dir, "events"))
+
+
+@query("SELECT 'test vectors' AS model, CAST(max(len(embedding)) AS INT) AS dim, count(*) AS corpus_size, 'exact inner product' AS index_type FROM embeddings")
+def index_config(spark, sf_dir):
+    return io.index_config(read(spark, sf_dir, "embeddings"), "test vectors")

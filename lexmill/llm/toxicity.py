@@ -3,7 +3,7 @@
 Kernel: two words are compared by the triples of letters that both hold in order, with gaps; a triple that spans d letters
 more than three weighs decay^d, up to `span` letters; the kernel is normalised. Inserted characters therefore lower a
 similarity instead of ending it. Marks inside a word are left out, letters written one by one are joined.
-Learning: from a sample of labelled documents bounded in bytes (`sample_bytes` per label, taken evenly by a hash of the text), split into
+Learning: from a sample of at most about `sample_docs` labelled documents of each label (taken evenly by a hash of the id), split into
 sentences; equal sentences count once. Words that stand in more toxic sentences than chance allows are the
 positive examples, with copies that have a character inserted; other words are the negative ones. Landmarks are chosen
 greedily among the positive examples by kernel distance, with some negative ones; words are mapped to K(word, landmarks)
@@ -179,14 +179,16 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3)
     return w[:-1], float(w[-1])
 
 
-def _sample(rows: DataFrame, sample_bytes: int) -> list:
-    """About sample_bytes of text of each label, by a hash of the text; and each label's number of documents."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    stat = {r.toxic: (r.n, r.b) for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).collect()}
-    shares = {k: min(1.0, sample_bytes / max(b, 1)) for k, (_, b) in stat.items()}
-    part = F.when(F.col("toxic") == 1, shares.get(1, 0.0)).otherwise(shares.get(0, 0.0))
-    got = rows.filter(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) < part * (1 << 20)).select("text", "toxic").distinct().collect()
-    return stat, [(r.text or "", int(r.toxic)) for r in got]
+def _sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[dict, list]:
+    """About `most` documents of each label, by a hash of their ids; and each label's number of documents.
+
+    Only the chosen ids, a bounded list, meet the documents, so no text is shuffled.
+    """
+    stat = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = F.when(F.col("toxic") == 1, min(1.0, most / max(stat.get(1, 0), 1))).otherwise(min(1.0, most / max(stat.get(0, 0), 1)))
+    chosen = labels.filter(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 20)) < part * (1 << 20))
+    got = docs.join(F.broadcast(chosen), "_id").select("text", "toxic").collect()
+    return stat, sorted({(r.text or "", int(r.toxic)) for r in got})
 
 
 def _train(good: list[str], marked: list[str], benign: list[str], neg: Counter, landmarks: int) -> Scorer:
@@ -220,12 +222,11 @@ def _train(good: list[str], marked: list[str], benign: list[str], neg: Counter,
     return Scorer({names[i]: float(fold[i]) for i in np.flatnonzero(np.abs(fold) > 1e-6)}, min(bias, -0.5), 1.0, 0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", toxic="toxic", sample_bytes=10 << 20, landmarks=224, rounds=4, seed=3) -> Scorer | float:
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", toxic="toxic", sample_docs=2500, landmarks=224, rounds=4, seed=3) -> Scorer | float:
     """A scorer from labelled documents, or the share of toxic labels where nothing can be learned. The sample goes to the driver."""
     marks = labels.filter(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(marks, "_id")
-    stat, sample = _sample(rows, sample_bytes)
-    n_pos, n_neg = stat.get(1, (0, 0))[0], stat.get(0, (0, 0))[0]
+    stat, sample = _sample(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), marks, sample_docs)
+    n_pos, n_neg = stat.get(1, 0), stat.get(0, 0)
     prior = n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.0
     if not n_pos or not n_neg:
         return prior

@@ -9,8 +9,8 @@ component with a probability equal to their weighted Jaccard similarity. Points
 time and only up to the time by which all components are filled, so most shingles cost one draw.
 
 Equal texts share a node. Nodes that agree in a band meet in a bucket; there each node is checked against the bucket's
-pivot (its least node) by the true multiset overlap, in rounds: what isn't joined to a pivot gets a new pivot, until every
-bucket is used up. A node that lies between 0.6 and 0.8 from a pivot could still be linked to what was joined
+pivot (its least node) by the true multiset overlap, in rounds: what isn't joined to a pivot meets twice as many new
+pivots, until every bucket is used up. A node that lies between 0.6 and 0.8 from a pivot could still be linked to what was joined
 to it (distances obey the triangle inequality), so such nodes are checked against those members too.
 Links are closed to classes by alternating star contractions. No step lists the pairs of a bucket, and no
 bucket is gathered in one task.
@@ -51,7 +51,7 @@ class _Words(dict):
     def __missing__(self, w):
         import xxhash
 
-        if len(self) > 1_500_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -180,7 +180,7 @@ def _sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for table in task_batches(batches, None, 4096, 8 << 20):
+        for table in task_batches(batches, None, 2048, 3 << 20):
             doc, h, nodes = shingles(table["text"].to_pylist())
             # Repeats inside a batch are sketched once.
             number, first = {}, np.zeros(len(nodes), bool)
@@ -204,7 +204,7 @@ def _shingle_sets(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for table in task_batches(batches, None, 4096, 8 << 20):
+        for table in task_batches(batches, None, 2048, 3 << 20):
             doc, h, _ = shingles(table["text"].to_pylist())
             yield from pa.table([table["node"], pa.array(multiset_as_set(doc, h, table.num_rows), pa.list_(pa.int64()))], names=["node", "set"]).to_batches()
 
@@ -242,37 +242,41 @@ def near_duplicate_rows(docs: DataFrame, *, doc_id="doc_id", text="text", thresh
     sets = materialize(_shingle_sets(docs, text, nodes.join(inside, "node").select("node", "th")), "sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """(node, pivot, sim) of distinct pairs; sim under the lower bound of what matters is left out."""
+        """(node, pivot, sim) of distinct pairs."""
         left = pairs.select("node", "pivot").distinct().join(sets, "node")
         both = left.join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("other")), "pivot")
-        inter = F.size(F.array_intersect("set", "other"))
-        sim = both.select("node", "pivot", (inter / (F.size("set") + F.size("other") - inter)).alias("sim"))
-        return sim.filter(F.col("sim") >= 2 * threshold - 1)
+        # The overlap is worked out once: a filter on it would be pushed below and do it again.
+        sim = F.transform(F.array(F.size(F.array_intersect("set", "other"))), lambda n: n / (F.size("set") + F.size("other") - n))[0]
+        return both.select("node", "pivot", sim.alias("sim"))
 
-    found, links, roots, turn = [], None, None, 0
+    links, roots, among, sims = None, None, None, None
     with_root = lambda df, c: df.join(roots.withColumnsRenamed({"node": c, "root": f"{c}_root"}), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    left = members
+    parted = lambda df: with_root(with_root(df, "node"), "pivot").filter("node_root <> pivot_root")
+    left, pivots = members, 1
     while True:
-        sims = materialize(checked(left), "sims")
-        found.append((left, sims))
-        new = sims.filter(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        got = materialize(checked(left), "sims")
+        among, sims = (left, got) if among is None else (among.union(left), sims.union(got))
+        new = got.filter(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         links = new if links is None else links.union(new)
         if roots is None or new.limit(1).count():
             roots = materialize(classes_of(links), "roots")
-        rest = with_root(with_root(left, "node"), "pivot").filter("node_root <> pivot_root").select("key", "node")
-        again = rest.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "pivot")
-        left = materialize(rest.join(again, "key").filter("node <> pivot"), "left")
-        turn += 1
+        # What is in no class of its bucket's pivots goes on, with twice as many pivots: one for each part of the bucket.
+        state = with_root(with_root(left, "node"), "pivot").groupBy("key", "node").agg(F.max(F.expr("node_root = pivot_root")).alias("met"))
+        used = left.select("key", F.col("pivot").alias("node")).distinct()  # has met all others of its bucket
+        rest = materialize(state.filter("NOT met").select("key", "node").join(used, ["key", "node"], "left_anti"), "rest")
+        pivots *= 2
+        again = rest.groupBy("key", F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("part")).agg(F.min("node").alias("pivot"))
+        left = materialize(parted(rest.join(again, "key").filter("node <> pivot")).select("key", "node", "pivot"), "left")
         if not left.limit(1).count():
             break
-    # Nodes in reach of what was joined to a pivot, but not joined themselves.
-    for among, sims in found:
-        near = with_root(with_root(sims.filter(F.col("sim") < threshold), "node"), "pivot").filter("node_root <> pivot_root").select("node", "pivot")
-        edge = among.select("key", "node", "pivot").join(near, ["node", "pivot"])
-        core = among.select("key", F.col("node").alias("member"), "pivot").join(sims.filter(F.col("sim") >= threshold).select(F.col("node").alias("member"), "pivot"), ["member", "pivot"])
-        pairs = materialize(edge.join(core.select("key", "member"), "key").select(F.col("node"), F.col("member").alias("pivot")).filter("node <> pivot").distinct(), "border")
-        new = checked(pairs).filter(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        links = links.union(materialize(new, "links"))
+    # Nodes in reach of what was joined to a pivot, but not joined themselves: |d(a, p) - d(b, p)| <= d(a, b).
+    near = parted(sims.filter((F.col("sim") < threshold) & (F.col("sim") >= 2 * threshold - 1))).select("node", "pivot", F.col("sim").alias("far"))
+    edge = among.join(near, ["node", "pivot"]).select("key", "node", "pivot", "far")
+    core = among.join(sims.filter(F.col("sim") >= threshold), ["node", "pivot"]).select("key", F.col("node").alias("member"), "pivot", "sim")
+    reach = edge.join(core, ["key", "pivot"]).filter(F.col("sim") - F.col("far") <= 1 - threshold).select("node", F.col("member").alias("pivot")).distinct()
+    border = materialize(parted(reach).select("node", "pivot"), "border")
+    new = checked(border).filter(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    links = links.union(materialize(new, "links"))
     roots = materialize(classes_of(links), "roots")
     label = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = label.groupBy("root").agg(F.min("least").alias("class_id"))

@@ -9,6 +9,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns of tokens, control characters and white space.
 NOT_WORD = r"[^\p{L}\p{N}_]+"
@@ -47,7 +48,7 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGES, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition; the JVM side has no function for it."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

@@ -57,13 +57,12 @@ def task_batches(batches, columns, rows: int = 1 << 14, size: int = 48 << 20):
     for batch in batches:
         if columns:
             batch = batch.select(columns)
+        each = max(1, batch.nbytes // max(batch.num_rows, 1))
         at = 0
         while at < batch.num_rows:
-            step = min(batch.num_rows - at, max(1, rows - n))
-            piece = batch.slice(at, step)
-            weight = piece.get_total_buffer_size() if step == batch.num_rows else max(1, int(batch.get_total_buffer_size() * step / batch.num_rows))
-            held.append(piece)
-            n, b, at = n + step, b + weight, at + step
+            step = min(batch.num_rows - at, rows - n, max(1, (size - b) // each))
+            held.append(batch.slice(at, step))
+            n, b, at = n + step, b + step * each, at + step
             if n >= rows or b >= size:
                 yield pa.Table.from_batches(held)
                 held, n, b = [], 0, 0

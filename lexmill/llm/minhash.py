@@ -51,7 +51,7 @@ class _Words(dict):
     def __missing__(self, w):
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -112,7 +112,7 @@ def _points(doc, h, lo, size, weight, limit, sig_time, sig_id, n):
     while len(active):
         # Many draws at once where many points are due, one where most elements stop at the first.
         due = float((M * size[active] * (limit[doc[active]] - times[active])).mean())
-        k = int(min(64, max(1, due)))
+        k = int(max(1, min(64, due, 250_000 // len(active))))  # bounded memory
         step = np.arange(j, j + k, dtype=np.uint64)
         a = _mix(base[active][:, None] + np.uint64(0xD1342543DE82EF95) * (step + np.uint64(1)))
         t = times[active][:, None] + np.cumsum(-np.log(_unit(a)) / (M * size[active])[:, None], axis=1)
@@ -180,7 +180,7 @@ def _sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for table in task_batches(batches, None, 2048, 3 << 20):
+        for table in task_batches(batches, None, 2048, 2 << 20):
             doc, h, nodes = shingles(table["text"].to_pylist())
             # Repeats inside a batch are sketched once.
             number, first = {}, np.zeros(len(nodes), bool)
@@ -204,7 +204,7 @@ def _shingle_sets(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for table in task_batches(batches, None, 2048, 3 << 20):
+        for table in task_batches(batches, None, 2048, 2 << 20):
             doc, h, _ = shingles(table["text"].to_pylist())
             yield from pa.table([table["node"], pa.array(multiset_as_set(doc, h, table.num_rows), pa.list_(pa.int64()))], names=["node", "set"]).to_batches()
 

@@ -52,7 +52,9 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, *, doc_id="doc_id", te
         rng.shuffle(order)
         return bucket.take(pa.array(order)).append_column("_place", pa.array(np.arange(len(order), dtype=np.int64)))
 
-    out = rows.groupBy("shard", "_bucket").applyInArrow(fisher_yates, schema)
+    # As many partitions as buckets: what a task reads doesn't grow with the input.
+    dealt = rows.repartition(buckets * shards, "shard", "_bucket")
+    out = dealt.groupBy("shard", "_bucket").applyInArrow(fisher_yates, schema)
     return out.join(before, ["shard", "_bucket"]).select(*docs.columns, "shard", "grown_shard", (F.col("_before") + F.col("_place")).alias("slot"))
 
 

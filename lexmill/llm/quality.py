@@ -123,12 +123,12 @@ def _with_cholesky(est: DataFrame, cov, keep) -> DataFrame:
 
 
 def mcd_estimates(rows: DataFrame, keys: list[str], support: float, steps: int, min_group: int) -> DataFrame:
-    """rows: keys (not null) and x0..x{d-1}. Per group its size n, the means m_i and the factor l_i_k."""
+    """rows: keys (not null), x0..x{d-1} and salt (0 to SALTS - 1). Per group its size n, the means m_i and the factor l_i_k."""
     xs = [f"x{i}" for i in range(_D)]
     mid = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(xs))).filter(F.col("n") >= min_group)
     # Rows of a group are dealt over many tasks by a salt, and its one row of estimates goes to each of them.
-    salted, spread = rows.withColumn("salt", F.pmod(F.xxhash64(*xs), F.lit(SALTS))), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    with_est = lambda e: salted.join(e.withColumn("salt", spread.cast("long")), [*keys, "salt"])
+    salted, spread = rows, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    with_est = lambda e: salted.join(e.withColumn("salt", spread), [*keys, "salt"])
     dev = with_est(mid).groupBy(*keys, "n", *(f"m{i}" for i in range(_D))).agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(xs)))
     kept = [*keys, "n", *(f"m{i}" for i in range(_D))]
     est = _with_cholesky(dev, lambda i, k: F.pow(1.4826 * F.col(f"s{i}"), 2) if i == k else F.lit(0.0), kept)
@@ -137,7 +137,7 @@ def mcd_estimates(rows: DataFrame, keys: list[str], support: float, steps: int,
         near = with_est(est).withColumn("d2", _distance([F.col(x) for x in xs], [F.col(f"m{i}") for i in range(_D)], lambda i, k: F.col(f"l{i}{k}")))
         half = near.groupBy(*keys).agg(F.percentile_approx("d2", support, 10_000).alias("h"))
         sums = (
-            near.select(*keys, "salt", *xs, "d2", "n").join(half.withColumn("salt", spread.cast("long")), [*keys, "salt"]).filter("d2 <= h").groupBy(*keys, "n")
+            near.select(*keys, "salt", *xs, "d2", "n").join(half.withColumn("salt", spread), [*keys, "salt"]).filter("d2 <= h").groupBy(*keys, "n")
             .agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)), *(F.covar_pop(xs[i], xs[k]).alias(f"v{i}{k}") for i in range(_D) for k in range(i + 1)))
         )
         # The nearest share of a normal sample spreads less than the whole; the factor of consistency mends that.
@@ -162,10 +162,11 @@ def judge_quality(docs: DataFrame, *, text="text", lang="lang", source="source",
     stats = text_stats(docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source")), "_text", "_q")
     rows = stats.select(*(f"_c{i}" for i in range(len(carry))), *(F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(F.col(c), F.lit(""))).alias(k) for c, k in (("_lang", "g_lang"), ("_source", "g_source"))), "_q.*")
     rows = materialize(rows.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))), "quality")
-    full = rows.select("*", *(F.when(~F.col("base_failed"), F.expr(e)).alias(f"x{i}") for i, (e, _) in enumerate(_VECTOR)))
-    est = mcd_estimates(full.filter(~F.col("base_failed")).select("g_lang", "g_source", *(f"x{i}" for i in range(_D))), ["g_lang", "g_source"], support, steps, min_group)
-    dealt = est.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
-    out = full.withColumn("salt", F.pmod(F.xxhash64("n_words", "word_chars", *(f"_c{i}" for i in range(len(carry)))), F.lit(SALTS))).join(dealt, ["g_lang", "g_source", "salt"], "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance([F.col(f"x{i}") for i in range(_D)], [F.col(f"m{i}") for i in range(_D)], lambda i, k: F.col(f"l{i}{k}"))))
+    salt = F.pmod(F.xxhash64("n_words", "word_chars", *(f"_c{i}" for i in range(len(carry)))), F.lit(SALTS))
+    full = rows.select("*", salt.alias("salt"), *(F.when(~F.col("base_failed"), F.expr(e)).alias(f"x{i}") for i, (e, _) in enumerate(_VECTOR)))
+    est = mcd_estimates(full.filter(~F.col("base_failed")).select("g_lang", "g_source", "salt", *(f"x{i}" for i in range(_D))), ["g_lang", "g_source"], support, steps, min_group)
+    dealt = est.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    out = full.join(dealt, ["g_lang", "g_source", "salt"], "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance([F.col(f"x{i}") for i in range(_D)], [F.col(f"m{i}") for i in range(_D)], lambda i, k: F.col(f"l{i}{k}"))))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)
     return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
 

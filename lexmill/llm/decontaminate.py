@@ -61,6 +61,7 @@ class FMIndex:
 
     def __init__(self, seq: np.ndarray):
         self.n = n = len(seq)
+        self.top = int(seq.max())
         zeros = np.flatnonzero(seq == 0)
         # Separators sort by place, so no common prefix reaches beyond one and doubling ends at the longest run.
         rank = seq.astype(np.int64) + len(zeros)
@@ -109,7 +110,7 @@ class FMIndex:
         live = np.arange(len(patterns))
         for j in range(patterns.shape[1] - 1, -1, -1):
             c = patterns[live, j].astype(np.int64)
-            inside = c + 1 < len(self.first)
+            inside = c <= self.top  # the wavelet matrix holds no bits of larger codes
             lo[live[~inside]] = hi[live[~inside]] = 0
             live, c = live[inside], c[inside]
             lo[live], hi[live] = self.first[c] + self.rank(c, lo[live]), self.first[c] + self.rank(c, hi[live])

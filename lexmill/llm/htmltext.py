@@ -236,7 +236,7 @@ def extract(pages: DataFrame, *, url="url", html="html", out="text", **options)
     """pages with the main text of each."""
     low = materialize(low_nodes(pages, url=url, html=html, **options), "styles")
     keep = pages.drop(out)
-    joined = keep.withColumn("_host", host_column(F.col(url))).join(low.withColumnRenamed("host", "_host"), "_host", "left").drop("_host")
+    joined = keep.withColumn("__lexmill_host", host_column(F.col(url))).join(low.withColumnsRenamed({"host": "__lexmill_host", "low": "__lexmill_low"}), "__lexmill_host", "left").drop("__lexmill_host")
     schema = T.StructType([*keep.schema.fields, T.StructField(out, T.StringType())])
     names = keep.columns
 
@@ -244,7 +244,7 @@ def extract(pages: DataFrame, *, url="url", html="html", out="text", **options)
         import pyarrow as pa
 
         for table in task_batches(batches, None, 4096, 24 << 20):
-            texts = [Page(h).text(frozenset(low) if low else frozenset()) for h, low in zip(table[html].to_pylist(), table["low"].to_pylist())]
+            texts = [Page(h).text(frozenset(low) if low else frozenset()) for h, low in zip(table[html].to_pylist(), table["__lexmill_low"].to_pylist())]
             yield from table.select(names).append_column(out, pa.array(texts, pa.string())).to_batches()
 
-    return joined.select(*names, "low").mapInArrow(run, schema)
+    return joined.select(*names, "__lexmill_low").mapInArrow(run, schema)

@@ -247,6 +247,6 @@ def filter_languages(docs: DataFrame, *, text="text", lang="lang", min_score=0.1
     model = model or learn(docs, text=text, lang=lang)
     if model is None:
         return docs
-    named = docs.withColumnsRenamed({"lang_pred": "_l", "score": "_s"})
+    named = docs.withColumnsRenamed({"lang_pred": "__lexmill_l", "score": "__lexmill_s"})
     out = identify(named, model, text=text).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return out.drop("lang_pred", "score").withColumnsRenamed({"_l": "lang_pred", "_s": "score"})
+    return out.drop("lang_pred", "score").withColumnsRenamed({"__lexmill_l": "lang_pred", "__lexmill_s": "score"})

@@ -297,7 +297,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     kept = rows.filter(F.col("doc").eqNullSafe(F.col("class_id")))
     kept = kept.groupBy("class_id", F.coalesce("node", "th").alias("node")).agg(F.min("th").alias("th"), F.count(F.lit(1)).alias("n"))
     kept = materialize(kept, "kept")
-    out = docs.withColumn("_th", F.xxhash64(text)).join(kept.select(F.col("class_id").alias("_id"), F.col("th").alias("_h")), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
+    out = docs.withColumn("__lexmill_th", F.xxhash64(text)).join(kept.select(F.col("class_id").alias("__lexmill_id"), F.col("th").alias("__lexmill_h")), F.col(doc_id).eqNullSafe(F.col("__lexmill_id")) & (F.col("__lexmill_th") == F.col("__lexmill_h")), "left_semi")
     if kept.filter("n > 1").limit(1).count():  # repeated rows: one of each stays
-        out = out.dropDuplicates([doc_id, "_th"])
-    return out.drop("_th")
+        out = out.dropDuplicates([doc_id, "__lexmill_th"])
+    return out.drop("__lexmill_th")

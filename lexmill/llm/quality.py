@@ -173,6 +173,6 @@ def judge_quality(docs: DataFrame, *, text="text", lang="lang", source="source",
 
 def filter_quality(docs: DataFrame, row_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns. row_id identifies a row; rows that share it share a verdict if their texts do."""
-    keyed = docs.withColumn("_crc", F.xxhash64(F.coalesce(F.col(options.get("text", "text")), F.lit("\0"))))
-    verdicts = judge_quality(keyed, carry=(row_id, "_crc"), **options).filter("kept").select(F.col(row_id).alias("_id"), F.col("_crc").alias("_h")).distinct()
-    return keyed.join(verdicts, (keyed[row_id].eqNullSafe(verdicts["_id"])) & (keyed["_crc"] == verdicts["_h"]), "left_semi").drop("_crc")
+    keyed = docs.withColumn("__lexmill_crc", F.xxhash64(F.coalesce(F.col(options.get("text", "text")), F.lit("\0"))))
+    verdicts = judge_quality(keyed, carry=(row_id, "__lexmill_crc"), **options).filter("kept").select(F.col(row_id).alias("__lexmill_id"), F.col("__lexmill_crc").alias("__lexmill_h")).distinct()
+    return keyed.join(verdicts, (keyed[row_id].eqNullSafe(verdicts["__lexmill_id"])) & (keyed["__lexmill_crc"] == verdicts["__lexmill_h"]), "left_semi").drop("__lexmill_crc")

@@ -28,17 +28,17 @@ def shard_of(doc_id, shards: int, seed: int):
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 8, *, doc_id="doc_id", text="text", seed=17, bucket_bytes=48 << 20) -> DataFrame:
     """docs with shard (int), grown_shard (int; with one shard more) and slot (long, gapless in its shard)."""
-    docs = docs.drop("shard", "grown_shard", "slot", "_bucket")
+    docs = docs.drop("shard", "grown_shard", "slot", "__lexmill_bucket")
     key, size = F.col(doc_id), F.coalesce(F.octet_length(text), F.lit(0)) + 1
     total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
     buckets = max(1, -(-total // (bucket_bytes * shards)))
     rows = docs.withColumns({
         "shard": shard_of(key, shards, seed), "grown_shard": shard_of(key, shards + 1, seed),
-        "_bucket": F.pmod(F.xxhash64(F.lit(seed + 1), key, F.xxhash64(text)), F.lit(buckets)).cast("int"),
+        "__lexmill_bucket": F.pmod(F.xxhash64(F.lit(seed + 1), key, F.xxhash64(text)), F.lit(buckets)).cast("int"),
     })
-    counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")).drop("_n")
-    schema = T.StructType([*rows.schema.fields, T.StructField("_place", T.LongType())])
+    counts = rows.groupBy("shard", "__lexmill_bucket").agg(F.count(F.lit(1)).alias("__lexmill_n"))
+    before = counts.withColumn("__lexmill_before", F.coalesce(F.sum("__lexmill_n").over(W.partitionBy("shard").orderBy("__lexmill_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")).drop("__lexmill_n")
+    schema = T.StructType([*rows.schema.fields, T.StructField("__lexmill_place", T.LongType())])
     by = [doc_id, *(c for c, t in docs.dtypes if t in ("string", "bigint", "int", "double", "date", "timestamp") and c != doc_id)]
 
     def fisher_yates(bucket):
@@ -48,14 +48,14 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, *, doc_id="doc_id", te
 
         first = bucket.slice(0, 1).to_pydict()
         order = np.array(pc.sort_indices(bucket, sort_keys=[(c, "ascending") for c in by]))
-        rng = np.random.Generator(np.random.PCG64([seed, first["shard"][0], first["_bucket"][0]]))
+        rng = np.random.Generator(np.random.PCG64([seed, first["shard"][0], first["__lexmill_bucket"][0]]))
         rng.shuffle(order)
-        return bucket.take(pa.array(order)).append_column("_place", pa.array(np.arange(len(order), dtype=np.int64)))
+        return bucket.take(pa.array(order)).append_column("__lexmill_place", pa.array(np.arange(len(order), dtype=np.int64)))
 
     # As many partitions as buckets: what a task reads doesn't grow with the input.
-    dealt = rows.repartition(buckets * shards, "shard", "_bucket")
-    out = dealt.groupBy("shard", "_bucket").applyInArrow(fisher_yates, schema)
-    return out.join(before, ["shard", "_bucket"]).select(*docs.columns, "shard", "grown_shard", (F.col("_before") + F.col("_place")).alias("slot"))
+    dealt = rows.repartition(buckets * shards, "shard", "__lexmill_bucket")
+    out = dealt.groupBy("shard", "__lexmill_bucket").applyInArrow(fisher_yates, schema)
+    return out.join(before, ["shard", "__lexmill_bucket"]).select(*docs.columns, "shard", "grown_shard", (F.col("__lexmill_before") + F.col("__lexmill_place")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, **options) -> None:

@@ -8,12 +8,11 @@ exactly where two counts differ. The earliest point of each component is its sig
 component with a probability equal to their weighted Jaccard similarity. Points are made in order of
 time and only up to the time by which all components are filled, so most shingles cost one draw.
 
-Equal texts share a node. Nodes that agree in a band meet in a bucket; there each node is checked against the bucket's
-pivot (its least node) by the true multiset overlap, in rounds: what isn't joined to a pivot meets twice as many new
-pivots, until every bucket is used up. A node that lies between 0.6 and 0.8 from a pivot could still be linked to what was joined
-to it (distances obey the triangle inequality), so such nodes are checked against those members too.
-Links are closed to classes by alternating star contractions. No step lists the pairs of a bucket, and no
-bucket is gathered in one task.
+Equal texts share a node. Nodes that agree in a band meet in a bucket. First each node is checked against the bucket's pivot (its
+least node) by the true multiset overlap, and the links found are closed to classes by alternating star contractions. In most
+buckets all nodes are then of one class. In the others the nodes outside the pivot's class are compared with all nodes of
+other classes, in parts of bounded size (_bucket_links), and the classes are closed again. No row is made for a pair that isn't a link,
+and no bucket is gathered in one task.
 
 Defined cases: rows with a null or wordless text are classes of their own. Equal rows and equal texts share a class.
 The class id is the least doc_id in the class. An empty table gives no row. Extra columns are left out, and
@@ -231,6 +230,62 @@ def classes_of(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def link_group(nodes: np.ndarray, roots: np.ndarray, main: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that join the classes of a group, at most one fewer than nodes. Only pairs of different classes are compared, unless both are of the
+    bucket's main class; a pair whose sizes rule the threshold out is not compared."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    every, at = np.unique(np.concatenate(sets), return_inverse=True)
+    bits = np.zeros((len(sets), -(-len(every) // 64)), np.uint64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    np.bitwise_or.at(bits, (row, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+    _, label = np.unique(roots, return_inverse=True)
+    out = []
+    for i in np.flatnonzero(~main):
+        other = np.flatnonzero((label != label[i]) & (np.minimum(sizes, sizes[i]) >= threshold * np.maximum(sizes, sizes[i])))
+        for lo in range(0, len(other), 256):
+            part = other[lo : lo + 256]
+            inter = np.bitwise_count(bits[part] & bits[i]).sum(axis=1)
+            for j in part[inter >= threshold * (sizes[part] + sizes[i] - inter)]:
+                if label[j] != label[i]:
+                    out.append((int(nodes[i]), int(nodes[j])))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def _bucket_links(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, weight: int = 400_000) -> DataFrame:
+    """Links (a, b) between different classes inside buckets that the stars left open.
+
+    A bucket's nodes are those of its pivot's class (main) and others. Others are compared with all nodes. A bucket of more than
+    `weight` shingles is cut into parts: each part of the others meets each part of the main nodes and each part of the
+    others in a task of its own, so no task holds more than two parts, and a bucket in which almost all is joined costs little
+    more than its own rows.
+    """
+    of = lambda df, c: df.join(roots.withColumnsRenamed({"node": c, "root": f"{c}_root"}), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    nodes = members.select("key", "node", "pivot").union(members.select("key", F.col("pivot").alias("node"), "pivot").distinct())
+    nodes = of(of(nodes, "node"), "pivot").join(sets.select("node", F.size("set").cast("long").alias("size")), "node")
+    main = F.col("node_root") == F.col("pivot_root")
+    count = lambda c: F.greatest(F.lit(1), F.ceil(c / weight)).cast("int")
+    open_ = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~main).alias("n_other"), F.sum(F.when(~main, F.col("size")).otherwise(0)).alias("w_other"), F.sum(F.when(main, F.col("size")).otherwise(0)).alias("w_main"))
+    # A bucket of two has been checked by its star.
+    open_ = open_.filter("n > 2 AND n_other > 0").select("key", count(F.col("w_other")).alias("p_other"), count(F.col("w_main")).alias("p_main"), (F.col("w_other") + F.col("w_main") <= weight).alias("small"))
+    rows = nodes.join(open_, "key").select("key", "node", F.col("node_root").alias("root"), main.alias("main"), "p_other", "p_main", "small")
+    part = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n)).cast("int")
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    with_main = F.transform(span("p_main"), lambda j: F.struct(part("p_other").alias("i"), j.alias("j")))
+    with_other = F.transform(span("p_other"), lambda i: F.struct(F.least(i, part("p_other")).alias("i"), (-1 - F.greatest(i, part("p_other"))).alias("j")))
+    places = F.when(F.col("small"), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).when(F.col("main"), F.transform(span("p_other"), lambda i: F.struct(i.alias("i"), part("p_main").alias("j")))).otherwise(F.concat(with_main, with_other))
+    dealt = rows.select("key", "node", "root", "main", F.explode(places).alias("at")).select("key", "at.i", "at.j", "node", "root", "main").join(sets, "node")
+
+    def link(group):
+        import pyarrow as pa
+
+        sets_ = [np.asarray(x) for x in group["set"].to_numpy()] if group.num_rows else []
+        found = link_group(group["node"].to_numpy(), group["root"].to_numpy(), np.array(group["main"].to_pylist(), bool), sets_, threshold)
+        return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(link, "a long, b long")
+
+
 def near_duplicate_rows(docs: DataFrame, *, doc_id="doc_id", text="text", threshold=0.8) -> DataFrame:
     """doc, th, node and class_id of every row."""
     rows = materialize(_sketch(docs, doc_id, text), "sketch")
@@ -249,34 +304,9 @@ def near_duplicate_rows(docs: DataFrame, *, doc_id="doc_id", text="text", thresh
         sim = F.transform(F.array(F.size(F.array_intersect("set", "other"))), lambda n: n / (F.size("set") + F.size("other") - n))[0]
         return both.select("node", "pivot", sim.alias("sim"))
 
-    links, roots, among, sims = None, None, None, None
-    with_root = lambda df, c: df.join(roots.withColumnsRenamed({"node": c, "root": f"{c}_root"}), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    parted = lambda df: with_root(with_root(df, "node"), "pivot").filter("node_root <> pivot_root")
-    left, pivots = members, 1
-    while True:
-        got = materialize(checked(left), "sims")
-        among, sims = (left, got) if among is None else (among.union(left), sims.union(got))
-        new = got.filter(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        links = new if links is None else links.union(new)
-        if roots is None or new.limit(1).count():
-            roots = materialize(classes_of(links), "roots")
-        # What is in no class of its bucket's pivots goes on, with twice as many pivots: one for each part of the bucket.
-        state = with_root(with_root(left, "node"), "pivot").groupBy("key", "node").agg(F.max(F.expr("node_root = pivot_root")).alias("met"))
-        used = left.select("key", F.col("pivot").alias("node")).distinct()  # has met all others of its bucket
-        rest = materialize(state.filter("NOT met").select("key", "node").join(used, ["key", "node"], "left_anti"), "rest")
-        pivots *= 2
-        again = rest.groupBy("key", F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("part")).agg(F.min("node").alias("pivot"))
-        left = materialize(parted(rest.join(again, "key").filter("node <> pivot")).select("key", "node", "pivot"), "left")
-        if not left.limit(1).count():
-            break
-    # Nodes in reach of what was joined to a pivot, but not joined themselves: |d(a, p) - d(b, p)| <= d(a, b).
-    near = parted(sims.filter((F.col("sim") < threshold) & (F.col("sim") >= 2 * threshold - 1))).select("node", "pivot", F.col("sim").alias("far"))
-    edge = among.join(near, ["node", "pivot"]).select("key", "node", "pivot", "far")
-    core = among.join(sims.filter(F.col("sim") >= threshold), ["node", "pivot"]).select("key", F.col("node").alias("member"), "pivot", "sim")
-    reach = edge.join(core, ["key", "pivot"]).filter(F.col("sim") - F.col("far") <= 1 - threshold).select("node", F.col("member").alias("pivot")).distinct()
-    border = materialize(parted(reach).select("node", "pivot"), "border")
-    new = checked(border).filter(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    links = links.union(materialize(new, "links"))
+    stars = materialize(checked(members).filter(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("pivot").alias("b")), "stars")
+    roots = materialize(classes_of(stars), "roots")
+    links = stars.union(materialize(_bucket_links(members, roots, sets, threshold), "links"))
     roots = materialize(classes_of(links), "roots")
     label = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = label.groupBy("root").agg(F.min("least").alias("class_id"))

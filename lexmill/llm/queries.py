@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, htmltext, langid, langmodel, minhash, packing, quality, sharding, tokencount, toxicity
 from .common import read
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def _remainder(column: str, by: int):
@@ -42,7 +43,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langmodel.score_corpus(read(spark, sf_dir, "documents"), held_out=_remainder("doc_id", 7) == 2)
+    out = langmodel.score_corpus(read(spark, sf_dir, "documents"), held_out=_remainder("doc_id", 7) == 2)
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})  # terms are added in no fixed order
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,26 +66,3 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
-
-
-#: Only decontamination is expressible; the others are held against brute force, round trips or held-out rows in tests/llm.
-ORACLE_SQL = {
-    "op10_decontamination": r"""
-WITH dw AS (
-  SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), lambda x: x <> '') AS ws FROM documents),
-bw AS (
-  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), lambda x: x <> '') AS ws FROM benchmark),
-win AS (
-  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS w
-  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM bw WHERE len(ws) > 0)),
-lens AS (SELECT DISTINCT n FROM win),
-place AS (
-  SELECT rid, n, i, array_to_string(ws[i : i + n - 1], ' ') AS w
-  FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM dw, lens WHERE len(ws) >= n)),
-hit AS (SELECT p.rid, p.i, p.n, win.item_id FROM place p JOIN win ON p.n = win.n AND p.w = win.w),
-cover AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT rid, i, n FROM hit)) GROUP BY rid),
-its AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY rid)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN cover USING (rid) LEFT JOIN its USING (rid)""",
-}

@@ -43,3 +43,40 @@ class AnswerPipeline:
         """Run records for sources.io.append_runs."""
         ms = (time.time() - started) * 1000
         return answered.select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("timestamp"), "query", "response", F.lit(ms).alias("total_ms"), F.array(F.struct(F.lit(6).alias("stage"), F.lit("log").alias("name"), F.lit(ms).alias("elapsed_ms"))).alias("stages"))
+
+
+def compare_templates(contexts: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Every query (query_id, query, context) under every template."""
+    return prompt.build_prompts(contexts, names)
+
+
+def compare_strategies(results: DataFrame, strategies: list[str] | None = None, **options) -> DataFrame:
+    """query_id, strategy, context, chunks_used, chars_after of every query under every context strategy."""
+    out = None
+    for s in strategies or list(ctx.STRATEGIES):
+        part = ctx.build_context(results, s, **options).select("query_id", "strategy", "context", "chunks_used", "chars_after")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def repeat_runs(asked: DataFrame, runs: int = 3) -> DataFrame:
+    """Each row once for each run, numbered from 1."""
+    return asked.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+
+
+def evaluate_systems(suite: DataFrame, answer: Callable[[DataFrame], DataFrame], plain: Callable[[DataFrame], DataFrame], runs: int = 3) -> DataFrame:
+    """Evaluations of both systems over a suite (query_id, query, ground_truth, false_premise).
+
+    answer gives a query's response and context; plain gives a response without one.
+    """
+    from . import evaluate
+
+    asked = repeat_runs(suite, runs)
+    rag = answer(asked).withColumn("system", F.lit("RAG"))
+    llm = plain(asked).withColumn("context", F.lit("")).withColumn("system", F.lit("LLM"))
+    return evaluate.evaluate_response(rag.unionByName(llm, allowMissingColumns=True))
+
+
+def feedback_counts(feedback: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Yes and no per group of (…, helpful boolean) rows."""
+    return feedback.groupBy(*(by or [])).agg(F.count_if("helpful").alias("n_yes"), F.count_if(~F.col("helpful")).alias("n_no"))

@@ -61,3 +61,22 @@ def write_index(df: DataFrame, path: str) -> None:
 
 def index_config(df: DataFrame, model: str, embedding: str = "embedding", index_type: str = "exact inner product") -> DataFrame:
     return df.agg(F.lit(model).alias("model"), F.max(F.size(embedding)).alias("dim"), F.count(F.lit(1)).alias("corpus_size"), F.lit(index_type).alias("index_type"))
+
+
+def fetch(url: str, dest: str, timeout: int = 120) -> bool:
+    """Downloads a file in small blocks unless it is there; true if it did. An unfinished download leaves nothing behind."""
+    import os
+    import urllib.request
+
+    if os.path.exists(dest):
+        return False
+    part = dest + ".part"
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as source, open(part, "wb") as out:
+            while block := source.read(8192):
+                out.write(block)
+        os.replace(part, dest)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+    return True

@@ -268,3 +268,23 @@ def test_stream(spark, tmp_path):
     run = latency_windows(stream).writeStream.format("memory").queryName("lat").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert spark.table("lat").first().avg_value == 2.0
+
+
+def test_experiments(spark, tmp_path):
+    got = pipeline.compare_strategies(demo(spark), min_score=0.4).collect()
+    assert {(r.strategy, r.chunks_used) for r in got} == {("truncation", 5), ("ranking", 4), ("mmr", 3)} or len(got) == 3
+    suite = spark.createDataFrame([(1, "q", "four words here now", False), (2, "p", None, True)], "query_id long, query string, ground_truth string, false_premise boolean")
+    answer = lambda df: df.withColumn("response", F.lit("four words here now")).withColumn("context", F.lit("c"))
+    plain = lambda df: df.withColumn("response", F.lit("Actually 12,345 is around."))
+    ev = pipeline.evaluate_systems(suite, answer, plain)
+    assert ev.count() == 12
+    best = evaluate.winners(ev).first()
+    assert best.accuracy_first == 1.0 and best.accuracy_second == 1.0 and best.accuracy_winner == "RAG" and best.hallucination_winner == "RAG"
+    summary = {(r.query_id, r.system): r for r in evaluate.summary(ev, ["query_id", "system"]).collect()}
+    assert summary[2, "LLM"].premise_corrections == "3/3" and summary[1, "LLM"].premise_corrections == "N/A" and summary[1, "RAG"].refusals == "0/3"
+    fb = spark.createDataFrame([(True,), (False,), (True,)], "helpful boolean")
+    assert tuple(pipeline.feedback_counts(fb).first()) == (2, 1)
+    src = tmp_path / "a.txt"
+    src.write_text("x" * 20000)
+    dest = str(tmp_path / "b.txt")
+    assert io.fetch(src.as_uri(), dest) and not io.fetch(src.as_uri(), dest) and open(dest).read() == "x" * 20000

@@ -1,4 +1,4 @@
-"""What the training-data operators share: the shared folder, word bytes, text columns."""
+"""What the training-data operators share: tables, the shared folder, batches."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: ASCII white space that separates words in the contracts: blank and \t \n \v \f \r.
-SPACE = r"[\x20\x09-\x0D]+"
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -44,11 +41,6 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def input_parts(docs: DataFrame) -> int:
-    """Partitions in which Spark would read docs; follows its size, runs no job."""
-    return docs.rdd.getNumPartitions()
-
-
 def task_batches(batches, columns, rows: int = 1 << 14, size: int = 48 << 20):
     """Joins a task's Arrow batches into tables of at most so many rows or bytes (a single longer row stands alone)."""
     import pyarrow as pa

@@ -122,7 +122,7 @@ def _cut(n: int, window: int, piece: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, doc_id="doc_id", text="text", window=2048, piece=256, group=512, end_id=END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, doc_id="doc_id", text="text", window=2048, piece=192, group=512, end_id=END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 

@@ -29,7 +29,7 @@ from .packing import byte_letters
 
 #: Python's str.split() also splits at these four; the tokenizer's white space doesn't hold them.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-_SPACES = r"[\t-\r \x85\xa0  -     　]+"
+_SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 class Transducer:

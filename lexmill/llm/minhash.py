@@ -252,7 +252,7 @@ def link_group(nodes: np.ndarray, roots: np.ndarray, main: np.ndarray, sets: lis
     return out
 
 
-def _bucket_links(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, weight: int = 400_000) -> DataFrame:
+def _bucket_links(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, weight: int = 120_000) -> DataFrame:
     """Links (a, b) between different classes inside buckets that the stars left open.
 
     A bucket's nodes are those of its pivot's class (main) and others. Others are compared with all nodes. A bucket of more than

@@ -35,7 +35,7 @@ class _Hashes(dict):
     def __missing__(self, w):
         import xxhash
 
-        if len(self) > 1_500_000:
+        if len(self) > 400_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -86,7 +86,7 @@ def _texts(table, text):
     return table[text].to_pylist()
 
 
-def score_corpus(docs: DataFrame, *, doc_id="doc_id", text="text", held_out=None, block_bytes=24 << 20, mu=50.0) -> DataFrame:
+def score_corpus(docs: DataFrame, *, doc_id="doc_id", text="text", held_out=None, block_bytes=16 << 20, mu=50.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column of docs' own
     columns; its rows teach nothing."""
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), (F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held"))

@@ -35,7 +35,7 @@ _SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 class Transducer:
     """Counts the BPE tokens of a word (bytes)."""
 
-    MAX_ARCS = 4_000_000
+    MOST = 800_000  # arcs, closing arcs or checked pairs that are kept
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
         letters = {c: b for b, c in byte_letters().items()}
@@ -126,7 +126,7 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self._good) > 4_000_000:
+            if len(self._good) > self.MOST:
                 self._good.clear()
             self._good[a, b] = good
         return good
@@ -157,7 +157,7 @@ class Transducer:
     def count(self, word: bytes) -> int:
         if not word:
             return 0
-        if len(self.arcs) > self.MAX_ARCS:
+        if len(self.arcs) > self.MOST or len(self.closes) > self.MOST:
             self._clear()
         state, total, arcs = self.start << 8, 0, self.arcs
         for b in word[:-1]:
@@ -172,7 +172,7 @@ class Transducer:
 class Counter(dict):
     """piece of text without white space -> its number of tokens."""
 
-    MAX_PIECES = 2_000_000
+    MAX_PIECES = 600_000
 
     def __init__(self, path: str):
         import regex

@@ -297,7 +297,7 @@ def score_texts(docs: DataFrame, scorer: Scorer | float, *, text="text", out="sc
 
         s, known = sent.value, {}
         for table in task_batches(batches, None, 4096, 16 << 20):
-            if len(known) > 1_500_000:
+            if len(known) > 600_000:
                 known.clear()
             yield from table.append_column(out, pa.array(s.probability(s.texts(table[text].to_pylist(), known)), pa.float64())).to_batches()
 

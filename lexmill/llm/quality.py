@@ -8,11 +8,14 @@ share `support` of rows that lie nearest and take their means and covariances ag
 one partial aggregate, so a source with a third of all rows is summed where its rows lie.
 A row is rejected if its squared Mahalanobis distance to its group's estimate exceeds `cutoff`
 (32: a chance of 2e-6 under the chi-square law with 4 degrees of freedom).
+A group with fewer than `min_group` rows that pass the base rule takes the scatter of the next wider
+one: its language over all sources, then all rows, which have an estimate at any size. Its location
+is the medians of its own rows and of `prior` rows at the wider location: single rows are
+judged by the wider group, and a few rows that agree (a rare language of long words) by their own place.
 
 Defined cases: a null or empty text has no words and fails the base rule (n_words < 50). Null lang
-or source form groups of their own. Groups with fewer than `min_group` rows that pass the base rule
-have no estimate; they are judged by the base rule alone. Repeated rows are kept and counted as
-rows. An empty table gives an empty result. filter_quality() keeps all columns of its input as they are.
+or source form groups of their own. Every row that passes the base rule has a distance2; for others it
+is null. Repeated rows are kept and counted as rows. An empty table gives an empty result. filter_quality() keeps all columns of its input as they are.
 """
 
 from __future__ import annotations
@@ -95,6 +98,8 @@ _VECTOR = (
 )
 _D = len(_VECTOR)
 SALTS = 32  # parts of a group in joins
+_KEYS = ["g_lang", "g_source"]
+WIDE = "*"  # stands for all languages or sources; names of real ones begin with + or -
 
 
 def _distance(x, mean, chol):
@@ -122,13 +127,17 @@ def _with_cholesky(est: DataFrame, cov, keep) -> DataFrame:
     return est.select(*keep, *(f"l{i}{k}" for i in range(_D) for k in range(i + 1)))
 
 
+def _salted(est: DataFrame) -> DataFrame:
+    """Rows of a group are dealt over many tasks by a salt, and its one row of estimates goes to each of them."""
+    return est.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def mcd_estimates(rows: DataFrame, keys: list[str], support: float, steps: int, min_group: int) -> DataFrame:
-    """rows: keys (not null), x0..x{d-1} and salt (0 to SALTS - 1). Per group its size n, the means m_i and the factor l_i_k."""
+    """rows: keys (not null), x0..x{d-1} and salt (0 to SALTS - 1). Per group of min_group rows or more, and for all rows
+    (WIDE), its size n, the means m_i and the factor l_i_k."""
     xs = [f"x{i}" for i in range(_D)]
-    mid = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(xs))).filter(F.col("n") >= min_group)
-    # Rows of a group are dealt over many tasks by a salt, and its one row of estimates goes to each of them.
-    salted, spread = rows, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    with_est = lambda e: salted.join(e.withColumn("salt", spread), [*keys, "salt"])
+    mid = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(xs))).filter((F.col("n") >= min_group) | (F.col(keys[0]) == WIDE))
+    with_est = lambda e: rows.join(_salted(e), [*keys, "salt"])
     dev = with_est(mid).groupBy(*keys, "n", *(f"m{i}" for i in range(_D))).agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(xs)))
     kept = [*keys, "n", *(f"m{i}" for i in range(_D))]
     est = _with_cholesky(dev, lambda i, k: F.pow(1.4826 * F.col(f"s{i}"), 2) if i == k else F.lit(0.0), kept)
@@ -137,7 +146,7 @@ def mcd_estimates(rows: DataFrame, keys: list[str], support: float, steps: int,
         near = with_est(est).withColumn("d2", _distance([F.col(x) for x in xs], [F.col(f"m{i}") for i in range(_D)], lambda i, k: F.col(f"l{i}{k}")))
         half = near.groupBy(*keys).agg(F.percentile_approx("d2", support, 10_000).alias("h"))
         sums = (
-            near.select(*keys, "salt", *xs, "d2", "n").join(half.withColumn("salt", spread), [*keys, "salt"]).filter("d2 <= h").groupBy(*keys, "n")
+            near.select(*keys, "salt", *xs, "d2", "n").join(_salted(half), [*keys, "salt"]).filter("d2 <= h").groupBy(*keys, "n")
             .agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)), *(F.covar_pop(xs[i], xs[k]).alias(f"v{i}{k}") for i in range(_D) for k in range(i + 1)))
         )
         # The nearest share of a normal sample spreads less than the whole; the factor of consistency mends that.
@@ -145,6 +154,30 @@ def mcd_estimates(rows: DataFrame, keys: list[str], support: float, steps: int,
     return materialize(est, "mcd")
 
 
+def group_estimates(rows: DataFrame, support: float, steps: int, min_group: int, prior: int) -> tuple[DataFrame, DataFrame]:
+    """(estimates of groups with min_group rows or more, those of smaller groups): each (g_lang, g_source) of rows is in one of them."""
+    xs, ms = [f"x{i}" for i in range(_D)], [f"m{i}" for i in range(_D)]
+    ls = [f"l{i}{k}" for i in range(_D) for k in range(i + 1)]
+    level = lambda lang, source: F.struct(lang.alias("g_lang"), source.alias("g_source"))
+    levels = F.array(level(F.col("g_lang"), F.col("g_source")), level(F.col("g_lang"), F.lit(WIDE)), level(F.lit(WIDE), F.lit(WIDE)))
+    rows = rows.select(F.explode(levels).alias("g"), "salt", *xs).select("g.*", "salt", *xs)
+    large = mcd_estimates(rows, _KEYS, support, steps, min_group).select(*_KEYS, *ms, *ls)
+    rest = materialize(rows.join(_salted(large.select(*_KEYS)), [*_KEYS, "salt"], "left_anti").select(*_KEYS, *xs), "mcd")
+
+    def small(own: DataFrame, wider: DataFrame) -> DataFrame:
+        """own: rows of small groups. wider: g_lang, m_i and l_i_k. A language may have many small groups, so these are dealt by a salt, too."""
+        groups = own.select(*_KEYS).distinct().withColumn("salt", F.pmod(F.xxhash64("g_source"), F.lit(SALTS)))
+        groups = materialize(groups.join(_salted(wider), ["g_lang", "salt"]).select(*_KEYS, *ms, *ls), "mcd")
+        at_wider = groups.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(prior)))).select(*_KEYS, *(F.col(m).alias(x) for m, x in zip(ms, xs)))
+        mid = own.unionByName(at_wider).groupBy(*_KEYS).agg(*(F.percentile_approx(x, 0.5, 10_000).alias(m) for x, m in zip(xs, ms)))
+        return materialize(groups.select(*_KEYS, *ls).join(mid, _KEYS).select(*_KEYS, *ms, *ls), "mcd")
+
+    langs = rest.filter(F.col("g_source") == WIDE)
+    every = large.filter(F.col("g_lang") == WIDE).select(*ms, *ls)
+    by_lang = large.filter((F.col("g_source") == WIDE) & (F.col("g_lang") != WIDE)).unionByName(small(langs, langs.select("g_lang").distinct().crossJoin(every)))
+    return large.filter(F.col("g_source") != WIDE), small(rest.filter(F.col("g_source") != WIDE), by_lang.select("g_lang", *ms, *ls))
+
+
 def _consistency(support: float) -> float:
     """support / P(chi2 with d+2 degrees <= the support quantile of chi2 with d degrees), for even d."""
     import math
@@ -157,16 +190,18 @@ def _consistency(support: float) -> float:
     return support / cdf(lo, _D + 2)
 
 
-def judge_quality(docs: DataFrame, *, text="text", lang="lang", source="source", support=0.75, steps=3, cutoff=32.0, min_group=40, carry=("doc_id",)) -> DataFrame:
-    """One row per row of docs: the carried columns, the base statistics, base_failed, distance2 (null: no estimate) and kept."""
+def judge_quality(docs: DataFrame, *, text="text", lang="lang", source="source", support=0.75, steps=3, cutoff=32.0, min_group=40, prior=5, carry=("doc_id",)) -> DataFrame:
+    """One row per row of docs: the carried columns, the base statistics, base_failed, distance2 (null: fails the base rule) and kept."""
     stats = text_stats(docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source")), "_text", "_q")
     rows = stats.select(*(f"_c{i}" for i in range(len(carry))), *(F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(F.col(c), F.lit(""))).alias(k) for c, k in (("_lang", "g_lang"), ("_source", "g_source"))), "_q.*")
     rows = materialize(rows.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))), "quality")
     salt = F.pmod(F.xxhash64("n_words", "word_chars", *(f"_c{i}" for i in range(len(carry)))), F.lit(SALTS))
     full = rows.select("*", salt.alias("salt"), *(F.when(~F.col("base_failed"), F.expr(e)).alias(f"x{i}") for i, (e, _) in enumerate(_VECTOR)))
-    est = mcd_estimates(full.filter(~F.col("base_failed")).select("g_lang", "g_source", "salt", *(f"x{i}" for i in range(_D))), ["g_lang", "g_source"], support, steps, min_group)
-    dealt = est.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    out = full.join(dealt, ["g_lang", "g_source", "salt"], "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance([F.col(f"x{i}") for i in range(_D)], [F.col(f"m{i}") for i in range(_D)], lambda i, k: F.col(f"l{i}{k}"))))
+    good = full.filter(~F.col("base_failed"))
+    large, small = group_estimates(good.select(*_KEYS, "salt", *(f"x{i}" for i in range(_D))), support, steps, min_group, prior)
+    met = good.join(_salted(large), [*_KEYS, "salt"]).unionByName(good.join(_salted(large.select(*_KEYS)), [*_KEYS, "salt"], "left_anti").join(small, _KEYS))
+    judged = met.withColumn("distance2", _distance([F.col(f"x{i}") for i in range(_D)], [F.col(f"m{i}") for i in range(_D)], lambda i, k: F.col(f"l{i}{k}")))
+    out = judged.unionByName(full.filter("base_failed"), allowMissingColumns=True)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)
     return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
 

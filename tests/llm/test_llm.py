@@ -297,6 +297,20 @@ def test_quality_outliers(spark):
     assert quality.filter_quality(edge(spark)).count() > 0 and quality.filter_quality(empty(spark)).count() == 0
 
 
+def test_quality_judges_small_groups(spark):
+    """Sources of five rows and of one row (judged by their language), and a language of few rows (judged by all rows), one of them of long words."""
+    junk = lambda seed: " ".join(w + "%%%" for w in words(80, seed).split())
+    long_words = lambda seed: " ".join(w * 12 for w in words(80, seed, 3000).split())
+    texts = [(words(80, i, 3000), "en", "big") for i in range(100)]
+    texts += [(words(80, 200 + i, 3000), "en", "five") for i in range(4)] + [(junk(300), "en", "five"), (junk(301), "en", "one")]
+    texts += [(words(80, 400 + i, 3000), "fr", "few") for i in range(4)] + [(junk(500), "fr", "few"), (junk(501), "de", None)]
+    texts += [(long_words(600 + i), None, "long") for i in range(12)] + [(junk(700), None, "long")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = quality.judge_quality(df).collect()
+    assert len(got) == len(texts) and all(r.base_failed or r.distance2 is not None for r in got)
+    assert {r.doc_id for r in got if not r.kept} == {i for i, (t, *_) in enumerate(texts) if "%%%" in t}
+
+
 def test_quality_is_native(spark, sf):
     plan = entry.queries()["op6_quality_rules"](spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

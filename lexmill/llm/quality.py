@@ -4,7 +4,9 @@ Every step is a DataFrame or SQL expression. The text is read once: a single pro
 base statistics of a document; what follows works on a table of a few numbers a row, written to the
 shared folder. For each (lang, source) group a minimum-covariance-determinant estimate of location
 and scatter is found by concentration steps: start at medians and MADs, then repeatedly keep the
-share `support` of rows that lie nearest and take their means and covariances again. Each step is
+share of rows that lie nearest and take their means and covariances again. The share is that of the
+highest breakdown, (n + d + 1) / 2n of n rows in d dimensions, or `support` if that is more: junk of up
+to about half of a group doesn't enter. Each step is
 one partial aggregate, so a source with a third of all rows is summed where its rows lie.
 A row is rejected if its squared Mahalanobis distance to its group's estimate exceeds `cutoff`
 (32: a chance of 2e-6 under the chi-square law with 4 degrees of freedom).
@@ -20,6 +22,8 @@ is null. Repeated rows are kept and counted as rows. An empty table gives an emp
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,16 +145,21 @@ def mcd_estimates(rows: DataFrame, keys: list[str], support: float, steps: int,
     dev = with_est(mid).groupBy(*keys, "n", *(f"m{i}" for i in range(_D))).agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(xs)))
     kept = [*keys, "n", *(f"m{i}" for i in range(_D))]
     est = _with_cholesky(dev, lambda i, k: F.pow(1.4826 * F.col(f"s{i}"), 2) if i == k else F.lit(0.0), kept)
+    # The share in percent, as a place in `percents`: a percentile takes constants only.
+    least = math.ceil(100 * support)
+    percents = range(least, 101)
+    share = F.greatest(F.lit(0), F.least(F.lit(100), F.ceil(50 * (F.col("n") + _D + 1) / F.col("n")).cast("int")) - least)
+    factor = F.array(*(F.lit(_consistency(p / 100)) for p in percents))[share]
     for _ in range(steps):
         est = materialize(est, "mcd")
         near = with_est(est).withColumn("d2", _distance([F.col(x) for x in xs], [F.col(f"m{i}") for i in range(_D)], lambda i, k: F.col(f"l{i}{k}")))
-        half = near.groupBy(*keys).agg(F.percentile_approx("d2", support, 10_000).alias("h"))
+        half = near.groupBy(*keys, "n").agg(F.percentile_approx("d2", F.array(*(F.lit(p / 100) for p in percents)), 10_000).alias("h")).select(*keys, F.col("h")[share].alias("h"))
         sums = (
             near.select(*keys, "salt", *xs, "d2", "n").join(_salted(half), [*keys, "salt"]).filter("d2 <= h").groupBy(*keys, "n")
             .agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)), *(F.covar_pop(xs[i], xs[k]).alias(f"v{i}{k}") for i in range(_D) for k in range(i + 1)))
         )
         # The nearest share of a normal sample spreads less than the whole; the factor of consistency mends that.
-        est = _with_cholesky(sums, lambda i, k: F.col(f"v{i}{k}") * _consistency(support), kept)
+        est = _with_cholesky(sums, lambda i, k: F.col(f"v{i}{k}") * factor, kept)
     return materialize(est, "mcd")
 
 
@@ -180,8 +189,6 @@ def group_estimates(rows: DataFrame, support: float, steps: int, min_group: int,
 
 def _consistency(support: float) -> float:
     """support / P(chi2 with d+2 degrees <= the support quantile of chi2 with d degrees), for even d."""
-    import math
-
     cdf = lambda x, d: 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(d // 2))
     lo, hi = 0.0, 100.0
     for _ in range(80):
@@ -190,7 +197,7 @@ def _consistency(support: float) -> float:
     return support / cdf(lo, _D + 2)
 
 
-def judge_quality(docs: DataFrame, *, text="text", lang="lang", source="source", support=0.75, steps=3, cutoff=32.0, min_group=40, prior=5, carry=("doc_id",)) -> DataFrame:
+def judge_quality(docs: DataFrame, *, text="text", lang="lang", source="source", support=0.5, steps=3, cutoff=32.0, min_group=40, prior=5, carry=("doc_id",)) -> DataFrame:
     """One row per row of docs: the carried columns, the base statistics, base_failed, distance2 (null: fails the base rule) and kept."""
     stats = text_stats(docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source")), "_text", "_q")
     rows = stats.select(*(f"_c{i}" for i in range(len(carry))), *(F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(F.col(c), F.lit(""))).alias(k) for c, k in (("_lang", "g_lang"), ("_source", "g_source"))), "_q.*")

@@ -311,6 +311,14 @@ def test_quality_judges_small_groups(spark):
     assert {r.doc_id for r in got if not r.kept} == {i for i, (t, *_) in enumerate(texts) if "%%%" in t}
 
 
+@pytest.mark.parametrize("share", [0.35, 0.45])
+def test_quality_rejects_much_junk(spark, share):
+    junk = round(200 * share)
+    texts = [words(80, i, 3000) for i in range(200 - junk)] + [" ".join(w + "%%%" for w in words(80, 1000 + i).split()) for i in range(junk)]
+    rows = {r.doc_id: r.kept for r in quality.judge_quality(frame(spark, texts)).collect()}
+    assert not any(rows[i] for i in range(200 - junk, 200)) and sum(rows[i] for i in range(200 - junk)) >= 199 - junk
+
+
 def test_quality_is_native(spark, sf):
     plan = entry.queries()["op6_quality_rules"](spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

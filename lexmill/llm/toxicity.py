@@ -8,7 +8,8 @@ sentences; equal sentences count once. Words that stand in more toxic sentences
 positive examples, with copies that have a character inserted; other words are the negative ones. Landmarks are chosen
 greedily among the positive examples by kernel distance, with some negative ones; words are mapped to K(word, landmarks)
 K(landmarks, landmarks)^-1/2 and a linear machine with squared hinge loss is trained there. Its weights fold back into one
-table over letter triples, so a word is scored by summing table entries, without the landmarks.
+table over letter triples, so a word is scored by summing table entries, without the landmarks. The machine knows
+single words only: what is toxic by several ordinary words together scores as clean, whatever the labels say.
 Scoring: a text scores the highest value among its words (the machine's bias if none has one), turned into a
 probability by a logistic fit on the sample, whose labels are weighted to their true shares.
 
@@ -222,8 +223,11 @@ def _train(good: list[str], marked: list[str], benign: list[str], neg: Counter,
     return Scorer({names[i]: float(fold[i]) for i in np.flatnonzero(np.abs(fold) > 1e-6)}, min(bias, -0.5), 1.0, 0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", toxic="toxic", sample_docs=2500, landmarks=224, rounds=4, seed=3) -> Scorer | float:
-    """A scorer from labelled documents, or the share of toxic labels where nothing can be learned. The sample goes to the driver."""
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", toxic="toxic", sample_docs=2500, common_words=1500, other_words=3500, hard_words=4000, landmarks=224, rounds=4, seed=3) -> Scorer | float:
+    """A scorer from labelled documents, or the share of toxic labels where nothing can be learned. The sample goes to the driver.
+
+    Negative examples: the common_words most frequent benign words, other_words of the rest by lot, and in each round at most
+    hard_words that the machine takes for positive ones."""
     marks = labels.filter(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
     stat, sample = _sample(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), marks, sample_docs)
     n_pos, n_neg = stat.get(1, 0), stat.get(0, 0)
@@ -249,9 +253,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", t
     good.sort(key=lambda w: (-pos[w], w))
     common = sorted(neg, key=lambda w: (-neg[w], w))
     picked = set(good)
-    benign = [w for w in common[:1500] if w not in picked]
-    rest = [w for w in common[1500:] if w not in picked]
-    benign += [rest[i] for i in rng.permutation(len(rest))[:3500]]
+    benign = [w for w in common[:common_words] if w not in picked]
+    rest = [w for w in common[common_words:] if w not in picked]
+    benign += [rest[i] for i in rng.permutation(len(rest))[:other_words]]
     marked = []
     for w in good:
         at = int(rng.integers(1, len(w)))
@@ -262,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", t
         if scorer is not None:
             value = scorer.words(every)
             hard = np.flatnonzero(value > -0.6)
-            hard = hard[np.argsort(-value[hard], kind="stable")][:4000]
+            hard = hard[np.argsort(-value[hard], kind="stable")][:hard_words]
             benign = list(dict.fromkeys(benign + [every[i] for i in hard]))
         scorer = _train(good, marked, benign, neg, landmarks)
     value, label = scorer.texts([t for t, _ in sample], {}), np.array([y for _, y in sample])

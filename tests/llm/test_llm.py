@@ -213,6 +213,15 @@ def test_toxicity_bound_is_exact_near_the_margin():
         assert v == pytest.approx(max(e, s.bias)) or e <= s.CLOSE
 
 
+def test_toxicity_takes_its_negative_words_by_parameters(spark, monkeypatch):
+    rows, seen = toxic_texts(300, 2), []
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    train = toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda good, marked, benign, *a: seen.append(len(benign)) or train(good, marked, benign, *a))
+    toxicity.learn(docs, labels, common_words=5, other_words=3, hard_words=0)
+    assert seen and max(seen) <= 8
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 

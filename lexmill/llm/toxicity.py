@@ -139,12 +139,15 @@ class Scorer:
         """The highest word value of each text. known: values of words met before, by their raw form."""
         split = [t.split() if t else [] for t in texts]
         new = list({w for ws in split for w in ws if w not in known})
-        known.update(zip(new, self.words([plain(w) for w in new]).tolist()))
+        forms = [plain(w) for w in new]
+        known.update(zip(new, self.words(forms).tolist()))
+        single = known.setdefault("", set())  # words that spelled() may join; no word is empty
+        single.update(w for w, p in zip(new, forms) if len(w) <= 3 and len(p) == 1)
         get, out = known.__getitem__, np.full(len(texts), self.bias)
         for i, ws in enumerate(split):
             if ws:
                 out[i] = max(map(get, ws))
-                if sum(map(len, ws)) < 2.2 * len(ws) or any(len(w) == 1 for w in ws):
+                if sum(map(single.__contains__, ws)) >= 3:
                     joined = spelled(ws)
                     if joined:
                         out[i] = max(out[i], self.words(joined).max())

@@ -222,6 +222,13 @@ def test_toxicity_takes_its_negative_words_by_parameters(spark, monkeypatch):
     assert seen and max(seen) <= 8
 
 
+def test_toxicity_of_letters_with_marks_in_a_long_text():
+    s = toxicity.Scorer({"<ab": 1.0, "abc": 2.0}, -0.5, 1.0, 0.0)
+    long = "ordinary wording " * 40
+    value = s.texts([long + "a. b. c. " + long, "a. b. c.", "a b c", long, long + "a. b. " + long], {})
+    assert value[0] == value[1] == value[2] > value[3] == value[4] == s.bias
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ searched backward at once by rank queries; occurrences are located by walking to
 marked in their documents; marked words are merged into removal spans.
 
 The benchmark travels to the tasks in blocks of at most `block_bytes` of text, one pass over the
-documents for each block, so what is broadcast has a fixed bound. No pass shuffles documents.
+documents for each block, so what is broadcast has a fixed bound. No pass shuffles documents. With several
+blocks, documents that were cut meet all blocks again until none has a hit.
 
 Defined cases: null, empty and wordless texts have no words, hits or spans; items without words have no
 window. Repeated items are items of their own; repeated documents get a result each. An empty benchmark
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import task_batches
+from .common import materialize, task_batches
 
 #: Words consist of ASCII letters and digits (A-Z in lower case) and of all bytes beyond ASCII.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -245,17 +246,17 @@ def cut_spans(text: str, spans) -> str:
     return b"\n".join([*(x.rstrip() for x in out), data[at:].lstrip()]).strip(b"\n").decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text="text", n_chars="n_chars", max_rounds=8, **options) -> DataFrame:
-    """docs without benchmark passages: marked spans are cut until no window is left (a cut can join what stood
-    around it); texts left without a word go. n_chars, if there, follows the text. A document that still has hits
-    after max_rounds goes as well."""
-    spark, schema, out = docs.sparkSession, docs.schema, docs
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text="text", n_chars="n_chars", **options) -> DataFrame:
+    """docs without benchmark passages: marked spans are cut until no window of any block is left (a cut can join what
+    stood around it; each round removes words, so it ends); texts left without a word go. n_chars, if there, follows the text."""
+    spark, mark = docs.sparkSession, "__lexmill_cut"
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.BooleanType())])
     width = options.get("width", 10)
     item_id, item_text = options.get("item_id", "item_id"), options.get("item_text", "text")
-    for items in _blocks(benchmark, item_id, item_text, options.get("block_bytes", 32 << 20)):
-        sent = spark.sparkContext.broadcast(items)
+    blocks = [spark.sparkContext.broadcast(items) for items in _blocks(benchmark, item_id, item_text, options.get("block_bytes", 32 << 20))]
 
-        def run(batches, sent=sent):
+    def cutter(sent):
+        def run(batches):
             import pyarrow as pa
 
             win = Windows(sent.value, width)
@@ -263,31 +264,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text="text", n_chars
             for table in task_batches(batches, None, 1 << 13, options.get("shard_bytes", 12 << 20)):
                 texts, keep = table[text].to_pylist(), np.ones(table.num_rows, bool)
                 todo, changed = list(range(len(texts))), set()
-                for turn in range(max_rounds + 1):
+                while todo:
                     _, doc, at, num = shard_hits([texts[i] for i in todo], win)
                     spans: dict[int, list[dict]] = {}
                     for d, a, w in zip(doc.tolist(), at.tolist(), num.tolist()):
                         spans.setdefault(todo[d], []).append({"start": a, "end": a + lengths[w]})
                     todo = sorted(spans)
-                    if not todo:
-                        break
                     for i in todo:
-                        texts[i] = cut_spans(texts[i], merge_spans(spans[i])) if turn < max_rounds else ""
+                        texts[i] = cut_spans(texts[i], merge_spans(spans[i]))
                     changed.update(todo)
                 if changed:
+                    cut = table[mark].to_pylist()
                     for i in changed:
-                        keep[i] = bool(words_of(texts[i]))
-                    table = table.set_column(table.column_names.index(text), text, pa.array(texts, table.schema.field(text).type))
+                        keep[i], cut[i] = bool(words_of(texts[i])), True
+                    table = table.set_column(table.column_names.index(mark), table.schema.field(mark), pa.array(cut, pa.bool_()))
+                    table = table.set_column(table.column_names.index(text), table.schema.field(text), pa.array(texts, table.schema.field(text).type))
                     if n_chars in table.column_names:
                         n = table[n_chars].to_pylist()
                         for i in changed:
                             n[i] = len(texts[i])
-                        table = table.set_column(table.column_names.index(n_chars), n_chars, pa.array(n, table.schema.field(n_chars).type))
+                        table = table.set_column(table.column_names.index(n_chars), table.schema.field(n_chars), pa.array(n, table.schema.field(n_chars).type))
                     table = table.filter(pa.array(keep))
                 yield from table.to_batches()
 
-        out = out.mapInArrow(run, schema)
-    return out
+        return run
+
+    def cut_once(part: DataFrame) -> DataFrame:
+        part = part.withColumn(mark, F.lit(False))
+        for sent in blocks:
+            part = part.mapInArrow(cutter(sent), schema)
+        return part
+
+    if len(blocks) == 1:
+        return cut_once(docs).drop(mark)
+    out, todo = None, docs
+    while True:  # a cut for one block can join words into a window of another: all blocks see changed documents again
+        seen = materialize(cut_once(todo), "decontaminated")
+        clean = seen.filter(~F.col(mark)).drop(mark)
+        out, todo = clean if out is None else out.union(clean), seen.filter(mark).drop(mark)
+        if todo.isEmpty():
+            return out
 
 
 def contamination_digest(found: DataFrame, doc_id="doc_id") -> DataFrame:

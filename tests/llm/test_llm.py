@@ -514,3 +514,17 @@ def test_pipeline_stages_on_edges(spark, sf):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame_, sf)
             assert out.count() >= 0 and (name == "packing" or out.columns == frame_.columns)
+
+
+@pytest.mark.parametrize("block", [32 << 20, 60])
+def test_decontamination_of_nested_passages(spark, block):
+    """Passages inside passages, of one item and of items in several blocks; what is clean stays."""
+    items = {i: [f"{x}{k}" for k in range(10)] for i, x in enumerate("abcd")}
+    inside = lambda i, middle: [*items[i][:5], *middle, *items[i][5:]]
+    deep = []
+    for _ in range(12):
+        deep = inside(0, deep)
+    texts = [["keep", *deep, "this"], *(["keep", *inside(i, inside(j, items[i])), "this"] for i in items for j in items), ["keep", "this"]]
+    benchmark = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id long, text string")
+    got = decontaminate.decontaminate(frame(spark, [" ".join(t) for t in texts]), benchmark, block_bytes=block, shard_bytes=200).collect()
+    assert len(got) == len(texts) and all(r.text.split() == ["keep", "this"] and r.n_chars == len(r.text) for r in got)

@@ -1,7 +1,8 @@
 """Language identification of spans: script ranges narrow the candidates, Viterbi labels the words.
 
 Learning: from a sample of labelled documents bounded per language (`per_lang`, taken evenly by a hash of the text), counts of
-letter trigrams (with word borders) per language; a trigram's score is its smoothed log probability. The scripts
+letter trigrams (with word borders) per language; a trigram's score is its smoothed log probability. Each language
+brings its `letters` most frequent letters to the alphabet, which grows with the languages; other letters count as one. The scripts
 in which a language is written are those that hold at least `script_share` of its letters.
 Labelling: a word's candidates are the languages written in its script (all, if none is); its score under
 each is the sum over its trigrams. Words of other kinds score 0. Viterbi finds the best label sequence when each change of
@@ -30,6 +31,7 @@ SCRIPTS = sorted(set(SCRIPT_NAMES))
 _CODE = np.array([SCRIPTS.index(s) for s in SCRIPT_NAMES], np.int8)
 
 BORDER, RARE = 0, 1  # letter codes: word border, letters outside the alphabet
+_TABLE = 1 << 22  # trigrams that are looked up in a table; more are searched, with the same rows
 
 
 def scripts_of(points: np.ndarray) -> np.ndarray:
@@ -62,9 +64,17 @@ class Model:
 
     def __init__(self, langs: list[str], alphabet: list[int], index: np.ndarray, scores: np.ndarray, floor: np.ndarray, writes: np.ndarray):
         self.langs, self.floor, self.writes = langs, floor, writes
-        self.codes = np.full(0x30000, RARE, np.int32)
+        self.codes = np.full(0x30000, RARE, np.int64)
         self.codes[alphabet] = np.arange(2, len(alphabet) + 2)
         self.size, self.index, self.scores = len(alphabet) + 2, index, scores
+        self.kinds: np.ndarray | None = None  # sorted trigrams, where a table of all would be too large
+
+    def rows(self, gram: np.ndarray) -> np.ndarray:
+        """Rows of trigrams in the scores; -1: not learned."""
+        if self.kinds is None:
+            return self.index[gram]
+        at = np.minimum(np.searchsorted(self.kinds, gram), len(self.kinds) - 1)
+        return np.where(self.kinds[at] == gram, at, -1)
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(words x languages, letters per word)."""
@@ -76,7 +86,7 @@ class Model:
         # Trigrams around each letter: what stands before, the letter, what stands behind.
         at = np.flatnonzero(letter)
         gram = (code[at - 1] * self.size + code[at]) * self.size + code[at + 1]
-        row = self.index[gram]
+        row = self.rows(gram)
         value = np.where((row >= 0)[:, None], self.scores[np.maximum(row, 0)], self.floor[None, :])
         word = np.cumsum(blank)[at] - 1
         out = np.zeros((len(words), len(self.langs)))
@@ -130,12 +140,13 @@ def learn(docs: DataFrame, *, text="text", lang="lang", per_lang=1500, script_sh
     if len(gram):
         np.add.at(script, (l, scripts_of(b)), n)
     writes = script >= script_share * np.maximum(script.sum(axis=1, keepdims=True), 1)
-    # The alphabet: the most frequent letters over all languages, each language counting the same.
-    freq = np.zeros(0x30000)
-    if len(gram):
-        np.add.at(freq, b, n / np.maximum(script.sum(axis=1), 1)[l])
-    alphabet = [int(x) for x in np.argsort(-freq, kind="stable")[:letters] if freq[x] > 0]
-    model = Model(langs, alphabet, np.zeros(0, np.int32), np.zeros((0, 0)), np.zeros(0), writes)
+    # The alphabet: the most frequent letters of each language.
+    known: set[int] = set()
+    for k in range(len(langs)):
+        freq = np.bincount(b[l == k], weights=n[l == k])
+        some = np.flatnonzero(freq)
+        known.update(some[np.argsort(-freq[some], kind="stable")[:letters]].tolist())
+    model = Model(langs, sorted(known), np.zeros(0, np.int32), np.zeros((0, 0)), np.zeros(0), writes)
     size = model.size
     code = lambda p: np.where(p == 0, BORDER, model.codes[p])
     key = (code(a) * size + code(b)) * size + code(c)
@@ -146,8 +157,11 @@ def learn(docs: DataFrame, *, text="text", lang="lang", per_lang=1500, script_sh
     total = count.sum(axis=0, keepdims=True)
     smooth = 0.5
     bottom = np.log(total + smooth * (len(kinds) + 1))
-    model.index = np.full(size**3, -1, np.int32)
-    model.index[kinds] = np.arange(len(kinds))
+    if size**3 <= _TABLE:
+        model.index = np.full(size**3, -1, np.int32)
+        model.index[kinds] = np.arange(len(kinds))
+    else:
+        model.kinds = kinds
     model.scores = (np.log(count + smooth) - bottom).astype(np.float32)
     model.floor = (np.log(smooth) - bottom)[0].astype(np.float32)
     return model

@@ -453,6 +453,23 @@ def test_language_spans_and_edges(spark):
     assert langid.filter_languages(edge(spark), model=model).columns == edge(spark).columns
 
 
+def test_languages_of_one_script_among_many(spark):
+    """Letters that tell two languages of one script apart are kept, however many letters other languages have."""
+    r = random.Random(9)
+    shared = "абвгдежзиклм"
+
+    def text(own, share):
+        return " ".join("".join(own if r.random() < share else r.choice(shared) for _ in range(5)) for _ in range(40))
+
+    rows = [(text(own, 0.01), lang) for lang, own in (("x", "і"), ("y", "ы")) for _ in range(40)]
+    for k in range(6):
+        rows += [(" ".join("".join(chr(0x4E00 + 60 * k + r.randrange(60)) for _ in range(5)) for _ in range(40)), f"z{k}") for _ in range(40)]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    asked = [(text(own, 0.3), lang) for lang, own in (("x", "і"), ("y", "ы")) for _ in range(12)]
+    got = langid.identify(spark.createDataFrame(asked, "text string, want string"), model).collect()
+    assert all(g.lang_pred == g.want for g in got)
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 

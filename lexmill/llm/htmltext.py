@@ -1,23 +1,27 @@
 """Main text of web pages by a site style tree.
 
 Pages are parsed into element trees (implied end tags, raw-text elements, unclosed tags). The trees of one host are
-merged: elements with the same path of tags and classes are one node of the host's style tree. For
-each node two entropies are counted over the pages that have it: of its presentation (the sequences of child tags) and
-of its contents (the blocks of text below it). With m pages, l presentations and decay g:
+merged: elements with the same path of tags and classes are one node of the host's style tree. A node has entropies over the m
+pages that hold it: of its presentation (sequences of child tags; l of them) and of its contents (the blocks of text
+directly in it, in which digits and the host's own name stand as one sign each):
   presentation  N = sum over styles of -p log_m p,
   content       C = mean over block occurrences of 1 - log_m (pages that hold the same block),
-  importance    (1 - g^l) N + g^l C.
-A node whose importance is under `threshold` on at least `min_pages` pages holds what a site repeats; its branch is
-removed from each page of the host. Elements that say by tag, role or class what they are (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) go on every host. Where a page marks its article or main part, the text is
-taken from there.
+  importance    I = max(C, (1 - decay^l) N + decay^l C): a branch is low only if its presentation and its content are.
+The same tree is made over all hosts, so what many hosts share (or one page of a small host repeats) is seen, too. A node's value is I
+over the mean C of all text of its tree, the lesser of its host's and the one over all hosts; trees speak where a node stands on
+`min_pages` pages or more. A block is kept if its node's value reaches the limit of its place: `inside` an article or main element,
+`plain` on pages that mark none, `outside` on pages that mark one elsewhere. Nodes of which no tree speaks count as `unseen`.
+
+Elements that say by tag, role, class or id what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments) go on
+every page. A class or id says so by its last part (post-comments, ad-container), not by any word in it.
 
 The tree is counted as rows (host, node, feature) with a partial sum in each task, so a host with a third of
-all pages is summed where its pages lie; a host's low nodes, one short list, join back to its pages.
+all pages is summed where its pages lie. The values of a host's nodes are one short list, which goes to each of `SALTS` parts
+of the host's pages, so no task gets a whole host.
 
-Defined cases: null and empty html give an empty text. Pages without a host share the host ''. A single page, or a host of fewer
-than min_pages, has no low node. If removing low nodes would leave nothing, the page keeps them. Repeated rows
-are pages of their own. An empty table gives no row. Extra columns are kept by extract().
+Defined cases: null and empty html give an empty text. Pages without a host share the host ''. A page of which nothing would be
+left keeps, in this order, what its nodes' values would remove, and what only a class, an id or a form element marks. Pages of any length are parsed whole, in one pass.
+Repeated rows are pages of their own. An empty table gives no row. Extra columns are kept by extract().
 """
 
 from __future__ import annotations
@@ -29,35 +33,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, task_batches
+from .common import discard, materialize, task_batches
 
 # Element classes of HTML, and words by which pages mark what isn't their article.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg annotation select".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("nav header footer aside form button dialog menu head label fieldset".split()) | RAW
+DROPPED = frozenset("nav header footer aside button dialog menu head label fieldset".split()) | RAW
 CLOSES_P = BLOCKS - frozenset(("body", "html"))
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",), "option": ("select",)}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar sidebar side aside widget widgets related recommended share sharing social follow "
-    "comment comments commentlist respond reply replies disqus discussion footer foot header masthead topbar copyright legal disclaimer skip print tags".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar sidebar aside widget widgets related recommended share sharing social follow "
+    "comment comments commentlist respond reply replies disqus footer header masthead topbar copyright disclaimer skip".split()
 )
+#: Parts of a class that say nothing about what is inside.
+FRAMES = frozenset("container wrapper wrap box section block list area bar inner outer item items link links thread form top bottom left right main".split())
+SALTS = 32
+NONE, SOFT, HARD = 0, 1, 2  # marks of blocks: none; by class, id or a form element; by a tag or role
+LIMITS = (0.4, 0.8, 0.95)  # least values inside an article, on pages without one, and outside one
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAMES = re.compile(r"[a-z]+|[0-9]+")
 
 
+def marked(name: str, article: bool) -> bool:
+    """Whether one class or id says that an element is no article text: by its last part that isn't a mere frame."""
+    parts = _NAMES.findall(name)
+    while len(parts) > 1 and (parts[-1] in FRAMES or parts[-1].isdigit()):
+        parts.pop()
+    own = article or len(parts) > 1 and parts[-2] in ("article", "post", "entry", "content")
+    return bool(parts) and parts[-1] in MARKS and not (own and parts[-1] == "header")
+
+
 class Page:
-    """Blocks of a page's text: (text, path of nodes from the outermost, whether marked as no article, whether inside article or main)."""
+    """Blocks of a page's text: (text, node, mark, whether inside article or main)."""
 
     def __init__(self, html: str | None):
-        self.blocks: list[tuple[str, tuple[int, ...], bool, bool]] = []
+        self.blocks: list[tuple[str, int, int, bool]] = []
         self.styles: dict[int, list[str]] = {}
-        self._stack: list[tuple[str, int, bool, bool]] = []  # tag, node, dropped, inside the article
+        self._stack: list[tuple[str, int, int, bool]] = []  # tag, node, mark, inside the article
         self._text: list[str] = []
         self._children: list[list[str]] = [[]]
         if html:
@@ -67,16 +85,14 @@ class Page:
         if self._text:
             words = _html.unescape("".join(self._text)).split()
             self._text = []
-            if words and self._stack:
-                top = self._stack[-1]
-                self.blocks.append((" ".join(words), tuple(s[1] for s in self._stack), top[2], top[3]))
-            elif words:
-                self.blocks.append((" ".join(words), (), False, False))
+            if words:
+                _, node, mark, inside = self._stack[-1] if self._stack else ("", 0, NONE, False)
+                self.blocks.append((" ".join(words), node, mark, inside))
 
     def _pop(self):
-        tag, node, dropped, _ = self._stack.pop()
+        _, node, mark, _ = self._stack.pop()
         kids = self._children.pop()
-        if not dropped:
+        if not mark:
             self.styles.setdefault(node, []).append(" ".join(k for i, k in enumerate(kids) if not i or k != kids[i - 1]))
 
     def _close(self, tags, scope=()):
@@ -91,22 +107,27 @@ class Page:
                 return
 
     def _open(self, tag: str, attrs: str):
-        parent = self._stack[-1] if self._stack else ("", 0, False, False)
-        dropped, inside = parent[2], parent[3] or tag in ("article", "main")
+        parent = self._stack[-1] if self._stack else ("", 0, NONE, False)
+        mark, inside = parent[2], parent[3] or tag in ("article", "main")
         names = ""
         if attrs and "=" in attrs:
             got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
             # has-sidebar, no-header and the like speak of the page around, not of the element.
-            names = " ".join(x for x in got.get("class", "").lower().split() if not x.startswith(("has-", "no-", "with-", "without-", "is-")))
+            classes = [x for x in got.get("class", "").lower().split() if not x.startswith(("has-", "no-", "with-", "without-", "is-"))]
             role = got.get("role", "").lower()
             inside = inside or role == "main" or got.get("itemprop", "").lower() == "articlebody"
-            if not dropped and tag not in ("html", "body", "article", "main"):
-                dropped = role in ROLES or not MARKS.isdisjoint(_NAMES.findall(names)) or not MARKS.isdisjoint(_NAMES.findall(got.get("id", "").lower())) or got.get("hidden") == "hidden"
-            names = " ".join("#" if x.isdigit() else x for x in _NAMES.findall(names))
+            if tag not in ("html", "body", "article", "main"):
+                if role in ROLES:
+                    mark = HARD
+                elif not mark and (any(marked(x, parent[3]) for x in (*classes, got.get("id", "").lower())) or got.get("hidden") == "hidden"):
+                    mark = SOFT
+            names = " ".join("#" if x.isdigit() else x for x in _NAMES.findall(" ".join(classes)))
         if tag in DROPPED and not (tag == "header" and parent[3]):
-            dropped = True
+            mark = HARD
+        elif tag == "form" and not mark:
+            mark = SOFT
         self._children[-1].append(tag)
-        self._stack.append((tag, _node(parent[1], tag, names), dropped, inside))
+        self._stack.append((tag, _node(parent[1], tag, names), mark, inside))
         self._children.append([])
 
     def _parse(self, html: str):
@@ -155,14 +176,15 @@ class Page:
         while self._stack:
             self._pop()
 
-    def text(self, low: frozenset | set = frozenset()) -> str:
-        kept = [b for b in self.blocks if not b[2]]
-        if any(b[3] for b in kept):
-            kept = [b for b in kept if b[3]]
-        if low:
-            left = [b for b in kept if low.isdisjoint(b[1])]
-            kept = left or kept
-        return "\n".join(b[0] for b in kept)
+    def text(self, values: dict[int, float] | None = None, limits: tuple[float, float, float] = LIMITS, unseen: float = 0.9) -> str:
+        """The kept blocks, one on a line. values: of the nodes that a tree speaks of."""
+        free = [b for b in self.blocks if not b[2]] or [b for b in self.blocks if b[2] == SOFT]
+        inside, plain, outside = limits
+        if not any(b[3] for b in free):
+            outside = plain
+        get = (values or {}).get
+        kept = [b for b in free if get(b[1], unseen) >= (inside if b[3] else outside)]
+        return "\n".join(b[0] for b in kept or free)
 
 
 _NODES: dict[tuple[int, str, str], int] = {}
@@ -184,10 +206,20 @@ def host_column(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def low_nodes(pages: DataFrame, *, url="url", html="html", threshold=0.35, min_pages=4, decay=0.9) -> DataFrame:
-    """host, low (array of nodes under the threshold); hosts without such a node have no row."""
+_DIGITS = re.compile(r"[0-9]+")
+
+
+def feature(block: str, host: str) -> str:
+    """What is compared of a block: digits and the host's name are one sign each, so a dated or named notice repeats."""
+    if host and host in block:
+        block = block.replace(host, "@")
+    return _DIGITS.sub("#", block)
+
+
+def node_features(pages: DataFrame, *, url="url", html="html") -> DataFrame:
+    """host, node, kind (0: a style, 1: a block, 2: the node itself), feature, n (pages that hold it), times, chars."""
     rows = pages.select(host_column(F.col(url)).alias("host"), F.col(html).alias("html"))
-    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("node", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("feature", T.LongType()), T.StructField("n", T.LongType()), T.StructField("times", T.LongType())])
+    schema = T.StructType([T.StructField("host", T.StringType()), *(T.StructField(n, T.IntegerType() if n == "kind" else T.LongType()) for n in ("node", "kind", "feature", "n", "times", "chars"))])
 
     def count(batches):
         from collections import Counter
@@ -199,44 +231,74 @@ def low_nodes(pages: DataFrame, *, url="url", html="html", threshold=0.35, min_p
         for table in task_batches(batches, None, 4096, 24 << 20):
             pages_with: Counter = Counter()
             times: Counter = Counter()
+            chars: Counter = Counter()
             for host, text in zip(table["host"].to_pylist(), table["html"].to_pylist()):
                 page, own = Page(text), Counter()
-                for block, path, dropped, _ in page.blocks:
-                    if not dropped:
-                        f = digest(block)
-                        for node in set(path):
-                            own[node, 1, f] += 1
+                for block, node, mark, _ in page.blocks:
+                    if not mark:
+                        key = (host, node, 1, digest(feature(block, host)))
+                        own[key] += 1
+                        chars[key] += len(block)
                 for node, styles in page.styles.items():
-                    own[node, 0, digest("\n".join(styles))] = 1
-                    own[node, 2, 0] = 1
-                for k, n in own.items():
-                    pages_with[host, *k] += 1
-                    times[host, *k] += n
+                    own[host, node, 0, digest("\n".join(styles))] = 1
+                    own[host, node, 2, 0] = 1
+                pages_with.update(own.keys())
+                times.update(own)
             keys = list(pages_with)
             cols = [*zip(*keys)] if keys else [[], [], [], []]
-            yield from pa.table([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array([pages_with[k] for k in keys], pa.int64()), pa.array([times[k] for k in keys], pa.int64())], names=schema.names).to_batches()
+            cols += [[c[k] for k in keys] for c in (pages_with, times, chars)]
+            yield from pa.table([pa.array(c, pa.string() if i == 0 else pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(cols)], names=schema.names).to_batches()
+
+    return rows.mapInArrow(count, schema).groupBy("host", "node", "kind", "feature").agg(*(F.sum(c).alias(c) for c in ("n", "times", "chars")))
+
 
-    summed = rows.mapInArrow(count, schema).groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+def node_importance(summed: DataFrame, level: list[str], min_pages: int, decay: float) -> DataFrame:
+    """level, node, m, content, importance, value of each node that holds text on min_pages pages or more; summed: features of one level."""
     is_kind = lambda k: F.col("kind") == k
     # With m only known once all features are summed, entropies are kept as sums of n log n.
-    per = summed.groupBy("host", "node").agg(
+    per = summed.groupBy(*level, "node").agg(
         F.sum(F.when(is_kind(2), F.col("n"))).alias("m"), F.count(F.when(is_kind(0), 1)).alias("l"),
         F.sum(F.when(is_kind(0), F.col("n") * F.log("n"))).alias("style"),
-        F.sum(F.when(is_kind(1), F.col("times"))).alias("blocks"), F.sum(F.when(is_kind(1), F.col("times") * F.log("n"))).alias("same"),
+        F.sum(F.when(is_kind(1), F.col("times"))).alias("blocks"), F.sum(F.when(is_kind(1), F.col("times") * F.log("n"))).alias("same"), F.sum("chars").alias("chars"),
     )
-    log_m = F.log("m")
-    n_imp = (F.log("m") - F.coalesce("style", F.lit(0.0)) / F.col("m")) / log_m
-    c_imp = 1 - F.col("same") / F.col("blocks") / log_m
-    imp = (1 - F.pow(F.lit(decay), F.col("l"))) * n_imp + F.pow(F.lit(decay), F.col("l")) * c_imp
-    low = per.filter((F.col("m") >= min_pages) & (F.col("blocks") > 0)).filter(imp < threshold)
-    return low.groupBy("host").agg(F.collect_set("node").alias("low"))
-
-
-def extract(pages: DataFrame, *, url="url", html="html", out="text", **options) -> DataFrame:
+    per = per.filter((F.col("m") >= min_pages) & (F.col("blocks") > 0))
+    log_m, old = F.log("m"), F.pow(F.lit(decay), F.col("l"))
+    per = per.withColumn("content", 1 - F.col("same") / F.col("blocks") / log_m)
+    style = 1 - F.coalesce("style", F.lit(0.0)) / F.col("m") / log_m
+    per = per.withColumn("importance", F.greatest(F.col("content"), (1 - old) * style + old * F.col("content")))
+    mean = per.groupBy(*level).agg((F.sum(F.col("chars") * F.col("content")) / F.sum("chars")).alias("mean"))
+    joined = per.join(mean, level) if level else per.crossJoin(F.broadcast(mean))  # one row
+    # Where all text repeats (mean 0), nothing is less important than the rest.
+    return joined.select(*level, "node", "m", "content", "importance", F.when(F.col("mean") > 1e-9, F.col("importance") / F.col("mean")).otherwise(1.0).alias("value"))
+
+
+def node_values(pages: DataFrame, *, url="url", html="html", min_pages=4, decay=0.9) -> DataFrame:
+    """host, values (array of node and value); hosts none of whose nodes a tree speaks of have no row."""
+    summed = materialize(node_features(pages, url=url, html=html), "styles")
+    own = node_importance(summed, ["host"], min_pages, decay).select("host", "node", F.col("value").alias("own"))
+    whole = summed.groupBy("node", "kind", "feature").agg(*(F.sum(c).alias(c) for c in ("n", "times", "chars")))
+    every = node_importance(whole, [], min_pages, decay).select("node", F.col("value").alias("every"))
+    # A node may stand on all hosts: its hosts are dealt over parts, too.
+    salt = F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int")
+    nodes = summed.filter("kind = 1").select("host", "node").distinct().withColumn("salt", salt)
+    met = nodes.join(_salted(every), ["node", "salt"], "left").join(own, ["host", "node"], "left")
+    out = met.withColumn("value", F.least("own", "every")).filter("value IS NOT NULL")
+    values = materialize(out.groupBy("host").agg(F.collect_list(F.struct("node", "value")).alias("values")), "values")
+    discard(summed)
+    return values
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def extract(pages: DataFrame, *, url="url", html="html", out="text", limits=LIMITS, unseen=0.9, **options) -> DataFrame:
     """pages with the main text of each."""
-    low = materialize(low_nodes(pages, url=url, html=html, **options), "styles")
+    values = node_values(pages, url=url, html=html, **options).select(F.col("host").alias("__lexmill_host"), F.col("values").alias("__lexmill_values"))
     keep = pages.drop(out)
-    joined = keep.withColumn("__lexmill_host", host_column(F.col(url))).join(low.withColumnsRenamed({"host": "__lexmill_host", "low": "__lexmill_low"}), "__lexmill_host", "left").drop("__lexmill_host")
+    salt = F.pmod(F.xxhash64(url, F.octet_length(html)), F.lit(SALTS)).cast("int")
+    hosts = _salted(values).withColumnRenamed("salt", "__lexmill_salt")
+    joined = keep.withColumns({"__lexmill_host": host_column(F.col(url)), "__lexmill_salt": salt}).join(hosts, ["__lexmill_host", "__lexmill_salt"], "left")
     schema = T.StructType([*keep.schema.fields, T.StructField(out, T.StringType())])
     names = keep.columns
 
@@ -244,7 +306,12 @@ def extract(pages: DataFrame, *, url="url", html="html", out="text", **options)
         import pyarrow as pa
 
         for table in task_batches(batches, None, 4096, 24 << 20):
-            texts = [Page(h).text(frozenset(low) if low else frozenset()) for h, low in zip(table[html].to_pylist(), table["__lexmill_low"].to_pylist())]
+            known: dict[str, dict] = {}
+            texts = []
+            for h, host, rows in zip(table[html].to_pylist(), table["__lexmill_host"].to_pylist(), table["__lexmill_values"]):
+                if host not in known:
+                    known[host] = {r["node"]: r["value"] for r in rows.as_py() or ()}
+                texts.append(Page(h).text(known[host], limits, unseen))
             yield from table.select(names).append_column(out, pa.array(texts, pa.string())).to_batches()
 
-    return joined.select(*names, "__lexmill_low").mapInArrow(run, schema)
+    return joined.select(*names, "__lexmill_host", "__lexmill_values").mapInArrow(run, schema)

@@ -394,16 +394,91 @@ def test_page_text():
     assert text(None) == text("") == "" and text("plain &amp; simple") == "plain & simple" and text("<p>open <a href='x>y'>link</a>") == "open link"
 
 
-def test_style_tree_finds_repeats(spark):
-    rows = []
-    for i in range(30):
-        body = "".join(f"<p>{words(20, 100 * i + j, 5000)}</p>" for j in range(1 + i % 4))
-        rows.append((i, "http://h.example/x", f"<body><div class=q><div>Welcome to our site</div></div><div class=r>{body}</div></body>", "k"))
-    rows += [(100, None, None, "k"), (101, "http://one.example/", "<body><div class=q><div>Welcome to our site</div></div></body>", "k")]
+def test_article_parts_stay():
+    text = lambda h: htmltext.Page(h).text()
+    body = '<section id="discussion"><p>We find x.</p></section><p class="legal">Law.</p><div class="print">Ink.</div><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><div class="article-header">H</div>'
+    parts = "We find x.\nLaw.\nInk.\nso x=2 holds\nH"
+    assert text(f"<article><p>First.</p>{body}</article>") == "First.\n" + parts
+    junk = '<div class="post-comments">c</div><div id="comments">c</div><div class="ad-container">a</div><ul class="share links"><li>s</ul><svg><text>v</text></svg>'
+    assert text(f"<article><p>First.</p>{body}{junk}</article>") == "First.\n" + parts and text(f"<p>First.</p>{body}{junk}") == "First.\n" + parts
+    assert text('<div class="post-tags-body"><p>Only.</p></div>') == "Only." and text('<div class="menu"><p>Only.</p></div>') == "Only." and text("<nav>Only.</nav>") == ""
+    assert text("<form><nav>m</nav><p>All of the page is a form.</p></form>") == "All of the page is a form."
+    deep = "<div>" * 3000 + "<p>deep</p>"
+    assert text(deep) == "deep" and len(text("<p>long text</p>" * 200_000)) == 200_000 * 10 - 1
+
+
+def neutral_pages(n, hosts, seed=1):
+    """(id, url, html, the article's text): no tag or class tells the article from the menu, the notice and the footer, which come from a pool of 12."""
+    r, out = random.Random(seed), []
+    for i in range(n):
+        host = f"{'w' * (1 + i % hosts)}.example.net"
+        blocks = [words(r.randrange(8, 25), 1000 * seed + 7 * i + j, 5000) for j in range(r.randrange(2, 6))]
+        k = i % 12
+        menu, notice, foot = "".join(f"<li><a>{w}</a>" for w in words(5, 900 + k).split()), words(9, 800 + k), words(6, 700 + k)
+        page = f'<body><div class=a><ul>{menu}</ul></div><div class=b>{notice} {r.randrange(10**6)}</div><div class=c>{"".join(f"<p>{b}" for b in blocks)}</div><div class=d>&copy; {host} {foot}</div>'
+        out.append((i, f"http://{host}/{i}", page, "\n".join(blocks)))
+    return out
+
+
+@pytest.mark.parametrize("hosts", [1, 30])
+def test_style_tree_alone_finds_the_article(spark, hosts):
+    """Many pages of a host, or a few pages of each of many hosts: the tree of the host, or the one over all hosts, decides."""
+    rows = neutral_pages(240, hosts)
+    df = spark.createDataFrame([(i, u, h, "k") for i, u, h, _ in rows], "page_id long, url string, html string, low string")
+    got = {r.page_id: r for r in htmltext.extract(df).collect()}
+    assert all(got[i].text == t and got[i].low == "k" for i, _, _, t in rows)
+    # Where an article is marked, the limits are others; the tree still drops the unmarked rest and a repeated part inside.
+    inside = df.withColumn("html", F.replace(F.replace("html", F.lit("<div class=c>"), F.lit("<article><b>Read on</b>")), F.lit("</div><div class=d>"), F.lit("</article><div class=d>")))
+    got = {r.page_id: r.text for r in htmltext.extract(inside).collect()}
+    assert all(got[i] == t for i, _, _, t in rows)
+
+
+def test_style_tree_entropies_against_brute_force(spark):
+    rows = neutral_pages(60, 3, 2)
+    df = spark.createDataFrame([(i, u, h) for i, u, h, _ in rows], "page_id long, url string, html string")
+    summed = htmltext.node_features(df).cache()
+    for level in (["host"], []):
+        seen, style, held, times, chars = (collections.defaultdict(collections.Counter) for _ in range(5))
+        for _, url, h, _ in rows:
+            host, page = url.split("/")[2], htmltext.Page(h)
+            at = (host if level else None,)
+            for node, kids in page.styles.items():
+                seen[at][node] += 1
+                style[at, node]["\n".join(kids)] += 1
+            once = set()
+            for b, node, mark, _ in page.blocks:
+                f = re.sub("[0-9]+", "#", b.replace(host, "@"))
+                times[at, node][f] += 1
+                chars[at][node] += len(b)
+                once.add((node, f))
+            for node, f in once:
+                held[at, node][f] += 1
+        want = {}
+        for at in seen:
+            content = {}
+            for node, m in seen[at].items():
+                if m >= 4 and times[at, node]:
+                    content[node] = sum(n * (1 - math.log(held[at, node][f], m)) for f, n in times[at, node].items()) / times[at, node].total()
+            mean = sum(c * chars[at][n] for n, c in content.items()) / sum(chars[at][n] for n in content)
+            for node, c in content.items():
+                m, l = seen[at][node], len(style[at, node])
+                n = sum(-k / m * math.log(k / m, m) for k in style[at, node].values())
+                want[at[0], node] = max(c, (1 - 0.9**l) * n + 0.9**l * c) / mean
+        features = summed if level else summed.groupBy("node", "kind", "feature").agg(*(F.sum(c).alias(c) for c in ("n", "times", "chars")))
+        got = {(r["host"] if level else None, r["node"]): r["value"] for r in htmltext.node_importance(features, level, 4, 0.9).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_style_tree_edges(spark):
+    rows = [(i, "http://h.example/x", f"<body><div class=q><div>Welcome to our site</div></div><div class=r><p>{words(20, i, 5000)}</div></body>", "k") for i in range(30)]
+    rows += [(100, None, None, "k"), (101, "http://one.example/", "<body><div class=q><div>Welcome to our site</div></div></body>", "k"), (102, "http://one.example/", "", None)]
+    rows += [(200 + i, "http://same.example/", "<body><p class=s>Only a copy</p><p class=t>of one page</p></body>", "k") for i in range(6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, low string")
     got = {r.page_id: r for r in htmltext.extract(df).collect()}
-    assert len(got) == 32 and all("Welcome" not in got[i].text and got[i].text for i in range(30)) and got[100].text == "" and got[101].text == "Welcome to our site" and got[0].low == "k"
-    assert htmltext.extract(df.limit(0)).count() == 0
+    assert len(got) == len(rows) and all("Welcome" not in got[i].text and got[i].text for i in range(30)) and got[100].text == got[102].text == "" and got[0].low == "k"
+    assert got[101].text == "Welcome to our site"  # nothing would be left
+    assert got[200].text == "Only a copy\nof one page"  # all of a host repeats: nothing is less important than the rest
+    assert htmltext.extract(df.limit(0)).count() == 0 and htmltext.extract(df.limit(1)).count() == 1
 
 
 def test_pages_of_the_tables(spark, sf):

@@ -3,7 +3,7 @@
 Pages are parsed into element trees (implied end tags, raw-text elements, unclosed tags). The trees of one host are
 merged: elements with the same path of tags and classes are one node of the host's style tree. A node has entropies over the m
 pages that hold it: of its presentation (sequences of child tags; l of them) and of its contents (the blocks of text
-directly in it, in which digits and the host's own name stand as one sign each):
+directly in it, in which numbers and the host's own name stand as one sign each, so dated and named notices repeat):
   presentation  N = sum over styles of -p log_m p,
   content       C = mean over block occurrences of 1 - log_m (pages that hold the same block),
   importance    I = max(C, (1 - decay^l) N + decay^l C): a branch is low only if its presentation and its content are.
@@ -210,10 +210,11 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 def feature(block: str, host: str) -> str:
-    """What is compared of a block: digits and the host's name are one sign each, so a dated or named notice repeats."""
+    """What is compared of a block: the host's name and, where letters outnumber digits, each number are one sign, so a dated or named notice repeats."""
     if host and host in block:
         block = block.replace(host, "@")
-    return _DIGITS.sub("#", block)
+    masked, n = _DIGITS.subn("#", block)
+    return masked if n and 2 * (len(block) - len(masked) + n) < len(block) - block.count(" ") else block
 
 
 def node_features(pages: DataFrame, *, url="url", html="html") -> DataFrame:

@@ -407,14 +407,18 @@ def test_article_parts_stay():
     assert text(deep) == "deep" and len(text("<p>long text</p>" * 200_000)) == 200_000 * 10 - 1
 
 
+def letters(*args):
+    return words(*args).translate(str.maketrans("0123456789", "aeioubcdfg"))
+
+
 def neutral_pages(n, hosts, seed=1):
     """(id, url, html, the article's text): no tag or class tells the article from the menu, the notice and the footer, which come from a pool of 12."""
     r, out = random.Random(seed), []
     for i in range(n):
         host = f"{'w' * (1 + i % hosts)}.example.net"
-        blocks = [words(r.randrange(8, 25), 1000 * seed + 7 * i + j, 5000) for j in range(r.randrange(2, 6))]
+        blocks = [letters(r.randrange(8, 25), 1000 * seed + 7 * i + j, 5000) for j in range(r.randrange(2, 6))]
         k = i % 12
-        menu, notice, foot = "".join(f"<li><a>{w}</a>" for w in words(5, 900 + k).split()), words(9, 800 + k), words(6, 700 + k)
+        menu, notice, foot = "".join(f"<li><a>{w}</a>" for w in letters(5, 900 + k).split()), letters(9, 800 + k), letters(6, 700 + k)
         page = f'<body><div class=a><ul>{menu}</ul></div><div class=b>{notice} {r.randrange(10**6)}</div><div class=c>{"".join(f"<p>{b}" for b in blocks)}</div><div class=d>&copy; {host} {foot}</div>'
         out.append((i, f"http://{host}/{i}", page, "\n".join(blocks)))
     return out
@@ -447,7 +451,7 @@ def test_style_tree_entropies_against_brute_force(spark):
                 style[at, node]["\n".join(kids)] += 1
             once = set()
             for b, node, mark, _ in page.blocks:
-                f = re.sub("[0-9]+", "#", b.replace(host, "@"))
+                f = re.sub("[0-9]+", "#", b.replace(host, "@"))  # letters outnumber digits in every block
                 times[at, node][f] += 1
                 chars[at][node] += len(b)
                 once.add((node, f))
@@ -478,6 +482,7 @@ def test_style_tree_edges(spark):
     assert len(got) == len(rows) and all("Welcome" not in got[i].text and got[i].text for i in range(30)) and got[100].text == got[102].text == "" and got[0].low == "k"
     assert got[101].text == "Welcome to our site"  # nothing would be left
     assert got[200].text == "Only a copy\nof one page"  # all of a host repeats: nothing is less important than the rest
+    assert htmltext.feature("Page 3 of h.example", "h.example") == "Page # of @" and htmltext.feature("12.5 80", "") == "12.5 80"  # figures of a table are told apart
     assert htmltext.extract(df.limit(0)).count() == 0 and htmltext.extract(df.limit(1)).count() == 1
 
 

@@ -7,13 +7,15 @@ its Burrows-Wheeler transform in a wavelet matrix, and sampled suffix positions.
 searched backward at once by rank queries; occurrences are located by walking to the next sample, and
 marked in their documents; marked words are merged into removal spans.
 
-The benchmark travels to the tasks in blocks of at most `block_bytes` of text, one pass over the
-documents for each block, so what is broadcast has a fixed bound. No pass shuffles documents. With several
-blocks, documents that were cut meet all blocks again until none has a hit.
+The benchmark travels to the tasks in blocks of at most `block_bytes` of text (an item beyond that is cut, with its windows
+kept), each as a compact index of arrays that the driver builds once: hashed words, the text as word numbers, the distinct
+windows' places and their items. One pass over the documents meets all blocks: a task holds one block at a time, marks what all of
+them find, cuts, and searches again until none finds any. Nothing is shuffled. Words are compared by 64-bit hashes.
 
 Defined cases: null, empty and wordless texts have no words, hits or spans; items without words have no
 window. Repeated items are items of their own; repeated documents get a result each. An empty benchmark
-leaves every document clean. Extra columns are kept.
+leaves every document clean. Documents are joined to shards of about `shard_bytes`; a longer one is a shard of its own and is
+searched whole. Extra columns are kept, but for those of the result's names (n_words, hit_spans, hit_items), which are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, task_batches
+from .common import task_batches
 
 #: Words consist of ASCII letters and digits (A-Z in lower case) and of all bytes beyond ASCII.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -37,22 +39,66 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+class _Hashes(dict):
+    def __missing__(self, w):
+        import xxhash
+
+        if len(self) > 400_000:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+_HASH = _Hashes()
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+
+
 class Windows:
-    """The distinct windows of some items. codes: word -> code from 1; by_length: length -> (matrix, window numbers)."""
-
-    def __init__(self, items: list[tuple[int, str | None]], width: int):
-        self.codes: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], list[int]] = {}
-        for item, text in items:
-            ids = [self.codes.setdefault(w, len(self.codes) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + width]), []).append(item)
-        self.items = [sorted(set(x)) for x in windows.values()]
-        by: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-        for n, w in enumerate(windows):
-            by.setdefault(len(w), []).append((w, n))
-        self.by_length = {k: (np.array([w for w, _ in v], np.int32), np.array([n for _, n in v], np.int64)) for k, v in by.items()}
-        self.shortest = min(by, default=0)
+    """The distinct windows of some items, as arrays: the sorted hashes of their words (code: place + 1), all items' codes in a row, where each
+    window begins and its length, and the items of each window (window i: items[at[i]:at[i + 1]] as numbers of `ids`)."""
+
+    def __init__(self, items: list[tuple[object, str | None]], width: int):
+        self.ids = [i for i, _ in items]
+        texts = [hashed(words_of(t)) for _, t in items]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        flat = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+        self.vocabulary, codes = np.unique(flat, return_inverse=True)
+        self.codes = (codes + 1).astype(np.int32)
+        count = np.where(sizes > 0, np.maximum(sizes - width + 1, 1), 0)
+        item = np.repeat(np.arange(len(texts)), count)
+        begin = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        length = np.minimum(sizes, width)[item]
+        # Equal windows stand together under a hash of their codes; neighbours are then compared code by code.
+        h = length.astype(np.uint64)
+        padded = np.concatenate((self.codes, np.zeros(width, np.int32)))
+        for j in range(width):
+            c = np.where(j < length, padded[begin + j], 0).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + c
+        order = np.lexsort((item, h))
+        begin, length, item = begin[order], length[order], item[order]
+        new = np.ones(len(order), bool)
+        if len(order):
+            same = length[1:] == length[:-1]
+            for j in range(width):
+                same &= (padded[begin[1:] + j] == padded[begin[:-1] + j]) | (j >= length[1:])
+            new[1:] = ~same
+        first = np.flatnonzero(new)
+        self.begin, self.length = begin[first].astype(np.int32), length[first].astype(np.int32)
+        again = np.zeros(len(item), bool)  # a window that an item holds twice counts once
+        again[1:] = ~new[1:] & (item[1:] == item[:-1])
+        self.items = item[~again].astype(np.int32)
+        self.at = np.concatenate((np.cumsum(~again)[first] - 1, [len(self.items)])).astype(np.int64) if len(first) else np.zeros(1, np.int64)
+        self.shortest = int(self.length.min()) if len(first) else 0
+
+    def codes_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Codes of words; 0: no word of the items."""
+        if not len(self.vocabulary):
+            return np.zeros(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at + 1, 0).astype(np.int32)
 
 
 class FMIndex:
@@ -105,19 +151,24 @@ class FMIndex:
             lo, i = np.where(bit, zeros + lo1, lo - lo1), np.where(bit, zeros + i1, i - i1)
         return i - lo
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals [lo, hi) of the suffixes that start with each row."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        live = np.arange(len(patterns))
-        for j in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[live, j].astype(np.int64)
-            inside = c <= self.top  # the wavelet matrix holds no bits of larger codes
+    def search(self, codes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals [lo, hi) of the suffixes that start with codes[begin : begin + length], for each pattern."""
+        lo, hi = np.zeros(len(begin), np.int64), np.full(len(begin), self.n, np.int64)
+        here = np.zeros(max(self.top, int(codes.max(initial=0))) + 1, bool)
+        here[: self.top + 1] = np.diff(self.first[: self.top + 2]) > 0
+        # A pattern whose first or last word the text lacks ends at once.
+        dead = ~(here[codes[begin]] & here[codes[begin + length - 1]])
+        hi[dead] = 0
+        live, j = np.flatnonzero(~dead), 1
+        while len(live):
+            c = codes[begin[live] + length[live] - j].astype(np.int64)
+            inside = here[c]
             lo[live[~inside]] = hi[live[~inside]] = 0
             live, c = live[inside], c[inside]
             lo[live], hi[live] = self.first[c] + self.rank(c, lo[live]), self.first[c] + self.rank(c, hi[live])
-            live = live[hi[live] > lo[live]]
-        hi = np.maximum(hi, lo)
-        return lo, hi
+            live, j = live[hi[live] > lo[live]], j + 1
+            live = live[length[live] >= j]
+        return lo, np.maximum(hi, lo)
 
     def locate(self, at: np.ndarray) -> np.ndarray:
         """Text positions of suffix ranks: step back until a sample."""
@@ -133,105 +184,160 @@ class FMIndex:
         return out
 
 
-def shard_hits(texts: list[str | None], win: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words per text, then per occurrence: text, first word, window number and length packed by the caller)."""
-    get, n_words, parts = win.codes.get, np.zeros(len(texts), np.int64), []
-    for i, t in enumerate(texts):
-        ws = words_of(t)
-        n_words[i] = len(ws)
-        parts.append(np.fromiter((get(w, 0) for w in ws), np.int32, len(ws)))
+CHUNK = 1 << 18  # windows that are searched at once
+
+
+def shard_hits(words: np.ndarray, n_words: np.ndarray, win: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents given by their words' hashes in a row and their numbers of words: per occurrence the document, its first word and the window."""
     none = np.empty(0, np.int64)
-    if not win.by_length:
-        return n_words, none, none, none
+    if not win.shortest or not len(words):
+        return none, none, none
     starts = np.concatenate(([0], np.cumsum(n_words + 1)))
     seq = np.zeros(starts[-1] + 1, np.int32)
-    for s, p in zip(starts, parts):
-        seq[s : s + len(p)] = p
+    seq[np.arange(len(words)) + np.repeat(np.arange(len(n_words)), n_words)] = win.codes_of(words)
     edge = np.flatnonzero(np.diff(np.concatenate(([0], (seq > 0).astype(np.int8), [0]))))
     begin, end = edge[::2], edge[1::2]
     fit = end - begin >= win.shortest
     begin, end = begin[fit], end[fit]
     if not len(begin):
-        return n_words, none, none, none
+        return none, none, none
     sizes = end - begin + 1  # with a separator behind each run
     at = np.concatenate(([0], np.cumsum(sizes)))
     place = np.repeat(begin - at[:-1], sizes) + np.arange(at[-1])
     small = seq[place]
     small[at[1:] - 1] = 0
     index = FMIndex(small)
-    found_at, found_win = [], []
-    for matrix, numbers in win.by_length.values():
-        lo, hi = index.search(matrix)
+    found_at, found_win = [none], [none]
+    for k in range(0, len(win.begin), CHUNK):
+        lo, hi = index.search(win.codes, win.begin[k : k + CHUNK].astype(np.int64), win.length[k : k + CHUNK].astype(np.int64))
         count = hi - lo
         hit = count > 0
         if hit.any():
             total = np.repeat(lo[hit], count[hit]) + np.arange(count[hit].sum()) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
             found_at.append(place[index.locate(total)])
-            found_win.append(np.repeat(numbers[hit], count[hit]))
-    if not found_at:
-        return n_words, none, none, none
+            found_win.append(np.repeat(np.flatnonzero(hit) + k, count[hit]))
     pos, num = np.concatenate(found_at), np.concatenate(found_win)
     doc = np.searchsorted(starts, pos, side="right") - 1
-    return n_words, doc, pos - starts[doc], num
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
-    """The items, in lists of at most block_bytes of text; each list is read by itself."""
-    sized = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t"))
-    total = sized.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 16)).first()[0] or 0
-    n = max(1, -(-total * 3 // (2 * block_bytes)) if total > block_bytes else 1)
-    for k in range(n):
-        part = sized if n == 1 else sized.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in part.collect()]
+    return doc, pos - starts[doc], num
+
+
+def merged_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that touch or overlap become one; sorted by document and place."""
+    if not len(doc):
+        return doc, start, end
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    # With an offset for each document one running maximum does for all.
+    step = int(end.max()) + 2
+    far = np.maximum.accumulate(doc * step + end)
+    new = np.concatenate(([True], doc[1:] * step + start[1:] > far[:-1]))
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:], [len(doc)])) - 1
+    return doc[first], start[first], far[last] - doc[first] * step
+
+
+class Blocks:
+    """The benchmark's blocks as broadcasts of Windows; a task holds one at a time, or all while they are small together."""
+
+    def __init__(self, sent: list, keep: bool):
+        self.sent, self.keep = sent, keep
+
+    def __iter__(self):
+        for b in self.sent:
+            yield b.value
+            if not self.keep:
+                b.__dict__.pop("_value", None)  # read again from the executor's copy when its turn comes
+
+
+def _pieces(item, text: str | None, most: int, width: int):
+    """An item, or an item's parts of at most `most` bytes that share width - 1 words, so each window lies in one whole."""
+    if not text or len(text) <= most // 4 or len(text.encode("utf-8", "surrogatepass")) <= most:
+        yield item, text
+        return
+    words = words_of(text)
+    at, size, lo = 0, 0, 0
+    for k, w in enumerate(words):
+        size += len(w) + 1
+        if size > most and k - lo >= width:
+            yield item, b" ".join(words[lo:k]).decode("utf-8", "surrogatepass")
+            lo, size = k - width + 1, sum(map(len, words[k - width + 1 : k + 1]))
+        at = k
+    yield item, b" ".join(words[lo : at + 1]).decode("utf-8", "surrogatepass")
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int, width: int) -> Blocks:
+    """Blocks of at most block_bytes of text (an item's last width words may exceed it); the driver reads the items one partition at a time and holds one block."""
+    sc = benchmark.sparkSession.sparkContext
+    sent, held, size, total = [], [], 0, 0
+
+    def send():
+        nonlocal held, size
+        sent.append(sc.broadcast(Windows(held, width)))
+        sent[-1].__dict__.pop("_value", None)
+        held, size = [], 0
+
+    for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
+        for item, part in _pieces(row.i, row.t, block_bytes, width):
+            n = len((part or "").encode("utf-8", "surrogatepass")) + 16
+            if held and size + n > block_bytes:
+                send()
+            held.append((item, part))
+            size, total = size + n, total + n
+    if held:
+        send()
+    return Blocks(sent, total <= 2 * block_bytes)
+
+
+def _word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [hashed(words_of(t)) for t in texts]
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def _hits_of_all(texts: list[str | None], blocks) -> tuple[np.ndarray, tuple, list[tuple[np.ndarray, list]]]:
+    """(words per text, merged spans over all blocks, per block the distinct (text, item number) pairs and the items' ids)."""
+    words, n_words = _word_hashes(texts)
+    doc, start, end, items = [], [], [], []
+    for win in blocks:
+        d, at, num = shard_hits(words, n_words, win)
+        d1, s1, e1 = merged_spans(d, at, at + win.length[num])
+        doc, start, end = [*doc, d1], [*start, s1], [*end, e1]
+        if len(d):
+            pair = np.unique(d * np.int64(len(win.begin)) + num)  # each window of a text once, however often it stands there
+            d, num = pair // len(win.begin), pair % len(win.begin)
+            n = win.at[num + 1] - win.at[num]
+            item = win.items[np.repeat(win.at[num] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            items.append((np.unique(np.repeat(d, n) * np.int64(len(win.ids)) + item), win.ids))
+    none = [np.empty(0, np.int64)]
+    return n_words, merged_spans(*(np.concatenate(none + x) for x in (doc, start, end))), items
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text="text", item_id="item_id", item_text="text", width=10, block_bytes=32 << 20, shard_bytes=12 << 20) -> DataFrame:
     """docs with n_words (long), hit_spans (merged word ranges, end exclusive) and hit_items (sorted distinct ids)."""
-    spark = docs.sparkSession
     item_type = T.LongType() if dict(benchmark.dtypes)[item_id] != "string" else T.StringType()
-    added = [("_fm_words", T.LongType()), ("_fm_spans", SPANS), ("_fm_items", T.ArrayType(item_type))]
-    out = docs.drop("n_words", "hit_spans", "hit_items")
-    names = out.columns
-    for turn, items in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
-        sent = spark.sparkContext.broadcast(items)
-        schema = T.StructType(list(docs.select(*names).schema) + [T.StructField(n, t) for n, t in added])
-
-        def run(batches, sent=sent, turn=turn):
-            import pyarrow as pa
-
-            win = Windows(sent.value, width)
-            lengths = {int(n): k for k, (_, ns) in win.by_length.items() for n in ns}
-            for table in task_batches(batches, None, 1 << 13, shard_bytes):
-                n_words, doc, at, num = shard_hits(table[text].to_pylist(), win)
-                spans, items_of = [[] for _ in n_words], [set() for _ in n_words]
-                for d, a, w in sorted(zip(doc.tolist(), at.tolist(), num.tolist())):
-                    b, s = a + lengths[w], spans[d]
-                    if s and a <= s[-1]["end"]:
-                        s[-1]["end"] = max(b, s[-1]["end"])
-                    else:
-                        s.append({"start": a, "end": b})
-                    items_of[d].update(win.items[w])
-                if turn:
-                    spans = [merge_spans(a + b) if b else a for a, b in zip(table["_fm_spans"].to_pylist(), spans)]
-                    items_of = [b.union(a) if b else a for a, b in zip(table["_fm_items"].to_pylist(), items_of)]
-                    table = table.drop_columns([n for n, _ in added])
-                cols = (pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(x) for x in items_of], pa.list_(pa.int64() if item_type == T.LongType() else pa.string())))
-                for (n, _), c in zip(added, cols):
-                    table = table.append_column(n, c)
-                yield from table.to_batches()
-
-        out = out.mapInArrow(run, schema)
-    return out.withColumnsRenamed({"_fm_words": "n_words", "_fm_spans": "hit_spans", "_fm_items": "hit_items"})
-
-
-def merge_spans(spans: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-        if out and s["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], s["end"])
-        else:
-            out.append(dict(s))
-    return out
+    docs = docs.drop("n_words", "hit_spans", "hit_items")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("hit_items", T.ArrayType(item_type))])
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes, width)
+
+    def run(batches):
+        import pyarrow as pa
+
+        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+        for table in task_batches(batches, None, 1 << 13, shard_bytes):
+            n_words, (doc, start, end), found = _hits_of_all(table[text].to_pylist(), blocks)
+            n = table.num_rows
+            edges = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n)))).astype(np.int32)
+            spans = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], fields=list(span)))
+            items_of: list = [()] * n
+            for pairs, ids in found:
+                at = np.concatenate(([0], np.cumsum(np.bincount(pairs // len(ids), minlength=n))))
+                for d in np.unique(pairs // len(ids)):
+                    items_of[d] = {*items_of[d], *(ids[i] for i in pairs[at[d] : at[d + 1]] % len(ids))}
+            items = pa.array([sorted(x) for x in items_of], pa.list_(pa.int64() if item_type == T.LongType() else pa.string()))
+            for name, column in (("n_words", pa.array(n_words)), ("hit_spans", spans), ("hit_items", items)):
+                table = table.append_column(name, column)
+            yield from table.to_batches()
+
+    return docs.mapInArrow(run, schema)
 
 
 def cut_spans(text: str, spans) -> str:
@@ -246,64 +352,40 @@ def cut_spans(text: str, spans) -> str:
     return b"\n".join([*(x.rstrip() for x in out), data[at:].lstrip()]).strip(b"\n").decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text="text", n_chars="n_chars", **options) -> DataFrame:
-    """docs without benchmark passages: marked spans are cut until no window of any block is left (a cut can join what
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text="text", n_chars="n_chars", item_id="item_id", item_text="text", width=10, block_bytes=32 << 20, shard_bytes=12 << 20) -> DataFrame:
+    """docs without benchmark passages: what any block marks is cut until no block finds a window (a cut can join what
     stood around it; each round removes words, so it ends); texts left without a word go. n_chars, if there, follows the text."""
-    spark, mark = docs.sparkSession, "__lexmill_cut"
-    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.BooleanType())])
-    width = options.get("width", 10)
-    item_id, item_text = options.get("item_id", "item_id"), options.get("item_text", "text")
-    blocks = [spark.sparkContext.broadcast(items) for items in _blocks(benchmark, item_id, item_text, options.get("block_bytes", 32 << 20))]
-
-    def cutter(sent):
-        def run(batches):
-            import pyarrow as pa
-
-            win = Windows(sent.value, width)
-            lengths = {int(n): k for k, (_, ns) in win.by_length.items() for n in ns}
-            for table in task_batches(batches, None, 1 << 13, options.get("shard_bytes", 12 << 20)):
-                texts, keep = table[text].to_pylist(), np.ones(table.num_rows, bool)
-                todo, changed = list(range(len(texts))), set()
-                while todo:
-                    _, doc, at, num = shard_hits([texts[i] for i in todo], win)
-                    spans: dict[int, list[dict]] = {}
-                    for d, a, w in zip(doc.tolist(), at.tolist(), num.tolist()):
-                        spans.setdefault(todo[d], []).append({"start": a, "end": a + lengths[w]})
-                    todo = sorted(spans)
-                    for i in todo:
-                        texts[i] = cut_spans(texts[i], merge_spans(spans[i]))
-                    changed.update(todo)
-                if changed:
-                    cut = table[mark].to_pylist()
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes, width)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for table in task_batches(batches, None, 1 << 13, shard_bytes):
+            texts, keep = table[text].to_pylist(), np.ones(table.num_rows, bool)
+            todo, changed = list(range(len(texts))), set()
+            while todo:
+                _, (doc, start, end), _ = _hits_of_all([texts[i] for i in todo], blocks)
+                spans: dict[int, list[dict]] = {}
+                for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist()):
+                    spans.setdefault(todo[d], []).append({"start": a, "end": b})
+                for i, cut in spans.items():
+                    texts[i] = cut_spans(texts[i], cut)
+                todo = sorted(spans)
+                changed.update(todo)
+            if changed:
+                for i in changed:
+                    keep[i] = bool(words_of(texts[i]))
+                put = lambda t, c, v: t.set_column(t.column_names.index(c), t.schema.field(c), pa.array(v, t.schema.field(c).type))
+                table = put(table, text, texts)
+                if n_chars in table.column_names:
+                    n = table[n_chars].to_pylist()
                     for i in changed:
-                        keep[i], cut[i] = bool(words_of(texts[i])), True
-                    table = table.set_column(table.column_names.index(mark), table.schema.field(mark), pa.array(cut, pa.bool_()))
-                    table = table.set_column(table.column_names.index(text), table.schema.field(text), pa.array(texts, table.schema.field(text).type))
-                    if n_chars in table.column_names:
-                        n = table[n_chars].to_pylist()
-                        for i in changed:
-                            n[i] = len(texts[i])
-                        table = table.set_column(table.column_names.index(n_chars), table.schema.field(n_chars), pa.array(n, table.schema.field(n_chars).type))
-                    table = table.filter(pa.array(keep))
-                yield from table.to_batches()
-
-        return run
-
-    def cut_once(part: DataFrame) -> DataFrame:
-        part = part.withColumn(mark, F.lit(False))
-        for sent in blocks:
-            part = part.mapInArrow(cutter(sent), schema)
-        return part
-
-    if len(blocks) == 1:
-        return cut_once(docs).drop(mark)
-    out, todo = None, docs
-    while True:  # a cut for one block can join words into a window of another: all blocks see changed documents again
-        seen = materialize(cut_once(todo), "decontaminated")
-        clean = seen.filter(~F.col(mark)).drop(mark)
-        out, todo = clean if out is None else out.union(clean), seen.filter(mark).drop(mark)
-        if todo.isEmpty():
-            return out
+                        n[i] = len(texts[i])
+                    table = put(table, n_chars, n)
+                table = table.filter(pa.array(keep))
+            yield from table.to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def contamination_digest(found: DataFrame, doc_id="doc_id") -> DataFrame:

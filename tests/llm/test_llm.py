@@ -560,12 +560,29 @@ def test_fm_index_against_brute_force():
         items = [(i, " ".join(r.choices(vocab, k=r.choice([0, 1, 3, 5, 10, 14])))) for i in range(4)]
         texts = [" ".join(r.choices([*vocab, "zz"], k=r.choice([0, 1, 5, 30, 60]))) for _ in range(8)]
         win = decontaminate.Windows(items, 5)
-        size = {int(n): k for k, (_, ns) in win.by_length.items() for n in ns}
-        n_words, doc, at, num = decontaminate.shard_hits(texts, win)
-        got = [(int(n_words[i]), len({p for d, a, w in zip(doc, at, num) if d == i for p in range(a, a + size[w])}), sorted({x for d, w in zip(doc, num) if d == i for x in win.items[w]})) for i in range(len(texts))]
+        words_, n_words = decontaminate._word_hashes(texts)
+        doc, at, num = decontaminate.shard_hits(words_, n_words, win)
+        items_of = lambda w: win.items[win.at[w] : win.at[w + 1]].tolist()  # noqa: B023, E731
+        got = [(int(n_words[i]), len({p for d, a, w in zip(doc, at, num) if d == i for p in range(a, a + win.length[w])}), sorted({x for d, w in zip(doc, num) if d == i for x in items_of(w)})) for i in range(len(texts))]
         assert got == decontaminate.brute_force(texts, items, 5)
 
 
+def test_blocks_of_the_benchmark(spark):
+    """A long item is cut into parts that hold all its windows between them; blocks hold to their size."""
+    long = words(500, 3, 10**6)
+    parts = list(decontaminate._pieces(1, long, 400, 10))
+    whole = lambda texts: {tuple(w[i : i + 10]) for t in texts for w in [t.split()] for i in range(len(w) - 9)}
+    assert len(parts) > 5 and whole(t for _, t in parts) == whole([long])
+    df = spark.createDataFrame([(i, words(30, i, 10**6)) for i in range(40)] + [(99, long), (100, None)], "item_id long, text string")
+    blocks = decontaminate._blocks(df, "item_id", "text", 600, 10)
+    assert len(blocks.sent) > 10 and not blocks.keep and sum(len(w.begin) for w in blocks) == 40 * 21 + 491
+
+
+def test_merged_spans():
+    got = decontaminate.merged_spans(np.array([1, 0, 1, 0, 1]), np.array([5, 0, 1, 2, 8]), np.array([8, 1, 4, 9, 9]))
+    assert [x.tolist() for x in got] == [[0, 0, 1, 1], [0, 2, 1, 5], [1, 9, 4, 9]]
+
+
 def test_contamination(spark):
     passage = words(40, 77, 10**6)
     items = spark.createDataFrame([(1, passage), (2, "Only, three-words"), (3, None), (4, "..."), (5, passage)], "item_id long, text string")

@@ -21,6 +21,7 @@ searched whole. Extra columns are kept, but for those of the result's names (n_w
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -185,6 +186,7 @@ class FMIndex:
 
 
 CHUNK = 1 << 18  # windows that are searched at once
+FEW_WORDS = 200_000
 
 
 def shard_hits(words: np.ndarray, n_words: np.ndarray, win: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,10 +239,11 @@ def merged_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
 
 
 class Blocks:
-    """The benchmark's blocks as broadcasts of Windows; a task holds one at a time, or all while they are small together."""
+    """The benchmark's blocks as broadcasts of Windows; a task holds one at a time, or all while they are small together. words: the hashes of
+    all items' words while these are few, so that other words need no hash (they get 0); else None."""
 
-    def __init__(self, sent: list, keep: bool):
-        self.sent, self.keep = sent, keep
+    def __init__(self, sent: list, keep: bool, words: dict[bytes, int] | None = None):
+        self.sent, self.keep, self.words = sent, keep, words
 
     def __iter__(self):
         for b in self.sent:
@@ -268,10 +271,14 @@ def _pieces(item, text: str | None, most: int, width: int):
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int, width: int) -> Blocks:
     """Blocks of at most block_bytes of text (an item's last width words may exceed it); the driver reads the items one partition at a time and holds one block."""
     sc = benchmark.sparkSession.sparkContext
-    sent, held, size, total = [], [], 0, 0
+    sent, held, size, total, known = [], [], 0, 0, {}
 
     def send():
-        nonlocal held, size
+        nonlocal held, size, known
+        if known is not None:
+            for _, t in held:
+                known.update((w, _HASH[w]) for w in words_of(t))
+            known = known if len(known) <= FEW_WORDS else None
         sent.append(sc.broadcast(Windows(held, width)))
         sent[-1].__dict__.pop("_value", None)
         held, size = [], 0
@@ -285,17 +292,21 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int, wid
             size, total = size + n, total + n
     if held:
         send()
-    return Blocks(sent, total <= 2 * block_bytes)
+    return Blocks(sent, total <= 2 * block_bytes, known)
 
 
-def _word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [hashed(words_of(t)) for t in texts]
+def _word_hashes(texts: list[str | None], known: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if known is None:
+        parts = [hashed(words_of(t)) for t in texts]
+    else:
+        split = map(words_of, texts)
+        parts = [np.fromiter(map(known.get, ws, repeat(0)), np.uint64, len(ws)) for ws in split]
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 def _hits_of_all(texts: list[str | None], blocks) -> tuple[np.ndarray, tuple, list[tuple[np.ndarray, list]]]:
     """(words per text, merged spans over all blocks, per block the distinct (text, item number) pairs and the items' ids)."""
-    words, n_words = _word_hashes(texts)
+    words, n_words = _word_hashes(texts, blocks.words)
     doc, start, end, items = [], [], [], []
     for win in blocks:
         d, at, num = shard_hits(words, n_words, win)

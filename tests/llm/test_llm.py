@@ -630,9 +630,10 @@ def test_pipeline_stages_on_edges(spark, sf):
             assert out.count() >= 0 and (name == "packing" or out.columns == frame_.columns)
 
 
-@pytest.mark.parametrize("block", [32 << 20, 60])
-def test_decontamination_of_nested_passages(spark, block):
+@pytest.mark.parametrize("block, few", [(32 << 20, 200_000), (60, 200_000), (60, 3)])
+def test_decontamination_of_nested_passages(spark, block, few, monkeypatch):
     """Passages inside passages, of one item and of items in several blocks; what is clean stays."""
+    monkeypatch.setattr(decontaminate, "FEW_WORDS", few)
     items = {i: [f"{x}{k}" for k in range(10)] for i, x in enumerate("abcd")}
     inside = lambda i, middle: [*items[i][:5], *middle, *items[i][5:]]
     deep = []

@@ -1,9 +1,10 @@
 """Language identification of spans: script ranges narrow the candidates, Viterbi labels the words.
 
-Learning: from a sample of labelled documents bounded per language (`per_lang`, taken evenly by a hash of the text), counts of
-letter trigrams (with word borders) per language; a trigram's score is its smoothed log probability. Each language
-brings its `letters` most frequent letters to the alphabet, which grows with the languages; other letters count as one. The scripts
-in which a language is written are those that hold at least `script_share` of its letters.
+Learning: from a sample of labelled documents bounded per language (`per_lang`, taken evenly by a hash of doc_id, if there, and text; a
+language of which the sample has no trigram, as one of a few repeated rows, takes all its rows), counts of
+letter trigrams (with word borders) per language; a trigram's score is its smoothed log probability. The alphabet
+holds every letter of the sample; letters that it lacks count as one. The scripts
+in which a language is written are those that hold at least `script_share` of its letters. A language without any letter isn't learned.
 Labelling: a word's candidates are the languages written in its script (all, if none is); its score under
 each is the sum over its trigrams. Words of other kinds score 0. Viterbi finds the best label sequence when each change of
 language costs `switch`; runs of one label are the spans of mixed-language text. The document's language is the one
@@ -18,6 +19,7 @@ every text is `und`. An empty table gives no row. Extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,14 +104,14 @@ class Model:
         return out.astype(np.float32), letters
 
 
-def learn(docs: DataFrame, *, text="text", lang="lang", per_lang=1500, script_share=0.02, letters=110) -> Model | None:
+def learn(docs: DataFrame, *, text="text", lang="lang", doc_id="doc_id", per_lang=1500, script_share=0.02) -> Model | None:
     """A model from at most about per_lang documents of each language. What reaches the driver are trigram counts of that sample."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    lot = F.pmod(F.xxhash64(*([doc_id] if doc_id in docs.columns else []), text, F.lit(7)), F.lit(1 << 20))
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), lot.alias("lot"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n)))), F.col("lang"))
-    sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
 
     def grams(batches):
@@ -129,7 +131,15 @@ def learn(docs: DataFrame, *, text="text", lang="lang", per_lang=1500, script_sh
             keys = list(count)
             yield from pa.table([pa.array([k[0] for k in keys], pa.string()), pa.array([str(k[1]) for k in keys], pa.string()), pa.array([count[k] for k in keys], pa.int64())], names=schema.names).to_batches()
 
-    found = sample.mapInArrow(grams, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = lambda some: some.select("text", "lang").mapInArrow(grams, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = counted(rows.filter(F.col("lot") < share * (1 << 20)))
+    missed = sorted(set(sizes) - set(found["lang"]))
+    if missed:
+        rest = counted(rows.filter(F.col("lang").isin(missed)))
+        found = pd.concat([found, rest], ignore_index=True) if len(found) else rest
+    sizes = {k: sizes[k] for k in set(found["lang"])}
+    if not sizes:
+        return None
     langs = sorted(sizes)
     number = {l: i for i, l in enumerate(langs)}
     gram = found["gram"].astype(np.uint64).to_numpy() if len(found) else np.zeros(0, np.uint64)
@@ -140,13 +150,7 @@ def learn(docs: DataFrame, *, text="text", lang="lang", per_lang=1500, script_sh
     if len(gram):
         np.add.at(script, (l, scripts_of(b)), n)
     writes = script >= script_share * np.maximum(script.sum(axis=1, keepdims=True), 1)
-    # The alphabet: the most frequent letters of each language.
-    known: set[int] = set()
-    for k in range(len(langs)):
-        freq = np.bincount(b[l == k], weights=n[l == k])
-        some = np.flatnonzero(freq)
-        known.update(some[np.argsort(-freq[some], kind="stable")[:letters]].tolist())
-    model = Model(langs, sorted(known), np.zeros(0, np.int32), np.zeros((0, 0)), np.zeros(0), writes)
+    model = Model(langs, np.unique(b).tolist(), np.zeros(0, np.int32), np.zeros((0, 0)), np.zeros(0), writes)
     size = model.size
     code = lambda p: np.where(p == 0, BORDER, model.codes[p])
     key = (code(a) * size + code(b)) * size + code(c)
@@ -256,11 +260,17 @@ def identify(docs: DataFrame, model: Model | None, *, text="text", switch=12.0,
     return docs.mapInArrow(run, schema)
 
 
-def filter_languages(docs: DataFrame, *, text="text", lang="lang", min_score=0.1, model: Model | None = None) -> DataFrame:
-    """docs without texts that have no language: no letter, or nothing that speaks for one language (score under min_score)."""
+def filter_languages(docs: DataFrame, *, text="text", lang="lang", min_score=0.1, sure=0.98, model: Model | None = None) -> DataFrame:
+    """docs without texts that have no language: no letter, or nothing that speaks for one language (score under min_score). A null lang is
+    set to the language found, and one that names another language where the score is at least `sure` is set right."""
     model = model or learn(docs, text=text, lang=lang)
     if model is None:
         return docs
-    named = docs.withColumnsRenamed({"lang_pred": "__lexmill_l", "score": "__lexmill_s"})
-    out = identify(named, model, text=text).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return out.drop("lang_pred", "score").withColumnsRenamed({"__lexmill_l": "lang_pred", "__lexmill_s": "score"})
+    kept = {"lang_pred": "__lexmill_l", "score": "__lexmill_s"}
+    named = docs.withColumnsRenamed(kept)
+    named = identify(named, model, text=text).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    label = kept.get(lang, lang)
+    if label in named.columns:
+        right = F.when(F.col(label).isNull() | (F.col("score") >= sure), F.col("lang_pred")).otherwise(F.col(label))
+        named = named.withColumn(label, right.cast(docs.schema[lang].dataType))
+    return named.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in kept.items()})

@@ -550,6 +550,75 @@ def test_languages_of_one_script_among_many(spark):
     assert all(g.lang_pred == g.want for g in got)
 
 
+def test_languages_of_few_distinct_texts(spark):
+    """A language whose documents are copies of one text is learned, whatever that text's hash; equal rows, too."""
+    a, b = "the cat and the dog are in the house with their friends", "der hund und die katze sind in dem haus mit ihren freunden"
+    for columns in ("doc_id long, text string, lang string", "text string, lang string"):
+        for k in range(4):
+            rows = [(f"{words(5, i)} {a}", "en") for i in range(60)] + [(b + " x" * k, "de")] * 400
+            rows = [(i, *r) for i, r in enumerate(rows)] if "doc_id" in columns else rows
+            model = langid.learn(spark.createDataFrame(rows, columns), per_lang=2)
+            assert model.langs == ["de", "en"]
+            got = langid.identify(spark.createDataFrame([(b, "de"), (a, "en")], "text string, want string"), model).collect()
+            assert all(g.lang_pred == g.want for g in got)
+    none = spark.createDataFrame([("1 2 3", "zz"), (a, "en")], "text string, lang string")
+    assert langid.learn(none).langs == ["en"] and langid.learn(none.filter("lang = 'zz'")) is None
+
+
+def test_language_scores_against_a_plain_loop(spark):
+    """Trigram scores, script narrowing, Viterbi and the document's score, counted by loops over letters."""
+    import itertools
+
+    train = [("den hund og kat", "da"), ("der Hund, und Katze", "de"), ("кот и собака", "ru"), ("ein Haus – zwei Häuser", "de"), ("et hus", "da")]
+    model = langid.learn(spark.createDataFrame(train, "text string, lang string"))
+    langs, count, scripts = ["da", "de", "ru"], collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+
+    def grams(w):
+        w = f" {w} "
+        return [tuple(x if x.isalpha() else "" for x in w[i - 1 : i + 2]) for i in range(1, len(w) - 1) if w[i].isalpha()]
+
+    def script(c):
+        return langid.SCRIPTS[int(langid.scripts_of(np.array([ord(c)]))[0])]
+
+    for t, l in train:
+        for w in t.lower().split():
+            count[l].update(grams(w))
+            scripts[l].update(script(c) for c in w if c.isalpha())
+    kinds = {g for l in langs for g in count[l]}
+    alphabet = {c for g in kinds for c in g}
+    asked = ["der hund og katze", "собака und hus", "zwei кот", "qqq! 12 kat", "12 !!", "katze собака"]
+    for row in langid.identify(spark.createDataFrame([(t,) for t in asked], "text string"), model, switch=3.0).collect():
+        by_word, letters = [], []
+        for w in row.text.lower().split():
+            own = {script(c) for c in w if c.isalpha()}
+            value = []
+            for l in langs:
+                bottom = math.log(count[l].total() + 0.5 * (len(kinds) + 1))
+                value.append(sum(math.log((count[l][g] if set(g) <= alphabet else 0) + 0.5) - bottom for g in grams(w)))
+            fits = [any(s in own for s, n in scripts[l].items() if n >= 0.02 * scripts[l].total()) for l in langs]
+            if own and any(fits):
+                value = [v if f else min(value) - 20 for v, f in zip(value, fits)]
+            by_word.append(value)
+            letters.append(sum(c.isalpha() for c in w))
+        if not sum(letters):
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+            continue
+        value = lambda p: sum(by_word[i][k] for i, k in enumerate(p)) - 3.0 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        path = max(itertools.product(range(3), repeat=len(letters)), key=value)
+        held = [sum(n for n, k in zip(letters, path) if k == j) for j in range(3)]
+        best = held.index(max(held))
+        total = [sum(v[j] for v, k in zip(by_word, path) if k == best) for j in range(3)]
+        belief = 1 / sum(math.exp(min(t - total[best], 50)) for t in total)
+        assert row.lang_pred == langs[best] and row.score == pytest.approx(max(held) / sum(held) * belief, rel=1e-4, abs=1e-6)
+
+
+def test_language_filter_sets_languages(spark):
+    a, b = "the cat and the dog are in the house with their friends", "der hund und die katze sind in dem haus mit ihren freunden"
+    docs = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate([(a, "en"), (b, "de")] * 6 + [(a, None), (b, "en"), ("12 !!", "en"), (None, "de")])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in langid.filter_languages(docs).collect()}
+    assert got == {**{i: ("en", "de")[i % 2] for i in range(12)}, 12: "en", 13: "de"}
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 

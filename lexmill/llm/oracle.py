@@ -19,14 +19,17 @@ r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id,
 SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id""",
     "op7_language_model": "WITH " + _CRC.format(by=7, rest=2) + r""",
 tok AS (SELECT rid, doc_id, held_out, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT rid, doc_id, held_out, list_append(list_filter(string_split_regex(""" + _LOWER + r""", '[\x{20}\x{09}-\x{0D}]+'), lambda x: x <> ''), chr(2)) AS ws FROM held)),
-pre AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY rid ORDER BY i), chr(1)) AS h FROM tok),
+pre AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY rid ORDER BY i), chr(1)) AS h, CASE WHEN i = 2 THEN chr(1) ELSE lag(w, 2) OVER (PARTITION BY rid ORDER BY i) END AS g FROM tok),
 uni AS (SELECT w, count(*) AS c FROM pre WHERE NOT held_out GROUP BY w), bi AS (SELECT h, w, count(*) AS c FROM pre WHERE NOT held_out GROUP BY ALL),
+tri AS (SELECT g, h, w, count(*) AS c FROM pre WHERE NOT held_out AND g IS NOT NULL GROUP BY ALL),
 st AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v, count(*) FILTER (c = 1) / (count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2)) AS d FROM uni),
 ctx AS (SELECT w AS h, c FROM uni UNION ALL SELECT chr(1), count(*) FROM held WHERE NOT held_out),
-q AS (SELECT p.*, coalesce(u.c, 0) AS cw, coalesce(b.c, 0) AS cb, coalesce(x.c, 0) AS ch, n, v, CASE WHEN u.c IS NULL THEN d * v / n ELSE (u.c - d) / n END AS pr
-  FROM pre p CROSS JOIN st LEFT JOIN uni u ON u.w = p.w LEFT JOIN bi b ON b.h = p.h AND b.w = p.w LEFT JOIN ctx x ON x.h = p.h)
+q AS (SELECT p.*, coalesce(u.c, 0) AS cw, coalesce(t.c, 0) AS ct, coalesce(y.c, 0) AS cgh, n, v,
+  (coalesce(b.c, 0) + 50 * CASE WHEN u.c IS NULL THEN d * v / n ELSE (u.c - d) / n END) / (coalesce(x.c, 0) + 50) AS p2
+  FROM pre p CROSS JOIN st LEFT JOIN uni u ON u.w = p.w LEFT JOIN bi b ON b.h = p.h AND b.w = p.w LEFT JOIN ctx x ON x.h = p.h
+  LEFT JOIN tri t ON t.g = p.g AND t.h = p.h AND t.w = p.w LEFT JOIN bi y ON y.h = p.g AND y.w = p.h)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (cw > 0) AS n_known, any_value(n) AS train_tokens,
-  round(sum(log10((cw + 1) / (n + 1 * (v + 1)))), 6) AS base_score, round(sum(log10((cb + 50 * pr) / (ch + 50))), 6) AS score FROM q GROUP BY rid, doc_id, held_out""",
+  round(sum(log10((cw + 1) / (n + 1 * (v + 1)))), 6) AS base_score, round(sum(log10(CASE WHEN g IS NULL THEN p2 ELSE (ct + 5 * p2) / (cgh + 5) END)), 6) AS score FROM q GROUP BY rid, doc_id, held_out""",
     # What is left of the pages of the tables: the blocks of each article.
     "op8_html_extraction": r"""
 WITH a AS (SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '<br>', ' ') AS h FROM pages),

@@ -347,37 +347,84 @@ def lm_tokens(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
 
 
-def brute_lm(texts, held, mu):
-    uni, bi, n_train = collections.Counter(), collections.Counter(), 0
+def brute_lm(texts, held, mu, order=3):
+    """A plain backoff loop over dictionaries of n-grams."""
+    count, n_train = collections.Counter(), 0
     for t, h in zip(texts, held):
         if not h:
-            w = lm_tokens(t)
-            uni.update(w)
-            bi.update(zip(["<s>", *w], w))
+            w = ["<s>", *lm_tokens(t)]
+            count.update(tuple(w[i - n + 1 : i + 1]) for i in range(1, len(w)) for n in range(1, order + 1) if i - n + 1 >= 0)
             n_train += 1
+    uni = {k[0]: c for k, c in count.items() if len(k) == 1}
     n, v = sum(uni.values()), len(uni)
     one, two = (sum(1 for c in uni.values() if c == k) for k in (1, 2))
     d = one / (one + 2 * two) if one else 0.5
+    seen = lambda h: n_train if h == ("<s>",) else count[h]
+
+    def weight(h, x):
+        """The arc of state h for x, or its failure arc and what follows."""
+        if not h:
+            return math.log10((uni[x] - d) / n if x in uni else d * v / n)
+        m = mu[len(h) - 1]
+        if count[(*h, x)]:
+            return math.log10((count[(*h, x)] + m * 10 ** weight(h[1:], x)) / (seen(h) + m))
+        return (math.log10(m / (seen(h) + m)) if seen(h) else 0.0) + weight(h[1:], x)
+
     out = []
     for t in texts:
-        w = lm_tokens(t)
-        base = sum(math.log10((uni[x] + 1) / (n + 1 * (v + 1))) for x in w)
-        score = 0.0
-        for h, x in zip(["<s>", *w], w):
-            p, c = ((uni[x] - d) / n if uni[x] else d * v / n), (n_train if h == "<s>" else uni[h])
-            score += math.log10((bi[h, x] + mu * p) / (c + mu))
-        out.append((len(w), sum(uni[x] > 0 for x in w), n, base, score))
+        w = ["<s>", *lm_tokens(t)]
+        base = sum(math.log10((uni.get(x, 0) + 1) / (n + 1 * (v + 1))) for x in w[1:])
+        score = sum(weight(tuple(w[max(0, i - order + 1) : i]), w[i]) for i in range(1, len(w))) if n else 0.0
+        out.append((len(w) - 1, sum(x in uni for x in w[1:]), n, base, score))
     return out
 
 
-def test_language_model_against_brute_force(spark):
-    texts = [words(random.Random(i).randrange(0, 60), i, 50) for i in range(120)] + [None, "", "New words only", "W1 w1 W2"]
-    held = [i % 7 == 2 for i in range(len(texts))]
-    got = langmodel.score_corpus(frame(spark, texts), held_out=F.col("doc_id") % 7 == 2, block_bytes=2000).orderBy("doc_id").collect()
-    for row, h, want in zip(got, held, brute_lm(texts, held, 50.0)):
+LM_TEXTS = [words(random.Random(i).randrange(0, 60), i, 50) for i in range(120)] + [None, "", "New words only", "W1 w1 W2", words(1500, 5, 40), "zzz", "w1 zzz w2"]
+
+
+@pytest.mark.parametrize("order, fan, block, slice_keys", [(3, 12, 2000, 1 << 20), (4, 12, 1 << 20, 50), (3, 2, 600, 200), (2, 3, 300, 100)])
+def test_language_model_against_brute_force(spark, monkeypatch, order, fan, block, slice_keys):
+    """One level of asking, and several (groups of 3 blocks)."""
+    monkeypatch.setattr(langmodel, "FAN", fan)
+    monkeypatch.setattr(langmodel, "GROUP", 3)
+    mu = (50.0, 5.0, 2.0)
+    held = [i % 7 == 2 for i in range(len(LM_TEXTS))]
+    got = langmodel.score_corpus(frame(spark, LM_TEXTS), held_out=F.col("doc_id") % 7 == 2, order=order, mu=mu, block_bytes=block, slice_keys=slice_keys).orderBy("doc_id").collect()
+    for row, h, want in zip(got, held, brute_lm(LM_TEXTS, held, mu, order)):
         assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (h, *want[:3])
         assert row.base_score == pytest.approx(want[3], rel=1e-9) and row.score == pytest.approx(want[4], rel=1e-9, abs=1e-12)
-    assert langmodel.score_corpus(edge(spark)).count() == edge(spark).count() and langmodel.score_corpus(empty(spark)).count() == 0
+
+
+def test_language_model_edges(spark):
+    got = langmodel.score_corpus(edge(spark)).collect()
+    assert len(got) == edge(spark).count() and all(r.score < 0 for r in got) and {r.n_tokens for r in got if r.doc_id in (0, 1, 2)} == {1}
+    assert langmodel.score_corpus(empty(spark)).count() == 0
+    none = langmodel.score_corpus(frame(spark, ["a b", None]), held_out=F.lit(True)).collect()
+    assert {(r.n_tokens, r.n_known, r.train_tokens, r.score) for r in none} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)}
+
+
+def test_automaton_states_sum_to_one():
+    """The probabilities that leave a state, over all known words and the unknown class, sum to 1; segments don't change a walk."""
+    w = np.concatenate([langmodel.tokens(t) for t in LM_TEXTS[:60]] + [langmodel.tokens("unknown"), langmodel.tokens(LM_TEXTS[124])])
+    sizes = np.array([len(langmodel.tokens(t)) for t in LM_TEXTS[:60]] + [2, 1501])
+    n = int(sizes[:60].sum())
+    counts = []
+    for at, keys in langmodel.ngram_keys(w, sizes, 3):
+        every, _, number = langmodel._distinct(keys)
+        counts.append(np.bincount(number[at < n], minlength=len(every)).astype(float))
+    kinds = int((counts[0] > 0).sum())
+    machine = langmodel.Automaton(w, sizes, 3, counts, 60, n, kinds, 0.5, [50.0, 5.0])
+    known = np.flatnonzero(machine.known)
+    unknown = np.flatnonzero(~machine.known)[:1]
+    some = np.concatenate((known, unknown))
+    word = known[known != machine.word[sizes[0] - 1]]  # no state follows the end token
+    one, _ = machine.step(np.zeros(len(word), np.int64), word)
+    two, _ = machine.step(np.repeat(one, len(word)), np.tile(word, len(word)))
+    assert len({0, 1, *one, *two}) > 500
+    for state in sorted({0, 1, *one[:20].tolist(), *two[::5].tolist()}):
+        _, weight = machine.step(np.full(len(some), state), some)
+        assert (10**weight).sum() == pytest.approx(1)
+    assert machine.walk(sizes, 7) == pytest.approx(machine.walk(sizes, 10_000))
 
 
 # 8 -------------------------------------------------------------------------------------------------------------------

@@ -38,26 +38,27 @@ GROUP = 64  # blocks that are merged where slices must be finer
 SEGMENT = 256  # words of a text that one lane of the walk reads
 
 
-class _Hashes(dict):
+class _Numbers(dict):
+    """word -> its number in a block."""
+
     def __missing__(self, w):
-        import xxhash
+        n = self[w] = len(self)
+        return n
 
-        if len(self) > 400_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
 
+def numbered(text: str | None, numbers: _Numbers) -> np.ndarray:
+    """The words of a text and the end token (None) by number."""
+    ws = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    x = np.empty(len(ws) + 1, np.int64)
+    x[:-1] = np.fromiter(map(numbers.__getitem__, ws), np.int64, len(ws))
+    x[-1] = numbers[None]
+    return x
 
-_HASH = _Hashes()
 
+def word_hashes(numbers: _Numbers) -> np.ndarray:
+    import xxhash
 
-def tokens(text: str | None) -> np.ndarray:
-    """Word hashes of a text and the end token."""
-    ws = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-    x = np.empty(len(ws) + 1, np.uint64)
-    x[:-1] = np.fromiter(map(_HASH.__getitem__, ws), np.uint64, len(ws))
-    x[-1] = END
-    return x
+    return np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,12 +67,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def ngram_keys(w: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per order 1, 2, ...: the positions at which an n-gram ends (it may begin with one begin mark), and its hash."""
+def ngrams(vocabulary: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order: int):
+    """For order 1, 2, ... in turn, of the n-grams that end at each place of a block's texts (they may begin with one begin mark): their places, their
+    sorted distinct hashes, the place of one of each, the distinct number of every place."""
     start = np.cumsum(sizes) - sizes
-    place = np.arange(len(w)) - np.repeat(start, sizes)
-    key = _mix(w + np.uint64(0x7F4A7C15))
-    out = [(np.arange(len(w)), key)]
+    place = np.arange(len(codes)) - np.repeat(start, sizes)
+    word_keys = _mix(vocabulary + np.uint64(0x7F4A7C15))
+    every, _, number = _distinct(word_keys)
+    number = number[codes]
+    some = np.zeros(len(every), np.int64)
+    some[number] = np.arange(len(codes))
+    yield np.arange(len(codes)), every, some, number
+    key, w = word_keys[codes], vocabulary[codes]
     for n in range(2, order + 1):
         before = np.empty_like(key)
         before[1:] = key[:-1]
@@ -79,8 +86,8 @@ def ngram_keys(w: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.nd
             before[start] = BEGIN
         key = _mix(before * np.uint64(0x9E3779B97F4A7C15) + w + np.uint64(n))
         at = np.flatnonzero(place >= n - 2)
-        out.append((at, key[at]))
-    return out
+        every, some, number = _distinct(key[at])
+        yield at, every, at[some], number
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,18 +102,22 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Unsigned integers as their low bytes, all lowest bytes first; the first byte says how many bytes each has."""
+    """Unsigned integers as the bytes that all but one in 200 need, all lowest bytes first; the others stand whole behind, with their places."""
     x = np.ascontiguousarray(x, "<u8")
-    n = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([n]) + x.view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+    most = int(np.partition(x, k)[k]) if (k := len(x) - 1 - len(x) // 200) >= 0 else 0
+    n = max(1, (most.bit_length() + 7) // 8)
+    far = np.flatnonzero(x >> np.uint64(8 * n)) if n < 8 else np.zeros(0, np.int64)
+    return bytes([n]) + len(far).to_bytes(4, "little") + far.astype("<u4").tobytes() + x[far].tobytes() + x.view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    n = b[0]
-    planes = np.frombuffer(b, np.uint8, offset=1).reshape(n, -1)
+    n, m = b[0], int.from_bytes(b[1:5], "little")
+    planes = np.frombuffer(b, np.uint8, offset=5 + 12 * m).reshape(n, -1)
     x = np.zeros((planes.shape[1], 8), np.uint8)
     x[:, :n] = planes.T
-    return x.view("<u8").ravel()
+    x = x.view("<u8").ravel()
+    x[np.frombuffer(b, "<u4", m, 5)] = np.frombuffer(b, "<u8", m, 5 + 4 * m)
+    return x
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
@@ -191,12 +202,12 @@ def _resolve(asks: DataFrame, members: int, done: int, bits: int) -> tuple[DataF
 class Automaton:
     """The part of the model that a block's texts can reach. counts: per order the training counts of the distinct n-grams, in the order of their keys."""
 
-    def __init__(self, w: np.ndarray, sizes: np.ndarray, order: int, counts: list[np.ndarray], n_texts: int, n_train: int, kinds: int, discount: float, mu: list[float]):
+    def __init__(self, vocabulary: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order: int, counts: list[np.ndarray], n_texts: int, n_train: int, kinds: int, discount: float, mu: list[float]):
         start = np.cumsum(sizes) - sizes
-        first = np.zeros(len(w), bool)
+        first = np.zeros(len(codes), bool)
         first[start] = True
-        grams = ngram_keys(w, sizes, order)
-        _, rep, self.word = _distinct(grams[0][1])
+        grams = ngrams(vocabulary, codes, sizes, order)
+        _, _, rep, self.word = next(grams)
         c = counts[0]
         known = c > 0
         self.order, self.words = order, len(rep)
@@ -211,9 +222,8 @@ class Automaton:
         context, context_count, lower = np.where(known, state, 0)[self.word], c[self.word], self.word  # of the (n-1)-gram that ends at each place
         arc_key, arc_weight, arc_target = [], [], []
         for n in range(2, order + 1):
-            at, keys = grams[n - 1]
-            _, some, number = _distinct(keys)
-            c, rep = counts[n - 1], at[some]
+            at, _, rep, number = next(grams)
+            c = counts[n - 1]
             seen = c > 0
             # The context of each n-gram ends one place before it; a text's first place has the begin mark's.
             begins = first[rep] if n == 2 else np.zeros(len(rep), bool)
@@ -232,7 +242,7 @@ class Automaton:
             arc_weight.append(np.log10(p[seen]))
             arc_target.append(target[seen])
             if n < order:
-                here, here_count, here_lower = np.zeros(len(w), np.int64), np.zeros(len(w)), np.zeros(len(w), np.int64)
+                here, here_count, here_lower = np.zeros(len(codes), np.int64), np.zeros(len(codes)), np.zeros(len(codes), np.int64)
                 here[at], here_count[at], here_lower[at] = state[number], c[number], number
                 # Where no n-gram ends (a text's first places), no longer n-gram asks for it.
                 context, context_count, lower = here, here_count, here_lower
@@ -255,6 +265,8 @@ class Automaton:
             if not len(todo):
                 break
             key = s * self.words + w
+            by = np.argsort(key)  # neighbours are found in neighbouring memory
+            todo, s, w, key = todo[by], s[by], w[by], key[by]
             arc = np.minimum(np.searchsorted(self.arc_key, key), len(self.arc_key) - 1)
             hit = self.arc_key[arc] == key if len(self.arc_key) else np.zeros(len(key), bool)
             i, arc = todo[hit], arc[hit]
@@ -286,7 +298,7 @@ class Automaton:
         return np.bincount(text, weights=total, minlength=len(sizes))
 
 
-def score_corpus(docs: DataFrame, *, doc_id="doc_id", text="text", held_out=None, order=3, mu=(50.0, 5.0), block_bytes=8 << 20, slice_keys=1 << 20) -> DataFrame:
+def score_corpus(docs: DataFrame, *, doc_id="doc_id", text="text", held_out=None, order=3, mu=(50.0, 5.0), block_bytes=4 << 20, slice_keys=1 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column of docs' own
     columns; its rows teach nothing. mu: the weight of the lower order, from order 2 on (the last one for all above)."""
     mu = [float(mu[min(n, len(mu) - 1)]) for n in range(order - 1)]
@@ -297,20 +309,19 @@ def score_corpus(docs: DataFrame, *, doc_id="doc_id", text="text", held_out=None
     def to_blocks(batches):
         from pyspark import TaskContext
 
-        number, held, size = TaskContext.get().partitionId() << 36, [], 0
+        number, held, size, words = TaskContext.get().partitionId() << 36, [], 0, _Numbers()
 
         def block():
-            nonlocal number, held, size
+            nonlocal number, held, size, words
             number += 1
             sizes = np.fromiter((len(x) for _, _, x in held), np.int64, len(held))
-            vocabulary, codes = np.unique(np.concatenate([x for _, _, x in held]), return_inverse=True)
-            row = (number, int(sizes.sum()), sum(not h for _, h, _ in held), [d for d, _, _ in held], [h for _, h, _ in held], _pack(sizes), vocabulary.tobytes(), _pack(codes))
-            held, size = [], 0
+            row = (number, int(sizes.sum()), sum(not h for _, h, _ in held), [d for d, _, _ in held], [h for _, h, _ in held], _pack(sizes), word_hashes(words).tobytes(), _pack(np.concatenate([x for _, _, x in held])))
+            held, size, words = [], 0, _Numbers()
             return _table(kept, [row]).to_batches()
 
         for batch in batches:
             for d, t, h in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["held"].to_pylist()):
-                x = tokens(t)
+                x = numbered(t, words)
                 held.append((d, h, x))
                 size += 6 * len(x)
                 if size >= block_bytes:
@@ -324,16 +335,15 @@ def score_corpus(docs: DataFrame, *, doc_id="doc_id", text="text", held_out=None
     first = min(bits, FAN)
 
     def unpacked(row):
-        return np.frombuffer(row["vocabulary"], np.uint64)[_unpack(row["codes"]).astype(np.int64)], _unpack(row["sizes"]).astype(np.int64), np.array(row["held"], bool)
+        return np.frombuffer(row["vocabulary"], np.uint64), _unpack(row["codes"]).astype(np.int64), _unpack(row["sizes"]).astype(np.int64), np.array(row["held"], bool)
 
     def requests(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                w, sizes, held = unpacked(row)
+                vocabulary, codes, sizes, held = unpacked(row)
                 train = np.repeat(~held, sizes)
-                for n, (at, keys) in enumerate(ngram_keys(w, sizes, order), 1):
-                    every, _, number = _distinct(keys)
+                for n, (at, every, _, number) in enumerate(ngrams(vocabulary, codes, sizes, order), 1):
                     count = np.bincount(number, weights=train[at], minlength=len(every)).astype(np.uint64)
                     yield from _table(_ASK, list(_asks(every, count, row["block"], n, 0, first))).to_batches()
 
@@ -346,17 +356,17 @@ def score_corpus(docs: DataFrame, *, doc_id="doc_id", text="text", held_out=None
         if not block.num_rows:
             return _table(out, [])
         row = block.to_pylist()[0]
-        w, sizes, held = unpacked(row)
+        vocabulary, codes, sizes, held = unpacked(row)
         by: dict[int, list] = {n: [] for n in range(1, order + 1)}
         for n, _, c in sorted(zip(told["order"].to_pylist(), told["slice"].to_pylist(), told["counts"].to_pylist())):
             by[n].append(_unpack(c).astype(np.float64))
         counts = [np.concatenate(by[n]) if by[n] else np.zeros(0) for n in by]
         add = lambda x: np.add.reduceat(x, np.cumsum(sizes) - sizes)
         if n_train:
-            machine = Automaton(w, sizes, order, counts, n_texts, n_train, kinds, discount, mu)
+            machine = Automaton(vocabulary, codes, sizes, order, counts, n_texts, n_train, kinds, discount, mu)
             c, word, score = machine.count, machine.word, machine.walk(sizes)
         else:
-            c, word, score = counts[0], _distinct(ngram_keys(w, sizes, 1)[0][1])[2], np.zeros(len(sizes))
+            c, word, score = counts[0], next(ngrams(vocabulary, codes, sizes, 1))[3], np.zeros(len(sizes))
         base = np.log10((c + 1) / (n_train + 1 * (kinds + 1)))
         return _table(out, list(zip(row["docs"], held.tolist(), sizes.tolist(), add((c > 0).astype(np.int64)[word]).tolist(), add(base[word]).tolist(), score.tolist())))
 

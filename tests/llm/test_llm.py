@@ -403,17 +403,22 @@ def test_language_model_edges(spark):
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.score) for r in none} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)}
 
 
+def test_packed_numbers():
+    r = np.random.default_rng(1)
+    for x in (np.zeros(0, np.uint64), np.array([0, 1], np.uint64), r.integers(0, 1 << 63, 1000).astype(np.uint64), np.concatenate((np.ones(5000, np.uint64), [np.uint64(2**64 - 1)]))):
+        assert (langmodel._unpack(langmodel._pack(x)) == x).all() and (langmodel._unpack_sorted(langmodel._pack_sorted(np.sort(x))) == np.sort(x)).all()
+    assert len(langmodel._pack(np.concatenate((np.ones(5000), [2**40])).astype(np.uint64))) < 5100
+
+
 def test_automaton_states_sum_to_one():
     """The probabilities that leave a state, over all known words and the unknown class, sum to 1; segments don't change a walk."""
-    w = np.concatenate([langmodel.tokens(t) for t in LM_TEXTS[:60]] + [langmodel.tokens("unknown"), langmodel.tokens(LM_TEXTS[124])])
-    sizes = np.array([len(langmodel.tokens(t)) for t in LM_TEXTS[:60]] + [2, 1501])
+    numbers = langmodel._Numbers()
+    texts = [langmodel.numbered(t, numbers) for t in [*LM_TEXTS[:60], "unknown", LM_TEXTS[124]]]
+    vocabulary, codes, sizes = langmodel.word_hashes(numbers), np.concatenate(texts), np.array([len(x) for x in texts])
     n = int(sizes[:60].sum())
-    counts = []
-    for at, keys in langmodel.ngram_keys(w, sizes, 3):
-        every, _, number = langmodel._distinct(keys)
-        counts.append(np.bincount(number[at < n], minlength=len(every)).astype(float))
+    counts = [np.bincount(number[at < n], minlength=len(every)).astype(float) for at, every, _, number in langmodel.ngrams(vocabulary, codes, sizes, 3)]
     kinds = int((counts[0] > 0).sum())
-    machine = langmodel.Automaton(w, sizes, 3, counts, 60, n, kinds, 0.5, [50.0, 5.0])
+    machine = langmodel.Automaton(vocabulary, codes, sizes, 3, counts, 60, n, kinds, 0.5, [50.0, 5.0])
     known = np.flatnonzero(machine.known)
     unknown = np.flatnonzero(~machine.known)[:1]
     some = np.concatenate((known, unknown))

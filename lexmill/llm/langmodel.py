@@ -11,7 +11,7 @@ walked in segments that read order - 1 words ahead; all segments of a block step
 
 The n-grams of a corpus fit no single memory, so neither counts nor automaton are gathered in one place.
 Each task turns its documents into blocks of about `block_bytes` of text (word numbers and the block's vocabulary), written once. Each block
-asks, for the distinct n-grams it holds (hashed to 64 bits, sorted, in slices by hash), for the training counts; each slice of the hash
+asks, for the distinct n-grams it holds (hashed to BITS bits, sorted, in slices by hash), for the training counts; each slice of the hash
 range sums what the blocks have counted and answers every block; a block's answers are the part of the automaton that
 its texts can reach, which is built and walked in one task. A block sends at most 2^FAN slices of each order, whatever the corpus: where slices
 must be finer, groups of blocks are merged per slice, and the merged keys ask further as blocks do. What is shuffled grows with
@@ -33,7 +33,8 @@ from .common import discard, materialize
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 END, BEGIN = np.uint64(0x51ED270B), np.uint64(0x2545F491)
-FAN = 12  # bits of a hash by which one level of asking is cut
+BITS = 56  # of the hashes by which n-grams are told apart
+FAN = 13  # bits of a hash by which one level of asking is cut
 GROUP = 64  # blocks that are merged where slices must be finer
 SEGMENT = 256  # words of a text that one lane of the walk reads
 
@@ -73,7 +74,7 @@ def ngrams(vocabulary: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order:
     start = np.cumsum(sizes) - sizes
     place = np.arange(len(codes)) - np.repeat(start, sizes)
     word_keys = _mix(vocabulary + np.uint64(0x7F4A7C15))
-    every, _, number = _distinct(word_keys)
+    every, _, number = _distinct(word_keys >> np.uint64(64 - BITS))
     number = number[codes]
     some = np.zeros(len(every), np.int64)
     some[number] = np.arange(len(codes))
@@ -86,7 +87,7 @@ def ngrams(vocabulary: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order:
             before[start] = BEGIN
         key = _mix(before * np.uint64(0x9E3779B97F4A7C15) + w + np.uint64(n))
         at = np.flatnonzero(place >= n - 2)
-        every, some, number = _distinct(key[at])
+        every, some, number = _distinct(key[at] >> np.uint64(64 - BITS))
         yield at, every, at[some], number
 
 
@@ -143,11 +144,14 @@ def _table(schema: T.StructType, rows: list[tuple]):
 
 def _asks(keys: np.ndarray, counts: np.ndarray, member: int, order: int, done: int, bits: int):
     """Rows of _ASK for sorted keys that agree in their first `done` bits, in slices by the next `bits`."""
-    edges = np.searchsorted(keys >> np.uint64(64 - done - bits), (np.uint64(int(keys[0]) >> (64 - done) << bits if done else 0) + np.arange(1, 1 << bits, dtype=np.uint64))) if len(keys) else []
-    cut = [0, *edges, len(keys)]
+    if not len(keys):
+        return
+    rest = BITS - done - bits
+    base = np.uint64(int(keys[0]) >> (rest + bits) << bits)
+    cut = [0, *np.searchsorted(keys >> np.uint64(rest), base + np.arange(1, 1 << bits, dtype=np.uint64)), len(keys)]
     for a, b in zip(cut, cut[1:]):
         if b > a:
-            yield int(keys[a]) >> (64 - done - bits), member, order, _pack_sorted(keys[a:b]), _pack(counts[a:b])
+            yield int(keys[a]) >> rest, member, order, _pack_sorted(keys[a:b]), _pack(counts[a:b])
 
 
 def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,7 +302,7 @@ class Automaton:
         return np.bincount(text, weights=total, minlength=len(sizes))
 
 
-def score_corpus(docs: DataFrame, *, doc_id="doc_id", text="text", held_out=None, order=3, mu=(50.0, 5.0), block_bytes=4 << 20, slice_keys=1 << 20) -> DataFrame:
+def score_corpus(docs: DataFrame, *, doc_id="doc_id", text="text", held_out=None, order=3, mu=(50.0, 5.0), block_bytes=8 << 20, slice_keys=1 << 21) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column of docs' own
     columns; its rows teach nothing. mu: the weight of the lower order, from order 2 on (the last one for all above)."""
     mu = [float(mu[min(n, len(mu) - 1)]) for n in range(order - 1)]

@@ -382,7 +382,7 @@ def brute_lm(texts, held, mu, order=3):
 LM_TEXTS = [words(random.Random(i).randrange(0, 60), i, 50) for i in range(120)] + [None, "", "New words only", "W1 w1 W2", words(1500, 5, 40), "zzz", "w1 zzz w2"]
 
 
-@pytest.mark.parametrize("order, fan, block, slice_keys", [(3, 12, 2000, 1 << 20), (4, 12, 1 << 20, 50), (3, 2, 600, 200), (2, 3, 300, 100)])
+@pytest.mark.parametrize("order, fan, block, slice_keys", [(3, 13, 2000, 1 << 20), (4, 13, 1 << 20, 50), (3, 2, 600, 200), (2, 3, 300, 100)])
 def test_language_model_against_brute_force(spark, monkeypatch, order, fan, block, slice_keys):
     """One level of asking, and several (groups of 3 blocks)."""
     monkeypatch.setattr(langmodel, "FAN", fan)

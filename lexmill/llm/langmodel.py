@@ -302,7 +302,7 @@ class Automaton:
         return np.bincount(text, weights=total, minlength=len(sizes))
 
 
-def score_corpus(docs: DataFrame, *, doc_id="doc_id", text="text", held_out=None, order=3, mu=(50.0, 5.0), block_bytes=8 << 20, slice_keys=1 << 21) -> DataFrame:
+def score_corpus(docs: DataFrame, *, doc_id="doc_id", text="text", held_out=None, order=3, mu=(50.0, 5.0), block_bytes=6 << 20, slice_keys=1 << 21) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column of docs' own
     columns; its rows teach nothing. mu: the weight of the lower order, from order 2 on (the last one for all above)."""
     mu = [float(mu[min(n, len(mu) - 1)]) for n in range(order - 1)]

@@ -1,16 +1,19 @@
-"""Toxicity by a support vector machine on a gap-weighted subsequence kernel, with Nystroem landmarks.
-
-Kernel: two words are compared by the triples of letters that both hold in order, with gaps; a triple that spans d letters
-more than three weighs decay^d, up to `span` letters; the kernel is normalised. Inserted characters therefore lower a
-similarity instead of ending it. Marks inside a word are left out, letters written one by one are joined.
-Learning: from a sample of at most about `sample_docs` labelled documents of each label (taken evenly by a hash of the id), split into
-sentences; equal sentences count once. Words that stand in more toxic sentences than chance allows are the
-positive examples, with copies that have a character inserted; other words are the negative ones. Landmarks are chosen
-greedily among the positive examples by kernel distance, with some negative ones; words are mapped to K(word, landmarks)
-K(landmarks, landmarks)^-1/2 and a linear machine with squared hinge loss is trained there. Its weights fold back into one
-table over letter triples, so a word is scored by summing table entries, without the landmarks. The machine knows
-single words only: what is toxic by several ordinary words together scores as clean, whatever the labels say.
-Scoring: a text scores the highest value among its words (the machine's bias if none has one), turned into a
+"""Toxicity by a support vector machine on a string kernel of sentences, with Nystroem landmarks.
+
+Kernel of words: the triples of letters (borders are letters, too) that both hold in order, with gaps; a triple that spans d letters
+more than three weighs decay^d, up to `SPAN` letters; it is divided by a word's norm as its length gives it. Inserted
+characters therefore lower a similarity instead of ending it. Marks inside a word are left out, letters written one by one are joined.
+Kernel of sentences: the sum over all pairs of their words, over the root of both numbers of words. A sentence of more than CLAUSE words is
+read in overlapping clauses of that size.
+Learning: from a sample of at most about `sample_docs` labelled documents of each label (taken evenly by a hash of the id; texts of more than
+`sample_bytes` bytes teach nothing), split into sentences; equal ones count once. Sentences of toxic documents that hold a word which
+stands in more toxic sentences than chance allows are positive examples, with copies in which that word has a character
+inserted; the other sentences of toxic documents teach nothing. Sentences of benign
+documents, about `most` of their clauses by lot, are negative ones (as many positive ones at most): `benign` of them at first, and in each round at most `hard` more that the machine takes for toxic. Landmarks are
+one-word sentences, chosen greedily among the words of positive examples by kernel distance, and the benign words most like them; sentences are mapped to
+K(sentence, landmarks) K(landmarks, landmarks)^-1/2 and a linear machine with squared hinge loss is trained on them. Its weights fold back into one
+table over hashed triples of 2^TABLE entries, so a sentence is scored by summing table entries, without the landmarks.
+Scoring: a text scores the highest value among its sentences (the machine's bias if it has none), turned into a
 probability by a logistic fit on the sample, whose labels are weighted to their true shares.
 
 Defined cases: null and empty texts score as texts without a suspicious word. Texts are scored whole, whatever their
@@ -35,6 +38,8 @@ SPAN, DECAY = 6, 0.7
 #: (first step, second step, weight) of the triples in a span.
 _STEPS = [(a, b, DECAY ** (a + b - 2)) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 _SENTENCE = re.compile(r"[.!?\n]+")
+TABLE = 22  # bits of a hashed triple
+CLAUSE = 2
 
 
 def plain(word: str) -> str:
@@ -61,96 +66,78 @@ def spelled(words: list[str]) -> list[str]:
 FIRST, LAST = "<", ">"
 
 
-def triples(word: str) -> dict[str, float]:
-    """Weight of each triple of letters and borders in a word."""
-    out: dict[str, float] = {}
-    word = FIRST + word + LAST if word else ""
+def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number, hashed triple, weight over the word's norm) of every triple of letters and borders; empty words have none."""
+    words = [FIRST + w + LAST if w else "" for w in words]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+    word = np.repeat(np.arange(len(words)), sizes)
+    norm = np.sqrt(np.maximum(sum(w * w * np.maximum(sizes - a - b, 0) for a, b, w in _STEPS), 1e-9))
+    rows, cols, vals = [], [], []
+    one, two, three = (points * np.uint32(k) for k in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
     for a, b, w in _STEPS:
-        for i in range(len(word) - a - b):
-            k = word[i] + word[i + a] + word[i + a + b]
-            out[k] = out.get(k, 0.0) + w
-    return out
+        n = len(points) - a - b
+        if n <= 0:
+            continue
+        at = np.flatnonzero(word[:n] == word[a + b :])
+        x = one[at] ^ (two[at + a] >> np.uint32(5)) ^ (two[at + a] << np.uint32(11)) ^ (three[at + a + b] << np.uint32(7)) ^ (three[at + a + b] >> np.uint32(3))
+        rows.append(word[at])
+        cols.append(((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - TABLE))
+        vals.append(w / norm[word[at]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *cols]).astype(np.int64), np.concatenate([np.zeros(0), *vals])
 
 
-def _matrix(words: list[str], index: dict[str, int], grow: bool):
-    """Sparse rows (row, column, value) of normalised triple weights."""
-    rows, cols, vals = [], [], []
-    for r, w in enumerate(words):
-        t = triples(w)
-        norm = math.sqrt(sum(v * v for v in t.values())) or 1.0
-        for k, v in t.items():
-            c = index.setdefault(k, len(index)) if grow else index.get(k)
-            if c is not None:
-                rows.append(r)
-                cols.append(c)
-                vals.append(v / norm)
-    return np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals)
+class Units(dict):
+    """raw word -> its plain form, for words met before; bounded."""
+
+    def __missing__(self, w):
+        if len(self) > 400_000:
+            self.clear()
+        x = self[w] = plain(w)
+        return x
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """The raw words of a text's sentences."""
+    return [ws for s in _SENTENCE.split(text) if (ws := s.split())] if text else []
 
 
 class Scorer:
-    """f(word) = bias + sum of its triples' weights / its norm; then a logistic on a text's highest value."""
-
-    CLOSE = -0.6  # words whose bound lies under this count as the bias
-
-    def __init__(self, weights: dict[str, float], bias: float, slope: float, shift: float):
-        self.bias, self.slope, self.shift, self.weights = bias, slope, shift, weights
-        letters = sorted({c for k in weights for c in k})
-        self.codes = np.zeros(0x30000, np.int64)
-        self.codes[[min(ord(c), 0x2FFFF) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.size = len(letters) + 1
-        self.table = np.zeros(self.size**3, np.float32)
-        code = {c: i + 1 for i, c in enumerate(letters)}
-        for k, v in weights.items():
-            self.table[(code[k[0]] * self.size + code[k[1]]) * self.size + code[k[2]]] = v
-
-    def exact(self, word: str) -> float:
-        t = triples(word)
-        norm = math.sqrt(sum(v * v for v in t.values()))
-        return self.bias + (sum(v * self.weights.get(k, 0.0) for k, v in t.items()) / norm if norm else 0.0)
+    """f(sentence) = bias + sum of its words' values / root of their number; then a logistic on a text's highest value."""
+
+    def __init__(self, columns: np.ndarray, weights: np.ndarray, bias: float, slope: float, shift: float):
+        self.bias, self.slope, self.shift = bias, slope, shift
+        self.table = np.zeros(1 << TABLE, np.float32)
+        self.table[columns] = weights
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Values of plain words. A triple that repeats in a word makes the true norm larger than the one summed
-        here, so this value is a bound; words that come close by it are worked out exactly."""
-        out = np.full(len(words), self.bias)
-        if not words:
-            return out
-        words = [FIRST + w + LAST if w else "" for w in words]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = self.codes[np.minimum(points, 0x2FFFF)]
-        word = np.repeat(np.arange(len(words)), sizes)
-        total = np.zeros(len(words))
-        s = self.size
-        for a, b, w in _STEPS:
-            n = len(code) - a - b
-            if n <= 0:
-                continue
-            same = word[:n] == word[a + b :]
-            v = self.table[(code[:n] * s + code[a : a + n]) * s + code[a + b :]]
-            hit = np.flatnonzero((v != 0) & same)
-            total += np.bincount(word[hit], weights=v[hit] * w, minlength=len(words))
-        norm = np.sqrt(sum(w * w * np.maximum(sizes - a - b, 0) for a, b, w in _STEPS))
-        bound = self.bias + np.where(norm > 0, total / np.maximum(norm, 1e-9), 0.0)
-        for i in np.flatnonzero((total > 0) & (bound > self.CLOSE)):
-            out[i] = max(self.bias, self.exact(words[i][1:-1]))
-        return out
+        """Values of plain words: the folded machine's sum over their triples."""
+        row, col, val = triples(words)
+        return np.bincount(row, weights=val * self.table[col], minlength=len(words))
+
+    def sentence(self, values: list[float]) -> float:
+        """The value of a sentence whose words have these values: of its highest clause, if it is long."""
+        if len(values) <= CLAUSE:
+            return self.bias + sum(values) / math.sqrt(len(values))
+        ends = np.concatenate(([0.0], np.cumsum(values)))
+        return self.bias + float((ends[CLAUSE:] - ends[:-CLAUSE]).max()) / math.sqrt(CLAUSE)
 
     def texts(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
-        """The highest word value of each text. known: values of words met before, by their raw form."""
-        split = [t.split() if t else [] for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
+        """The highest sentence of each text. known: values of words met before, by their raw form."""
+        split = [sentences(t) for t in texts]
+        new = list({w for t in split for s in t for w in s if w not in known})
         forms = [plain(w) for w in new]
         known.update(zip(new, self.words(forms).tolist()))
         single = known.setdefault("", set())  # words that spelled() may join; no word is empty
         single.update(w for w, p in zip(new, forms) if len(w) <= 3 and len(p) == 1)
         get, out = known.__getitem__, np.full(len(texts), self.bias)
-        for i, ws in enumerate(split):
-            if ws:
-                out[i] = max(map(get, ws))
-                if sum(map(single.__contains__, ws)) >= 3:
-                    joined = spelled(ws)
-                    if joined:
-                        out[i] = max(out[i], self.words(joined).max())
+        for i, (text, split_) in enumerate(zip(texts, split)):
+            if split_:
+                out[i] = max(self.bias, *(self.sentence([*map(get, s)]) for s in split_))
+                ws = text.split()
+                if sum(map(single.__contains__, (w for s in split_ for w in s))) >= 3 and (joined := spelled(ws)):
+                    out[i] = max(out[i], self.bias + self.words(joined).max())  # a joined word is a sentence of its own
         return out
 
     def probability(self, values: np.ndarray) -> np.ndarray:
@@ -167,15 +154,19 @@ def _tail(pos: int, n: int, share: float) -> float:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Primal squared-hinge machine by Newton steps over the rows inside the margin."""
-    z = np.hstack([x, np.ones((len(x), 1))])
+    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(z.shape[1])
     reg = np.full(z.shape[1], ridge * weight.sum())
     reg[-1] = 1e-9
     for _ in range(60):
-        margin = y * (z @ w)
-        inside = margin < 1
-        zi, wi = z[inside], weight[inside]
-        new = np.linalg.solve((zi * wi[:, None]).T @ zi + np.diag(reg), (zi * wi[:, None]).T @ y[inside])
+        a, b = np.diag(reg), np.zeros(len(w))
+        for lo in range(0, len(z), 8192):  # a few rows at a time in double precision
+            zi, yi = z[lo : lo + 8192].astype(np.float64), y[lo : lo + 8192]
+            inside = yi * (zi @ w) < 1
+            zi = zi[inside]
+            zw = zi * weight[lo : lo + 8192][inside, None]
+            a, b = a + zw.T @ zi, b + zw.T @ yi[inside]
+        new = np.linalg.solve(a, b)
         step = new - w
         w = w + step
         if np.abs(step).max() < 1e-8:
@@ -195,84 +186,139 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[dict, list]:
     return stat, sorted({(r.text or "", int(r.toxic)) for r in got})
 
 
-def _train(good: list[str], marked: list[str], benign: list[str], neg: Counter, landmarks: int) -> Scorer:
-    """The machine over Nystroem features, folded into weights of triples."""
-    words, n_pos = good + marked + benign, len(good) + len(marked)
-    y = np.array([1.0] * n_pos + [-1.0] * len(benign))
-    index: dict[str, int] = {}
-    _matrix(words[:n_pos], index, True)  # what no positive word holds counts in norms only
-    r, c, v = _matrix(words, index, False)
-    dense = np.zeros((len(words), len(index)), np.float32)
-    dense[r, c] = v
-    # Landmarks: each next one is the positive word least like those chosen; and the benign words most like them.
-    chosen, like = [0], dense[: len(good)] @ dense[0]
-    while len(chosen) < min(landmarks * 3 // 4, len(good)):
-        nxt = int(np.argmin(like))
-        if like[nxt] > 0.98:
-            break
-        chosen.append(nxt)
-        like = np.maximum(like, dense[: len(good)] @ dense[nxt])
-    close = (dense[n_pos:] @ dense[chosen].T).max(axis=1)
-    chosen += [n_pos + int(i) for i in np.argsort(-close, kind="stable")[: max(4, landmarks - len(chosen))]]
-    land = dense[chosen].astype(np.float64)
-    lam, vec = np.linalg.eigh(land @ land.T + 1e-6 * np.eye(len(chosen)))
-    root = vec @ np.diag(np.maximum(lam, 1e-6) ** -0.5) @ vec.T
-    x = (dense @ land.T.astype(np.float32)).astype(np.float64) @ root
-    often = np.array([1.0] * n_pos + [1.0 + math.log(max(neg[w], 1)) for w in benign])
-    balance = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 * often / often[n_pos:].sum()) * len(y)
-    w, bias = _svm(x, y, balance, 1e-5)
-    fold = land.T @ (root @ w)
-    names = list(index)
-    return Scorer({names[i]: float(fold[i]) for i in np.flatnonzero(np.abs(fold) > 1e-6)}, min(bias, -0.5), 1.0, 0.0)
-
-
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", toxic="toxic", sample_docs=2500, common_words=1500, other_words=3500, hard_words=4000, landmarks=224, rounds=4, seed=3) -> Scorer | float:
-    """A scorer from labelled documents, or the share of toxic labels where nothing can be learned. The sample goes to the driver.
-
-    Negative examples: the common_words most frequent benign words, other_words of the rest by lot, and in each round at most
-    hard_words that the machine takes for positive ones."""
+class _Words:
+    """Distinct words of the sample and their similarity to landmarks."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+
+    def of(self, sentence: list[str]) -> np.ndarray:
+        return np.array([self.number.setdefault(w, len(self.number)) for w in sentence], np.int64)
+
+    def dense(self, words: list[str], columns: np.ndarray) -> np.ndarray:
+        """Rows of weights over the given triples."""
+        row, col, val = triples(words)
+        at = np.minimum(np.searchsorted(columns, col), len(columns) - 1)
+        own = columns[at] == col
+        out = np.zeros((len(words), len(columns)), np.float32)
+        np.add.at(out, (row[own], at[own]), val[own])
+        return out
+
+    def features(self, columns: np.ndarray, maps: np.ndarray, part: int = 3000) -> np.ndarray:
+        """Every word's row over the triples, times maps."""
+        words = list(self.number)
+        out = np.zeros((len(words), maps.shape[1]), np.float32)
+        for lo in range(0, len(words), part):
+            row, col, val = triples(words[lo : lo + part])
+            at = np.minimum(np.searchsorted(columns, col), len(columns) - 1)
+            own = np.flatnonzero(columns[at] == col)
+            own = own[np.argsort(row[own], kind="stable")]
+            row, at, val = row[own], at[own], val[own].astype(np.float32)
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            if len(first):
+                out[lo + row[first]] = np.add.reduceat(maps[at] * val[:, None], first, axis=0)
+        return out
+
+
+def _rows(g: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """Features of sentences from those of their words."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.add.reduceat(g[np.concatenate(lists)], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes).astype(np.float32)[:, None]
+
+
+def _clauses(sentence: list[str]) -> list[list[str]]:
+    """A sentence, or its clauses."""
+    return [sentence[i : i + CLAUSE] for i in range(max(1, len(sentence) - CLAUSE + 1))]
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", toxic="toxic", sample_docs=2500, sample_bytes=64 << 10, most=100_000, benign=8_000, hard=8_000, landmarks=448, rounds=4, seed=3) -> Scorer | float:
+    """A scorer from labelled documents, or the share of toxic labels where nothing can be learned. The sample, bounded by sample_docs and
+    sample_bytes, goes to the driver."""
     marks = labels.filter(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
-    stat, sample = _sample(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), marks, sample_docs)
+    short = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).filter(F.col("text").isNull() | (F.octet_length("text") <= sample_bytes))
+    stat, sample = _sample(short, marks, sample_docs)
     n_pos, n_neg = stat.get(1, 0), stat.get(0, 0)
     prior = n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.0
     if not n_pos or not n_neg:
         return prior
-    pos, neg = Counter(), Counter()
-    seen: set[tuple[str, int]] = set()
-    for t, y in sample:
-        for s in _SENTENCE.split(t):
-            s = s.strip()
-            if s and (s, y) not in seen:
-                seen.add((s, y))
-                ws = s.split()
-                (pos if y else neg).update({p for p in map(plain, [*ws, *spelled(ws)]) if len(p) > 2})
-    all_pos = sum(1 for _, y in seen if y)
-    share = min(max(all_pos / max(len(seen), 1), 1e-6), 1 - 1e-6)
-    tried = [w for w, n in pos.items() if n >= 4]
+    form, lot = Units(), np.random.Generator(np.random.PCG64(seed))
+
+    def each(label: int):
+        """The distinct sentences of one label's texts as plain words; joined letters are sentences of their own."""
+        met = set()
+        for t, y in sample:
+            if y == label:
+                for s in [*sentences(t), *([j] for j in spelled(t.split()))]:
+                    ps = [p for p in map(form.__getitem__, s) if p]
+                    if ps and (h := hash(tuple(ps))) not in met:
+                        met.add(h)
+                        yield ps
+
+    count, number = {0: Counter(), 1: Counter()}, {0: 0, 1: 0}
+    clauses = 0
+    for y in (1, 0):
+        for ps in each(y):
+            number[y] += 1
+            count[y].update({w for w in ps if len(w) > 2 and (y or w in count[1])})
+            clauses += 0 if y else max(1, len(ps) - CLAUSE + 1)
+        if y:
+            count[1] = Counter({w: n for w, n in count[1].items() if n >= 2})
+    pos, neg = count[1], count[0]
+    share = min(max(number[1] / max(number[0] + number[1], 1), 1e-6), 1 - 1e-6)
+    tried = list(pos)
     good = [w for w in tried if _tail(pos[w], pos[w] + neg[w], share) * max(len(tried), 1) < 0.01 and pos[w] / (pos[w] + neg[w]) >= (1 + share) / 2]
     if not good:
         return prior
-    rng = np.random.Generator(np.random.PCG64(seed))
     good.sort(key=lambda w: (-pos[w], w))
-    common = sorted(neg, key=lambda w: (-neg[w], w))
     picked = set(good)
-    benign = [w for w in common[:common_words] if w not in picked]
-    rest = [w for w in common[common_words:] if w not in picked]
-    benign += [rest[i] for i in rng.permutation(len(rest))[:other_words]]
-    marked = []
-    for w in good:
+    words, rng = _Words(), np.random.Generator(np.random.PCG64(seed + 1))
+
+    def inserted(w: str) -> str:
         at = int(rng.integers(1, len(w)))
-        marked.append(w[:at] + "0123456789xzq"[int(rng.integers(0, 13))] + w[at:])
-    # Negative words that the machine takes for positive ones teach most; they join in rounds.
-    every, scorer = [w for w in common if w not in picked], None
-    for _ in range(rounds):
-        if scorer is not None:
-            value = scorer.words(every)
-            hard = np.flatnonzero(value > -0.6)
-            hard = hard[np.argsort(-value[hard], kind="stable")][:hard_words]
-            benign = list(dict.fromkeys(benign + [every[i] for i in hard]))
-        scorer = _train(good, marked, benign, neg, landmarks)
-    value, label = scorer.texts([t for t, _ in sample], {}), np.array([y for _, y in sample])
+        return w[:at] + "0123456789xzq"[int(rng.integers(0, 13))] + w[at:]
+
+    positive = [list(c) for c in dict.fromkeys(tuple(c) for s in each(1) if not picked.isdisjoint(s) for c in _clauses(s) if not picked.isdisjoint(c))]
+    positive = [positive[i] for i in np.sort(lot.permutation(len(positive))[:most])]
+    positive += [[inserted(w) if w in picked else w for w in c] for c in positive] + [[w] for w in good] + [[inserted(w)] for w in good]
+    plus = [words.of(c) for c in positive]
+    first_other = len(words.number)
+    part = min(1.0, most / max(clauses, 1))
+    every = [words.of(c) for s in each(0) if part == 1.0 or lot.random() < part for c in _clauses(s)]
+    if not every:
+        return prior
+    # Landmarks: each next one is the positive word least like those chosen; and the benign words most like them.
+    columns = np.unique(triples([*good, *map(inserted, good)])[1])
+    dense = words.dense(good, columns)
+    chosen, like = [0], dense @ dense[0]
+    while len(chosen) < min(landmarks * 3 // 4, len(good)):
+        nxt = int(np.argmin(like))
+        if like[nxt] > 0.98:
+            break
+        chosen.append(nxt)
+        like = np.maximum(like, dense @ dense[nxt])
+    names = list(words.number)
+    others = np.array([w not in picked for w in names]) & (np.arange(len(names)) >= first_other)  # words of benign sentences only
+    close = np.where(others, words.features(columns, np.ascontiguousarray(dense[chosen].T)).max(axis=1), -1.0)
+    extra = [i for i in np.argsort(-close, kind="stable")[: max(4, landmarks - len(chosen))] if close[i] > 0]
+    land = np.concatenate((dense[chosen], words.dense([names[i] for i in extra], columns))).astype(np.float64)
+    lam, vec = np.linalg.eigh(land @ land.T + 1e-6 * np.eye(len(land)))
+    maps = land.T @ (vec @ np.diag(np.maximum(lam, 1e-6) ** -0.5) @ vec.T)
+    g = words.features(columns, maps.astype(np.float32))
+    used = set(lot.permutation(len(every))[:benign].tolist())
+    x_pos, negative = _rows(g, plus), _rows(g, every)
+    del g, dense, close
+    for turn in range(rounds):
+        if turn:
+            value = negative @ w_ + bias
+            used.update(int(i) for i in np.argsort(-value, kind="stable")[:hard] if value[i] > -0.8)
+        x_neg = negative[sorted(used)]
+        y = np.concatenate((np.ones(len(x_pos)), -np.ones(len(x_neg))))
+        weight = np.where(y > 0, 0.5 / len(x_pos), 0.5 / len(x_neg)) * len(y)
+        w_, bias = _svm(np.concatenate((x_pos, x_neg)), y, weight, 1e-5)
+    scorer = Scorer(columns, (maps @ w_).astype(np.float32), float(bias), 1.0, 0.0)
+    del negative, x_pos, x_neg, every, plus, words
+    value = np.concatenate([scorer.texts([t for t, _ in sample[i : i + 100]], {}) for i in range(0, len(sample), 100)])
+    label = np.array([y for _, y in sample])
     scorer.slope, scorer.shift = _logistic(value, label, n_pos, n_neg)
     return scorer
 

@@ -205,28 +205,94 @@ def test_toxicity(spark):
     assert toxicity.learn(docs, labels.filter("toxic = 0")) == 0.0 and toxicity.score_texts(docs, 0.0).first().score == 0.0
 
 
-def test_toxicity_bound_is_exact_near_the_margin():
-    s = toxicity.Scorer({"<ab": 1.0, "abc": 2.0, "bcd": -1.0}, -0.5, 1.0, 0.0)
-    ws = ["abc", "abcd", "abcabc", "zzz", ""]
-    for w, v in zip(ws, s.words(ws)):
-        e = s.exact(w)
-        assert v == pytest.approx(max(e, s.bias)) or e <= s.CLOSE
-
+def kernel(u, v):
+    """The word kernel by enumerated subsequences of three letters and borders that span at most SPAN letters."""
+    import itertools
 
-def test_toxicity_takes_its_negative_words_by_parameters(spark, monkeypatch):
-    rows, seen = toxic_texts(300, 2), []
+    def weights(w):
+        w, out = f"<{w}>", collections.Counter()
+        for i, j, k in itertools.combinations(range(len(w)), 3):
+            if k - i < toxicity.SPAN:
+                out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    def norm(w):
+        return math.sqrt(sum(toxicity.DECAY ** (2 * (d - 2)) * (d - 1) * max(len(w) + 2 - d, 0) for d in range(2, toxicity.SPAN)))
+
+    a, b = weights(u), weights(v)
+    return sum(a[x] * b[x] for x in a) / norm(u) / norm(v)
+
+
+def test_word_kernel_against_enumerated_subsequences():
+    ws = ["a", "idiot", "id1iot", "idxiot", "abcabc", "réeux", "worthless", "worthwhile", "x" * 9]
+    row, col, val = toxicity.triples(ws)
+    dense = np.zeros((len(ws), 1 << toxicity.TABLE), np.float32)
+    np.add.at(dense, (row, col), val)
+    got = dense @ dense.T
+    assert all(got[i, j] == pytest.approx(kernel(u, v), rel=1e-4, abs=1e-5) for i, u in enumerate(ws) for j, v in enumerate(ws))
+    assert kernel("idiot", "idxiot") > 0.3 > kernel("idiot", "worthless")
+
+
+def test_folded_machine_equals_its_landmarks():
+    """The table gives what the machine's weights give over K(sentence, landmarks) K(landmarks, landmarks)^-1/2."""
+    land, sentence = ["idiot", "scum", "trash"], ["you", "idiots", "of", "trash"]
+    k = lambda a, b: np.array([[kernel(x, y) for y in b] for x in a])
+    lam, vec = np.linalg.eigh(k(land, land))
+    root = vec @ np.diag(lam**-0.5) @ vec.T
+    w = np.array([1.0, -0.5, 2.0])
+    words_ = toxicity._Words()
+    columns = np.unique(toxicity.triples(land)[1])
+    maps = words_.dense(land, columns).astype(float).T @ root
+    s = toxicity.Scorer(columns, maps @ w, -0.25, 1.0, 0.0)
+    assert s.words(sentence) == pytest.approx(k(sentence, land) @ root @ w, abs=1e-4)
+    words_.of(sentence)
+    assert words_.features(columns, maps.astype(np.float32)) == pytest.approx(k(sentence, land) @ root, abs=1e-4)
+    value = [s.words([w]).item() for w in sentence]
+    most = max(sum(value[i : i + toxicity.CLAUSE]) for i in range(len(value) - toxicity.CLAUSE + 1)) / math.sqrt(toxicity.CLAUSE)
+    assert s.texts(["You. of!\nyou idiots, of trash", None, ""], {}) == pytest.approx([-0.25 + max(most, value[0], value[2], 0), -0.25, -0.25], abs=1e-5)
+
+
+def test_machine_of_squared_hinge():
+    """Newton's point is the least one of the primal objective."""
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(200, 3)), np.where(r.random(200) < 0.5, 1.0, -1.0)
+    x[:, 0] += y
+    weight = r.random(200) + 0.5
+    w, b = toxicity._svm(x, y, weight, 1e-2)
+
+    def loss(w, b):
+        return 1e-2 * weight.sum() * (w @ w) + (weight * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum()
+
+    assert all(loss(w + d[:3], b + d[3]) >= loss(w, b) - 1e-6 for d in r.normal(size=(50, 4)) * 1e-3)
+
+
+def test_toxicity_of_two_ordinary_words(spark):
+    """Words that are toxic only side by side are learned from sentences."""
+    r, rows = random.Random(4), []
+    for i in range(500):
+        w = [f"{a}{b}{c}" for a, b, c in zip(*(r.choices(x, k=30) for x in (["ka", "lo", "mi"], ["ne", "pu", "ri"], ["so", "ta", "vu"])))]
+        y, at = i % 10, r.randrange(28)
+        w[at : at + 2] = ["brodan", "felgit"] if y < 3 else ["brodan", w[at]] if y == 3 else ["felgit", w[at]] if y == 4 else w[at : at + 2]
+        rows.append((i, " ".join(w), int(y < 3)))
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
-    train = toxicity._train
-    monkeypatch.setattr(toxicity, "_train", lambda good, marked, benign, *a: seen.append(len(benign)) or train(good, marked, benign, *a))
-    toxicity.learn(docs, labels, common_words=5, other_words=3, hard_words=0)
-    assert seen and max(seen) <= 8
+    scorer = toxicity.learn(docs.filter("doc_id < 400"), labels.filter("doc_id < 400"))
+    value = scorer.texts(["lonepuso brodan felgit mipuso", "lonepuso brodan mipuso", "lonepuso felgit mipuso"], {})
+    assert value[0] > max(value[1:])
 
 
 def test_toxicity_of_letters_with_marks_in_a_long_text():
-    s = toxicity.Scorer({"<ab": 1.0, "abc": 2.0}, -0.5, 1.0, 0.0)
-    long = "ordinary wording " * 40
+    s = toxicity.Scorer(np.unique(toxicity.triples(["abc"])[1]), np.float32(1), -0.5, 1.0, 0.0)
+    long = "xxxx zzzzz " * 40
     value = s.texts([long + "a. b. c. " + long, "a. b. c.", "a b c", long, long + "a. b. " + long], {})
-    assert value[0] == value[1] == value[2] > value[3] == value[4] == s.bias
+    assert value[0] == value[1] == value[2] > value[3] and value[2] > value[4]
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    got = entry.queries()["op4_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out AND toxic IS NOT NULL").collect()
+    hit = sum(r.toxic and r.predicted for r in got)
+    assert hit / sum(r.predicted for r in got) > 0.7 and hit / sum(r.toxic for r in got) > 0.6
+    assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in got)
 
 
 # 5 -------------------------------------------------------------------------------------------------------------------

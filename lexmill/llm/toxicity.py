@@ -186,44 +186,41 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[dict, list]:
     return stat, sorted({(r.text or "", int(r.toxic)) for r in got})
 
 
-class _Words:
-    """Distinct words of the sample and their similarity to landmarks."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-
-    def of(self, sentence: list[str]) -> np.ndarray:
-        return np.array([self.number.setdefault(w, len(self.number)) for w in sentence], np.int64)
+def dense_rows(words: list[str], columns: np.ndarray) -> np.ndarray:
+    """Words' weights over the given triples."""
+    row, col, val = triples(words)
+    at = np.minimum(np.searchsorted(columns, col), len(columns) - 1)
+    own = columns[at] == col
+    out = np.zeros((len(words), len(columns)), np.float32)
+    np.add.at(out, (row[own], at[own]), val[own])
+    return out
 
-    def dense(self, words: list[str], columns: np.ndarray) -> np.ndarray:
-        """Rows of weights over the given triples."""
-        row, col, val = triples(words)
-        at = np.minimum(np.searchsorted(columns, col), len(columns) - 1)
-        own = columns[at] == col
-        out = np.zeros((len(words), len(columns)), np.float32)
-        np.add.at(out, (row[own], at[own]), val[own])
-        return out
 
-    def features(self, columns: np.ndarray, maps: np.ndarray, part: int = 3000) -> np.ndarray:
-        """Every word's row over the triples, times maps."""
-        words = list(self.number)
-        out = np.zeros((len(words), maps.shape[1]), np.float32)
-        for lo in range(0, len(words), part):
-            row, col, val = triples(words[lo : lo + part])
-            at = np.minimum(np.searchsorted(columns, col), len(columns) - 1)
-            own = np.flatnonzero(columns[at] == col)
-            own = own[np.argsort(row[own], kind="stable")]
-            row, at, val = row[own], at[own], val[own].astype(np.float32)
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            if len(first):
-                out[lo + row[first]] = np.add.reduceat(maps[at] * val[:, None], first, axis=0)
-        return out
+def word_features(words: list[str], columns: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """Words' rows over the given triples, times maps."""
+    out = np.zeros((len(words), maps.shape[1]), np.float32)
+    row, col, val = triples(words)
+    at = np.minimum(np.searchsorted(columns, col), len(columns) - 1)
+    own = np.flatnonzero(columns[at] == col)
+    own = own[np.argsort(row[own], kind="stable")]
+    row, at, val = row[own], at[own], val[own].astype(np.float32)
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    if len(first):
+        out[row[first]] = np.add.reduceat(maps[at] * val[:, None], first, axis=0)
+    return out
 
 
-def _rows(g: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
-    """Features of sentences from those of their words."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.add.reduceat(g[np.concatenate(lists)], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes).astype(np.float32)[:, None]
+def sentence_features(lists: list[list[str]], columns: np.ndarray, maps: np.ndarray, part: int = 2000) -> np.ndarray:
+    """Sentences' rows, from those of their words; some sentences at a time."""
+    out = np.zeros((len(lists), maps.shape[1]), np.float32)
+    for lo in range(0, len(lists), part):
+        number: dict[str, int] = {}
+        some = lists[lo : lo + part]
+        at = np.array([number.setdefault(w, len(number)) for s in some for w in s], np.int64)
+        sizes = np.fromiter(map(len, some), np.int64, len(some))
+        rows = np.add.reduceat(word_features(list(number), columns, maps)[at], np.cumsum(sizes) - sizes, axis=0)
+        out[lo : lo + part] = rows / np.sqrt(sizes).astype(np.float32)[:, None]
+    return out
 
 
 def _clauses(sentence: list[str]) -> list[list[str]]:
@@ -231,7 +228,7 @@ def _clauses(sentence: list[str]) -> list[list[str]]:
     return [sentence[i : i + CLAUSE] for i in range(max(1, len(sentence) - CLAUSE + 1))]
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", toxic="toxic", sample_docs=2500, sample_bytes=64 << 10, most=100_000, benign=8_000, hard=8_000, landmarks=448, rounds=4, seed=3) -> Scorer | float:
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", toxic="toxic", sample_docs=2500, sample_bytes=64 << 10, most=60_000, benign=8_000, hard=6_000, landmarks=400, rounds=4, seed=3) -> Scorer | float:
     """A scorer from labelled documents, or the share of toxic labels where nothing can be learned. The sample, bounded by sample_docs and
     sample_bytes, goes to the driver."""
     marks = labels.filter(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
@@ -271,7 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", t
         return prior
     good.sort(key=lambda w: (-pos[w], w))
     picked = set(good)
-    words, rng = _Words(), np.random.Generator(np.random.PCG64(seed + 1))
+    rng = np.random.Generator(np.random.PCG64(seed + 1))
 
     def inserted(w: str) -> str:
         at = int(rng.integers(1, len(w)))
@@ -280,15 +277,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", t
     positive = [list(c) for c in dict.fromkeys(tuple(c) for s in each(1) if not picked.isdisjoint(s) for c in _clauses(s) if not picked.isdisjoint(c))]
     positive = [positive[i] for i in np.sort(lot.permutation(len(positive))[:most])]
     positive += [[inserted(w) if w in picked else w for w in c] for c in positive] + [[w] for w in good] + [[inserted(w)] for w in good]
-    plus = [words.of(c) for c in positive]
-    first_other = len(words.number)
     part = min(1.0, most / max(clauses, 1))
-    every = [words.of(c) for s in each(0) if part == 1.0 or lot.random() < part for c in _clauses(s)]
+    every = [c for s in each(0) if part == 1.0 or lot.random() < part for c in _clauses(s)]
     if not every:
         return prior
     # Landmarks: each next one is the positive word least like those chosen; and the benign words most like them.
     columns = np.unique(triples([*good, *map(inserted, good)])[1])
-    dense = words.dense(good, columns)
+    dense = dense_rows(good, columns)
     chosen, like = [0], dense @ dense[0]
     while len(chosen) < min(landmarks * 3 // 4, len(good)):
         nxt = int(np.argmin(like))
@@ -296,17 +291,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", t
             break
         chosen.append(nxt)
         like = np.maximum(like, dense @ dense[nxt])
-    names = list(words.number)
-    others = np.array([w not in picked for w in names]) & (np.arange(len(names)) >= first_other)  # words of benign sentences only
-    close = np.where(others, words.features(columns, np.ascontiguousarray(dense[chosen].T)).max(axis=1), -1.0)
+    names = [w for w in dict.fromkeys(w for c in every for w in c) if w not in picked]
+    near = np.ascontiguousarray(dense[chosen].T)
+    close = np.concatenate([word_features(names[i : i + 3000], columns, near).max(axis=1) for i in range(0, len(names), 3000)] or [np.zeros(0)])
     extra = [i for i in np.argsort(-close, kind="stable")[: max(4, landmarks - len(chosen))] if close[i] > 0]
-    land = np.concatenate((dense[chosen], words.dense([names[i] for i in extra], columns))).astype(np.float64)
+    land = np.concatenate((dense[chosen], dense_rows([names[i] for i in extra], columns))).astype(np.float64)
     lam, vec = np.linalg.eigh(land @ land.T + 1e-6 * np.eye(len(land)))
     maps = land.T @ (vec @ np.diag(np.maximum(lam, 1e-6) ** -0.5) @ vec.T)
-    g = words.features(columns, maps.astype(np.float32))
     used = set(lot.permutation(len(every))[:benign].tolist())
-    x_pos, negative = _rows(g, plus), _rows(g, every)
-    del g, dense, close
+    del dense, near, close, land, names
+    x_pos, negative = (sentence_features(x, columns, maps.astype(np.float32)) for x in (positive, every))
     for turn in range(rounds):
         if turn:
             value = negative @ w_ + bias
@@ -316,7 +310,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", t
         weight = np.where(y > 0, 0.5 / len(x_pos), 0.5 / len(x_neg)) * len(y)
         w_, bias = _svm(np.concatenate((x_pos, x_neg)), y, weight, 1e-5)
     scorer = Scorer(columns, (maps @ w_).astype(np.float32), float(bias), 1.0, 0.0)
-    del negative, x_pos, x_neg, every, plus, words
+    del negative, x_pos, x_neg, every, positive
     value = np.concatenate([scorer.texts([t for t, _ in sample[i : i + 100]], {}) for i in range(0, len(sample), 100)])
     label = np.array([y for _, y in sample])
     scorer.slope, scorer.shift = _logistic(value, label, n_pos, n_neg)

@@ -240,13 +240,13 @@ def test_folded_machine_equals_its_landmarks():
     lam, vec = np.linalg.eigh(k(land, land))
     root = vec @ np.diag(lam**-0.5) @ vec.T
     w = np.array([1.0, -0.5, 2.0])
-    words_ = toxicity._Words()
     columns = np.unique(toxicity.triples(land)[1])
-    maps = words_.dense(land, columns).astype(float).T @ root
+    maps = toxicity.dense_rows(land, columns).astype(float).T @ root
     s = toxicity.Scorer(columns, maps @ w, -0.25, 1.0, 0.0)
     assert s.words(sentence) == pytest.approx(k(sentence, land) @ root @ w, abs=1e-4)
-    words_.of(sentence)
-    assert words_.features(columns, maps.astype(np.float32)) == pytest.approx(k(sentence, land) @ root, abs=1e-4)
+    assert toxicity.word_features(sentence, columns, maps.astype(np.float32)) == pytest.approx(k(sentence, land) @ root, abs=1e-4)
+    want = [k(s_, land).sum(axis=0) @ root / math.sqrt(len(s_)) for s_ in (sentence, sentence[:2], ["scum"])]
+    assert toxicity.sentence_features([sentence, sentence[:2], ["scum"]], columns, maps.astype(np.float32), 2) == pytest.approx(np.array(want), abs=1e-4)
     value = [s.words([w]).item() for w in sentence]
     most = max(sum(value[i : i + toxicity.CLAUSE]) for i in range(len(value) - toxicity.CLAUSE + 1)) / math.sqrt(toxicity.CLAUSE)
     assert s.texts(["You. of!\nyou idiots, of trash", None, ""], {}) == pytest.approx([-0.25 + max(most, value[0], value[2], 0), -0.25, -0.25], abs=1e-5)

@@ -24,7 +24,6 @@ Repeated rows are scored one by one. An empty table gives no row. Extra columns
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
@@ -37,8 +36,7 @@ from .common import task_batches
 SPAN, DECAY = 6, 0.7
 #: (first step, second step, weight) of the triples in a span.
 _STEPS = [(a, b, DECAY ** (a + b - 2)) for a in range(1, SPAN) for b in range(1, SPAN - a)]
-_SENTENCE = re.compile(r"[.!?\n]+")
-TABLE = 22  # bits of a hashed triple
+TABLE = 21  # bits of a hashed triple
 CLAUSE = 2
 
 
@@ -74,20 +72,30 @@ def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = np.repeat(np.arange(len(words)), sizes)
     norm = np.sqrt(np.maximum(sum(w * w * np.maximum(sizes - a - b, 0) for a, b, w in _STEPS), 1e-9))
     rows, cols, vals = [], [], []
-    one, two, three = (points * np.uint32(k) for k in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+    parts = _parts(points)
     for a, b, w in _STEPS:
         n = len(points) - a - b
         if n <= 0:
             continue
         at = np.flatnonzero(word[:n] == word[a + b :])
-        x = one[at] ^ (two[at + a] >> np.uint32(5)) ^ (two[at + a] << np.uint32(11)) ^ (three[at + a + b] << np.uint32(7)) ^ (three[at + a + b] >> np.uint32(3))
         rows.append(word[at])
-        cols.append(((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - TABLE))
+        cols.append(_column(parts, a, b, n)[at])
         vals.append(w / norm[word[at]])
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *rows]), np.concatenate([none, *cols]).astype(np.int64), np.concatenate([np.zeros(0), *vals])
 
 
+def _parts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a letter adds to a triple's hash as its first, second and third."""
+    one, two, three = (points * np.uint32(k) for k in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+    return one, (two >> np.uint32(5)) ^ (two << np.uint32(11)), (three << np.uint32(7)) ^ (three >> np.uint32(3))
+
+
+def _column(parts, a: int, b: int, n: int) -> np.ndarray:
+    x = parts[0][:n] ^ parts[1][a : a + n] ^ parts[2][a + b :]
+    return ((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - TABLE)
+
+
 class Units(dict):
     """raw word -> its plain form, for words met before; bounded."""
 
@@ -98,9 +106,27 @@ class Units(dict):
         return x
 
 
+BREAK = "\0"  # stands between sentences
+
+
+def broken(text: str | None) -> list[str]:
+    """The raw words of a text, with BREAK at both ends and between sentences."""
+    if not text:
+        return [BREAK]
+    for mark in ".!?\n":
+        text = text.replace(mark, " \0 ")
+    return [BREAK, *text.split(), BREAK]
+
+
 def sentences(text: str | None) -> list[list[str]]:
     """The raw words of a text's sentences."""
-    return [ws for s in _SENTENCE.split(text) if (ws := s.split())] if text else []
+    out: list[list[str]] = [[]]
+    for w in broken(text):
+        if w != BREAK:
+            out[-1].append(w)
+        elif out[-1]:
+            out.append([])
+    return out[:-1] if not out[-1] else out
 
 
 class Scorer:
@@ -111,33 +137,60 @@ class Scorer:
         self.table = np.zeros(1 << TABLE, np.float32)
         self.table[columns] = weights
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Values of plain words: the folded machine's sum over their triples."""
-        row, col, val = triples(words)
-        return np.bincount(row, weights=val * self.table[col], minlength=len(words))
-
-    def sentence(self, values: list[float]) -> float:
-        """The value of a sentence whose words have these values: of its highest clause, if it is long."""
-        if len(values) <= CLAUSE:
-            return self.bias + sum(values) / math.sqrt(len(values))
-        ends = np.concatenate(([0.0], np.cumsum(values)))
-        return self.bias + float((ends[CLAUSE:] - ends[:-CLAUSE]).max()) / math.sqrt(CLAUSE)
+    def words(self, words: list[str], part: int = 20_000) -> np.ndarray:
+        """Values of plain words: the folded machine's sum over their triples. Some words at a time (a longer one alone)."""
+        out = np.zeros(len(words))
+        lo = 0
+        while lo < len(words):
+            hi, size = lo, 0
+            while hi < len(words) and hi - lo < part and size < 16 * part:
+                size, hi = size + len(words[hi]) + 2, hi + 1
+            some = [FIRST + w + LAST if w else "" for w in words[lo:hi]]
+            sizes = np.fromiter(map(len, some), np.int64, len(some))
+            points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+            left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # letters from here to the word's end
+            parts, value = _parts(points), np.zeros(len(points))
+            for a, b, w in _STEPS:
+                n = len(points) - a - b
+                if n > 0:
+                    value[:n] += np.where(left[:n] > a + b, self.table[_column(parts, a, b, n)], 0) * w
+            norm = np.sqrt(np.maximum(sum(w * w * np.maximum(sizes - a - b, 0) for a, b, w in _STEPS), 1e-9))
+            out[lo:hi] = np.bincount(np.repeat(np.arange(len(some)), sizes), weights=value, minlength=len(some)) / norm
+            lo = hi
+        return out
 
     def texts(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
-        """The highest sentence of each text. known: values of words met before, by their raw form."""
-        split = [sentences(t) for t in texts]
-        new = list({w for t in split for s in t for w in s if w not in known})
+        """The highest sentence of each text. known: values of words met before, by their raw form (nan: no letter or digit in it)."""
+        split = [broken(t) for t in texts]
+        known[BREAK] = -np.inf
+        new = list({w for ws in split for w in ws if w not in known})
         forms = [plain(w) for w in new]
-        known.update(zip(new, self.words(forms).tolist()))
+        known.update(zip(new, np.where(np.fromiter(map(len, forms), np.int64, len(forms)) > 0, self.words(forms), np.nan).tolist()))
         single = known.setdefault("", set())  # words that spelled() may join; no word is empty
         single.update(w for w, p in zip(new, forms) if len(w) <= 3 and len(p) == 1)
-        get, out = known.__getitem__, np.full(len(texts), self.bias)
-        for i, (text, split_) in enumerate(zip(texts, split)):
-            if split_:
-                out[i] = max(self.bias, *(self.sentence([*map(get, s)]) for s in split_))
-                ws = text.split()
-                if sum(map(single.__contains__, (w for s in split_ for w in s))) >= 3 and (joined := spelled(ws)):
-                    out[i] = max(out[i], self.bias + self.words(joined).max())  # a joined word is a sentence of its own
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        value = np.fromiter(map(known.__getitem__, (w for ws in split for w in ws)), np.float64, int(sizes.sum()))
+        text = np.repeat(np.arange(len(split)), sizes)
+        real = ~np.isnan(value)
+        value, text = value[real], text[real]
+        ends = np.isinf(value)
+        best = np.full(len(split), -np.inf)
+        total = np.zeros(len(value))
+        for n in range(1, CLAUSE + 1):  # clauses of n words: shorter ones only where they are a whole sentence
+            m = len(value) - n + 1
+            if m <= 0:
+                break
+            total = total[:m] + value[n - 1 :]
+            this = total / np.sqrt(n)
+            if n < CLAUSE:
+                whole = np.zeros(m, bool)
+                whole[1:-1] = ends[: m - 2] & ends[n + 1 :]
+                this = np.where(whole, this, -np.inf)
+            np.maximum.at(best, text[:m], this)
+        out = self.bias + np.where(np.isinf(best), 0.0, np.maximum(best, 0.0))
+        for i, ws in enumerate(split):
+            if not single.isdisjoint(ws) and sum(map(single.__contains__, ws)) >= 3 and (joined := spelled(texts[i].split())):
+                out[i] = max(out[i], self.bias + self.words(joined).max())  # a joined word is a sentence of its own
         return out
 
     def probability(self, values: np.ndarray) -> np.ndarray:
@@ -343,8 +396,8 @@ def score_texts(docs: DataFrame, scorer: Scorer | float, *, text="text", out="sc
         import pyarrow as pa
 
         s, known = sent.value, {}
-        for table in task_batches(batches, None, 4096, 16 << 20):
-            if len(known) > 600_000:
+        for table in task_batches(batches, None, 4096, 4 << 20):
+            if len(known) > 500_000:
                 known.clear()
             yield from table.append_column(out, pa.array(s.probability(s.texts(table[text].to_pylist(), known)), pa.float64())).to_batches()
 

@@ -281,7 +281,7 @@ def _clauses(sentence: list[str]) -> list[list[str]]:
     return [sentence[i : i + CLAUSE] for i in range(max(1, len(sentence) - CLAUSE + 1))]
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", toxic="toxic", sample_docs=2500, sample_bytes=64 << 10, most=60_000, benign=8_000, hard=6_000, landmarks=400, rounds=4, seed=3) -> Scorer | float:
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", toxic="toxic", sample_docs=2500, sample_bytes=64 << 10, most=45_000, benign=8_000, hard=6_000, landmarks=400, rounds=4, seed=3) -> Scorer | float:
     """A scorer from labelled documents, or the share of toxic labels where nothing can be learned. The sample, bounded by sample_docs and
     sample_bytes, goes to the driver."""
     marks = labels.filter(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))

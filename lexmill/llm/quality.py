@@ -3,10 +3,13 @@
 Every step is a DataFrame or SQL expression. The text is read once: a single projection yields the
 base statistics of a document; what follows works on a table of a few numbers a row, written to the
 shared folder. For each (lang, source) group a minimum-covariance-determinant estimate of location
-and scatter is found by concentration steps: start at medians and MADs, then repeatedly keep the
-share of rows that lie nearest and take their means and covariances again. The share is that of the
+and scatter is found: the share of rows whose scatter has the least determinant. Three starts at the medians (scatter by
+MADs alone, with the correlations of tanh-scaled rows, with those of spatial signs) each take two concentration steps: keep the
+share of rows that lie nearest and take their means and covariances again. The start of the least determinant goes on
+until its determinant falls no more. The share is that of the
 highest breakdown, (n + d + 1) / 2n of n rows in d dimensions, or `support` if that is more: junk of up
-to about half of a group doesn't enter. Each step is
+to about half of a group doesn't enter. Medians and cuts are exact on a grid (statistics to 3 digits, distances to 1/1,000 of their
+logarithm), so they don't depend on the order in which tasks are merged. Determinants are those of the scatter with its floors. Each step is
 one partial aggregate, so a source with a third of all rows is summed where its rows lie.
 A row is rejected if its squared Mahalanobis distance to its group's estimate exceeds `cutoff`
 (32: a chance of 2e-6 under the chi-square law with 4 degrees of freedom).
@@ -27,7 +30,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Position bits in the packed sort key of a window; longer texts use the full-key sort.
 _POS_BITS = 24
@@ -136,41 +139,94 @@ def _salted(est: DataFrame) -> DataFrame:
     return est.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
 
-def mcd_estimates(rows: DataFrame, keys: list[str], support: float, steps: int, min_group: int) -> DataFrame:
+def _cut_key(d2):
+    """Squared distances on a grid of 1/1,000 of their logarithm."""
+    return F.round(F.log(d2 + F.lit(1e-9)), 3)
+
+
+def _log_det():
+    return sum((F.log(f"l{i}{i}") for i in range(1, _D)), F.log("l00"))
+
+
+def mcd_estimates(rows: DataFrame, keys: list[str], support: float, min_group: int, warm: int = 2, least_fall: float = 1e-4) -> DataFrame:
     """rows: keys (not null), x0..x{d-1} and salt (0 to SALTS - 1). Per group of min_group rows or more, and for all rows
     (WIDE), its size n, the means m_i and the factor l_i_k."""
-    xs = [f"x{i}" for i in range(_D)]
-    mid = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(xs))).filter((F.col("n") >= min_group) | (F.col(keys[0]) == WIDE))
+    xs, ms = [f"x{i}" for i in range(_D)], [f"m{i}" for i in range(_D)]
+    tri = [(i, k) for i in range(_D) for k in range(i + 1)]
+    ls = [f"l{i}{k}" for i, k in tri]
+    median = lambda c: F.percentile(F.round(c, 3), F.lit(0.5))
+    mid = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(median(F.col(x)).alias(m) for x, m in zip(xs, ms))).filter((F.col("n") >= min_group) | (F.col(keys[0]) == WIDE))
     with_est = lambda e: rows.join(_salted(e), [*keys, "salt"])
-    dev = with_est(mid).groupBy(*keys, "n", *(f"m{i}" for i in range(_D))).agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(xs)))
-    kept = [*keys, "n", *(f"m{i}" for i in range(_D))]
-    est = _with_cholesky(dev, lambda i, k: F.pow(1.4826 * F.col(f"s{i}"), 2) if i == k else F.lit(0.0), kept)
+    dev = with_est(mid).groupBy(*keys, "n", *ms).agg(*(median(F.abs(F.col(x) - F.col(m))).alias(f"s{i}") for i, (x, m) in enumerate(zip(xs, ms))))
+    wide = [F.greatest(1.4826 * F.col(f"s{i}"), F.lit(_VECTOR[i][1])) for i in range(_D)]
+    dev = materialize(dev.select(*keys, "n", *ms, *(w.alias(f"s{i}") for i, w in enumerate(wide))), "mcd")
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(_D)]
+    near = with_est(dev).select(*keys, "n", *ms, *(f"s{i}" for i in range(_D)), *(v.alias(f"z{i}") for i, v in enumerate(z)))
+    length = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, _D)), F.col("z0") * F.col("z0"))
+    near = near.withColumn("length", F.greatest(length, F.lit(1e-12)))
+    shape = near.groupBy(*keys, "n", *ms, *(f"s{i}" for i in range(_D))).agg(
+        *(F.covar_pop(F.tanh(f"z{i}"), F.tanh(f"z{k}")).alias(f"t{i}{k}") for i, k in tri),
+        *(F.avg(F.col(f"z{i}") * F.col(f"z{k}") / F.col("length")).alias(f"g{i}{k}") for i, k in tri),
+    )
+    kept = [*keys, "n", *ms]
+
+    def start(number: int, name: str | None) -> DataFrame:
+        def cov(i, k):
+            scale = F.col(f"s{i}") * F.col(f"s{k}")
+            if name is None or i == k:
+                return scale if i == k else F.lit(0.0)
+            var = F.col(f"{name}{i}{i}") * F.col(f"{name}{k}{k}")
+            return F.when(var > 1e-12, scale * F.col(f"{name}{i}{k}") / F.sqrt(var)).otherwise(0.0)
+
+        return _with_cholesky(shape, cov, kept).withColumn("start", F.lit(number))
+
     # The share in percent, as a place in `percents`: a percentile takes constants only.
     least = math.ceil(100 * support)
     percents = range(least, 101)
     share = F.greatest(F.lit(0), F.least(F.lit(100), F.ceil(50 * (F.col("n") + _D + 1) / F.col("n")).cast("int")) - least)
     factor = F.array(*(F.lit(_consistency(p / 100)) for p in percents))[share]
-    for _ in range(steps):
-        est = materialize(est, "mcd")
-        near = with_est(est).withColumn("d2", _distance([F.col(x) for x in xs], [F.col(f"m{i}") for i in range(_D)], lambda i, k: F.col(f"l{i}{k}")))
-        half = near.groupBy(*keys, "n").agg(F.percentile_approx("d2", F.array(*(F.lit(p / 100) for p in percents)), 10_000).alias("h")).select(*keys, F.col("h")[share].alias("h"))
+
+    def concentrate(est: DataFrame) -> DataFrame:
+        at = [*keys, "start"]
+        near = with_est(est).withColumn("key", _cut_key(_distance([F.col(x) for x in xs], [F.col(m) for m in ms], lambda i, k: F.col(f"l{i}{k}"))))
+        half = near.groupBy(*at, "n").agg(F.percentile("key", F.array(*(F.lit(p / 100) for p in percents))).alias("h")).select(*at, F.col("h")[share].alias("h"))
         sums = (
-            near.select(*keys, "salt", *xs, "d2", "n").join(_salted(half), [*keys, "salt"]).filter("d2 <= h").groupBy(*keys, "n")
-            .agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)), *(F.covar_pop(xs[i], xs[k]).alias(f"v{i}{k}") for i in range(_D) for k in range(i + 1)))
+            near.select(*at, "salt", *xs, "key", "n").join(_salted(half), [*at, "salt"]).filter("key <= h").groupBy(*at, "n")
+            .agg(*(F.avg(x).alias(m) for x, m in zip(xs, ms)), *(F.covar_pop(xs[i], xs[k]).alias(f"v{i}{k}") for i, k in tri))
         )
         # The nearest share of a normal sample spreads less than the whole; the factor of consistency mends that.
-        est = _with_cholesky(sums, lambda i, k: F.col(f"v{i}{k}") * factor, kept)
-    return materialize(est, "mcd")
-
-
-def group_estimates(rows: DataFrame, support: float, steps: int, min_group: int, prior: int) -> tuple[DataFrame, DataFrame]:
+        out = _with_cholesky(sums, lambda i, k: F.col(f"v{i}{k}") * factor, [*kept, "start"])
+        return materialize(out.withColumn("det", _log_det()), "mcd")
+
+    est = materialize(start(0, None).unionByName(start(1, "t")).unionByName(start(2, "g")), "mcd")
+    for _ in range(warm):
+        before, est = est, concentrate(est)
+        discard(before)
+    one = F.struct(*kept, "start", *ls, "det")
+    est = materialize(est.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min_by(one, F.struct("det", "start")).alias("e")).select("e.*"), "mcd")
+    done = []
+    while True:  # a determinant that falls by least_fall at least each time ends
+        after = concentrate(est)
+        both = est.join(after.select(*keys, F.struct(*ms, *ls, "det").alias("after")), keys)
+        falls = F.col("after.det") < F.col("det") - least_fall
+        done.append(materialize(both.filter(~falls).select(*kept, *ls), "mcd"))
+        est = materialize(both.filter(falls).select(*keys, "n", "start", "after.*"), "mcd")
+        if est.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return materialize(out, "mcd")
+
+
+def group_estimates(rows: DataFrame, support: float, min_group: int, prior: int) -> tuple[DataFrame, DataFrame]:
     """(estimates of groups with min_group rows or more, those of smaller groups): each (g_lang, g_source) of rows is in one of them."""
     xs, ms = [f"x{i}" for i in range(_D)], [f"m{i}" for i in range(_D)]
     ls = [f"l{i}{k}" for i in range(_D) for k in range(i + 1)]
     level = lambda lang, source: F.struct(lang.alias("g_lang"), source.alias("g_source"))
     levels = F.array(level(F.col("g_lang"), F.col("g_source")), level(F.col("g_lang"), F.lit(WIDE)), level(F.lit(WIDE), F.lit(WIDE)))
     rows = rows.select(F.explode(levels).alias("g"), "salt", *xs).select("g.*", "salt", *xs)
-    large = mcd_estimates(rows, _KEYS, support, steps, min_group).select(*_KEYS, *ms, *ls)
+    large = mcd_estimates(rows, _KEYS, support, min_group).select(*_KEYS, *ms, *ls)
     rest = materialize(rows.join(_salted(large.select(*_KEYS)), [*_KEYS, "salt"], "left_anti").select(*_KEYS, *xs), "mcd")
 
     def small(own: DataFrame, wider: DataFrame) -> DataFrame:
@@ -178,7 +234,7 @@ def group_estimates(rows: DataFrame, support: float, steps: int, min_group: int,
         groups = own.select(*_KEYS).distinct().withColumn("salt", F.pmod(F.xxhash64("g_source"), F.lit(SALTS)))
         groups = materialize(groups.join(_salted(wider), ["g_lang", "salt"]).select(*_KEYS, *ms, *ls), "mcd")
         at_wider = groups.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(prior)))).select(*_KEYS, *(F.col(m).alias(x) for m, x in zip(ms, xs)))
-        mid = own.unionByName(at_wider).groupBy(*_KEYS).agg(*(F.percentile_approx(x, 0.5, 10_000).alias(m) for x, m in zip(xs, ms)))
+        mid = own.unionByName(at_wider).groupBy(*_KEYS).agg(*(F.percentile(F.round(x, 3), F.lit(0.5)).alias(m) for x, m in zip(xs, ms)))
         return materialize(groups.select(*_KEYS, *ls).join(mid, _KEYS).select(*_KEYS, *ms, *ls), "mcd")
 
     langs = rest.filter(F.col("g_source") == WIDE)
@@ -197,7 +253,7 @@ def _consistency(support: float) -> float:
     return support / cdf(lo, _D + 2)
 
 
-def judge_quality(docs: DataFrame, *, text="text", lang="lang", source="source", support=0.5, steps=3, cutoff=32.0, min_group=40, prior=5, carry=("doc_id",)) -> DataFrame:
+def judge_quality(docs: DataFrame, *, text="text", lang="lang", source="source", support=0.5, cutoff=32.0, min_group=40, prior=5, carry=("doc_id",)) -> DataFrame:
     """One row per row of docs: the carried columns, the base statistics, base_failed, distance2 (null: fails the base rule) and kept."""
     stats = text_stats(docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source")), "_text", "_q")
     rows = stats.select(*(f"_c{i}" for i in range(len(carry))), *(F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(F.col(c), F.lit(""))).alias(k) for c, k in (("_lang", "g_lang"), ("_source", "g_source"))), "_q.*")
@@ -205,7 +261,7 @@ def judge_quality(docs: DataFrame, *, text="text", lang="lang", source="source",
     salt = F.pmod(F.xxhash64("n_words", "word_chars", *(f"_c{i}" for i in range(len(carry)))), F.lit(SALTS))
     full = rows.select("*", salt.alias("salt"), *(F.when(~F.col("base_failed"), F.expr(e)).alias(f"x{i}") for i, (e, _) in enumerate(_VECTOR)))
     good = full.filter(~F.col("base_failed"))
-    large, small = group_estimates(good.select(*_KEYS, "salt", *(f"x{i}" for i in range(_D))), support, steps, min_group, prior)
+    large, small = group_estimates(good.select(*_KEYS, "salt", *(f"x{i}" for i in range(_D))), support, min_group, prior)
     met = good.join(_salted(large), [*_KEYS, "salt"]).unionByName(good.join(_salted(large.select(*_KEYS)), [*_KEYS, "salt"], "left_anti").join(small, _KEYS))
     judged = met.withColumn("distance2", _distance([F.col(f"x{i}") for i in range(_D)], [F.col(f"m{i}") for i in range(_D)], lambda i, k: F.col(f"l{i}{k}")))
     out = judged.unionByName(full.filter("base_failed"), allowMissingColumns=True)

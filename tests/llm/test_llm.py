@@ -401,6 +401,53 @@ def test_quality_rejects_much_junk(spark, share):
     assert not any(rows[i] for i in range(200 - junk, 200)) and sum(rows[i] for i in range(200 - junk)) >= 199 - junk
 
 
+def numpy_mcd(x, starts=300, seed=1):
+    """(location, scatter) of the least determinant that concentration reaches from many random rows."""
+    n, d = x.shape
+    percent = min(100, math.ceil(50 * (n + d + 1) / n))
+    factor, floor, best = quality._consistency(percent / 100), np.diag([f * f for _, f in quality._VECTOR]), None
+    r = np.random.default_rng(seed)
+    for _ in range(starts):
+        some, last = x[r.choice(n, d + 1, replace=False)], math.inf
+        m, c = some.mean(0), np.cov(some.T, bias=True) + floor
+        while True:
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            key = np.round(np.log(d2 + 1e-9), 3)
+            half = x[key <= np.quantile(key, percent / 100)]
+            m, c = half.mean(0), np.cov(half.T, bias=True) * factor + floor
+            det = np.linalg.slogdet(c)[1]
+            if det > last - 1e-4:
+                break
+            last = det
+        if best is None or det < best[0]:
+            best = det, m, c
+    return best
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quality_verdict_equals_numpy(spark, seed):
+    """Groups with scattered, clustered and correlated junk: the same rows go as by a minimum determinant searched from 300 starts."""
+    r, rows = random.Random(seed), []
+    for source, share in (("a", 0.1), ("b", 0.3), ("c", 0.4)):
+        for i in range(90):
+            w = letters(r.randrange(60, 90), 1000 * seed + len(rows), 10 ** r.choice([3, 4])).split()
+            kind = r.random()
+            if kind < share * 0.6:
+                w = [x * 9 for x in w]  # one cluster
+            elif kind < share:
+                w = [x + "#" * r.randrange(9) for x in w] + w[: r.randrange(20)]  # scattered
+            rows.append((len(rows), " ".join(w), "en", source))
+    got = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), carry=("doc_id", "source")).collect()
+    for source in "abc":
+        some = [g for g in got if g.source == source and not g.base_failed]
+        x = np.array([[math.log(g.word_chars / g.n_words), *(math.sqrt(v / g.n_words) for v in (g.n_symbols, g.n_repeat_words, g.n_dup_lines))] for g in some])
+        _, m, c = numpy_mcd(x)
+        d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        clear = np.abs(np.log(d2 / 32)) > 0.1
+        assert clear.mean() > 0.9 and all(g.kept == (v <= 32) for g, v, k in zip(some, d2, clear) if k)
+        assert len(some) > 80 and 0 < sum(not g.kept for g in some) < 45
+
+
 def test_quality_is_native(spark, sf):
     plan = entry.queries()["op6_quality_rules"](spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

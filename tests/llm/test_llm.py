@@ -146,12 +146,35 @@ def test_sharding(spark):
     assert all(grown[r.doc_id] == r.grown_shard for r in rows)
 
 
+def test_sharding_against_plain_recomputation(spark):
+    """Shard, bucket order and slot of every record, worked out in one loop."""
+    rows = [(i, words(8, i), i % 2 == 0, [i]) for i in range(200)] + [(7, words(8, 7), None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, flag boolean, list array<long>")
+    seed, shards, size = 17, 3, sum(len(t) + 1 for _, t, _, _ in rows)
+    buckets = -(-size // (500 * shards))
+    hashes = df.distinct().select("doc_id", "text", *(F.xxhash64(F.lit(seed), "doc_id", F.lit(s)).alias(f"h{s}") for s in range(shards + 1)), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", F.xxhash64("text")), F.lit(buckets)).alias("b"))
+    plan = {(r.doc_id, r.text): (max(range(shards), key=lambda s: (r[f"h{s}"], -s)), max(range(shards + 1), key=lambda s: (r[f"h{s}"], -s)), r.b) for r in hashes.collect()}  # noqa: B023
+    want, slot = collections.Counter(), 0
+    for s in range(shards):
+        slot = 0
+        for b in range(buckets):
+            some = sorted((r for r in rows if plan[r[:2]][::2] == (s, b)), key=lambda r: (r[0], r[1], r[2] is None, r[2] or False, repr(r[3])))
+            order = np.arange(len(some))
+            np.random.Generator(np.random.PCG64([seed, s, b])).shuffle(order)
+            for i in order:
+                want[some[i][0], some[i][2], s, plan[some[i][:2]][1], slot] += 1
+                slot += 1
+    got = sharding.shuffle_into_shards(df.repartition(5), shards, bucket_bytes=500).collect()
+    assert collections.Counter((r.doc_id, r.flag, r.shard, r.grown_shard, r.slot) for r in got) == want
+
+
 def test_sharding_edges(spark, tmp_path):
     rows = sharding.shard_digest(sharding.shuffle_into_shards(edge(spark), 3)).collect()
     assert len(rows) == edge(spark).count() and {r.size for r in rows if r.doc_id == 0} == {1} and {r.text_crc32 for r in rows if r.doc_id == 0} == {0}
     assert sharding.shuffle_into_shards(empty(spark), 3).count() == 0
-    sharding.write_shards(frame(spark, ["a", "b", "c"]), str(tmp_path / "out"), 2)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    sharding.write_shards(frame(spark, [words(9, i) for i in range(300)]), str(tmp_path / "out"), 2, bucket_bytes=2000)
+    written = [pq.read_table(f, columns=["slot"])["slot"].to_pylist() for f in (tmp_path / "out").glob("*/*.parquet")]
+    assert sum(map(len, written)) == 300 and len(written) > 4 and all(x == list(range(x[0], x[0] + len(x))) for x in written)
 
 
 # 3 -------------------------------------------------------------------------------------------------------------------

@@ -194,10 +194,11 @@ def _sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _shingle_sets(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
-    """node, set (multiset as set) of the nodes listed with a raw text hash."""
-    rows = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).join(nodes, "th")
-    one = rows.groupBy("node").agg(F.first("text").alias("text"))
+def _shingle_sets(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame) -> DataFrame:
+    """node, set (multiset as set) of the nodes listed with a document and its raw text hash: only that row's text is fetched, and of rows equal in both any one."""
+    rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    met = rows.join(nodes, (F.col("doc").eqNullSafe(F.col("one"))) & (rows["th"] == nodes["th"])).select("node", "text")
+    one = met.groupBy("node").agg(F.first("text").alias("text"))
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -210,21 +211,37 @@ def _shingle_sets(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
     return one.mapInArrow(run, schema)
 
 
+#: Keys that hold more than 1 in HOT of a table's rows are joined apart; there are at most HOT of them.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with one, which has a row per key and that key's number of rows, n. At most HOT keys have more than one in HOT of
+    the rows (a class that holds a third of a corpus); their rows of `one`, a proven small list, are broadcast, so their rows stay where they
+    lie; no other key is large."""
+    total = one.agg(F.sum("n")).first()[0] or 0
+    hot = one.filter(F.col("n") > max(total / HOT, 16))
+    keys = hot.select(key)
+    many = rows.join(F.broadcast(hot.drop("n")), key)
+    few = rows.join(F.broadcast(keys), key, "left_anti").join(one.drop("n"), key, how)
+    return many.unionByName(few, allowMissingColumns=True)
+
+
 def classes_of(links: DataFrame) -> DataFrame:
     """(node, least node of its connected component) from links (a, b), by large-star and small-star contractions."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = join_hot(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialize(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        small = join_hot(large, low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = materialize(small, "small")
         state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         done = state(small) == state(edges)
-        discard(edges)
-        discard(large)
+        for t in (edges, least, large, low):
+            discard(t)
         edges = small
         if done:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
@@ -289,12 +306,12 @@ def _bucket_links(members: DataFrame, roots: DataFrame, sets: DataFrame, thresho
 def near_duplicate_rows(docs: DataFrame, *, doc_id="doc_id", text="text", threshold=0.8) -> DataFrame:
     """doc, th, node and class_id of every row."""
     rows = materialize(_sketch(docs, doc_id, text), "sketch")
-    nodes = materialize(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"), F.min("th").alias("th")), "nodes")
+    nodes = materialize(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "th")).alias("r")).select("node", "least", F.col("r.doc").alias("one"), F.col("r.th").alias("th")), "nodes")
     spread = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "pivot")
     members = materialize(spread.join(shared, "key").filter("node <> pivot").select("key", "node", "pivot"), "members")
     inside = materialize(members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct(), "inside")
-    sets = materialize(_shingle_sets(docs, text, nodes.join(inside, "node").select("node", "th")), "sets")
+    sets = materialize(_shingle_sets(docs, doc_id, text, nodes.join(inside, "node").select("node", "one", "th")), "sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
         """(node, pivot, sim) of distinct pairs."""
@@ -309,8 +326,9 @@ def near_duplicate_rows(docs: DataFrame, *, doc_id="doc_id", text="text", thresh
     links = stars.union(materialize(_bucket_links(members, roots, sets, threshold), "links"))
     roots = materialize(classes_of(links), "roots")
     label = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = label.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = label.join(least, "root").select("node", "class_id")
+    label = materialize(label.select("node", "root", "least"), "label")
+    least = materialize(label.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n")), "class")
+    named = join_hot(label, least, "root").select("node", "class_id")
     return rows.select("doc", "th", "node").join(named, "node", "left").withColumn("class_id", F.coalesce("class_id", "doc"))
 
 

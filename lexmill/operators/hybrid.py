@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .lexical import top_k
+from .lexical import small_side, top_k
 
 ALPHA = 0.7
 
@@ -26,20 +26,31 @@ def vector_scores(rows: DataFrame, queries: DataFrame, pos: str = "pos", embeddi
     """
     unit = rows.select(F.col(pos).alias("pos"), tx.l2_normalise(F.col(embedding)).alias("e"))
     asked = queries.select("query_id", tx.l2_normalise(F.col("vector")).alias("q"))
-    return unit.crossJoin(asked).select("query_id", "pos", tx.dot(F.col("e"), F.col("q")).alias("score"))
+    return unit.crossJoin(small_side(asked)).select("query_id", "pos", tx.dot(F.col("e"), F.col("q")).alias("score"))
 
 
 def min_max(scores: DataFrame, column: str, out: str) -> DataFrame:
     """Scores of each query on a scale of 0 to 1; all 0 where they range over less than 1e-10."""
-    w = W.partitionBy("query_id")
-    low, high = F.min(column).over(w), F.max(column).over(w)
-    return scores.withColumn(out, F.when(high - low < 1e-10, F.lit(0.0)).otherwise((F.col(column) - low) / (high - low)))
+    return _scaled(scores, {column: out})
+
+
+def _scaled(scores: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Least and highest scores come from partial aggregates and are joined back, so no task holds all rows of a query."""
+    ends = [f(c).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("low", F.min), ("high", F.max))]
+    out = scores.join(scores.groupBy(F.col("query_id").alias("_q")).agg(*ends), F.col("query_id").eqNullSafe(F.col("_q")))
+    for i, (column, name) in enumerate(columns.items()):
+        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+        out = out.withColumn(name, F.when(high - low < 1e-10, F.lit(0.0)).otherwise((F.col(column) - low) / (high - low)))
+    return out.select(*scores.columns, *columns.values())
 
 
 def blend(vector: DataFrame, lexical: DataFrame) -> DataFrame:
-    """query_id, pos, vector_score, bm25_score and both on the common scale (v, b)."""
-    both = vector.withColumnRenamed("score", "vector_score").join(lexical.withColumnRenamed("score", "bm25_score"), ["query_id", "pos"])
-    return min_max(min_max(both, "vector_score", "v"), "bm25_score", "b")
+    """query_id, pos, vector_score, bm25_score and both on the common scale (v, b).
+
+    The vector side has every row; lexical may hold matches only, the other rows score 0.
+    """
+    both = vector.withColumnRenamed("score", "vector_score").join(lexical.withColumnRenamed("score", "bm25_score"), ["query_id", "pos"], "left")
+    return _scaled(both.fillna(0.0, ["bm25_score"]), {"vector_score": "v", "bm25_score": "b"})
 
 
 def hybrid_scores(vector: DataFrame, lexical: DataFrame, alpha: float = ALPHA) -> DataFrame:

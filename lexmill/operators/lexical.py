@@ -15,6 +15,16 @@ from ..functions import text as tx
 
 K1, B = 1.5, 0.75
 
+#: Bytes of a query side up to which it is broadcast.
+SMALL_SIDE = 64 << 20
+
+
+def small_side(df: DataFrame, limit: int = SMALL_SIDE) -> DataFrame:
+    """df (ids and arrays of doubles), marked for broadcast if its measured size is within limit, else as it is."""
+    width = sum((F.size(c) * 8 if t.startswith("array") else F.lit(16) for c, t in df.dtypes), F.lit(16))
+    held = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df
+
 
 @dataclass
 class LexicalIndex:
@@ -51,7 +61,7 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame, query_id: str = "query_
     """query_id, pos, score of every row for every query; rows without a match score 0."""
     ids = queries.select(F.col(query_id).alias("query_id"))
     got = bm25_matches(index, query_terms(queries, query_id, query))
-    return index.docs.select("pos").crossJoin(ids).join(got, ["query_id", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return index.docs.select("pos").crossJoin(small_side(ids)).join(got, ["query_id", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def top_k(scores: DataFrame, k: int, by: list[str] | None = None, score: str = "score", tie: str = "pos") -> DataFrame:

@@ -26,7 +26,7 @@ class AnswerPipeline:
         """query_id, rank, pos, source, text, vector_score, bm25_score, hybrid_score."""
         clean = queries.withColumn("query", tx.preprocess(F.col("query")))
         vec = hybrid.vector_scores(self.chunks, self.encode(clean))
-        lex = lexical.bm25_scores(self.index, clean)
+        lex = lexical.bm25_matches(self.index, lexical.query_terms(clean))
         top = hybrid.hybrid_topk(vec, lex, self.k * 2 if self.router else self.k, self.alpha)
         found = top.join(self.chunks.select("pos", "source", "text"), "pos")
         if self.router:

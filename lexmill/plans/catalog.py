@@ -220,14 +220,21 @@ def jaccard_hit_rate(spark, sf_dir):
 
 def _queries(spark, sf_dir):
     """The benchmark items as queries, each with the vector of the same number."""
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return b.join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    return _items(spark, sf_dir).join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+
+
+def _items(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "source", "text")
 
 
 def _corpus(spark, sf_dir):
     """Documents that have a vector."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "source", "text").join(e, "pos")
+    return _documents(spark, sf_dir).join(e, "pos")
 
 
 _LEX = f"""qs AS (SELECT item_id AS query_id, text AS query, embedding AS vector FROM benchmark JOIN embeddings ON item_id = vec_id),
@@ -238,6 +245,8 @@ terms AS (SELECT term, count(*) AS df, ln((any_value(n) - count(*) + 0.5) / (cou
 qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({tok('query')}) AS term FROM qs) GROUP BY ALL),
 bm AS (SELECT query_id, pos, round(sum(idf * qf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 10) AS score FROM qt JOIN terms USING (term) JOIN tf USING (term) JOIN dl USING (pos), st GROUP BY ALL),
 lex AS (SELECT q.query_id, d.pos, coalesce(score, 0) AS score FROM qs q CROSS JOIN docs d LEFT JOIN bm ON bm.query_id = q.query_id AND bm.pos = d.pos)"""
+#: Pure lexical queries read all documents and all items, with or without a vector.
+_LEX_ALL = _LEX.replace("text AS query, embedding AS vector FROM benchmark JOIN embeddings ON item_id = vec_id", "text AS query FROM benchmark").replace("text, embedding FROM documents JOIN embeddings ON doc_id = vec_id", "text FROM documents")
 _VEC = """vec AS (SELECT query_id, pos, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(vector AS DOUBLE[])) AS score FROM docs, qs)"""
 _HYB = """nv AS (SELECT query_id, pos, score AS vector_score, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-10 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS v FROM vec WINDOW w AS (PARTITION BY query_id)),
 nb AS (SELECT query_id, pos, score AS bm25_score, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-10 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS b FROM lex WINDOW w AS (PARTITION BY query_id)),
@@ -249,19 +258,19 @@ def _rank(table: str, k: int, score: str = "score", by: str = "query_id") -> str
     return f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {score} DESC, pos) AS rank FROM {table} QUALIFY rank <= {k}"
 
 
-@query(f"WITH {_LEX} SELECT term, df, round(idf, 6) AS idf FROM terms")
+@query(f"WITH {_LEX_ALL} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_terms(spark, sf_dir):
-    return lexical.build_index(_corpus(spark, sf_dir)).terms.withColumn("idf", F.round("idf", 6))
+    return lexical.build_index(_documents(spark, sf_dir)).terms.withColumn("idf", F.round("idf", 6))
 
 
-@query(f"WITH {_LEX} SELECT query_id, pos, round(score, 6) AS score FROM lex")
+@query(f"WITH {_LEX_ALL} SELECT query_id, pos, round(score, 6) AS score FROM lex")
 def bm25_scores(spark, sf_dir):
-    return lexical.bm25_scores(lexical.build_index(_corpus(spark, sf_dir)), _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return lexical.bm25_scores(lexical.build_index(_documents(spark, sf_dir)), _items(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_LEX}, r AS ({_rank('lex', 5)}) SELECT query_id, CAST(rank AS INT) AS rank, pos, round(score, 6) AS score FROM r")
+@query(f"WITH {_LEX_ALL}, r AS ({_rank('lex', 5)}) SELECT query_id, CAST(rank AS INT) AS rank, pos, round(score, 6) AS score FROM r")
 def bm25_topk(spark, sf_dir):
-    out = lexical.bm25_topk(lexical.build_index(_corpus(spark, sf_dir)), _queries(spark, sf_dir))
+    out = lexical.bm25_topk(lexical.build_index(_documents(spark, sf_dir)), _items(spark, sf_dir))
     return out.select("query_id", "rank", "pos", F.round("score", 6).alias("score"))
 
 
@@ -285,7 +294,7 @@ def minmax_norm(spark, sf_dir):
 
 def _both(spark, sf_dir):
     corpus, asked = _corpus(spark, sf_dir), _queries(spark, sf_dir)
-    return hybrid.vector_scores(corpus, asked), lexical.bm25_scores(lexical.build_index(corpus), asked)
+    return hybrid.vector_scores(corpus, asked), lexical.bm25_matches(lexical.build_index(corpus), lexical.query_terms(asked))
 
 
 _ROUNDED = "round(vector_score, 6) AS vector_score, round(bm25_score, 6) AS bm25_score, round(hybrid_score, 6) AS hybrid_score"
@@ -307,8 +316,10 @@ def alpha_sweep(spark, sf_dir):
 
 @query(f"WITH {_ALL}, h AS (SELECT query_id, pos, hybrid_score AS score FROM hyb), " + ", ".join(f"r{i} AS ({_rank(t, 3)})" for i, t in enumerate(("lex", "vec", "h"))) + " SELECT method, query_id, CAST(rank AS INT) AS rank, pos, round(score, 6) AS score FROM (SELECT 'bm25' AS method, query_id, rank, pos, score FROM r0 UNION ALL SELECT 'vector', query_id, rank, pos, score FROM r1 UNION ALL SELECT 'hybrid', query_id, rank, pos, score FROM r2)")
 def method_compare(spark, sf_dir):
-    vec, lex = _both(spark, sf_dir)
-    hyb = hybrid.hybrid_scores(vec, lex).withColumnRenamed("hybrid_score", "score")
+    corpus, asked = _corpus(spark, sf_dir), _queries(spark, sf_dir)
+    vec, index = hybrid.vector_scores(corpus, asked), lexical.build_index(corpus)
+    hyb = hybrid.hybrid_scores(vec, lexical.bm25_matches(index, lexical.query_terms(asked))).withColumnRenamed("hybrid_score", "score")
+    lex = lexical.bm25_topk(index, asked, 3)
     return hybrid.compare_methods({"bm25": lex, "vector": vec, "hybrid": hyb}).withColumn("score", F.round("score", 6))
 
 

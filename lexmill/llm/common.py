@@ -13,9 +13,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests, one machine) an own one."""
+    """The folder named in spark.checkpoint.dir; where it is unset an own one on one machine, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a shared folder on a cluster")
         found = getattr(spark, "_lexmill_dir", None)
         if not found:
             found = spark._lexmill_dir = "file://" + tempfile.mkdtemp(prefix="lexmill-")

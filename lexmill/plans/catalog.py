@@ -227,14 +227,14 @@ def _items(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _documents(spark, sf_dir):
+def _rows(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "source", "text")
 
 
 def _corpus(spark, sf_dir):
     """Documents that have a vector."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
-    return _documents(spark, sf_dir).join(e, "pos")
+    return _rows(spark, sf_dir).join(e, "pos")
 
 
 _LEX = f"""qs AS (SELECT item_id AS query_id, text AS query, embedding AS vector FROM benchmark JOIN embeddings ON item_id = vec_id),
@@ -260,17 +260,17 @@ def _rank(table: str, k: int, score: str = "score", by: str = "query_id") -> str
 
 @query(f"WITH {_LEX_ALL} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_terms(spark, sf_dir):
-    return lexical.build_index(_documents(spark, sf_dir)).terms.withColumn("idf", F.round("idf", 6))
+    return lexical.build_index(_rows(spark, sf_dir)).terms.withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {_LEX_ALL} SELECT query_id, pos, round(score, 6) AS score FROM lex")
 def bm25_scores(spark, sf_dir):
-    return lexical.bm25_scores(lexical.build_index(_documents(spark, sf_dir)), _items(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return lexical.bm25_scores(lexical.build_index(_rows(spark, sf_dir)), _items(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_LEX_ALL}, r AS ({_rank('lex', 5)}) SELECT query_id, CAST(rank AS INT) AS rank, pos, round(score, 6) AS score FROM r")
 def bm25_topk(spark, sf_dir):
-    out = lexical.bm25_topk(lexical.build_index(_documents(spark, sf_dir)), _items(spark, sf_dir))
+    out = lexical.bm25_topk(lexical.build_index(_rows(spark, sf_dir)), _items(spark, sf_dir))
     return out.select("query_id", "rank", "pos", F.round("score", 6).alias("score"))
 
 

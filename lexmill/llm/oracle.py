@@ -1,8 +1,10 @@
 """SQL twins of the training-data queries that SQL can express; tests/llm holds the others against brute force, the library, round trips or held-out rows."""
 
 #: CRC-32 of a decimal id, as DuckDB has no such function: the table of byte steps is made from the polynomial.
-_CRC = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
-held AS (SELECT doc_id, row_number() OVER () AS rid, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(tbl[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) % {by} = {rest} AS held_out FROM documents, crc)"""
+_CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl)"""
+_CRC_VALUE = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(tbl[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)"""
+_CRC = _CRC_TABLE + """,
+held AS (SELECT doc_id, row_number() OVER () AS rid, text, """ + _CRC_VALUE + """ % {by} = {rest} AS held_out FROM documents, crc)"""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -53,4 +55,26 @@ its AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FR
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN cover USING (rid) LEFT JOIN its USING (rid)""",
+    # Equal words q apart, islands of such places, and of equal stretches the smallest period.
+    "op11_periodic_runs": "WITH " + _CRC_TABLE + r""",
+named AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(coalesce(text, ''), '[\x{20}\x{09}-\x{0D}]+'), lambda x: x <> '') AS ws, """ + _CRC_VALUE + r""" AS h FROM documents, crc),
+place AS (SELECT *, len(ws) AS n, CASE WHEN len(ws) > 0 THEN h // 10 % len(ws) END AS a, h // 10 % 8 AS g8 FROM named),
+tok AS (SELECT rid, i, ws[CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g8)) ELSE i END + 1] AS w, n FROM (SELECT *, unnest(range(n)) AS i FROM place)),
+same AS (SELECT x.rid, x.i, y.i - x.i AS q FROM tok x JOIN tok y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+isle AS (SELECT rid, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS k FROM same) GROUP BY rid, q, k),
+run AS (SELECT rid, s, len, min(q) AS q FROM isle WHERE len >= greatest(24, 3 * q) GROUP BY rid, s, len),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY rid ORDER BY len::DOUBLE / q DESC, s, q) = 1),
+told AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS text FROM tok ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.len AS length, best.q AS period, 1000 * best.len // best.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM named LEFT JOIN told USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)""",
+    "op12_substring_dedup": r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(coalesce(text, ''), '[\x{20}\x{09}-\x{0D}]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(ws[i : i + 49], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+hit AS (SELECT rid, i FROM win JOIN (SELECT s, min(doc_id) AS least FROM win GROUP BY s HAVING count(*) > 1) USING (s) WHERE least < doc_id),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS i FROM hit), tok AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS text, count(*) AS n FROM tok ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (rid)""",
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, langmodel, minhash, packing, quality, sharding, tokencount, toxicity
+from . import decontaminate, htmltext, langid, langmodel, minhash, packing, periodic, quality, repeats, sharding, tokencount, toxicity
 from .common import read
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -64,5 +64,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(found)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digest(periodic.find_runs(periodic.with_planted_runs(read(spark, sf_dir, "documents"))))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digest(repeats.find_repeats(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}

@@ -150,9 +150,20 @@ def chunk_sentence(spark, sf_dir):
     return _with_doc(chunk.sentence_based(_documents(spark, sf_dir), **chunk.SENTENCE), "sentence_based")
 
 
-@query()
+# Folds over lists: paragraphs wait in a buffer b, and a long text is packed by sentences.
+_PARAS = r"list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_JOINED = "CASE WHEN s.b = '' THEN {x} ELSE s.b || ' ' || {x} END"
+_EMPTY = "{'b': '', 'o': CAST([] AS VARCHAR[])}"
+_PACKED = f"list_reduce({_SENTENCES.format('t')}, lambda s, x: CASE WHEN s.b <> '' AND length(s.b) + length(x) + 1 > 1500 THEN {{'b': x, 'o': list_append(s.o, s.b)}} ELSE {{'b': {_JOINED.format(x='x')}, 'o': s.o}} END, {_EMPTY})"
+
+
+@query(f"""WITH ps AS (SELECT source, list(p ORDER BY doc_id, i) AS ps FROM (SELECT source, doc_id, unnest({_PARAS}) AS p, generate_subscripts({_PARAS}, 1) AS i FROM documents) GROUP BY source),
+f AS (SELECT source, list_reduce(ps, lambda s, p: CASE WHEN length(s.b) + length(p) < 100 THEN {{'b': {_JOINED.format(x='p')}, 'o': s.o}} ELSE {{'b': '', 'o': list_append(s.o, {_JOINED.format(x='p')})}} END, {_EMPTY}) AS f FROM ps),
+c AS (SELECT source, unnest(f.o) AS t, generate_subscripts(f.o, 1) AS i FROM f),
+d AS (SELECT source, i, CASE WHEN length(t) <= 1500 THEN [t] ELSE CASE WHEN k.b = '' THEN k.o ELSE list_append(k.o, k.b) END END AS o FROM (SELECT *, {_PACKED} AS k FROM c) UNION ALL SELECT source, len(f.o) + 1, [f.b] FROM f WHERE f.b <> ''),
+n AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY i, j) - 1 AS chunk_index, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT source, i, unnest(o) AS text, generate_subscripts(o, 1) AS j FROM d))
+SELECT {_FINISH.format(s='paragraph_based')} FROM n WHERE text <> ''""")
 def chunk_paragraph(spark, sf_dir):
-    """Folds over sentences have no SQL twin here; tests hold them against a plain loop."""
     return chunk.finish(chunk.paragraph_based_corpus(_documents(spark, sf_dir), **chunk.PARAGRAPH), "source", "paragraph_based")
 
 
@@ -397,10 +408,18 @@ def context_ranking(spark, sf_dir):
     return _context(context.ranking(_results(spark, sf_dir), min_score=0.8), "chunks_filtered_out")
 
 
-@query()
+_FORMATTED = "printf('[Document %d | source: %s | relevance: %.3f]', i, c.source, c.score) || chr(10) || c.text"
+_NEAR = f"len(list_intersect(list_distinct({tok('x.text')}), list_distinct({tok('c.text')}))) >= 0.85 * len(list_distinct({tok('x.text')} || {tok('c.text')}))"
+
+
+@query(f"""WITH {_RES}, g AS (SELECT query_id, list({{'source': source, 'text': text, 'score': score}} ORDER BY score DESC, rank) FILTER (score >= 0.2) AS good, list({{'source': source, 'text': text, 'score': score}} ORDER BY rank)[1:1] AS top FROM res GROUP BY query_id),
+f AS (SELECT query_id, top, list_reduce(coalesce(good, top[1:0]), lambda s, c: CASE WHEN len(list_filter(s.sel, lambda x: len({tok('x.text')} || {tok('c.text')}) > 0 AND {_NEAR})) > 0 THEN {{'sel': s.sel, 'skip': s.skip + 1}} ELSE {{'sel': list_append(s.sel, c), 'skip': s.skip}} END, {{'sel': top[1:0], 'skip': 0}}) AS f FROM g),
+u AS (SELECT query_id, f.skip AS skip, CASE WHEN len(f.sel) = 0 THEN top ELSE f.sel END AS used FROM f),
+t AS (SELECT *, array_to_string(list_transform(used, lambda c, i: {_FORMATTED}), chr(10) || chr(10)) AS text FROM u)
+SELECT query_id, 'mmr' AS strategy, CAST(len(used) AS INT) AS chunks_used, CAST(length(text) AS INT) AS chars_before, length(text) > 3000 AS truncated, list_transform(used, lambda c: round(c.score, 6)) AS scores,
+  CAST(length({_CUT.format(n=3000, s=tx.TRUNCATED)}) AS INT) AS chars_after, CAST(skip AS INT) AS duplicates_skipped FROM t""")
 def context_mmr(spark, sf_dir):
-    """The fold over chosen chunks has no SQL twin; tests hold it against a plain loop."""
-    return context.mmr(_results(spark, sf_dir)).drop("context")
+    return _context(context.mmr(_results(spark, sf_dir)), "chars_after", "duplicates_skipped")
 
 
 @query("SELECT item_id, t.template, CAST(t.n AS INT) AS n_messages, length(t.fixed) + length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) * 2 AS n_chars FROM benchmark, (VALUES "

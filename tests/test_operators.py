@@ -1,4 +1,5 @@
 """Operators on small frames: published facts of the design, and edge cases that the tables lack."""
+import random
 import re
 
 import pytest
@@ -106,6 +107,38 @@ def test_paragraphs(spark):
     assert got == by_hand_paragraphs("\n\n".join(docs))
 
 
+@pytest.mark.parametrize("fan_bits", [2, 10])
+def test_paragraphs_across_many_short_records(spark, fan_bits):
+    """A source of short paragraphs only, sources that mix both, a null source; repeated, null and textual keys."""
+    r = random.Random(7)
+    para = lambda most: " ".join("".join(r.choices("abc", k=r.randint(1, 9))) + r.choice(("", ".", "!")) for _ in range(r.randint(1, most)))
+    by = {"short": 3, "mixed": 30, None: 12, "long": 400}
+    rows, texts = [], {}
+    for source, most in by.items():
+        for i in range(60):
+            text = r.choice(("\n\n", "\n \n")).join(para(r.choice((1, most))) for _ in range(r.randint(1, 6)))
+            texts.setdefault(source, []).append(text)
+            rows.append((f"{i:04d}", source, text))
+        rows.append((None, source, ""))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id string, source string, text string").repartition(3)
+    got: dict = {}
+    for row in chunk.paragraph_based_corpus(df, fan_bits=fan_bits).collect():
+        got.setdefault(row.source, {})[row.chunk_index] = row.text
+    for source in by:
+        want = by_hand_paragraphs("\n\n".join(texts[source]))
+        assert [got[source][i] for i in range(len(got[source]))] == want
+
+
+def test_corpus_order_with_repeated_keys(spark):
+    """Each row stands once, whatever its key; a null key comes first."""
+    rows = [(1, "s", "b" * 30), (1, "s", "b" * 30), (None, "s", "a" * 30), (2, "s", "c" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert [r.text for r in chunk.fixed_size_corpus(df, size=1000).collect()] == ["\n\n".join(c * 30 for c in "abbc")]
+    assert [r.text for r in chunk.paragraph_based_corpus(df).collect()] == [" ".join(c * 30 for c in "abb") + " " + "c" * 30]
+    assert chunk.paragraph_based_corpus(df.limit(0)).count() == 0 and chunk.fixed_size_corpus(df.limit(0)).count() == 0
+
+
 def test_chunk_registry(spark):
     df = spark.createDataFrame([("s", "One. Two! Three? Four. Five. Six. ")], "source string, text string")
     assert [r.text for r in chunk.chunk(df, "source", "sentence_based").orderBy("chunk_index").collect()] == ["One. Two! Three? Four. Five.", "Five. Six."]

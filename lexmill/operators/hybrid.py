@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
-from .lexical import small_side, top_k
+from ..sources.work import written
+from .lexical import top_k
 
 ALPHA = 0.7
 
@@ -19,14 +21,138 @@ DOMAIN_TRIGGERS = {
 BOOST = 1.6
 
 
-def vector_scores(rows: DataFrame, queries: DataFrame, pos: str = "pos", embedding: str = "embedding") -> DataFrame:
-    """query_id, pos, score: exact cosine of every row with every query (query_id, vector).
+#: Bytes of query vectors up to which they are sent to every task; more of them are dealt in blocks of that size.
+QUERY_BYTES = 64 << 20
+PAIRS = 1 << 21  # scores that a task makes at once
 
-    Both sides are brought to length 1 once; each pair is one inner product.
-    """
-    unit = rows.select(F.col(pos).alias("pos"), tx.l2_normalise(F.col(embedding)).alias("e"))
-    asked = queries.select("query_id", tx.l2_normalise(F.col("vector")).alias("q"))
-    return unit.crossJoin(small_side(asked)).select("query_id", "pos", tx.dot(F.col("e"), F.col("q")).alias("score"))
+
+def _matrix(column, width: int | None = None):
+    """(vectors of length 1 as rows, whether there is one) of an Arrow column of lists; a zero vector stays zero."""
+    import numpy as np
+
+    there = np.asarray(column.is_valid())
+    lists = column.drop_null()
+    sizes = np.asarray(lists.value_lengths())
+    width = width if width is not None else int(sizes[0]) if len(sizes) else 0
+    if (sizes != width).any():
+        raise ValueError("vectors differ in length")
+    held = np.asarray(lists.flatten(), np.float64).reshape(len(sizes), width)
+    if np.isnan(held).any():
+        raise ValueError("a vector has a null or NaN in it")
+    norm = np.sqrt((held * held).sum(axis=1))
+    out = np.zeros((len(there), width))
+    out[there] = held / np.where(norm == 0, 1e-10, norm)[:, None]
+    return out, there
+
+
+def _query_groups(queries: DataFrame) -> int:
+    """How many groups of at most QUERY_BYTES (about) the query vectors make."""
+    size = queries.agg(F.sum(F.lit(16) + 8 * F.greatest(F.size("vector"), F.lit(0)))).first()[0] or 0
+    return int(size // QUERY_BYTES) + 1
+
+
+def _with_queries(rows: DataFrame, queries: DataFrame, kernel, schema) -> DataFrame:
+    """kernel(query table, iterator of row tables) over all rows. Few queries are collected (QUERY_BYTES at most) and sent to every task. More are dealt in
+    groups: each group meets each part of the rows in a task of its own, and neither side is gathered anywhere."""
+    groups = _query_groups(queries)
+    if groups == 1:
+        shared = rows.sparkSession.sparkContext.broadcast(queries.toArrow())
+
+        def run(batches):
+            import pyarrow as pa
+
+            yield from kernel(shared.value, (pa.Table.from_batches([b]) for b in batches))
+
+        return rows.mapInArrow(run, schema)
+    parts = rows.sparkSession.sparkContext.defaultParallelism * 4
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_part", F.pmod(F.xxhash64("pos"), F.lit(parts)).cast("int")).withColumn("_group", each(groups))
+    right = queries.withColumn("_group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("_part", each(parts))
+
+    def meet(a, b):
+        import pyarrow as pa
+
+        made = list(kernel(b.select(["query_id", "vector"]), [a.select(["pos", "e"])]))
+        return pa.Table.from_batches(made) if made else pa.Table.from_batches([], to_arrow_schema(schema))
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return left.groupBy("_part", "_group").cogroup(right.groupBy("_part", "_group")).applyInArrow(meet, schema)
+
+
+def _sides(rows: DataFrame, queries: DataFrame, pos: str, embedding: str):
+    left = rows.select(F.col(pos).alias("pos"), F.col(embedding).alias("e"))
+    right = queries.select("query_id", "vector")
+    schema = T.StructType([T.StructField("query_id", right.schema["query_id"].dataType), T.StructField("pos", left.schema["pos"].dataType), T.StructField("score", T.DoubleType())])
+    return left, right, schema
+
+
+def _products(asked, tables):
+    """(positions, scores: a row for each of them, a column for each query) of bounded size. Equal vectors have equal scores, to twelve digits."""
+    import numpy as np
+
+    for table in tables:
+        step = max(1, PAIRS // max(1, asked.num_rows))
+        q, q_there = _matrix(asked["vector"].combine_chunks())
+        for lo in range(0, table.num_rows, step):
+            part = table.slice(lo, step)
+            v, there = _matrix(part["e"].combine_chunks(), q.shape[1] if q_there.any() else None)
+            score = np.round(v @ q.T, 12) if q_there.any() else np.zeros((len(v), len(q)))
+            score[~there] = np.nan
+            score[:, ~q_there] = np.nan
+            yield part["pos"].combine_chunks(), score
+
+
+def vector_scores(rows: DataFrame, queries: DataFrame, pos: str = "pos", embedding: str = "embedding") -> DataFrame:
+    """query_id, pos, score: exact cosine of every row with every query (query_id, vector), as products of matrices. The score is null where either has no vector."""
+    left, right, schema = _sides(rows, queries, pos, embedding)
+
+    def kernel(asked, tables):
+        import numpy as np
+        import pyarrow as pa
+
+        ids = asked["query_id"].combine_chunks()
+        for at, score in _products(asked, tables):
+            n, m = score.shape
+            flat = pa.array(score.ravel(), mask=np.isnan(score.ravel()))
+            made = [ids.take(pa.array(np.tile(np.arange(m), n))), at.take(pa.array(np.repeat(np.arange(n), m))), flat]
+            yield from pa.table(made, names=["query_id", "pos", "score"]).to_batches()
+
+    return _with_queries(left, right, kernel, schema)
+
+
+def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 5, pos: str = "pos", embedding: str = "embedding") -> DataFrame:
+    """query_id, rank, pos, score of the k rows nearest to each query, exactly; ties by the least pos. A task keeps k rows for each query, and only
+    those leave it: no pair is written or shuffled."""
+    left, right, schema = _sides(rows, queries, pos, embedding)
+
+    def kernel(asked, tables):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, m = asked["query_id"].combine_chunks(), asked.num_rows
+        held = [(np.zeros(0), np.zeros(0, object)) for _ in range(m)]
+        least = np.full(m, -np.inf)
+        for at, score in _products(asked, tables):
+            places = np.array(at.to_pylist(), object)
+            score = np.where(np.isnan(score), -np.inf, score)
+            for j in np.flatnonzero((score >= least).any(axis=0)):
+                new = np.flatnonzero((score[:, j] >= least[j]) & (score[:, j] > -np.inf))
+                s, p = np.concatenate((held[j][0], score[new, j])), np.concatenate((held[j][1], places[new]))
+                if len(s) > k:  # all that tie with the k-th stay until their places decide
+                    near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                    best = sorted(near.tolist(), key=lambda i: (-s[i], p[i] is not None, p[i]))[:k]
+                    s, p = s[best], p[best]
+                held[j] = s, p
+                least[j] = s.min() if len(s) == k else -np.inf
+        number = np.repeat(np.arange(m), [len(s) for s, _ in held])
+        if len(number):
+            made = [ids.take(pa.array(number)), pa.array([x for _, p in held for x in p], type=to_arrow_type(schema["pos"].dataType)), pa.array(np.concatenate([s for s, _ in held]))]
+            yield from pa.table(made, names=["query_id", "pos", "score"]).to_batches()
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return top_k(_with_queries(left, right, kernel, schema), k).select("query_id", "rank", "pos", "score")
 
 
 def min_max(scores: DataFrame, column: str, out: str) -> DataFrame:
@@ -35,9 +161,12 @@ def min_max(scores: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def _scaled(scores: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Least and highest scores come from partial aggregates and are joined back, so no task holds all rows of a query."""
+    """The scores are written once; the least and highest of each query come from partial aggregates over that table and are joined back (a table of one row
+    a query, whose size Spark knows), so nothing is scored twice and no task holds all rows of a query."""
+    scores = written(scores, "scores")
     ends = [f(c).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("low", F.min), ("high", F.max))]
-    out = scores.join(scores.groupBy(F.col("query_id").alias("_q")).agg(*ends), F.col("query_id").eqNullSafe(F.col("_q")))
+    ends = written(scores.groupBy(F.col("query_id").alias("_q")).agg(*ends), "score-ends")
+    out = scores.join(ends, F.col("query_id").eqNullSafe(F.col("_q")))
     for i, (column, name) in enumerate(columns.items()):
         low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
         out = out.withColumn(name, F.when(high - low < 1e-10, F.lit(0.0)).otherwise((F.col(column) - low) / (high - low)))

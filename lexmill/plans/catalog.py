@@ -276,12 +276,12 @@ def bm25_terms(spark, sf_dir):
 
 @query(f"WITH {_LEX_ALL} SELECT query_id, pos, round(score, 6) AS score FROM lex")
 def bm25_scores(spark, sf_dir):
-    return lexical.bm25_scores(lexical.build_index(_rows(spark, sf_dir)), _items(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return lexical.bm25_scores(lexical.saved_index(_rows(spark, sf_dir)), _items(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_LEX_ALL}, r AS ({_rank('lex', 5)}) SELECT query_id, CAST(rank AS INT) AS rank, pos, round(score, 6) AS score FROM r")
 def bm25_topk(spark, sf_dir):
-    out = lexical.bm25_topk(lexical.build_index(_rows(spark, sf_dir)), _items(spark, sf_dir))
+    out = lexical.bm25_topk(lexical.saved_index(_rows(spark, sf_dir)), _items(spark, sf_dir))
     return out.select("query_id", "rank", "pos", F.round("score", 6).alias("score"))
 
 
@@ -293,19 +293,19 @@ def l2_normalise(spark, sf_dir):
 
 @query(f"WITH {_LEX}, {_VEC}, r AS ({_rank('vec', 5)}) SELECT query_id, CAST(rank AS INT) AS rank, pos, round(score, 6) AS score FROM r")
 def vector_topk(spark, sf_dir):
-    top = lexical.top_k(hybrid.vector_scores(_corpus(spark, sf_dir), _queries(spark, sf_dir)), 5)
+    top = hybrid.vector_topk(_corpus(spark, sf_dir), _queries(spark, sf_dir), 5)
     return top.select("query_id", "rank", "pos", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_ALL} SELECT query_id, pos, round(b, 6) AS b FROM nb")
 def minmax_norm(spark, sf_dir):
-    scores = lexical.bm25_scores(lexical.build_index(_corpus(spark, sf_dir)), _queries(spark, sf_dir))
+    scores = lexical.bm25_scores(lexical.saved_index(_corpus(spark, sf_dir)), _queries(spark, sf_dir))
     return hybrid.min_max(scores, "score", "b").select("query_id", "pos", F.round("b", 6).alias("b"))
 
 
 def _both(spark, sf_dir):
     corpus, asked = _corpus(spark, sf_dir), _queries(spark, sf_dir)
-    return hybrid.vector_scores(corpus, asked), lexical.bm25_matches(lexical.build_index(corpus), lexical.query_terms(asked))
+    return hybrid.vector_scores(corpus, asked), lexical.bm25_matches(lexical.saved_index(corpus), lexical.query_terms(asked))
 
 
 _ROUNDED = "round(vector_score, 6) AS vector_score, round(bm25_score, 6) AS bm25_score, round(hybrid_score, 6) AS hybrid_score"

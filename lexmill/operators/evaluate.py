@@ -90,3 +90,8 @@ def winners(evaluated: DataFrame, system: str = "system", first: str = "RAG", se
 
 def hit_rate(results: DataFrame, by: list[str], relevant: str = "relevant") -> DataFrame:
     return results.groupBy(*by).agg(F.avg(F.col(relevant).cast("double")).alias("hit_rate"))
+
+
+def method_hit_rate(judged: DataFrame) -> DataFrame:
+    """method, n_queries, hit_rate: the mean over queries of each query's share of relevant results."""
+    return hit_rate(judged, ["method", "query_id"]).groupBy("method").agg(F.count(F.lit(1)).alias("n_queries"), F.avg("hit_rate").alias("hit_rate"))

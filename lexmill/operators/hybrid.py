@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..sources.work import written
-from .lexical import top_k
+from .lexical import LexicalIndex, bm25_matches, bm25_topk, query_terms, top_k
 
 ALPHA = 0.7
 
@@ -235,6 +235,38 @@ def compare_methods(methods: dict[str, DataFrame], k: int = 3) -> DataFrame:
     return out
 
 
+METHODS = ("bm25", "vector", "hybrid", "hybrid_fixed")
+
+
+def retrieve_by_methods(rows: DataFrame, queries: DataFrame, index: LexicalIndex, k: int = 3, alpha: float = ALPHA, stop=tx.STOP_WORDS) -> DataFrame:
+    """method, query_id, rank, pos, score, judged of the top k under each of METHODS; judged is the score that relevance looks at.
+
+    hybrid_fixed asks without stop words. rows: pos, embedding; queries: query_id, query, vector; index: of the same rows. Every pair is scored by its
+    vectors once, for the three methods that want it.
+    """
+    vec = written(vector_scores(rows, queries), "vector-scores")
+    clean = queries.withColumn("query", tx.preprocess(F.col("query"), stop))
+    zero = F.lit(0.0)
+    judged = F.coalesce(F.nullif("hybrid_score", zero), F.nullif("vector_score", zero), F.nullif("bm25_score", zero), zero)
+    made = {
+        "bm25": bm25_topk(index, queries, k).withColumn("judged", F.col("score")),
+        "vector": top_k(vec, k).withColumn("judged", F.col("score")),
+        **{n: hybrid_topk(vec, bm25_matches(index, query_terms(q)), k, alpha).select("*", F.col("hybrid_score").alias("score"), judged.alias("judged")) for n, q in (("hybrid", queries), ("hybrid_fixed", clean))},
+    }
+    out = None
+    for name in METHODS:
+        part = made[name].select(F.lit(name).alias("method"), "query_id", "rank", "pos", "score", "judged")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def judge(results: DataFrame, rows: DataFrame, expected: DataFrame, least: float = 0.15) -> DataFrame:
+    """results (pos, query_id, judged) with the source of each row (pos, source), the expected source of each query (query_id, expected) and relevant:
+    whether the source matches and the score reaches least. A query without an expected source has relevant null."""
+    known = results.join(rows.select("pos", "source"), "pos", "left").join(expected, "query_id", "left")
+    return known.withColumn("relevant", is_relevant(F.col("source"), F.col("expected"), F.col("judged"), least=least))
+
+
 def is_relevant(source, expected, vector=None, lexical=None, hybrid=None, least: float = 0.15):
     """The source matches and the first score that is neither null nor 0 (hybrid, vector, BM25) reaches `least`."""
     scores = [F.nullif(c, F.lit(0.0)) for c in (hybrid, vector, lexical) if c is not None]

@@ -41,6 +41,7 @@ class LexicalIndex:
     stats: DataFrame  # n, avgdl: one row
     blocks: DataFrame | None = None  # of a saved index: term, salt, block, held, weight, postings (pos, tf, dl)
     salts: int = 0
+    names: tuple[str, ...] = ()  # of the tables that the session knows it by
 
 
 def _stats(docs: DataFrame) -> DataFrame:
@@ -78,8 +79,8 @@ def _bucketed(df: DataFrame, path: str, buckets: int, by: list[str], order: list
     df.sparkSession.sql(f"DROP TABLE {name}")  # external: the files stay
 
 
-def _as_table(spark: SparkSession, path: str, schema: str, buckets: int, by: list[str], order: list[str]) -> DataFrame:
-    name, quoted = f"lexmill_{uuid.uuid4().hex}", path.replace("'", "\\'")
+def _as_table(spark: SparkSession, path: str, schema: str, name: str, buckets: int, by: list[str], order: list[str]) -> DataFrame:
+    quoted = path.replace("'", "\\'")
     spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({', '.join(by)}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{quoted}'")
     return spark.table(name)
 
@@ -110,10 +111,17 @@ def load_index(spark: SparkSession, path: str) -> LexicalIndex:
     """The index in a folder. Its tables are known to the session under new names, so that Spark sees their buckets."""
     stats = spark.read.parquet(f"{path}/stats")
     shape = stats.first()
-    blocks = _as_table(spark, f"{path}/blocks", _BLOCK_SCHEMA, shape.buckets, ["term", "salt"], ["term", "salt", "block"])
-    terms = _as_table(spark, f"{path}/terms", _TERM_SCHEMA, shape.buckets, ["term"], ["term"])
+    names = tuple(f"lexmill_{uuid.uuid4().hex}" for _ in range(2))
+    blocks = _as_table(spark, f"{path}/blocks", _BLOCK_SCHEMA, names[0], shape.buckets, ["term", "salt"], ["term", "salt", "block"])
+    terms = _as_table(spark, f"{path}/terms", _TERM_SCHEMA, names[1], shape.buckets, ["term"], ["term"])
     tf = blocks.select("term", F.inline("postings")).select("pos", "term", "dl", "tf")
-    return LexicalIndex(tf, spark.read.parquet(f"{path}/docs"), terms, stats.select("n", "avgdl"), blocks, shape.salts)
+    return LexicalIndex(tf, spark.read.parquet(f"{path}/docs"), terms, stats.select("n", "avgdl"), blocks, shape.salts, names)
+
+
+def forget_index(spark: SparkSession, index: LexicalIndex) -> None:
+    """Gives up the table names of a loaded index; its files stay."""
+    for name in index.names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def saved_index(df: DataFrame, pos: str = "pos", text: str = "text", **shape) -> LexicalIndex:

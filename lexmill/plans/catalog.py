@@ -325,13 +325,40 @@ def alpha_sweep(spark, sf_dir):
     return hybrid.alpha_sweep(*_both(spark, sf_dir)).select("query_id", "alpha", "rank", "pos", F.round("hybrid_score", 6).alias("hybrid_score"))
 
 
-@query(f"WITH {_ALL}, h AS (SELECT query_id, pos, hybrid_score AS score FROM hyb), " + ", ".join(f"r{i} AS ({_rank(t, 3)})" for i, t in enumerate(("lex", "vec", "h"))) + " SELECT method, query_id, CAST(rank AS INT) AS rank, pos, round(score, 6) AS score FROM (SELECT 'bm25' AS method, query_id, rank, pos, score FROM r0 UNION ALL SELECT 'vector', query_id, rank, pos, score FROM r1 UNION ALL SELECT 'hybrid', query_id, rank, pos, score FROM r2)")
+_CLEAN_QUERY = f"coalesce(nullif(array_to_string(list_filter({tok('query')}, lambda x: NOT list_contains({_list(tx.STOP_WORDS)}, x)), ' '), ''), lower(query))"
+#: The same ranking for queries without stop words: hyb2.
+_FIXED_QUERY = f"""qt2 AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({tok('clean')}) AS term FROM (SELECT query_id, {_CLEAN_QUERY} AS clean FROM qs)) GROUP BY ALL),
+bm2 AS (SELECT query_id, pos, round(sum(idf * qf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 10) AS score FROM qt2 JOIN terms USING (term) JOIN tf USING (term) JOIN dl USING (pos), st GROUP BY ALL),
+lex2 AS (SELECT q.query_id, d.pos, coalesce(score, 0) AS score FROM qs q CROSS JOIN docs d LEFT JOIN bm2 ON bm2.query_id = q.query_id AND bm2.pos = d.pos),
+{_HYB.replace('nv AS', 'nv2 AS').replace('nb AS', 'nb2 AS').replace('hyb AS', 'hyb2 AS').replace('FROM lex', 'FROM lex2').replace('FROM nv JOIN nb', 'FROM nv2 JOIN nb2')}"""
+_JUDGED = "coalesce(nullif(hybrid_score, 0), nullif(vector_score, 0), nullif(bm25_score, 0), 0)"
+#: method, query_id, rank, pos, score, judged of the top 3 under each method.
+_METHODS = f"{_ALL}, {_FIXED_QUERY}, scored AS (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS method, query_id, pos, {score} AS score, {judged} AS judged FROM {t}" for m, t, score, judged in (("bm25", "lex", "score", "score"), ("vector", "vec", "score", "score"), ("hybrid", "hyb", "hybrid_score", _JUDGED), ("hybrid_fixed", "hyb2", "hybrid_score", _JUDGED))
+) + f"), methods AS ({_rank('scored', 3, by='method, query_id')})"
+_EXPECTED = "(SELECT doc_id AS query_id, source AS expected FROM documents)"
+_JUDGE = f"judged AS (SELECT m.*, d.source, x.expected, contains(lower(d.source), lower(x.expected)) AND m.judged >= 0.15 AS relevant FROM methods m JOIN docs d USING (pos) LEFT JOIN {_EXPECTED} x ON x.query_id = m.query_id)"
+
+
+def _by_methods(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    return hybrid.retrieve_by_methods(corpus, _queries(spark, sf_dir), lexical.saved_index(corpus))
+
+
+@query(f"WITH {_METHODS} SELECT method, query_id, CAST(rank AS INT) AS rank, pos, round(score, 6) AS score FROM methods")
 def method_compare(spark, sf_dir):
-    corpus, asked = _corpus(spark, sf_dir), _queries(spark, sf_dir)
-    vec, index = hybrid.vector_scores(corpus, asked), lexical.build_index(corpus)
-    hyb = hybrid.hybrid_scores(vec, lexical.bm25_matches(index, lexical.query_terms(asked))).withColumnRenamed("hybrid_score", "score")
-    lex = lexical.bm25_topk(index, asked, 3)
-    return hybrid.compare_methods({"bm25": lex, "vector": vec, "hybrid": hyb}).withColumn("score", F.round("score", 6))
+    return _by_methods(spark, sf_dir).drop("judged").withColumn("score", F.round("score", 6))
+
+
+def _expected(spark, sf_dir):
+    """The source that a query is expected to find: that of the document of the same number."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("expected"))
+
+
+@query(f"WITH {_METHODS}, {_JUDGE}, q AS (SELECT method, query_id, avg(CAST(relevant AS DOUBLE)) AS hit_rate FROM judged GROUP BY ALL) SELECT method, count(*) AS n_queries, round(avg(hit_rate), 6) AS hit_rate FROM q GROUP BY method")
+def method_hit_rate(spark, sf_dir):
+    judged = hybrid.judge(_by_methods(spark, sf_dir), _rows(spark, sf_dir), _expected(spark, sf_dir))
+    return evaluate.method_hit_rate(judged).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
 @query(f"WITH {_ALL}, r AS ({_rank('hyb', 3, 'hybrid_score')}), e AS (SELECT r.query_id, contains(lower(d.source), lower(x.source)) AND coalesce(nullif(hybrid_score, 0), nullif(vector_score, 0), nullif(bm25_score, 0), 0) >= 0.15 AS relevant FROM r JOIN docs d USING (pos) JOIN (SELECT doc_id AS query_id, source FROM documents) x ON x.query_id = r.query_id) SELECT query_id, avg(CAST(relevant AS DOUBLE)) AS hit_rate FROM e GROUP BY query_id")
@@ -339,8 +366,7 @@ def relevance_hit_rate(spark, sf_dir):
     """A result is relevant if it comes from the source of the document that has the query's number."""
     corpus = _corpus(spark, sf_dir)
     top = hybrid.hybrid_topk(*_both(spark, sf_dir), k=3).join(corpus.select("pos", "source"), "pos")
-    expected = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("expected"))
-    judged = top.join(expected, "query_id").withColumn("relevant", hybrid.is_relevant(F.col("source"), F.col("expected"), F.col("vector_score"), F.col("bm25_score"), F.col("hybrid_score")))
+    judged = top.join(_expected(spark, sf_dir), "query_id").withColumn("relevant", hybrid.is_relevant(F.col("source"), F.col("expected"), F.col("vector_score"), F.col("bm25_score"), F.col("hybrid_score")))
     return evaluate.hit_rate(judged, ["query_id"])
 
 

@@ -323,7 +323,8 @@ def _hits_of_all(texts: list[str | None], blocks) -> tuple[np.ndarray, tuple, li
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text="text", item_id="item_id", item_text="text", width=10, block_bytes=32 << 20, shard_bytes=12 << 20) -> DataFrame:
-    """docs with n_words (long), hit_spans (merged word ranges, end exclusive) and hit_items (sorted distinct ids)."""
+    """docs with n_words (long), hit_spans (merged word ranges, end exclusive) and hit_items (sorted distinct ids; the windows of an item without an
+    id are hit, but it is not listed)."""
     item_type = T.LongType() if dict(benchmark.dtypes)[item_id] != "string" else T.StringType()
     docs = docs.drop("n_words", "hit_spans", "hit_items")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("hit_items", T.ArrayType(item_type))])
@@ -343,7 +344,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text="text", it
                 at = np.concatenate(([0], np.cumsum(np.bincount(pairs // len(ids), minlength=n))))
                 for d in np.unique(pairs // len(ids)):
                     items_of[d] = {*items_of[d], *(ids[i] for i in pairs[at[d] : at[d + 1]] % len(ids))}
-            items = pa.array([sorted(x) for x in items_of], pa.list_(pa.int64() if item_type == T.LongType() else pa.string()))
+            items = pa.array([sorted(i for i in x if i is not None) for x in items_of], pa.list_(pa.int64() if item_type == T.LongType() else pa.string()))
             for name, column in (("n_words", pa.array(n_words)), ("hit_spans", spans), ("hit_items", items)):
                 table = table.append_column(name, column)
             yield from table.to_batches()

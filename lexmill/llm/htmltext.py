@@ -19,8 +19,12 @@ The tree is counted as rows (host, node, feature) with a partial sum in each tas
 all pages is summed where its pages lie. The values of a host's nodes are one short list, which goes to each of `SALTS` parts
 of the host's pages, so no task gets a whole host.
 
-Defined cases: null and empty html give an empty text. Pages without a host share the host ''. A page of which nothing would be
-left keeps, in this order, what its nodes' values would remove, and what only a class, an id or a form element marks. Pages of any length are parsed whole, in one pass.
+A mark holds for the runs of text inside the element, also where it stands in the middle of a paragraph (a button, a share link): the run goes, the
+paragraph stays. Inside an article, a class on an element of running text (a paragraph, heading, quotation, list item or cell) has to be one of ADS,
+as such elements also tell of promotions, notices and comments.
+
+Defined cases: null and empty html give an empty text. Pages without a host share the host ''. A page that holds only marked blocks gives an empty text. Where all unmarked
+blocks of a page are low they stay, as pages that stand several times look like that. Pages of any length are parsed whole, in one pass.
 Repeated rows are pages of their own. An empty table gives no row. Extra columns are kept by extract().
 """
 
@@ -49,6 +53,9 @@ MARKS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar sidebar aside widget widgets related recommended share sharing social follow "
     "comment comments commentlist respond reply replies disqus footer header masthead topbar copyright disclaimer skip".split()
 )
+#: Elements of running text, and the marks that hold for them inside an article.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
+ADS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing social skip".split())
 #: Parts of a class that say nothing about what is inside.
 FRAMES = frozenset("container wrapper wrap box section block list area bar inner outer item items link links thread form top bottom left right main".split())
 SALTS = 32
@@ -60,13 +67,13 @@ _ATTR = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+
 _NAMES = re.compile(r"[a-z]+|[0-9]+")
 
 
-def marked(name: str, article: bool) -> bool:
-    """Whether one class or id says that an element is no article text: by its last part that isn't a mere frame."""
+def marked(name: str, article: bool, running: bool = False) -> bool:
+    """Whether one class or id says that an element is no article text: by its last part that isn't a mere frame. running: an element of running text."""
     parts = _NAMES.findall(name)
     while len(parts) > 1 and (parts[-1] in FRAMES or parts[-1].isdigit()):
         parts.pop()
     own = article or len(parts) > 1 and parts[-2] in ("article", "post", "entry", "content")
-    return bool(parts) and parts[-1] in MARKS and not (own and parts[-1] == "header")
+    return bool(parts) and parts[-1] in (ADS if article and running else MARKS) and not (own and parts[-1] == "header")
 
 
 class Page:
@@ -76,18 +83,24 @@ class Page:
         self.blocks: list[tuple[str, int, int, bool]] = []
         self.styles: dict[int, list[str]] = {}
         self._stack: list[tuple[str, int, int, bool]] = []  # tag, node, mark, inside the article
-        self._text: list[str] = []
+        self._text: list[tuple[str, int]] = []  # runs and their marks
         self._children: list[list[str]] = [[]]
         if html:
             self._parse(html)
 
+    def _add(self, text: str):
+        self._text.append((text, self._stack[-1][2] if self._stack else NONE))
+
     def _flush(self):
+        """Ends a block: the runs of each mark are a block of their own."""
         if self._text:
-            words = _html.unescape("".join(self._text)).split()
-            self._text = []
-            if words:
-                _, node, mark, inside = self._stack[-1] if self._stack else ("", 0, NONE, False)
-                self.blocks.append((" ".join(words), node, mark, inside))
+            runs, self._text = self._text, []
+            _, node, _, inside = self._stack[-1] if self._stack else ("", 0, NONE, False)
+            for mark in sorted({m for _, m in runs}):
+                # A run of another mark in between parts words.
+                words = _html.unescape("".join(t if m == mark else " " for t, m in runs)).split()
+                if words:
+                    self.blocks.append((" ".join(words), node, mark, inside))
 
     def _pop(self):
         _, node, mark, _ = self._stack.pop()
@@ -119,7 +132,7 @@ class Page:
             if tag not in ("html", "body", "article", "main"):
                 if role in ROLES:
                     mark = HARD
-                elif not mark and (any(marked(x, parent[3]) for x in (*classes, got.get("id", "").lower())) or got.get("hidden") == "hidden"):
+                elif not mark and (any(marked(x, parent[3], tag in RUNNING) for x in (*classes, got.get("id", "").lower())) or got.get("hidden") == "hidden"):
                     mark = SOFT
             names = " ".join("#" if x.isdigit() else x for x in _NAMES.findall(" ".join(classes)))
         if tag in DROPPED and not (tag == "header" and parent[3]):
@@ -135,10 +148,10 @@ class Page:
         while True:
             m = find(html, at)
             if m is None:
-                self._text.append(html[at:])
+                self._add(html[at:])
                 break
             if m.start() > at:
-                self._text.append(html[at : m.start()])
+                self._add(html[at : m.start()])
             at = m.end()
             if m[2] is None:
                 continue
@@ -150,7 +163,7 @@ class Page:
                     self._close((tag,))
                 continue
             if tag == "br":
-                self._text.append(" ")
+                self._add(" ")
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -178,7 +191,7 @@ class Page:
 
     def text(self, values: dict[int, float] | None = None, limits: tuple[float, float, float] = LIMITS, unseen: float = 0.9) -> str:
         """The kept blocks, one on a line. values: of the nodes that a tree speaks of."""
-        free = [b for b in self.blocks if not b[2]] or [b for b in self.blocks if b[2] == SOFT]
+        free = [b for b in self.blocks if not b[2]]
         inside, plain, outside = limits
         if not any(b[3] for b in free):
             outside = plain

@@ -202,9 +202,11 @@ def _resolve(asks: DataFrame, members: int, kind, width: int, done: int, bits: i
     finer = finer.select(F.shiftright("slice", step).alias("slice"), F.col("member").alias("team"), "high", "low", "value")
 
     def hand_down(asked, told):
-        if not asked.num_rows or not told.num_rows:
+        if not asked.num_rows:
             return _table(_ASK, [])
-        return answers(asked, combine(*(np.concatenate(x) for x in zip(*parts(told))), np.minimum), parts(asked))
+        # What the members of a team know of each other wasn't told to the team.
+        own = parts(asked)
+        return answers(asked, kind.merge(own + parts(told)), own)
 
     return grouped.groupBy("slice", "team").cogroup(finer.groupBy("slice", "team")).applyInArrow(hand_down, _ASK)
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lexmill.llm import decontaminate, htmltext, langid, langmodel, minhash, packing, quality, sharding, tokencount, toxicity
+from lexmill.llm import decontaminate, htmltext, langid, langmodel, minhash, packing, periodic, quality, repeats, sharding, tokencount, toxicity
 
 BPE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node string, shard string, slot string, low string, keys string, _th string, n_words string, block string"
@@ -589,8 +589,17 @@ def test_article_parts_stay():
     assert text(f"<article><p>First.</p>{body}</article>") == "First.\n" + parts
     junk = '<div class="post-comments">c</div><div id="comments">c</div><div class="ad-container">a</div><ul class="share links"><li>s</ul><svg><text>v</text></svg>'
     assert text(f"<article><p>First.</p>{body}{junk}</article>") == "First.\n" + parts and text(f"<p>First.</p>{body}{junk}") == "First.\n" + parts
-    assert text('<div class="post-tags-body"><p>Only.</p></div>') == "Only." and text('<div class="menu"><p>Only.</p></div>') == "Only." and text("<nav>Only.</nav>") == ""
-    assert text("<form><nav>m</nav><p>All of the page is a form.</p></form>") == "All of the page is a form."
+    assert text('<div class="post-tags-body"><p>Only.</p></div>') == "Only." 
+    # A page of nothing but boilerplate is empty.
+    assert text('<div class="menu"><p>Only.</p></div>') == text("<nav>Only.</nav>") == text("<form><nav>m</nav><p>All of the page is a form.</p></form>") == ""
+    # What is marked in the middle of a paragraph goes, the paragraph stays one block.
+    inline = {"A <button>Share</button> b": "A b", "A<button>Share</button>b": "A b", '<span class="ad">Buy now</span>': "", 'Read <a class="share" href=x>Share this</a>on.': "Read on.", "<label>Name</label>It ends.": "It ends.", "x <dialog>Accept cookies</dialog> y": "x y", "x <menu>m</menu> y": "x y", '<span id="cookie-banner">Accept</span> z': "z"}
+    for inner, want in inline.items():
+        assert text(f"<article><p>{inner}</p></article>") == text(f"<article><p>{inner}</article>") == want
+    assert text("<article><p>a</p><button>Subscribe</button></article><dialog>Accept cookies</dialog>") == "a"
+    told = '<p class="promotion">He won promotion.</p><p class="comment">No comment.</p><h2 class="notice">Notice</h2>'
+    assert text(f"<article>{told}</article>") == "He won promotion.\nNo comment.\nNotice"
+    assert text('<article><p>a</p><p class="ad">Buy.</p><div class="comments"><p>First!</p></div></article>') == "a"
     deep = "<div>" * 3000 + "<p>deep</p>"
     assert text(deep) == "deep" and len(text("<p>long text</p>" * 200_000)) == 200_000 * 10 - 1
 
@@ -853,10 +862,153 @@ def test_contamination(spark):
     left = {r.doc_id: r for r in clean.collect()}
     assert clean.columns == df.columns and set(left) == {0, 1, 2, 3, 4, 6} and left[1].text == texts[1] and left[2].text == "say\nnow" and left[0].n_chars == len(left[0].text)
     assert not any(h for _, h, _ in decontaminate.brute_force([r.text for r in left.values()], [(r.item_id, r.text) for r in items.collect()]))
+    # An item without an id is hit, but not listed.
+    nameless = spark.createDataFrame([(None, passage), (2, "three words now"), (None, None)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_contamination(df, nameless, block_bytes=64).collect()}
+    assert got[5].hit_items == [] and len(got[5].hit_spans) == 1 and got[2].hit_items == [2]
+    assert {r.n_items for r in decontaminate.contamination_digest(decontaminate.find_contamination(df, nameless)).collect()} == {0, 1}
     assert decontaminate.find_contamination(edge(spark), items).count() == edge(spark).count()
     assert decontaminate.find_contamination(empty(spark), items).count() == 0 and decontaminate.find_contamination(df, items.limit(0)).filter("size(hit_spans) > 0").count() == 0
 
 
+# 11 ------------------------------------------------------------------------------------------------------------------
+
+
+def plain_runs(x, least=24, times=3):
+    """(start, length, period): for each period the islands of words that equal the one a period on."""
+    found = {}
+    for q in range(1, len(x) // times + 1):
+        i = 0
+        while i + q < len(x):
+            j = i
+            while j + q < len(x) and x[j] == x[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, times * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def repetitive(r):
+    out = []
+    for _ in range(r.randrange(0, 6)):
+        alphabet = r.choice((1, 2, 3, 30))
+        unit = [r.randrange(alphabet) for _ in range(r.randrange(1, 25))]
+        out += unit if r.random() < 0.4 else (unit * 40)[: r.randrange(1, 150)]
+    return out
+
+
+@pytest.mark.parametrize("least, times", [(24, 3), (3, 3), (7, 4)])
+def test_runs_against_brute_force(least, times):
+    r = random.Random(least)
+    for _ in range(60):
+        texts = [repetitive(r) for _ in range(r.randrange(1, 6))]
+        got = [[] for _ in texts]
+        for i, *run in zip(*(x.tolist() for x in periodic.runs_of(np.array([w for t in texts for w in t], np.int64), np.array([len(t) for t in texts]), least, times))):
+            got[i].append(tuple(run))
+        assert got == [plain_runs(t, least, times) for t in texts]
+
+
+def test_runs_of_texts(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"w{x}" for x in repetitive(r)) for _ in range(40)] + ["a b c d e f g h " * 5, None, ""]
+    for size in (4 << 20, 200):  # in one batch, and text by text
+        got = {x.doc_id: x for x in periodic.find_runs(frame(spark, texts), batch_bytes=size).collect()}
+        for i, t in enumerate(texts):
+            ws = (t or "").split()
+            runs = plain_runs(ws)
+            drop = {j for s, n, q in runs for j in range(s + q, s + n)}
+            assert [tuple(x) for x in got[i].runs] == runs and got[i].n_words == len(ws)
+            assert got[i].collapsed == " ".join(w for j, w in enumerate(ws) if j not in drop)
+    assert got[40].collapsed == "a b c d e f g h"
+    best = {x.doc_id: x for x in periodic.run_digest(periodic.find_runs(frame(spark, texts))).collect()}
+    for i, t in enumerate(texts):
+        runs = plain_runs((t or "").split())
+        want = min(runs, key=lambda x: (-x[1] / x[2], x[0], x[2])) if runs else (None,) * 3
+        assert (best[i].start, best[i].length, best[i].period) == want and best[i].n_runs == len(runs)
+        assert best[i].exponent_milli == (1000 * want[1] // want[2] if runs else None)
+        assert best[i].runs_sha256 == hashlib.sha256("".join(f"{a},{b},{c}\n" for a, b, c in runs).encode()).hexdigest()
+
+
+def test_runs_on_edges(spark):
+    df = edge(spark)
+    got = periodic.run_digest(periodic.find_runs(periodic.with_planted_runs(df)))
+    assert got.count() == df.count() and got.filter("runs_sha256 IS NULL OR collapsed_sha256 IS NULL").count() == 0
+    assert sum(r.doc_id is None for r in got.collect()) == 2
+    assert periodic.run_digest(periodic.find_runs(empty(spark))).count() == 0
+    with pytest.raises(ValueError):
+        periodic.find_runs(df, times=2)
+
+
+def test_planted_runs_by_hand(spark):
+    texts = [words(n, i) for i, n in enumerate([1, 2, 5, 40, 200] * 8)] + ["", None]
+    for r in periodic.with_planted_runs(frame(spark, texts)).collect():
+        ws, h = (texts[r.doc_id] or "").split(), zlib.crc32(str(r.doc_id).encode())
+        if h % 10 == 0 and ws:
+            g, n = h // 10, len(ws)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            ws = [ws[i] if i < a else ws[a + (i - a) % p] for i in range(n)]
+        assert (r.text or "").split() == ws
+
+
+# 12 ------------------------------------------------------------------------------------------------------------------
+
+
+def plain_repeats(rows, window):
+    """(id, text) -> per row (words, words removed, words kept)."""
+    first, out = {}, []
+    cut = lambda ws: [tuple(ws[i : i + window]) for i in range(len(ws) - window + 1)]
+    for d, t in rows:
+        for w in cut((t or "").split()):
+            if d is not None:
+                first[w] = min(first.get(w, d), d)
+    for d, t in rows:
+        ws = (t or "").split()
+        drop = {j for i, w in enumerate(cut(ws)) if d is not None and first[w] < d for j in range(i, i + window)}
+        out.append((d, len(ws), len(drop), " ".join(x for j, x in enumerate(ws) if j not in drop)))
+    return out
+
+
+@pytest.mark.parametrize("window, block, keys, fan", [(50, 6 << 20, 1 << 21, 12), (10, 300, 16, 2), (7, 300, 64, 12), (2, 4000, 200, 3)])
+def test_repeats_against_brute_force(spark, monkeypatch, window, block, keys, fan):
+    """Shared passages, copies, repeats inside a text, ids out of order, equal, negative and null; in one block and slice, and in many levels."""
+    monkeypatch.setattr(repeats, "FAN", fan)
+    r = random.Random(window)
+    passages = [words(r.randrange(window - 1, 3 * window + 5), 500 + i) for i in range(6)]
+    rows = []
+    for _ in range(60):
+        parts = [r.choice(passages) if r.random() < 0.5 else words(r.randrange(1, 60), r.randrange(10**6)) for _ in range(r.randrange(0, 5))]
+        rows.append((r.choice((None, *range(-20, 40))), " ".join(parts)))
+    rows += [rows[3], rows[4], (99, None), (98, ""), (97, passages[0] + " " + passages[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = repeats.find_repeats(df, window=window, block_bytes=block, slice_keys=keys)
+    got = [(x.doc_id, x.n_words, sum(s.end - s.start for s in x.removed), x.kept) for x in found.collect()]
+    assert sorted(got, key=repr) == sorted(plain_repeats(rows, window), key=repr)
+
+
+def test_repeats_on_edges(spark):
+    df = edge(spark)
+    got = repeats.repeat_digest(repeats.find_repeats(df)).collect()
+    assert len(got) == df.count() and all(r.kept_sha256 for r in got)
+    assert {r.n_removed for r in got if r.doc_id == 5} == {120} and {r.n_removed for r in got if r.doc_id in (4, None)} == {0}
+    assert repeats.find_repeats(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        repeats.find_repeats(df, doc_id="source")
+
+
+def test_rolling_hashes_and_names():
+    x = np.random.default_rng(1).integers(0, 4, 200).astype(np.uint64)
+    for n, h in zip((1, 7, 25, 50), repeats.rolling(x, [1, 7, 25, 50], 0)):
+        by = collections.defaultdict(set)
+        for i in range(len(x) - n + 1):
+            by[int(h[i])].add(tuple(x[i : i + n]))
+        assert len(h) == len(x) - n + 1 and all(len(v) == 1 for v in by.values())
+    high, low = np.array([3, 3, 3, 9], np.uint64), np.array([1, 5, 7, 1], np.uint64)
+    i, at = repeats.find((high, low, low), np.array([3, 9, 3, 4, 9], np.uint64), np.array([7, 1, 2, 1, 2], np.uint64))
+    assert dict(zip(i.tolist(), at.tolist())) == {0: 2, 1: 3}
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 

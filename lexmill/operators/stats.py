@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.work import written
 
 
 def size_stats(chunks: DataFrame, by: list[str]) -> DataFrame:
@@ -31,17 +32,40 @@ def vocabulary_stats(chunks: DataFrame, by: list[str], text: str = "text") -> Da
     return out.select(*by, "total_tokens", "unique_tokens", ratio.alias("type_token_ratio"), "avg_unique")
 
 
-def jaccard_best(queries: DataFrame, chunks: DataFrame, query_id: str, query: str, pos: str, text: str) -> DataFrame:
+def jaccard_best(queries: DataFrame, chunks: DataFrame, query_id: str, query: str, pos: str, text: str, probe: int = 3, counts: dict | None = None) -> DataFrame:
     """query_id, pos, shared, sim: the chunk of the highest token Jaccard with each query (ties: the least pos).
 
-    Only chunks that share a token meet a query, by an equi-join on tokens; a query that shares none has no row.
+    A query that shares no token with any chunk gets the least pos and 0; a query without tokens has no row. Exact, without meeting every chunk that shares
+    a common word. First the chunks that hold one of a query's `probe` rarest words are compared; the best of them is a floor t. A chunk that
+    reaches t shares at least t * n of the query's n tokens, so it holds one of the n - ceil(t * n) + 1 rarest ones (rarity prefix), and has
+    between t * n and n / t tokens (size bound). Only such chunks are compared then. counts: gets the pairs compared (compared).
     """
-    sets = lambda df, i, t, n: df.select(F.col(i), F.array_distinct(tx.tokens(F.col(t))).alias("s")).select(i, F.size("s").alias(n), F.explode("s").alias("w"))
-    q, c = sets(queries, query_id, query, "nq"), sets(chunks, pos, text, "nc")
-    met = c.join(q, "w").groupBy(query_id, pos, "nq", "nc").agg(F.count(F.lit(1)).alias("shared"))
-    sim = met.withColumn("sim", F.col("shared") / (F.col("nq") + F.col("nc") - F.col("shared")))
-    best = W.partitionBy(query_id).orderBy(F.desc("sim"), F.asc(pos))
-    return sim.withColumn("r", F.row_number().over(best)).filter("r = 1").select(query_id, pos, "shared", "sim")
+    sets = lambda df, i, t, n: df.select(F.col(i), F.array_distinct(tx.tokens(F.col(t))).alias("s")).withColumn(n, F.size("s"))
+    q, c = written(sets(queries, query_id, query, "nq").filter("nq > 0").withColumnRenamed("s", "qs"), "query-sets"), written(sets(chunks, pos, text, "nc"), "chunk-sets")
+    asked, held = q.select(query_id, "nq", F.explode("qs").alias("w")), c.select(pos, "nc", F.explode("s").alias("w"))
+    df = held.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    # Words that no chunk holds are the rarest: they count in the prefix, and meet nothing.
+    order = W.partitionBy(query_id).orderBy(F.coalesce("df", F.lit(0)), "w")
+    ranked = written(asked.join(df, "w", "left").withColumn("i", F.row_number().over(order)).filter("df IS NOT NULL"), "query-words")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(c.select(pos, "nc", "s"), pos).join(q, query_id).withColumn("shared", F.size(F.array_intersect("s", "qs")).cast("long"))
+        return both.select(query_id, pos, "shared", (F.col("shared") / (F.col("nq") + F.col("nc") - F.col("shared"))).alias("sim"))
+
+    nth = F.row_number().over(W.partitionBy(query_id).orderBy("i"))
+    rare = ranked.withColumn("nth", nth).filter(F.col("nth") <= probe)
+    first = written(compared(held.join(rare.select(query_id, "w"), "w").select(query_id, pos).distinct()), "jaccard-first")
+    floor = ranked.select(query_id).distinct().join(first.groupBy(query_id).agg(F.max("sim").alias("floor")), query_id, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - 1e-9)
+    near = ranked.join(floor, query_id).filter(F.col("i") <= F.col("nq") - F.ceil(F.greatest(F.col("floor"), F.lit(0.0)) * F.col("nq")) + 1)
+    sized = (F.col("nc") >= F.col("floor") * F.col("nq")) & (F.col("nc") * F.col("floor") <= F.col("nq"))
+    pairs = held.join(near.select(query_id, "w", "nq", "floor"), "w").filter(sized).select(query_id, pos).distinct()
+    every = first.unionByName(compared(pairs.join(first.select(query_id, pos), [query_id, pos], "left_anti")))
+    if counts is not None:
+        every = written(every, "jaccard-compared")
+        counts["compared"] = every.count()
+    best = every.withColumn("r", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("sim"), F.asc(pos)))).filter("r = 1").select(query_id, pos, "shared", "sim")
+    none = q.join(ranked.select(query_id).distinct(), query_id, "left_anti").crossJoin(F.broadcast(c.agg(F.min(pos).alias(pos)))).filter(F.col(pos).isNotNull())
+    return best.unionByName(none.select(query_id, pos, F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("sim")))
 
 
 def jaccard_hit_rate(queries: DataFrame, chunks: DataFrame, query_id: str, query: str, pos: str, text: str, least: int = 2) -> DataFrame:

@@ -211,7 +211,8 @@ def truncate_words(spark, sf_dir):
 _JACCARD = f"""q AS (SELECT item_id, len(s) AS nq, unnest(s) AS w FROM (SELECT item_id, list_distinct({tok('text')}) AS s FROM benchmark)),
 c AS (SELECT doc_id, len(s) AS nc, unnest(s) AS w FROM (SELECT doc_id, list_distinct({tok('text')}) AS s FROM documents)),
 m AS (SELECT item_id, doc_id, count(*) AS shared, count(*) / (any_value(nq) + any_value(nc) - count(*)) AS sim FROM q JOIN c USING (w) GROUP BY item_id, doc_id),
-best AS (SELECT item_id, doc_id, shared, sim FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) = 1)"""
+best AS (SELECT item_id, doc_id, shared, sim FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) = 1
+  UNION ALL SELECT item_id, (SELECT min(doc_id) FROM documents), 0, 0.0 FROM (SELECT DISTINCT item_id FROM q) WHERE item_id NOT IN (SELECT item_id FROM m))"""
 
 
 @query(f"WITH {_JACCARD} SELECT item_id, doc_id, shared, round(sim, 6) AS sim FROM best")

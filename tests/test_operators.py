@@ -259,7 +259,8 @@ def test_jaccard_stats(spark):
     q = spark.createDataFrame([(1, "red blue"), (2, "zebra"), (3, "")], "i long, q string")
     d = spark.createDataFrame(CORPUS, "pos long, text string")
     best = {r.i: r for r in stats.jaccard_best(q, d, "i", "q", "pos", "text").collect()}
-    assert best[1].pos == 0 and best[1].shared == 2 and len(best) == 1
+    assert best[1].pos == 0 and best[1].shared == 2 and len(best) == 2
+    assert (best[2].pos, best[2].shared, best[2].sim) == (0, 0, 0.0)  # nothing shared: the first chunk, with 0
     rate = stats.jaccard_hit_rate(q, d, "i", "q", "pos", "text").first()
     assert rate.hit_rate == pytest.approx(1 / 3) and rate.avg_top1_sim == pytest.approx((2 / 3) / 2)
 
@@ -321,3 +322,92 @@ def test_experiments(spark, tmp_path):
     src.write_text("x" * 20000)
     dest = str(tmp_path / "b.txt")
     assert io.fetch(src.as_uri(), dest) and not io.fetch(src.as_uri(), dest) and open(dest).read() == "x" * 20000
+
+
+@pytest.mark.parametrize("probe", [1, 3])
+def test_jaccard_best_against_brute_force(spark, probe):
+    """Rarity prefix and size bound lose no best chunk, at any similarity; ties go to the least pos."""
+    r = random.Random(probe)
+    vocab = ["".join(r.choices("abcdefgh", k=r.choice((2, 3, 5)))) for _ in range(120)]
+    common = vocab[:8]
+    text = lambda n: " ".join(r.choice(common if r.random() < 0.6 else vocab) for _ in range(n))
+    chunks = [(i, text(r.randrange(0, 40))) for i in range(150)] + [(500, None), (501, "")]
+    queries = [(i, text(r.randrange(1, 25))) for i in range(40)] + [(100, "zzz yyy"), (101, "1 2 !"), (102, None), (103, chunks[7][1]), (104, "zzz " + chunks[9][1])]
+    counts: dict = {}
+    got = stats.jaccard_best(spark.createDataFrame(queries, "q long, t string"), spark.createDataFrame(chunks, "p long, t string"), "q", "t", "p", "t", probe=probe, counts=counts).collect()
+    sets = lambda t: set(re.findall(r"\b[a-z]{2,}\b", (t or "").lower()))
+    want, all_pairs = {}, 0
+    for i, t in queries:
+        a = sets(t)
+        if a:
+            scored = [(len(a & sets(c)) / len(a | sets(c)), len(a & sets(c)), p) for p, c in chunks]
+            all_pairs += sum(n > 0 for _, n, _ in scored)
+            want[i] = max(scored, key=lambda x: (x[0], -x[2]))
+    assert {x.q: (x.sim, x.shared, x.p) for x in got} == want and len(got) == len(want)
+    assert want[100] == (0.0, 0, 0) and counts["compared"] < all_pairs
+
+
+def test_saved_index_round_trip(spark, tmp_path):
+    """A saved index gives the scores of the one in memory; its postings aren't shuffled, and top k by blocks is exact."""
+    r = random.Random(2)
+    docs = [(i * 3, " ".join(r.choice("red green blue black white gray pink teal".split() if r.random() < 0.9 else [f"w{x}" for x in "abcdefghij"]) for _ in range(r.randrange(0, 30)))) for i in range(400)]
+    docs = [(p, re.sub(r"w([a-j])", r"rare\1", t)) for p, t in docs]
+    df = spark.createDataFrame(docs, "pos long, text string")
+    q = spark.createDataFrame([(1, "red rarea"), (2, "rareb rarec pink pink"), (3, "zebra"), (4, ""), (5, "red green blue black white")], "query_id long, query string")
+    plain = lexical.build_index(df)
+    lexical.save_index(plain, f"file://{tmp_path}/index", block_rows=8, buckets=4)
+    lexical.save_index(plain, f"file://{tmp_path}/index", block_rows=8, buckets=4)  # again, in place
+    index = lexical.load_index(spark, f"file://{tmp_path}/index")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    near = lambda a, b: [x[:-1] for x in a] == [x[:-1] for x in b] and all(abs(x[-1] - y[-1]) < 1e-8 for x, y in zip(a, b))
+    terms = lexical.query_terms(q)
+    assert near(rows(lexical.bm25_matches(index, terms)), rows(lexical.bm25_matches(plain, terms)))
+    assert rows(index.tf.select("pos", "term", "tf", "dl")) == rows(plain.tf.select("pos", "term", "tf", "dl")) and rows(index.docs) == rows(plain.docs)
+    for k in (1, 5, 60):
+        counts: dict = {}
+        got = rows(lexical.bm25_topk_blocks(index, terms, k, probe=1, counts=counts))
+        assert near(got, rows(lexical.top_k(lexical.bm25_matches(plain, terms), k).select("query_id", "pos", "score")))
+        assert near(rows(lexical.bm25_topk(index, q, k).select("query_id", "rank", "pos", "score")), rows(lexical.bm25_topk(plain, q, k).select("query_id", "rank", "pos", "score")))
+        assert k > 1 or counts["scored"] < counts["all"]
+    # The postings' side of the join has no exchange, whichever join is taken.
+    joined = index.blocks.join(lexical._asked(index, terms).hint("merge"), ["term", "salt"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = joined._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    at = next(i for i, x in enumerate(lines) if "FileScan" in x and "postings" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    above, level = [], depth(lines[at])
+    for x in reversed(lines[:at]):
+        if depth(x) < level:
+            above.append(x)
+            level = depth(x)
+    assert any("SortMergeJoin" in x for x in above) and not any("Exchange" in x for x in above)
+    lexical.forget_index(spark, index)
+    assert not [t for t in spark.catalog.listTables() if t.name in index.names]
+
+
+def test_vector_ranking_by_matrices(spark, monkeypatch):
+    """Top k and all scores equal a plain loop, with ties, zero and missing vectors, for few queries and for many (dealt in groups)."""
+    r = random.Random(4)
+    vec = lambda: [r.choice((-1.0, 0.0, 0.5, 1.0)) for _ in range(4)]
+    rows = [(i, vec()) for i in range(120)] + [(500, None), (501, [0.0] * 4), (502, [1.0, 1.0, 1.0, 1.0]), (503, [2.0, 2.0, 2.0, 2.0])]
+    asked = [(i, vec()) for i in range(7)] + [(50, [1.0, 1.0, 1.0, 1.0]), (51, None)]
+    unit = lambda v: [x / (sum(y * y for y in v) ** 0.5 or 1e-10) for x in v]
+    score = lambda a, b: None if a is None or b is None else sum(x * y for x, y in zip(unit(a), unit(b)))
+    want = {(q, p): score(a, b) for q, a in asked for p, b in rows}
+    df = spark.createDataFrame(rows, "pos long, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    for size in (hybrid.QUERY_BYTES, 100):
+        monkeypatch.setattr(hybrid, "QUERY_BYTES", size)
+        got = {(x.query_id, x.pos): x.score for x in hybrid.vector_scores(df, queries).collect()}
+        assert got.keys() == want.keys() and all(got[k] == want[k] if want[k] is None else abs(got[k] - want[k]) < 1e-9 for k in want)
+        top = hybrid.vector_topk(df, queries, 6).collect()
+        for q, _ in asked:
+            best = sorted((-round(s, 9), p) for (i, p), s in want.items() if i == q and s is not None)[:6]
+            assert [x.pos for x in sorted((x for x in top if x.query_id == q), key=lambda x: x.rank)] == [p for _, p in best]
+    bad = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "pos long, embedding array<double>").coalesce(1)
+    with pytest.raises(Exception, match="differ in length"):
+        hybrid.vector_topk(bad, queries).collect()
+    assert hybrid.vector_topk(df.limit(0), queries).count() == 0 and hybrid.vector_scores(df, queries.limit(0)).count() == 0

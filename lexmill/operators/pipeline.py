@@ -9,22 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..streaming.runlog import StageLog
 from . import context as ctx
 from . import hybrid, lexical, prompt
 
 
 class AnswerPipeline:
     """chunks: pos, source, text, embedding. encode: queries (query_id, query) -> (query_id, vector). generate: a DataFrame with
-    `messages` -> the same with `response`. All queries of a call go through together."""
+    `messages` -> the same with `response`. preprocess: whether stop words are left out before retrieval. All queries of a call go through together."""
 
-    def __init__(self, chunks: DataFrame, encode: Callable[[DataFrame], DataFrame], generate: Callable[[DataFrame], DataFrame], k: int = 5, alpha: float = hybrid.ALPHA, strategy: str = "ranking", template: str = "T3_Hallucination_Guard", router: bool = False):
+    def __init__(self, chunks: DataFrame, encode: Callable[[DataFrame], DataFrame], generate: Callable[[DataFrame], DataFrame], k: int = 5, alpha: float = hybrid.ALPHA, strategy: str = "ranking", template: str = "T3_Hallucination_Guard", router: bool = False, preprocess: bool = True):
         self.chunks, self.encode, self.generate = chunks, encode, generate
-        self.k, self.alpha, self.strategy, self.template, self.router = k, alpha, strategy, template, router
-        self.index = lexical.build_index(chunks)
+        self.k, self.alpha, self.strategy, self.template, self.router, self.preprocess = k, alpha, strategy, template, router, preprocess
+        self.index = lexical.saved_index(chunks)
 
     def retrieve(self, queries: DataFrame) -> DataFrame:
         """query_id, rank, pos, source, text, vector_score, bm25_score, hybrid_score."""
-        clean = queries.withColumn("query", tx.preprocess(F.col("query")))
+        clean = queries.withColumn("query", tx.preprocess(F.col("query"))) if self.preprocess else queries
         vec = hybrid.vector_scores(self.chunks, self.encode(clean))
         lex = lexical.bm25_matches(self.index, lexical.query_terms(clean))
         top = hybrid.hybrid_topk(vec, lex, self.k * 2 if self.router else self.k, self.alpha)
@@ -39,6 +40,18 @@ class AnswerPipeline:
         asked = prompt.build_prompts(queries.join(context, "query_id", "left").fillna("", ["context"]), [self.template])
         return self.generate(asked)
 
+    def run_logged(self, queries: DataFrame, log: StageLog) -> DataFrame:
+        """As run(), stage by stage: each of the six stages is written, counted and timed in the log. The last one puts a fixed message in place of refusals."""
+        clean = log.stage("preprocess", queries.withColumn("clean", tx.preprocess(F.col("query"))), changed=F.count_if(F.col("clean") != F.lower("query")))
+        found = log.stage("retrieve", self.retrieve(queries), best=F.max("hybrid_score"))
+        context = log.stage("select", ctx.build_context(found, self.strategy), chunks=F.sum("chunks_used"), chars=F.sum("chars_after"), truncated=F.count_if("truncated"))
+        asked = prompt.build_prompts(clean.drop("clean").join(context.select("query_id", "context", "chunks_used"), "query_id", "left").fillna("", ["context"]), [self.template])
+        asked = log.stage("prompt", asked, chars=F.sum(F.length("prompt")))
+        answered = self.generate(asked)
+        failed = {"failed": F.count_if(F.col("error").isNotNull())} if "error" in answered.columns else {}
+        answered = log.stage("generate", answered, chars=F.sum(F.length("response")), **failed)
+        return log.stage("respond", answered.withColumn("response", prompt.rewrite_refusal(F.col("response"))), refused=F.count_if(F.contains(F.upper("response"), F.lit("INSUFFICIENT"))))
+
     def log_record(self, answered: DataFrame, run_id: str, started: float) -> DataFrame:
         """Run records for sources.io.append_runs."""
         ms = (time.time() - started) * 1000

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunk, clean, context, evaluate, hybrid, lexical, prompt, stats
+from ..operators import chunk, clean, context, evaluate, hybrid, lexical, models, pipeline, prompt, stats
 from ..sources import io
 from ..streaming import runlog
 
@@ -524,3 +524,44 @@ def latency_windows(spark, sf_dir):
 @query("SELECT 'test vectors' AS model, CAST(max(len(embedding)) AS INT) AS dim, count(*) AS corpus_size, 'exact inner product' AS index_type FROM embeddings")
 def index_config(spark, sf_dir):
     return io.index_config(read(spark, sf_dir, "embeddings"), "test vectors")
+
+
+# --- models -----------------------------------------------------------------------------------------------------------
+
+_WIDTH = 32
+_CUT_2000 = _CUT.format(n=2000, s="")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {tok(_CUT_2000)} AS t FROM documents),
+p AS (SELECT doc_id, CAST('0x' || substr(h, 1, 7) AS BIGINT) % {_WIDTH} AS place, CASE WHEN CAST('0x' || substr(h, 8, 1) AS BIGINT) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM (SELECT doc_id, md5(unnest(t)) AS h FROM t)),
+v AS (SELECT doc_id, place, sum(sign) AS x FROM p GROUP BY ALL),
+g AS (SELECT d.doc_id, r.i AS place, CAST(coalesce(v.x, 0) AS DOUBLE) AS x FROM documents d CROSS JOIN range({_WIDTH}) r(i) LEFT JOIN v ON v.doc_id = d.doc_id AND v.place = r.i)
+SELECT doc_id, list(round(CASE WHEN n = 0 THEN 0 ELSE x / sqrt(n) END, 6) ORDER BY place) AS vector FROM (SELECT *, sum(x * x) OVER (PARTITION BY doc_id) AS n FROM g) GROUP BY doc_id""")
+def encode_texts(spark, sf_dir):
+    """Vectors by the encoder without weights."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = models.encode(docs, "text", models.hashing_encoder(_WIDTH), _WIDTH, name=f"hashing-{_WIDTH}")
+    return out.select("doc_id", F.transform("vector", lambda x: F.round(x, 6) + F.lit(0.0)).alias("vector"))
+
+
+_SAID = "len(list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN fails THEN '' ELSE said END AS response, CASE WHEN fails THEN 0 ELSE {_SAID.format('text')} END AS prompt_tokens, CASE WHEN fails THEN 0 ELSE {_SAID.format('said')} END AS completion_tokens,
+  CASE WHEN fails THEN 'RuntimeError: no answer' END AS error, CASE WHEN fails THEN 3 ELSE 1 END AS attempts FROM (SELECT *, substring(text, 1, 40) AS said, length(text) % 5 = 0 AS fails FROM conversations WHERE role = 'user')""")
+def model_calls(spark, sf_dir):
+    """Every user turn, put to a model that fails on some."""
+    asked = read(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"))
+    return models.call_model(asked, models.echo(40, 5), name="echo-40-5", wait=0.0).drop("messages", "latency_ms")
+
+
+@query(f"""WITH {_RES}, n AS (SELECT query_id, count(*) FILTER (score >= 0.2) AS good FROM res GROUP BY query_id), q AS (SELECT count(*) AS q FROM qs)
+SELECT CAST(stage AS INT) AS stage, name, CASE name WHEN 'retrieve' THEN (SELECT count(*) FROM res) ELSE q END AS rows, CASE WHEN name = 'select' THEN (SELECT CAST(sum(greatest(good, 1)) AS DOUBLE) FROM n) END AS chunks
+FROM q, (VALUES (1, 'preprocess'), (2, 'retrieve'), (3, 'select'), (4, 'prompt'), (5, 'generate'), (6, 'respond')) s(stage, name)""")
+def pipeline_stages(spark, sf_dir):
+    """The stage log of one run over all queries, with the vectors of the tables and a model that repeats its prompt."""
+    corpus, asked = _corpus(spark, sf_dir), _queries(spark, sf_dir)
+    line = pipeline.AnswerPipeline(corpus, lambda q: asked.select("query_id", "vector"), lambda df: models.call_model(df, models.echo(), name="echo"), preprocess=False)
+    log = runlog.StageLog(spark)
+    line.run_logged(asked.select("query_id", "query"), log)
+    return runlog.stage_rows(log.record()).select("stage", "name", "rows", F.try_element_at("metrics", F.lit("chunks")).alias("chunks"))

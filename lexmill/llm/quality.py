@@ -25,9 +25,10 @@ is null. Repeated rows are kept and counted as rows. An empty table gives an emp
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -123,15 +124,16 @@ def _distance(x, mean, chol):
 def _with_cholesky(est: DataFrame, cov, keep) -> DataFrame:
     """Adds the columns l_i_k of the factor of a covariance given as expressions; floors keep it regular."""
     est = est.select(*keep, *(cov(i, k).alias(f"c{i}{k}") for i in range(_D) for k in range(i + 1)))
+    factor = {}
     for i in range(_D):
         for k in range(i + 1):
             v = F.col(f"c{i}{k}")
             if i == k:
                 v = v + F.lit(_VECTOR[i][1] ** 2)
             for m in range(k):
-                v = v - F.col(f"l{i}{m}") * F.col(f"l{k}{m}")
-            est = est.withColumn(f"l{i}{k}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == k else v / F.col(f"l{k}{k}"))
-    return est.select(*keep, *(f"l{i}{k}" for i in range(_D) for k in range(i + 1)))
+                v = v - factor[i, m] * factor[k, m]
+            factor[i, k] = F.sqrt(F.greatest(v, F.lit(1e-12))) if i == k else v / factor[k, k]
+    return est.select(*keep, *(v.alias(f"l{i}{k}") for (i, k), v in factor.items()))
 
 
 def _salted(est: DataFrame) -> DataFrame:
@@ -196,27 +198,28 @@ def mcd_estimates(rows: DataFrame, keys: list[str], support: float, min_group: i
         )
         # The nearest share of a normal sample spreads less than the whole; the factor of consistency mends that.
         out = _with_cholesky(sums, lambda i, k: F.col(f"v{i}{k}") * factor, [*kept, "start"])
-        return materialize(out.withColumn("det", _log_det()), "mcd")
+        return out.withColumn("det", _log_det())
 
-    est = materialize(start(0, None).unionByName(start(1, "t")).unionByName(start(2, "g")), "mcd")
+    steps = [dev, materialize(start(0, None).unionByName(start(1, "t")).unionByName(start(2, "g")), "mcd")]
     for _ in range(warm):
-        before, est = est, concentrate(est)
-        discard(before)
+        steps.append(materialize(concentrate(steps[-1]), "mcd"))
     one = F.struct(*kept, "start", *ls, "det")
-    est = materialize(est.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min_by(one, F.struct("det", "start")).alias("e")).select("e.*"), "mcd")
+    est = steps[-1].groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min_by(one, F.struct("det", "start")).alias("e")).select("e.*")
     done = []
     while True:  # a determinant that falls by least_fall at least each time ends
-        after = concentrate(est)
-        both = est.join(after.select(*keys, F.struct(*ms, *ls, "det").alias("after")), keys)
-        falls = F.col("after.det") < F.col("det") - least_fall
-        done.append(materialize(both.filter(~falls).select(*kept, *ls), "mcd"))
-        est = materialize(both.filter(falls).select(*keys, "n", "start", "after.*"), "mcd")
-        if est.isEmpty():
+        # One job a turn: it writes each group before and after the step, and counts the groups that still fall.
+        both = est.join(concentrate(est).select(*keys, F.struct(*ms, *ls, "det").alias("after")), keys)
+        falling = Observation()
+        turn = both.withColumn("falls", F.col("after.det") < F.col("det") - least_fall).observe(falling, F.count_if("falls").alias("n"))
+        steps.append(materialize(turn, "mcd"))
+        done.append(steps[-1].filter("NOT falls").select(*kept, *ls))
+        est = steps[-1].filter("falls").select(*keys, "n", "start", "after.*")
+        if not falling.get["n"]:
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return materialize(out, "mcd")
+    out = materialize(functools.reduce(DataFrame.unionByName, done), "mcd")
+    for t in steps:
+        discard(t)
+    return out
 
 
 def group_estimates(rows: DataFrame, support: float, min_group: int, prior: int) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +235,7 @@ def group_estimates(rows: DataFrame, support: float, min_group: int, prior: int)
     def small(own: DataFrame, wider: DataFrame) -> DataFrame:
         """own: rows of small groups. wider: g_lang, m_i and l_i_k. A language may have many small groups, so these are dealt by a salt, too."""
         groups = own.select(*_KEYS).distinct().withColumn("salt", F.pmod(F.xxhash64("g_source"), F.lit(SALTS)))
-        groups = materialize(groups.join(_salted(wider), ["g_lang", "salt"]).select(*_KEYS, *ms, *ls), "mcd")
+        groups = groups.join(_salted(wider), ["g_lang", "salt"]).select(*_KEYS, *ms, *ls)
         at_wider = groups.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(prior)))).select(*_KEYS, *(F.col(m).alias(x) for m, x in zip(ms, xs)))
         mid = own.unionByName(at_wider).groupBy(*_KEYS).agg(*(F.percentile(F.round(x, 3), F.lit(0.5)).alias(m) for x, m in zip(xs, ms)))
         return materialize(groups.select(*_KEYS, *ls).join(mid, _KEYS).select(*_KEYS, *ms, *ls), "mcd")

@@ -88,6 +88,12 @@ def content_tokens(query: Column, stop: Iterable[str] = STOP_WORDS) -> Column:
     return F.filter(tokens(query), lambda t: ~t.isin(stop))
 
 
+def stripped_words(query: Column, stop: Iterable[str] = STOP_WORDS) -> Column:
+    """The distinct tokens of a query that preprocess() leaves out, in order."""
+    stop = list(stop)
+    return F.array_sort(F.array_distinct(F.filter(tokens(query), lambda t: t.isin(stop))))
+
+
 def snippet(text: Column, limit: int = 160) -> Column:
     return F.replace(F.substring(text, 1, limit), F.lit("\n"), F.lit(" "))
 

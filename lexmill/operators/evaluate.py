@@ -71,13 +71,33 @@ def consistency(runs: DataFrame, by: list[str], run: str = "run", response: str
     return every.select(*by, "n_runs", F.coalesce("a", one).alias("avg_jaccard"), F.coalesce("m", one).alias("min_jaccard"), (F.coalesce("a", one) >= CONSISTENT).alias("consistent"))
 
 
-def summary(evaluated: DataFrame, by: list[str]) -> DataFrame:
-    """Means and counts of a group's evaluations; refusals as 'r/n', premise corrections likewise or 'N/A'."""
+def _figures() -> dict:
+    """Means and counts of evaluations; refusals as 'r/n', premise corrections likewise or 'N/A'."""
     ratio = lambda n, of: F.concat_ws("/", n.cast("string"), of.cast("string"))
     n, premise = F.count(F.lit(1)), F.count("did_correct_premise")
-    return evaluated.groupBy(*by).agg(
-        F.avg("accuracy_score").alias("avg_accuracy"), F.avg("hallucination_signals").alias("avg_hallucination"), ratio(F.count_if("did_refuse"), n).alias("refusals"),
-        F.when(premise > 0, ratio(F.count_if("did_correct_premise"), premise)).otherwise("N/A").alias("premise_corrections"),
+    return {
+        "avg_accuracy": F.avg("accuracy_score"), "avg_hallucination": F.avg("hallucination_signals"), "refusals": ratio(F.count_if("did_refuse"), n),
+        "premise_corrections": F.when(premise > 0, ratio(F.count_if("did_correct_premise"), premise)).otherwise("N/A"),
+    }
+
+
+def summary(evaluated: DataFrame, by: list[str]) -> DataFrame:
+    """The figures of each group."""
+    return evaluated.groupBy(*by).agg(*(c.alias(n) for n, c in _figures().items()))
+
+
+def report(evaluated: DataFrame, query: str = "query_id", system: str = "system", first: str = "RAG", second: str = "LLM") -> DataFrame:
+    """level (query, system, all), query, system, n_runs, the figures of summary(), and at level all the winners of winners(): all levels in one pass over
+    the evaluations, as grouping sets of (query, system), (system) and ()."""
+    of = lambda c, s: F.avg(F.when(F.col("_s") == s, F.col(c)))
+    level = F.when(F.grouping("_q") == 0, "query").when(F.grouping("_s") == 0, "system").otherwise("all")
+    sides = {f"_{c}{i}": of(c, s) for c in ("accuracy_score", "hallucination_signals") for i, s in enumerate((first, second))}
+    rows = evaluated.withColumns({"_q": F.col(query), "_s": F.col(system)})
+    sets = rows.groupingSets([["_q", "_s"], ["_s"], []], "_q", "_s").agg(level.alias("level"), F.count(F.lit(1)).alias("n_runs"), *(c.alias(n) for n, c in _figures().items()), *(c.alias(n) for n, c in sides.items()))
+    won = lambda best: F.when(F.col("level") == "all", F.when(best, first).otherwise(second))
+    return sets.select(
+        "level", F.col("_q").alias(query), F.col("_s").alias(system), "n_runs", *_figures(),
+        won(F.col("_accuracy_score0") >= F.col("_accuracy_score1")).alias("accuracy_winner"), won(F.col("_hallucination_signals0") <= F.col("_hallucination_signals1")).alias("hallucination_winner"),
     )
 
 
@@ -95,3 +115,11 @@ def hit_rate(results: DataFrame, by: list[str], relevant: str = "relevant") -> D
 def method_hit_rate(judged: DataFrame) -> DataFrame:
     """method, n_queries, hit_rate: the mean over queries of each query's share of relevant results."""
     return hit_rate(judged, ["method", "query_id"]).groupBy("method").agg(F.count(F.lit(1)).alias("n_queries"), F.avg("hit_rate").alias("hit_rate"))
+
+
+def failure_report(judged: DataFrame, suite: DataFrame) -> DataFrame:
+    """kind, method, n_queries, hit_rate, best: how each method does on each kind of hard query. suite: query_id, kind; judged: results of methods with
+    relevant and score (of rank 1: best is their mean)."""
+    mine = judged.join(suite.select("query_id", "kind"), "query_id")
+    per = mine.groupBy("kind", "method", "query_id").agg(F.avg(F.col("relevant").cast("double")).alias("hit"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"))
+    return per.groupBy("kind", "method").agg(F.count(F.lit(1)).alias("n_queries"), F.avg("hit").alias("hit_rate"), F.avg("top").alias("best"))

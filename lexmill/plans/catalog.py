@@ -400,13 +400,36 @@ def intent_classify(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", hybrid.intent(F.col("text"), _DOMAINS).alias("intent"))
 
 
-@query(f"""WITH {_ALL}, r AS ({_rank('hyb', 10, 'hybrid_score')}), x AS (SELECT r.query_id, r.pos, r.rank, d.source, hybrid_score, {_INTENT.format(a=_shared('src1', 'query'), b=_shared('src2', 'query'))} AS intent FROM r JOIN docs d USING (pos) JOIN qs ON qs.query_id = r.query_id),
+_ROUTED = f"""WITH {_ALL}, r AS ({_rank('hyb', 10, 'hybrid_score')}), x AS (SELECT r.query_id, r.pos, r.rank, d.source, hybrid_score, {_INTENT.format(a=_shared('src1', 'query'), b=_shared('src2', 'query'))} AS intent FROM r JOIN docs d USING (pos) JOIN qs ON qs.query_id = r.query_id),
 y AS (SELECT query_id, pos, rank AS base_rank, CASE WHEN intent IS NULL THEN NULL ELSE contains(lower(source), intent) END AS innovation_boost, CASE WHEN intent IS NULL THEN hybrid_score WHEN contains(lower(source), intent) THEN least(1.0, hybrid_score * 1.6) ELSE 0.0 END AS hybrid_score FROM x)
-SELECT query_id, pos, CAST(base_rank AS INT) AS base_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, base_rank) AS INT) AS rank, innovation_boost, round(hybrid_score, 6) AS hybrid_score FROM y QUALIFY rank <= 5""")
+SELECT query_id, pos, CAST(base_rank AS INT) AS base_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, base_rank) AS INT) AS rank, innovation_boost, round(hybrid_score, 6) AS hybrid_score FROM y QUALIFY rank <= 5"""
+
+
+@query(_ROUTED)
 def router_rerank(spark, sf_dir):
+    return _routed(spark, sf_dir)
+
+
+def _routed(spark, sf_dir, multiplier: float = hybrid.BOOST):
     asked = _queries(spark, sf_dir).select("query_id", hybrid.intent(F.col("query"), _DOMAINS).alias("intent"))
     top = hybrid.hybrid_topk(*_both(spark, sf_dir), k=10).join(_corpus(spark, sf_dir).select("pos", "source"), "pos").join(asked, "query_id")
-    return hybrid.route(top, 5).select("query_id", "pos", "base_rank", "rank", "innovation_boost", F.round("hybrid_score", 6).alias("hybrid_score"))
+    return hybrid.route(top, 5, multiplier).select("query_id", "pos", "base_rank", "rank", "innovation_boost", F.round("hybrid_score", 6).alias("hybrid_score"))
+
+
+@query(_ROUTED.replace("hybrid_score * 1.6", "hybrid_score * 1.0"))
+def router_multiplier_off(spark, sf_dir):
+    """With a multiplier of 1 nothing is raised; other domains still fall to 0."""
+    return _routed(spark, sf_dir, 1.0)
+
+
+@query(f"SELECT item_id, list_sort(list_distinct(list_filter({tok('text')}, lambda x: list_contains({_list(tx.STOP_WORDS)}, x)))) AS stripped FROM benchmark")
+def stripped_words(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", tx.stripped_words(F.col("text")).alias("stripped"))
+
+
+@query("SELECT doc_id, replace(substring(text, 1, 160), chr(10), ' ') AS snippet, CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || '...' ELSE text END AS preview FROM documents")
+def previews(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", tx.snippet(F.col("text")).alias("snippet"), tx.preview(F.col("text")).alias("preview"))
 
 
 # --- context and prompts ----------------------------------------------------------------------------------------------
@@ -458,6 +481,36 @@ def prompt_messages(spark, sf_dir):
     return prompt.build_prompts(b).select("item_id", "template", F.size("messages").alias("n_messages"), size.cast("long").alias("n_chars"))
 
 
+#: Scores with three digits that every engine writes alike.
+_EIGHTH = "(doc_id % 8) / 8.0"
+
+
+@query(f"SELECT doc_id, printf('[Document %d | source: %s | relevance: %.3f]', doc_id % 5 + 1, source, {_EIGHTH}) || chr(10) || text AS chunk FROM documents")
+def format_chunks(spark, sf_dir):
+    chunk_ = context.format_chunk((F.col("doc_id") % 5 + 1).cast("int"), F.col("source"), F.col("doc_id") % 8 / 8.0, F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", chunk_.alias("chunk"))
+
+
+def _sql_text(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+@query("SELECT item_id, template, sha256(system || replace(replace(u, chr(1), t), chr(2), t)) AS prompt_sha256 FROM (SELECT item_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, template, system, u FROM benchmark, (VALUES "
+       + ", ".join(f"({_sql_text(t.name)}, {_sql_text(t.system + chr(10) * 2 if t.system else '')}, {_sql_text(t.user.replace('{context}', chr(1)).replace('{query}', chr(2)))})" for t in prompt.TEMPLATES.values()) + ") v(template, system, u))")
+def full_prompts(spark, sf_dir):
+    """Whole prompts whose context is the query itself, by their hash."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("context"), F.col("text").alias("query"))
+    return prompt.build_prompts(b).select("item_id", "template", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query("SELECT s_suppkey, 's_suppkey=' || s_suppkey || ';s_name=' || s_name || ';s_nationkey=' || coalesce(CAST(CASE WHEN s_nationkey % 4 <> 0 THEN s_nationkey END AS VARCHAR), 'null') AS metadata FROM supplier")
+def row_metadata(spark, sf_dir):
+    """All columns of each row, those without a value too."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_nationkey") % 4 != 0, F.col("s_nationkey")).alias("s_nationkey"))
+    pairs = F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
+    return clean.rows_to_records(s, "supplier").select(F.col("metadata")["s_suppkey"].cast("int").alias("s_suppkey"), F.array_join(pairs, ";").alias("metadata"))
+
+
 # --- responses --------------------------------------------------------------------------------------------------------
 
 
@@ -526,6 +579,34 @@ def index_config(spark, sf_dir):
     return io.index_config(read(spark, sf_dir, "embeddings"), "test vectors")
 
 
+_REPORT = f"""{_EVAL}, sy AS (SELECT *, CASE WHEN turn % 4 = 1 THEN 'RAG' ELSE 'LLM' END AS system FROM ev2)"""
+
+
+@query(f"""WITH {_REPORT} SELECT CASE WHEN grouping(conv_id) = 0 THEN 'query' WHEN grouping(system) = 0 THEN 'system' ELSE 'all' END AS level, conv_id, system, count(*) AS n_runs, avg(accuracy_score) AS avg_accuracy, avg(hallucination_signals) AS avg_hallucination,
+  count(*) FILTER (did_refuse) || '/' || count(*) AS refusals, CASE WHEN count(*) FILTER (false_premise) > 0 THEN count(*) FILTER (false_premise AND corrected) || '/' || count(*) FILTER (false_premise) ELSE 'N/A' END AS premise_corrections,
+  CASE WHEN grouping(system) = 1 THEN CASE WHEN avg(accuracy_score) FILTER (system = 'RAG') >= avg(accuracy_score) FILTER (system = 'LLM') THEN 'RAG' ELSE 'LLM' END END AS accuracy_winner,
+  CASE WHEN grouping(system) = 1 THEN CASE WHEN avg(hallucination_signals) FILTER (system = 'RAG') <= avg(hallucination_signals) FILTER (system = 'LLM') THEN 'RAG' ELSE 'LLM' END END AS hallucination_winner
+  FROM sy GROUP BY GROUPING SETS ((conv_id, system), (system), ())""")
+def eval_report(spark, sf_dir):
+    ev = evaluate.evaluate_response(_responses(spark, sf_dir)).withColumn("system", F.when(F.col("turn") % 4 == 1, "RAG").otherwise("LLM"))
+    return evaluate.report(ev, "conv_id")
+
+
+@query(f"WITH {_METHODS}, {_JUDGE}, q AS (SELECT 'F' || (query_id % 4 + 1) AS kind, method, query_id, avg(CAST(relevant AS DOUBLE)) AS hit, max(score) FILTER (rank = 1) AS top FROM judged GROUP BY ALL) SELECT kind, method, count(*) AS n_queries, round(avg(hit), 6) AS hit_rate, round(avg(top), 6) AS best FROM q GROUP BY kind, method")
+def failure_report(spark, sf_dir):
+    """Hit rates of the methods on four kinds of queries; the kind stands for a suite's own."""
+    judged = hybrid.judge(_by_methods(spark, sf_dir), _rows(spark, sf_dir), _expected(spark, sf_dir))
+    suite = _items(spark, sf_dir).select("query_id", F.concat(F.lit("F"), (F.col("query_id") % 4 + 1).cast("string")).alias("kind"))
+    return evaluate.failure_report(judged, suite).withColumns({c: F.round(c, 6) for c in ("hit_rate", "best")})
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN contains(upper(text), 'INSUFFICIENT') OR conv_id % 3 = 0 THEN '{'The documents do not hold an answer to this question.'}' ELSE text END AS response FROM conversations")
+def refusal_rewrite(spark, sf_dir):
+    """Turns of every third conversation carry the refusal mark."""
+    c = read(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit(" Insufficient context"))).otherwise(F.col("text")))
+    return c.select("conv_id", "turn", prompt.rewrite_refusal(F.col("text")).alias("response"))
+
+
 # --- models -----------------------------------------------------------------------------------------------------------
 
 _WIDTH = 32

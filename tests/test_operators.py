@@ -411,3 +411,26 @@ def test_vector_ranking_by_matrices(spark, monkeypatch):
     with pytest.raises(Exception, match="differ in length"):
         hybrid.vector_topk(bad, queries).collect()
     assert hybrid.vector_topk(df.limit(0), queries).count() == 0 and hybrid.vector_scores(df, queries.limit(0)).count() == 0
+
+
+def test_report_levels_equal_summary_and_winners(spark):
+    r = random.Random(3)
+    rows = [(r.choice("abc"), r.choice(("RAG", "LLM")), r.choice(("Insufficient context here.", "In fact it is 12,345.", "Likely so, I think. " * 6)), "12,345", r.choice((None, "it is")), r.random() < 0.3) for _ in range(60)]
+    ev = evaluate.evaluate_response(spark.createDataFrame(rows, "query_id string, system string, response string, context string, ground_truth string, false_premise boolean"))
+    got = evaluate.report(ev).collect()
+    figures = ["avg_accuracy", "avg_hallucination", "refusals", "premise_corrections"]
+    for level, by in (("query", ["query_id", "system"]), ("system", ["system"]), ("all", [])):
+        want = {tuple(x[c] for c in by): [x[f] for f in figures] for x in evaluate.summary(ev, by).collect()}
+        have = {tuple(x[c] for c in by): [x[f] for f in figures] for x in got if x.level == level}
+        assert have.keys() == want.keys() and all(have[k][2:] == want[k][2:] and have[k][:2] == pytest.approx(want[k][:2]) for k in want)
+    one, best = next(x for x in got if x.level == "all"), evaluate.winners(ev).first()
+    assert (one.accuracy_winner, one.hallucination_winner) == (best.accuracy_winner, best.hallucination_winner) and one.n_runs == 60
+    assert all(x.accuracy_winner is None for x in got if x.level != "all")
+
+
+def test_failure_report(spark):
+    rows = [("F", "m", 1, 1, True, 2.0), ("F", "m", 1, 2, False, 1.0), ("F", "m", 2, 1, False, 4.0), ("G", "m", 3, 1, None, 1.0)]
+    judged = spark.createDataFrame(rows, "k string, method string, query_id long, rank int, relevant boolean, score double")
+    suite = judged.select("query_id", F.col("k").alias("kind")).distinct()
+    got = {(x.kind, x.method): (x.n_queries, x.hit_rate, x.best) for x in evaluate.failure_report(judged.drop("k"), suite).collect()}
+    assert got == {("F", "m"): (2, 0.25, 3.0), ("G", "m"): (1, None, 1.0)}

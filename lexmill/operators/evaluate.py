@@ -61,14 +61,22 @@ def evaluate_response(df: DataFrame, response: str = "response", context: str =
 
 
 def consistency(runs: DataFrame, by: list[str], run: str = "run", response: str = "response") -> DataFrame:
-    """n_runs, avg_jaccard, min_jaccard, consistent: pairwise word Jaccard of the runs of a group; under two runs all is 1."""
-    sets = runs.select(*by, F.col(run).alias("_r"), F.array_distinct(tx.word_tokens(F.col(response), 3)).alias("_s"))
-    other = sets.select(*by, F.col("_r").alias("_r2"), F.col("_s").alias("_s2"))
-    pairs = sets.join(other, by).filter("_r < _r2").withColumn("_j", tx.jaccard(F.col("_s"), F.col("_s2"), 1.0))
-    score = pairs.groupBy(*by).agg(F.avg("_j").alias("a"), F.min("_j").alias("m"))
-    every = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_runs")).join(score, by, "left")
-    one = F.lit(1.0)
-    return every.select(*by, "n_runs", F.coalesce("a", one).alias("avg_jaccard"), F.coalesce("m", one).alias("min_jaccard"), (F.coalesce("a", one) >= CONSISTENT).alias("consistent"))
+    """n_runs, avg_jaccard, min_jaccard, consistent: pairwise word Jaccard of the runs of a group; under two runs all is 1.
+
+    Runs of equal words are one set with a count, and only different sets meet, each pair once and weighted: runs that agree cost nothing, however many
+    they are. Two equal runs have a similarity of 1 (also two without words; a null response has none). Rows that share a run are runs of their own.
+    """
+    words = F.array_sort(F.array_distinct(tx.word_tokens(F.coalesce(F.col(response), F.lit("")), 3)))
+    sets = runs.select(*by, words.alias("_s")).groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.struct(F.size("_s"), F.col("_s")))
+    other = sets.select(*(F.col(c).alias(f"_{c}_other") for c in by), F.col("_s").alias("_s2"), F.col("_n").alias("_n2"), F.col("_k").alias("_k2"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}_other")) for c in by]
+    pairs = sets.join(other, [*same, F.col("_k") < F.col("_k2")]).select(*by, tx.jaccard(F.col("_s"), F.col("_s2"), 1.0).alias("_j"), (F.col("_n") * F.col("_n2")).alias("_w"))
+    score = pairs.groupBy(*by).agg(F.sum(F.col("_j") * F.col("_w")).alias("_sum"), F.min("_j").alias("_min")).withColumnsRenamed({c: f"_{c}_pairs" for c in by})
+    every = sets.groupBy(*by).agg(F.sum("_n").alias("n_runs"), F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("_equal"))
+    met = every.join(score, [F.col(c).eqNullSafe(F.col(f"_{c}_pairs")) for c in by], "left")
+    n_pairs = F.col("n_runs") * (F.col("n_runs") - 1) / 2
+    mean = F.when(F.col("n_runs") < 2, F.lit(1.0)).otherwise((F.coalesce("_sum", F.lit(0.0)) + F.col("_equal")) / n_pairs)
+    return met.select(*by, "n_runs", mean.alias("avg_jaccard"), F.coalesce("_min", F.lit(1.0)).alias("min_jaccard")).withColumn("consistent", F.col("avg_jaccard") >= CONSISTENT)
 
 
 def _figures() -> dict:

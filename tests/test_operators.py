@@ -434,3 +434,16 @@ def test_failure_report(spark):
     suite = judged.select("query_id", F.col("k").alias("kind")).distinct()
     got = {(x.kind, x.method): (x.n_queries, x.hit_rate, x.best) for x in evaluate.failure_report(judged.drop("k"), suite).collect()}
     assert got == {("F", "m"): (2, 0.25, 3.0), ("G", "m"): (1, None, 1.0)}
+
+
+def test_consistency_of_many_runs_against_all_pairs(spark):
+    r = random.Random(11)
+    rows = [("copies", i, r.choice(("the same words again", "the same words again", "other words here"))) for i in range(300)]
+    rows += [("mixed", i, " ".join(r.choices("alpha beta gamma delta epsilon".split(), k=r.randrange(0, 6)))) for i in range(40)]
+    rows += [("one", 0, "alone"), ("none", 0, None), ("none", 1, ""), (None, 0, "alpha beta"), (None, 1, "beta gamma")]
+    got = {x.q: x for x in evaluate.consistency(spark.createDataFrame(rows, "q string, run int, response string"), ["q"]).collect()}
+    for q in {x[0] for x in rows}:
+        sets = [set(re.findall(r"\w{3,}", t or "")) for k, _, t in rows if k == q]
+        pairs = [(len(a & b) / len(a | b) if a | b else 1.0) for i, a in enumerate(sets) for b in sets[i + 1 :]] or [1.0]
+        assert got[q].n_runs == len(sets) and got[q].avg_jaccard == pytest.approx(sum(pairs) / len(pairs)) and got[q].min_jaccard == pytest.approx(min(pairs))
+        assert got[q].consistent == (got[q].avg_jaccard >= 0.6)

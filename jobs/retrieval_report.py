@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import HERE, command_session, load_config
 from lexmill.operators import evaluate, hybrid, lexical
+from lexmill.sources.work import scope
 
 LOG = logging.getLogger("jobs.retrieval_report")
 CONFIG = os.path.join(HERE, "retrieval_report.json")
@@ -33,7 +34,12 @@ def read_results(spark: SparkSession, out: str) -> DataFrame:
 
 
 def retrieval_report(spark: SparkSession, documents: str, embeddings: str, queries: str, out: str, config: dict | None = None) -> dict[str, int]:
-    """One run; the counts of rows read and written."""
+    """One run; the counts of rows read and written. Work tables are deleted at its end."""
+    with scope(spark):
+        return _report(spark, documents, embeddings, queries, out, config)
+
+
+def _report(spark: SparkSession, documents: str, embeddings: str, queries: str, out: str, config: dict | None) -> dict[str, int]:
     settings = DEFAULTS | (config or {})
     docs = spark.read.parquet(documents).select(F.col("doc_id").alias("pos"), "source", "text")
     vectors = spark.read.parquet(embeddings).select(F.col("vec_id").alias("pos"), "embedding")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -20,9 +21,29 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths made inside open scopes, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Deletes the work tables that are made inside, at its end. For code that has written its own output by then: DataFrames that still read
+    the tables fail afterwards."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the work folder that nothing else uses."""
-    return f"{work_dir(spark)}/lexmill-work/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/lexmill-work/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

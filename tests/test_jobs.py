@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from jobs import ingest, queries, retrieval_report
 from jobs.common import load_config, stream_path
-from lexmill.operators import hybrid, lexical
+from lexmill.operators import hybrid
+from lexmill.sources.work import work_dir
 from tests.test_oracle import TABLES, rows
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -96,7 +97,10 @@ def test_report_reruns_and_follows_its_input(spark, sf, tmp_path):
     every = spark.read.parquet(f"{sf}/documents.parquet")
     every.filter("doc_id % 2 = 0").coalesce(1).write.parquet(docs)
     read = lambda o: sorted(map(tuple, retrieval_report.read_results(spark, o).collect()), key=repr)
+    tables = os.path.join(work_dir(spark).removeprefix("file://"), "lexmill-work")
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
     first = retrieval_report.retrieval_report(spark, docs, *paths, out)
+    assert set(os.listdir(tables)) == before  # no work table stays
     half = read(out)
     every.filter("doc_id % 2 = 1").coalesce(1).write.mode("append").parquet(docs)
     second = retrieval_report.retrieval_report(spark, docs, *paths, out)

@@ -34,10 +34,11 @@ from .langmodel import _Numbers, _pack, _pack_sorted, _table, _unpack, _unpack_s
 WINDOW = 50
 FAN = 12  # bits of a hash by which one level of asking is cut
 GROUP = 64  # blocks that are merged where slices must be finer
+WORD_BYTES = 6  # of a word and the space behind it, about: from this the number of words is judged
 SPARE = 8  # bits of an anchor's hash beyond those that number all words
 
 _ASK = T.StructType([T.StructField("slice", T.LongType()), T.StructField("member", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("high", "low", "value"))])
-_BLOCK = T.StructType([T.StructField("block", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("docs", T.ArrayType(T.LongType())), T.StructField("sizes", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("texts", T.BinaryType())])
+_BLOCK = T.StructType([T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(T.LongType())), T.StructField("sizes", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("texts", T.BinaryType())])
 _OUT = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType())])
 
 Names = tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted (high, low), and a value each
@@ -92,14 +93,23 @@ class Words:
         return np.flatnonzero(self.left >= n)
 
 
+def grouped(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order of the names, the places in it at which another name begins)."""
+    by = np.argsort(high)
+    same = high[by[1:]] == high[by[:-1]]
+    other = low[by[1:]] != low[by[:-1]]
+    if (same & other).any():  # high parts clash: rare
+        by = np.lexsort((low, high))
+        same, other = high[by[1:]] == high[by[:-1]], low[by[1:]] != low[by[:-1]]
+    new = np.ones(len(by), bool)
+    new[1:] = ~same | other
+    return by, np.flatnonzero(new)
+
+
 def combine(high: np.ndarray, low: np.ndarray, value: np.ndarray, how) -> Names:
     """Distinct names and the values of each, put together by how (a ufunc)."""
-    by = np.lexsort((low, high)) if low.any() else np.argsort(high)
-    high, low, value = high[by], low[by], value[by]
-    new = np.ones(len(high), bool)
-    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-    at = np.flatnonzero(new)
-    return high[at], low[at], how.reduceat(value, at) if len(at) else value
+    by, at = grouped(high, low)
+    return high[by[at]], low[by[at]], how.reduceat(value[by], at) if len(at) else value
 
 
 def find(names: Names, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +234,7 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> DataFr
             nonlocal number, ids, held, size
             number += 1
             joined = b"".join(held)
-            row = (number, sum(len(t.split()) for t in held), ids, _pack(np.fromiter(map(len, held), np.uint64, len(held))), len(joined), pa.compress(joined, "zstd", asbytes=True))
+            row = (number, ids, _pack(np.fromiter(map(len, held), np.uint64, len(held))), len(joined), pa.compress(joined, "zstd", asbytes=True))
             ids, held, size = [], [], 0
             return _table(_BLOCK, [row]).to_batches()
 
@@ -257,8 +267,8 @@ def find_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", window=WINDOW
         raise ValueError("a window has two words at least")
     half = window // 2
     blocks = _blocks(docs, doc_id, text, block_bytes)
-    members, total, least = blocks.agg(F.count(F.lit(1)), F.sum("n_words"), F.min(F.array_min("docs"))).first()
-    total, least = int(total or 0), int(least or 0)
+    members, size, least = blocks.agg(F.count(F.lit(1)), F.sum("n_bytes"), F.min(F.array_min("docs"))).first()
+    total, least = int(size or 0) // WORD_BYTES, int(least or 0)
     width = min(64, max(16, total.bit_length() + SPARE))
     cut = max(0, (total // slice_keys).bit_length())
 
@@ -312,10 +322,12 @@ def find_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", window=WINDOW
         high, low = names_of(words, at)
         own = number[words.text[at]]
         told = combine(*(np.concatenate(x) for x in zip(*(_read(*x) for x in zip(*(told[c].to_pylist() for c in ("high", "low", "value")))))), np.minimum) if told.num_rows else (np.zeros(0, np.uint64),) * 3
-        first = np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
-        for names in (combine(high, low, own, np.minimum), told):  # of the block itself and of all others
-            i, place = find(names, high, low)
-            first[i] = np.minimum(first[i], names[2][place])
+        first = own.copy()
+        if len(at):  # in the block itself
+            by, new = grouped(high, low)
+            first[by] = np.repeat(np.minimum.reduceat(own[by], new), np.diff(np.append(new, len(by))))
+        i, place = find(told, high, low)  # in all others
+        first[i] = np.minimum(first[i], told[2][place])
         edge = np.zeros(len(words.text) + 1, np.int64)
         gone = at[(first < own) & known[words.text[at]]]
         edge[gone] += 1

@@ -447,3 +447,19 @@ def test_consistency_of_many_runs_against_all_pairs(spark):
         pairs = [(len(a & b) / len(a | b) if a | b else 1.0) for i, a in enumerate(sets) for b in sets[i + 1 :]] or [1.0]
         assert got[q].n_runs == len(sets) and got[q].avg_jaccard == pytest.approx(sum(pairs) / len(pairs)) and got[q].min_jaccard == pytest.approx(min(pairs))
         assert got[q].consistent == (got[q].avg_jaccard >= 0.6)
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    df = spark.createDataFrame([(-1e-8,), (1e-8,), (-0.0,), (-1.0000005,), (0.1234565,), (float("nan"),)], "x double")
+    assert [str(r.y) for r in df.select(tx.rounded(F.col("x")).alias("y")).collect()] == ["-0.0", "0.0", "-0.0", "-1.000001", "0.123457", "nan"]
+
+
+def test_unit_vectors_equal_sql_in_small_negative_numbers(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from lexmill.plans import catalog
+
+    spark.createDataFrame([(1, [1.0, -1e-8, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL["l2_normalise"]).fetchall()[0][1]
+    assert str(catalog.l2_normalise(spark, str(tmp_path)).first().unit) == str(want) == "[1.0, -0.0, 0.0]"

@@ -463,3 +463,60 @@ def test_unit_vectors_equal_sql_in_small_negative_numbers(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = con.execute(catalog.ORACLE_SQL["l2_normalise"]).fetchall()[0][1]
     assert str(catalog.l2_normalise(spark, str(tmp_path)).first().unit) == str(want) == "[1.0, -0.0, 0.0]"
+
+
+def _small_ranking(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("red green blue black white gray pink teal the the".split()) for _ in range(n))
+    docs = [(i, text(r.randrange(0, 25)), None if i % 11 == 0 else [r.random() - 0.5 for _ in range(4)]) for i in range(150)] + [(900, "red pink", [1.0, 0.0, 0.0, 0.0]), (901, "red pink", [1.0, 0.0, 0.0, 0.0])]
+    asked = [(1, "red pink the", [1.0, 0.2, 0.0, 0.0]), (2, "zebra", [0.0, 0.0, 0.0, 1.0]), (3, "", [0.5] * 4), (4, "teal teal blue", None)]
+    rows = spark.createDataFrame(docs, "pos long, text string, embedding array<double>").repartition(5)
+    return rows, spark.createDataFrame(asked, "query_id long, query string, vector array<double>")
+
+
+@pytest.mark.parametrize("small", [None, 300])
+def test_scores_row_by_row_equal_joined_scores(spark, monkeypatch, small):
+    """BM25 of all pairs, also scaled, without a shuffle of pairs, for few queries and for many (dealt in groups)."""
+    df, q = _small_ranking(spark)
+    want = lexical.bm25_scores(lexical.build_index(df), q)
+    if small:
+        monkeypatch.setattr(hybrid, "QUERY_BYTES", small)
+        monkeypatch.setattr(hybrid, "PAIRS", 16)
+    rows = lexical.counted(df)
+    index = lexical.index_of(rows)
+    for scaled, other, name in ((False, want, "score"), (True, hybrid.min_max(want, "score", "b"), "b")):
+        got = hybrid.lexical_scores(rows, q, index, scaled)
+        if not small:
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan and "Aggregate" not in plan
+        got, wanted = ({(x.query_id, x.pos): x[n] for x in d.collect()} for d, n in ((got, "score"), (other, name)))
+        assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-8 for k in got)
+
+
+@pytest.mark.parametrize("small", [None, 300])
+def test_rankings_row_by_row_equal_joined_rankings(spark, monkeypatch, small):
+    df, q = _small_ranking(spark)
+    plain = lexical.build_index(df)
+    lex, vec = lexical.bm25_matches(plain, lexical.query_terms(q)), hybrid.vector_scores(df, q)
+    if small:
+        monkeypatch.setattr(hybrid, "QUERY_BYTES", small)
+        monkeypatch.setattr(hybrid, "PAIRS", 16)
+    rows = lexical.counted(df, "pos", "text", "embedding")
+    index = lexical.index_of(rows)
+    near = lambda a, b: [x[:-1] for x in a] == [x[:-1] for x in b] and all(x[-1] == y[-1] or abs(x[-1] - y[-1]) < 1e-8 for x, y in zip(a, b))
+    take = lambda d, *c: sorted(map(tuple, d.select(*c).collect()))
+    for k in (3, 200):
+        kept = ("query_id", "rank", "pos", "hybrid_score")
+        assert near(take(hybrid.hybrid_ranked(rows, q, index, k), *kept), take(hybrid.hybrid_topk(vec, lex, k), *kept))
+    best = hybrid.ranked(rows, hybrid.asked_side(q, index, {"terms": q}), index, {"bm25": ("terms", None)}, 6)
+    assert near(take(best, "query_id", "rank", "pos", "score"), take(lexical.bm25_topk(plain, q, 6), "query_id", "rank", "pos", "score"))
+    kept = ("query_id", "alpha", "rank", "pos", "hybrid_score")
+    assert near(take(hybrid.alphas_ranked(rows, q, index, 2), *kept), take(hybrid.alpha_sweep(vec, lex, 2), *kept))
+
+
+def test_terms_are_counted_inside_rows(spark):
+    df = spark.createDataFrame([(1, "b a b c b"), (2, ""), (3, None)], "pos long, text string")
+    got = {r.pos: r.w for r in df.select("pos", tx.term_counts(tx.tokens(F.col("text"), 1)).alias("w")).collect()}
+    assert [tuple(x) for x in got[1]] == [("a", 1), ("b", 3), ("c", 1)] and got[2] == [] and got[3] is None
+    plan = lexical.build_index(df).tf._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan

@@ -520,3 +520,11 @@ def test_terms_are_counted_inside_rows(spark):
     assert [tuple(x) for x in got[1]] == [("a", 1), ("b", 3), ("c", 1)] and got[2] == [] and got[3] is None
     plan = lexical.build_index(df).tf._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan
+
+
+def test_composition_sends_few_rows_at_a_time(spark):
+    """The worker's memory is bounded by a hundred texts, whatever their size; a batch of Arrow held ten thousand."""
+    df = spark.createDataFrame([(1, "ﬁn"), (2, "plain"), (3, None), (4, "é")], "i int, t string").select("i", tx.nfkc(F.col("t")).alias("t"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert {r.i: r.t for r in df.collect()} == {1: "fin", 2: "plain", 3: None, 4: "é"}

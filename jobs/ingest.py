@@ -55,7 +55,7 @@ def chunk_documents(docs: DataFrame, settings: dict) -> DataFrame:
         if strategy not in chunk.STRATEGIES:
             raise ValueError(f"no such strategy: {strategy}")
         cut = chunk.STRATEGIES[strategy](pages.filter(where), **options)
-        cut = cut.withColumn("text", tx.strip(F.col("text"))).filter(F.length("text") > 0)
+        cut = tx.with_once(cut, "text", tx.strip(F.col("text"))).filter(F.length("text") > 0)
         part = cut.select(
             F.col("doc_id").cast("long").alias("doc_id"), "delivery", F.format_string("%s__%s__%05d", "source", F.lit(strategy), "chunk_index").alias("chunk_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "text",
             F.length("text").alias("char_count"), F.size(tx.words(F.col("text"))).alias("word_count"), "source", F.lit(strategy).alias("strategy"),

@@ -78,7 +78,7 @@ def clean_page(text, compose: bool = True):
 
 def clean_pages(pages: DataFrame, text: str = "text", least: int = 80, compose: bool = True) -> DataFrame:
     """Pages that aren't blank, cleaned, of more than `least` characters."""
-    return pages.filter(tx.strip(F.col(text)) != "").withColumn(text, clean_page(F.col(text), compose)).filter(F.length(text) > least)
+    return tx.with_once(pages.filter(tx.strip(F.col(text)) != ""), text, clean_page(F.col(text), compose)).filter(F.length(text) > least)
 
 
 def kept_and_skipped(pages: DataFrame, text: str = "text", least: int = 80) -> DataFrame:

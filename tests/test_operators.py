@@ -528,3 +528,11 @@ def test_composition_sends_few_rows_at_a_time(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
     assert {r.i: r.t for r in df.collect()} == {1: "fin", 2: "plain", 3: None, 4: "é"}
+
+
+def test_texts_are_computed_once_a_row(spark):
+    """A filter on a computed text doesn't compute it again below."""
+    df = spark.createDataFrame([(1, "s", "One. Two.\n\n\n\nThree.")], "doc_id long, source string, text string")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(clean.clean_pages(df, least=1)).count("{3,}") == 1
+    assert plan(chunk.sentence_based(df)).count("([.!?])") == 1

@@ -27,7 +27,7 @@ FAN_BITS = 10  # maps that one step of a prefix scan puts together, as a power o
 def finish(chunks: DataFrame, source: str, strategy: str, index: str = "chunk_index", text: str = "text") -> DataFrame:
     """chunk_id, source, strategy, chunk_index, text, char_count, word_count; blank chunks go, indexes stay."""
     t = tx.strip(F.col(text))
-    return chunks.withColumn(text, t).filter(F.length(text) > 0).select(
+    return tx.with_once(chunks, text, t).filter(F.length(text) > 0).select(
         F.format_string("%s__%s__%05d", F.col(source), F.lit(strategy), F.col(index)).alias("chunk_id"), F.col(source).alias("source"), F.lit(strategy).alias("strategy"),
         F.col(index).cast("int").alias("chunk_index"), F.col(text).alias("text"), F.length(text).alias("char_count"), F.size(tx.words(F.col(text))).alias("word_count"),
     )
@@ -95,7 +95,7 @@ def fixed_size_corpus(df: DataFrame, source: str = "source", key: str = "doc_id"
 def sentence_based(df: DataFrame, text: str = "text", sentences: int = 5, overlap: int = 1, splitter=tx.sentences) -> DataFrame:
     """df with chunk_index and `sentences` sentences, joined by a blank, in place of text. splitter: Column -> array of sentences."""
     step = max(1, sentences - overlap)
-    cut = df.withColumn("_s", splitter(F.col(text))).filter(F.size("_s") > 0)
+    cut = tx.with_once(df, "_s", splitter(F.col(text))).filter(F.size("_s") > 0)
     at = cut.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), _last_window(F.size("_s"), sentences, step))))
     return at.withColumn(text, F.array_join(F.slice("_s", F.col("chunk_index") * step + 1, F.lit(sentences)), " ")).drop("_s")
 
@@ -210,8 +210,9 @@ def paragraph_based_corpus(df: DataFrame, source: str = "source", key: str = "do
     themselves. A chunk inside a record is done there; what the records at its ends share (under `least` characters before the last paragraph) is joined by
     the chunk's number. A source of nothing but short paragraphs is as many tasks as any other.
     """
-    docs = in_order(df, source, key, text).select(source, "_at", paragraphs(F.col("_text")).alias("_ps")).filter(F.size("_ps") > 0)
-    docs = docs.withColumn("_map", fold_map(F.transform("_ps", F.length), least))
+    docs = tx.with_once(in_order(df, source, key, text), "_ps", paragraphs(F.col("_text"))).filter(F.size("_ps") > 0)
+    # Written, as they are read three times.
+    docs = written(docs.select(source, "_at", "_ps", fold_map(F.transform("_ps", F.length), least).alias("_map")), "paragraphs")
     bits = max(1, int(docs.agg(F.max("_at")).first()[0] or 0).bit_length())
     enter = scan(docs.select(source, "_at", "_map"), source, bits, least, fan_bits)
     cut = docs.join(enter.select("_at", "_enter"), "_at").select(source, "_at", "_enter", _pieces(F.col("_ps"), F.col("_enter"), least).alias("_cut"))
@@ -223,6 +224,7 @@ def paragraph_based_corpus(df: DataFrame, source: str = "source", key: str = "do
     parts = F.array_sort(F.collect_list(F.struct("_at", "_t")))
     across = each.filter("NOT _whole AND _t <> ''").groupBy(source, "_number").agg(F.array_join(F.transform(parts, lambda x: x["_t"]), " ").alias("_all"), F.max("_ends").alias("_ends"))
     out = inside.unionByName(across).select(source, "_number", F.when(F.col("_ends"), _subdivide(F.col("_all"), most)).otherwise(F.array("_all")).alias("_o"))
+    out = written(out, "paragraph-chunks")
     at = prefix_sum(out.select(source, "_number", F.size("_o").alias("_n")), [source], "_number", F.col("_n").cast("long"), "_before")
     placed = _match(out, at.select(source, "_number", "_before"), [source, "_number"])
     return placed.select(source, "_before", F.posexplode("_o").alias("_j", text)).select(source, (F.col("_before") + F.col("_j")).cast("int").alias("chunk_index"), text)

@@ -44,7 +44,7 @@ def _report(spark: SparkSession, documents: str, embeddings: str, queries: str,
     docs = spark.read.parquet(documents).select(F.col("doc_id").alias("pos"), "source", "text")
     vectors = spark.read.parquet(embeddings).select(F.col("vec_id").alias("pos"), "embedding")
     items = spark.read.parquet(queries).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    corpus = lexical.counted(docs.join(vectors, "pos"), "pos", "text", "embedding")
+    corpus = lexical.counted(hybrid.with_vectors(docs, vectors), "pos", "text", "embedding")
     asked = items.join(vectors.select(F.col("pos").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
 
     lexical.save_index(lexical.index_of(corpus), f"{out}/index")

@@ -1,4 +1,5 @@
 """Operators on small frames: published facts of the design, and edge cases that the tables lack."""
+import itertools
 import random
 import re
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
 from lexmill.operators import chunk, clean, context, evaluate, hybrid, lexical, pipeline, prompt, stats
+from lexmill.plans import catalog
 from lexmill.sources import io
 
 
@@ -536,3 +538,51 @@ def test_texts_are_computed_once_a_row(spark):
     plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
     assert plan(clean.clean_pages(df, least=1)).count("{3,}") == 1
     assert plan(chunk.sentence_based(df)).count("([.!?])") == 1
+
+
+def _bare_texts(df) -> list[str]:
+    """Shuffles of rows with texts before ids were met where the rows lie."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-*()0123456789")) for x in lines]
+    out = []
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            below = [x for x, _ in itertools.takewhile(lambda y: y[1] > depth[i], zip(lines[i + 1 :], depth[i + 1 :]))]
+            if any("text#" in x and "Scan" in x for x in below) and not any("LeftSemi" in x for x in below):
+                out.append(line)
+    return out
+
+
+@pytest.fixture
+def joins_by_shuffle(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_texts_without_a_vector_or_result_are_not_shuffled(spark, sf, joins_by_shuffle):
+    """On tables too large for Spark's own broadcasts."""
+    corpus, asked = catalog._corpus(spark, sf), catalog._queries(spark, sf)
+    line = pipeline.AnswerPipeline(corpus, lambda q: asked.select("query_id", "vector"), lambda df: df)
+    for df in (corpus, catalog._results(spark, sf), line.retrieve(asked.select("query_id", "query"))):
+        assert "text" in df.columns and _bare_texts(df) == []
+    vectors = catalog.read(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"))
+    assert _bare_texts(catalog._rows(spark, sf).join(vectors, "pos"))  # what is looked for is found in a plain join
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_rows_of_results_with_repeated_and_null_numbers(spark, monkeypatch, limit):
+    """As plain joins, whether or not the ids are few enough to be sent."""
+    if limit is not None:
+        monkeypatch.setattr(hybrid, "fits", lambda df: False)
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "c"), (None, "d")], "pos long, text string")
+    vectors = spark.createDataFrame([(1, [1.0]), (1, [2.0]), (2, [3.0]), (None, [4.0]), (9, [5.0])], "pos long, embedding array<float>")
+    results = spark.createDataFrame([(7, 1), (8, 1), (7, 2), (7, None), (8, 5)], "query_id long, pos long")
+    take = lambda d: sorted(d.collect(), key=repr)
+    corpus = rows.join(vectors, "pos")
+    got = hybrid.with_vectors(rows, vectors)
+    assert take(got) == take(corpus) and got.columns == corpus.columns
+    found, want = hybrid.looked_up(results, got, "text"), results.join(corpus.select("pos", "text"), "pos")
+    assert take(found) == take(want) and found.columns == want.columns
+    assert hybrid.looked_up(results.limit(0), got, "text").count() == 0 and hybrid.with_vectors(rows, vectors.limit(0)).count() == 0

@@ -205,16 +205,18 @@ def _tail(pos: int, n: int, share: float) -> float:
     return math.exp(top) * sum(math.exp(t - top) for t in terms)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Primal squared-hinge machine by Newton steps over the rows inside the margin."""
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(z.shape[1])
-    reg = np.full(z.shape[1], ridge * weight.sum())
+def _svm(x: np.ndarray | Sentences, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, at: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Primal squared-hinge machine by Newton steps over the rows inside the margin. at: the numbers of the rows of x that y and weight belong to (all)."""
+    at = np.arange(len(x)) if at is None else at
+    w = np.zeros(x.shape[1] + 1)
+    reg = np.full(len(w), ridge * weight.sum())
     reg[-1] = 1e-9
     for _ in range(60):
         a, b = np.diag(reg), np.zeros(len(w))
-        for lo in range(0, len(z), 8192):  # a few rows at a time in double precision
-            zi, yi = z[lo : lo + 8192].astype(np.float64), y[lo : lo + 8192]
+        for lo in range(0, len(at), 8192):  # a few rows at a time in double precision; all of them are never held
+            some, yi = x[at[lo : lo + 8192]], y[lo : lo + 8192]
+            zi = np.ones((len(some), len(w)))
+            zi[:, :-1] = some
             inside = yi * (zi @ w) < 1
             zi = zi[inside]
             zw = zi * weight[lo : lo + 8192][inside, None]
@@ -263,17 +265,35 @@ def word_features(words: list[str], columns: np.ndarray, maps: np.ndarray) -> np
     return out
 
 
-def sentence_features(lists: list[list[str]], columns: np.ndarray, maps: np.ndarray, part: int = 2000) -> np.ndarray:
-    """Sentences' rows, from those of their words; some sentences at a time."""
-    out = np.zeros((len(lists), maps.shape[1]), np.float32)
-    for lo in range(0, len(lists), part):
+class Sentences:
+    """Sentences' rows, made from those of their words when they are asked for. A word's row is held once, however many sentences have it."""
+
+    def __init__(self, lists: list[list[str]], columns: np.ndarray, maps: np.ndarray, part: int = 250):
         number: dict[str, int] = {}
-        some = lists[lo : lo + part]
-        at = np.array([number.setdefault(w, len(number)) for s in some for w in s], np.int64)
-        sizes = np.fromiter(map(len, some), np.int64, len(some))
-        rows = np.add.reduceat(word_features(list(number), columns, maps)[at], np.cumsum(sizes) - sizes, axis=0)
-        out[lo : lo + part] = rows / np.sqrt(sizes).astype(np.float32)[:, None]
-    return out
+        self.word = np.fromiter((number.setdefault(w, len(number)) for s in lists for w in s), np.int64)
+        self.sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.words, names = np.zeros((len(number), maps.shape[1]), np.float32), list(number)
+        for lo in range(0, len(names), part):  # some words at a time: each has a row for every triple meanwhile
+            self.words[lo : lo + part] = word_features(names[lo : lo + part], columns, maps)
+        self.shape = len(lists), maps.shape[1]
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        sizes, first = self.sizes[at], self.first[at]
+        out = self.words[self.word[first]]
+        for n in range(1, int(sizes.max(initial=0))):
+            longer = np.flatnonzero(sizes > n)
+            out[longer] += self.words[self.word[first[longer] + n]]
+        out /= np.sqrt(sizes).astype(np.float32)[:, None]
+        return out
+
+
+def sentence_features(lists: list[list[str]], columns: np.ndarray, maps: np.ndarray, part: int = 250) -> np.ndarray:
+    """Sentences' rows, all at once."""
+    return Sentences(lists, columns, maps, part)[np.arange(len(lists))]
 
 
 def _clauses(sentence: list[str]) -> list[list[str]]:
@@ -353,17 +373,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", t
     maps = land.T @ (vec @ np.diag(np.maximum(lam, 1e-6) ** -0.5) @ vec.T)
     used = set(lot.permutation(len(every))[:benign].tolist())
     del dense, near, close, land, names
-    x_pos, negative = (sentence_features(x, columns, maps.astype(np.float32)) for x in (positive, every))
+    x, n_x = Sentences(positive + every, columns, maps.astype(np.float32)), len(positive)
     for turn in range(rounds):
         if turn:
-            value = negative @ w_ + bias
+            value = np.concatenate([x[np.arange(lo, min(lo + 8192, len(x)))] @ w_ for lo in range(n_x, len(x), 8192)]) + bias
             used.update(int(i) for i in np.argsort(-value, kind="stable")[:hard] if value[i] > -0.8)
-        x_neg = negative[sorted(used)]
-        y = np.concatenate((np.ones(len(x_pos)), -np.ones(len(x_neg))))
-        weight = np.where(y > 0, 0.5 / len(x_pos), 0.5 / len(x_neg)) * len(y)
-        w_, bias = _svm(np.concatenate((x_pos, x_neg)), y, weight, 1e-5)
+        y = np.concatenate((np.ones(n_x), -np.ones(len(used))))
+        weight = np.where(y > 0, 0.5 / n_x, 0.5 / len(used)) * len(y)
+        w_, bias = _svm(x, y, weight, 1e-5, np.concatenate((np.arange(n_x), n_x + np.array(sorted(used), np.int64))))
     scorer = Scorer(columns, (maps @ w_).astype(np.float32), float(bias), 1.0, 0.0)
-    del negative, x_pos, x_neg, every, positive
+    del x, every, positive
     value = np.concatenate([scorer.texts([t for t, _ in sample[i : i + 100]], {}) for i in range(0, len(sample), 100)])
     label = np.array([y for _, y in sample])
     scorer.slope, scorer.shift = _logistic(value, label, n_pos, n_neg)

@@ -289,6 +289,30 @@ def test_machine_of_squared_hinge():
     assert all(loss(w + d[:3], b + d[3]) >= loss(w, b) - 1e-6 for d in r.normal(size=(50, 4)) * 1e-3)
 
 
+def test_machine_holds_a_row_a_word(spark, monkeypatch):
+    """What the driver holds to learn grows with the words of the clauses, not with the clauses; rows made in parts are those of all at once."""
+    rows, seen = toxic_texts(600, 1), []
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    whole = toxicity._svm
+
+    def watched(x, y, weight, ridge, *at):
+        held = getattr(x, "words", x)
+        seen.append((held.nbytes, len(y) * held.shape[1] * 4))
+        got = whole(x, y, weight, ridge, *at)
+        every = x[at[0]]  # as a matrix that is held whole
+        assert got[1] == pytest.approx(whole(every, y, weight, ridge)[1], abs=1e-9)
+        return got
+
+    monkeypatch.setattr(toxicity, "_svm", watched)
+    toxicity.learn(docs, labels)
+    assert seen and all(held < clauses / 2 for held, clauses in seen)
+    columns = np.unique(toxicity.triples(["grunkel", "walk"])[1])
+    maps, lists = np.eye(len(columns), dtype=np.float32), [["grunkel"], ["walk", "grunkel"], ["walk", "walk"], ["grunkel"]]
+    every = toxicity.sentence_features(lists, columns, maps)
+    assert (toxicity.Sentences(lists, columns, maps, 1)[np.array([3, 1])] == every[[3, 1]]).all() and len(toxicity.Sentences(lists, columns, maps)[np.zeros(0, int)]) == 0
+    assert every[1] == pytest.approx((every[0] + toxicity.word_features(["walk"], columns, maps)[0]) / math.sqrt(2))
+
+
 def test_toxicity_of_two_ordinary_words(spark):
     """Words that are toxic only side by side are learned from sentences."""
     r, rows = random.Random(4), []

@@ -586,3 +586,30 @@ def test_rows_of_results_with_repeated_and_null_numbers(spark, monkeypatch, limi
     found, want = hybrid.looked_up(results, got, "text"), results.join(corpus.select("pos", "text"), "pos")
     assert take(found) == take(want) and found.columns == want.columns
     assert hybrid.looked_up(results.limit(0), got, "text").count() == 0 and hybrid.with_vectors(rows, vectors.limit(0)).count() == 0
+
+
+def _moved(spark, run) -> int:
+    """Rows that run() shuffles and writes to work tables until its result is read."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages() -> list:
+        sc.listenerBus().waitUntilEmpty()
+        every, none = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        found = sc.statusStore().stageList(every, False, False, none, every)
+        return [found.apply(i) for i in range(found.size())]
+
+    last = max((s.stageId() for s in stages()), default=-1)  # old stages are forgotten in time
+    run().write.format("noop").mode("overwrite").save()
+    return sum(s.shuffleWriteRecords() + s.outputRecords() for s in stages() if s.stageId() > last)
+
+
+@pytest.mark.parametrize("name", ["context_truncation"])
+def test_a_further_document_moves_no_row_a_query(spark, sf, tmp_path, joins_by_shuffle, name):
+    """What the query shuffles and writes grows with documents and vectors, not with their pairs with queries."""
+    for table, key in (("documents", "doc_id"), ("embeddings", "vec_id")):
+        copies = catalog.read(spark, sf, table).crossJoin(spark.range(4)).withColumn(key, F.col(key) + 1000 * F.col("id")).drop("id")
+        copies.coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    catalog.read(spark, sf, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    small, large = (_moved(spark, lambda: catalog.QUERIES[name](spark, d)) for d in (sf, str(tmp_path)))
+    further = 3 * catalog.read(spark, sf, "documents").count() * catalog.read(spark, sf, "benchmark").count()
+    assert 0 < large - small < further / 2

@@ -603,7 +603,7 @@ def _moved(spark, run) -> int:
     return sum(s.shuffleWriteRecords() + s.outputRecords() for s in stages() if s.stageId() > last)
 
 
-@pytest.mark.parametrize("name", ["context_truncation"])
+@pytest.mark.parametrize("name", ["context_truncation", "pipeline_stages"])
 def test_a_further_document_moves_no_row_a_query(spark, sf, tmp_path, joins_by_shuffle, name):
     """What the query shuffles and writes grows with documents and vectors, not with their pairs with queries."""
     for table, key in (("documents", "doc_id"), ("embeddings", "vec_id")):
